@@ -185,3 +185,138 @@ _BAD_DAYS = "concat_ws(',', " + ", ".join(
 SQL["validate_hours"] = ROLES_SQL + f"""
 SELECT id, id_restaurant, {_BAD_DAYS} = '' AS valid, {_BAD_DAYS} AS bad_days FROM hours
 """
+
+# -- views and lookups --------------------------------------------------------
+
+SQL["comments_list"] = ROLES_SQL + """
+SELECT c.id, c.comment, u.username AS up_by, c.score, rc.id_restaurant AS res_id, c.verified
+FROM comments c JOIN restaurant_comments rc ON c.id = rc.id_comment
+LEFT JOIN users u ON u.id = c.updated_by
+"""
+
+SQL["dishes_info"] = ROLES_SQL + """
+SELECT d.id, d.name, d.calories, d.price, d.weight,
+       string_agg(i.name, ',' ORDER BY i.name) AS ingredient_names, m.id_restaurant AS res_id
+FROM dishes d JOIN menu m ON m.id_dish = d.id
+JOIN dish_ingredients di ON d.id = di.id_dish
+JOIN ingredients i ON di.id_ingredient = i.id
+GROUP BY d.id, d.name, d.calories, d.price, d.weight, m.id_restaurant
+"""
+
+SQL["ingredients_list"] = ROLES_SQL + """
+SELECT i.id, i.name, i.vegetarian, i.vegan, di.id_dish AS dish_id,
+       COALESCE(string_agg(a.name, ', ' ORDER BY a.name), 'None') AS allergens_list
+FROM ingredients i JOIN dish_ingredients di ON di.id_ingredient = i.id
+LEFT JOIN ingredient_allergens ia ON ia.id_ingredient = i.id
+LEFT JOIN allergens a ON a.id = ia.id_allergen
+GROUP BY i.id, i.name, i.vegetarian, i.vegan, di.id_dish
+"""
+
+SQL["venue_details"] = ROLES_SQL + """
+SELECT r.name, r.opinion, co.lat, co.lon, r.address,
+       string_agg(c.type, ',' ORDER BY c.type) AS res_cuisines,
+       cl.username AS up_by, ad.username AS ver_by, r.id AS res_id
+FROM restaurants r JOIN restaurant_cuisines rc ON r.id = rc.id_restaurant
+JOIN coordinates co ON r.id = co.id
+JOIN cuisines c ON c.id = rc.id_cuisine
+LEFT JOIN users cl ON cl.id = r.updated_by
+LEFT JOIN users ad ON ad.id = r.verified_by
+GROUP BY r.id, r.name, r.opinion, co.lat, co.lon, r.address, cl.username, ad.username
+"""
+
+_VIEW_REQ = "(SELECT user_id FROM events WHERE event_type = 'view' AND user_id > 0)"
+_DISH_REQ = ("(SELECT CAST(floor(value * 4) AS BIGINT) FROM events "
+             "WHERE event_type = 'click' AND CAST(floor(value * 4) AS BIGINT) > 0)")
+SQL["venue_info_lookup"] = (SQL["venue_details"].replace("GROUP BY r.id,", f"WHERE r.id IN {_VIEW_REQ}\nGROUP BY r.id,"))
+SQL["comments_for_venue"] = SQL["comments_list"] + f"WHERE c.verified AND rc.id_restaurant IN {_VIEW_REQ}\n"
+SQL["dishes_for_venue"] = SQL["dishes_info"].replace(
+    "GROUP BY d.id,", f"WHERE m.id_restaurant IN {_VIEW_REQ}\nGROUP BY d.id,")
+SQL["ingredients_for_dish"] = SQL["ingredients_list"].replace(
+    "GROUP BY i.id,", f"WHERE di.id_dish IN {_DISH_REQ}\nGROUP BY i.id,")
+SQL["tag_list"] = ROLES_SQL + "SELECT type FROM cuisines\n"
+
+SQL["radius_join_many"] = ROLES_SQL + """
+, probes AS (
+  SELECT c_custkey AS probe_id, 51.0515e0 + ((c_custkey * 17) % 1000) * 1.3035e-4 AS lat,
+         16.924e0 + ((c_custkey * 23) % 1000) * 2.3605e-4 AS lon FROM customer)
+, pairs AS (
+  SELECT p.probe_id, co.id AS res_id,
+         6371e0 * acos(least(1e0, greatest(-1e0, cos(radians(p.lat)) * cos(radians(co.lat)) *
+           cos(radians(co.lon) - radians(p.lon)) + sin(radians(p.lat)) * sin(radians(co.lat))))) AS d
+  FROM probes p, coordinates co WHERE co.lat > 0 AND co.lon > 0)
+SELECT probe_id, res_id, round(d, 6) AS distance_km FROM pairs WHERE d <= 0.5
+"""
+
+# -- reports --------------------------------------------------------------------
+
+_VENUES_CUISINES = ROLES_SQL + """
+SELECT r.id AS res_id, r.name AS res_name, r.opinion AS res_score,
+       string_agg(c.type, ',' ORDER BY c.type) AS res_cuisines, r.address AS res_address,
+       r.verified AS res_ver{user}
+FROM restaurants r JOIN restaurant_cuisines rc ON r.id = rc.id_restaurant
+JOIN cuisines c ON c.id = rc.id_cuisine
+{where}
+GROUP BY r.id, r.name, r.opinion, r.address, r.verified, r.updated_by
+"""
+SQL["user_venues"] = _VENUES_CUISINES.format(user=", r.updated_by AS user_id", where="")
+SQL["queue_venues"] = _VENUES_CUISINES.format(user="", where="WHERE NOT r.verified AND NOT r.deleted")
+
+_NESTED = ROLES_SQL + """
+, entries AS (
+  SELECT di.id_dish, i.id AS ing_id, i.name AS ing_name,
+         string_agg(DISTINCT a.name, ',' ORDER BY a.name) AS allergens_names
+  FROM dish_ingredients di JOIN ingredients i ON di.id_ingredient = i.id
+  JOIN ingredient_allergens ia ON ia.id_ingredient = i.id
+  JOIN allergens a ON ia.id_allergen = a.id
+  WHERE a.id > 0
+  GROUP BY di.id_dish, i.id, i.name)
+, per_dish AS (
+  SELECT id_dish, string_agg(CAST(ing_id AS VARCHAR) || ':' || ing_name || ':' || allergens_names, ';'
+                             ORDER BY ing_id) AS ing
+  FROM entries GROUP BY id_dish)
+SELECT r.id AS res_id, r.name AS res_name, d.id AS dish_id, d.name AS dish_name,
+       m.verified AS dish_ver{user}, COALESCE(pd.ing, '') AS ing
+FROM restaurants r JOIN menu m ON m.id_restaurant = r.id
+JOIN dishes d ON m.id_dish = d.id
+LEFT JOIN per_dish pd ON pd.id_dish = d.id
+{where}
+"""
+SQL["user_dishes_nested"] = _NESTED.format(user=", m.updated_by AS user_id", where="")
+SQL["queue_dishes_nested"] = _NESTED.format(user="", where="WHERE NOT m.verified AND NOT m.deleted")
+
+SQL["user_locations"] = ROLES_SQL + """
+SELECT id AS res_id, lat, lon, pending_lat AS new_lat, pending_lon AS new_lon, verified AS ver,
+       edited_by AS user_id
+FROM coordinates WHERE NOT (pending_lat = 0 AND pending_lon = 0)
+"""
+SQL["queue_locations"] = ROLES_SQL + """
+SELECT id AS res_id, lat, lon, pending_lat AS new_lat, pending_lon AS new_lon, verified AS ver,
+       updated_by AS up_by, edited_by AS ed_by
+FROM coordinates WHERE NOT verified AND NOT (pending_lat = 0 AND pending_lon = 0)
+"""
+
+_COMMENTS_VENUE = ROLES_SQL + """
+SELECT c.id AS c_id, r.id AS res_id, r.name AS res_name, c.score, c.comment AS "desc",
+       c.verified AS ver{user}
+FROM comments c JOIN restaurant_comments rc ON rc.id_comment = c.id
+JOIN restaurants r ON rc.id_restaurant = r.id
+{where}
+"""
+SQL["user_comments"] = _COMMENTS_VENUE.format(user=", c.updated_by AS user_id", where="")
+SQL["queue_comments"] = _COMMENTS_VENUE.format(user=", c.updated_by AS user_id",
+                                               where="WHERE NOT c.verified AND NOT c.deleted").replace(
+    ", c.updated_by AS user_id", "")
+
+_HOURS_VENUE = ROLES_SQL + """
+, sp AS (
+  SELECT id_restaurant, '{{' || string_agg('"' || day_key || '":"' || value || '"', ',' ORDER BY day_key) || '}}' AS special
+  FROM special_days GROUP BY id_restaurant)
+SELECT h.id AS hours_id, r.id AS res_id, r.name AS res_name, h.mon, h.tue, h.wed, h.thu, h.fri,
+       h.sat, h.sun, sp.special, h.updated_by AS user_id, h.verified_by, h.verified, h.deleted,
+       r.verified AS res_verified, r.deleted AS res_deleted
+FROM hours h JOIN restaurants r ON r.id = h.id_restaurant
+LEFT JOIN sp ON sp.id_restaurant = h.id_restaurant
+WHERE {where}
+"""
+SQL["user_hours"] = _HOURS_VENUE.format(where="NOT h.deleted")
+SQL["queue_hours"] = _HOURS_VENUE.format(where="NOT h.verified AND NOT h.deleted")

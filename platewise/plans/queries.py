@@ -107,3 +107,118 @@ def q_open_now_overnight(spark, sf_dir):
 @register("validate_hours")
 def q_validate_hours(spark, sf_dir):
     return calendar.validate_weekly(roles.bind(spark, sf_dir).hours)
+
+
+# -- views and lookups --------------------------------------------------------
+
+from platewise.operators import geo_join, reports, views  # noqa: E402
+
+
+@register("comments_list")
+def q_comments_list(spark, sf_dir):
+    return views.comments_list(roles.bind(spark, sf_dir))
+
+
+@register("dishes_info")
+def q_dishes_info(spark, sf_dir):
+    return views.dishes_info(roles.bind(spark, sf_dir))
+
+
+@register("ingredients_list")
+def q_ingredients_list(spark, sf_dir):
+    return views.ingredients_list(roles.bind(spark, sf_dir))
+
+
+@register("venue_details")
+def q_venue_details(spark, sf_dir):
+    return views.venue_details(roles.bind(spark, sf_dir))
+
+
+@register("venue_info_lookup")
+def q_venue_info_lookup(spark, sf_dir):
+    t = roles.read_tables(spark, sf_dir)
+    return views.venue_info(roles.bind(spark, sf_dir), roles.view_requests(t))
+
+
+@register("comments_for_venue")
+def q_comments_for_venue(spark, sf_dir):
+    t = roles.read_tables(spark, sf_dir)
+    return views.venue_comments(roles.bind(spark, sf_dir), roles.view_requests(t))
+
+
+@register("dishes_for_venue")
+def q_dishes_for_venue(spark, sf_dir):
+    t = roles.read_tables(spark, sf_dir)
+    return views.venue_dishes(roles.bind(spark, sf_dir), roles.view_requests(t))
+
+
+@register("ingredients_for_dish")
+def q_ingredients_for_dish(spark, sf_dir):
+    t = roles.read_tables(spark, sf_dir)
+    return views.dish_ingredients_lookup(roles.bind(spark, sf_dir), roles.dish_requests(t))
+
+
+@register("tag_list")
+def q_tag_list(spark, sf_dir):
+    return views.cuisine_types(roles.bind(spark, sf_dir))
+
+
+@register("radius_join_many")
+def q_radius_join_many(spark, sf_dir):
+    t = roles.read_tables(spark, sf_dir)
+    cat = roles.bind(spark, sf_dir)
+    targets = (cat.coordinates.where((F.col("lat") > 0) & (F.col("lon") > 0))
+               .select(F.col("id").alias("res_id"), "lat", "lon"))
+    return geo_join.radius_join(roles.probe_points(t), targets, 0.5)
+
+
+# -- contributor reports and moderator queues ----------------------------------
+
+@register("user_venues")
+def q_user_venues(spark, sf_dir):
+    return reports.user_venues(roles.bind(spark, sf_dir))
+
+
+@register("user_dishes_nested")
+def q_user_dishes_nested(spark, sf_dir):
+    return reports.nested_as_text(reports.user_dishes(roles.bind(spark, sf_dir)))
+
+
+@register("user_locations")
+def q_user_locations(spark, sf_dir):
+    return reports.user_locations(roles.bind(spark, sf_dir))
+
+
+@register("user_comments")
+def q_user_comments(spark, sf_dir):
+    return reports.user_comments(roles.bind(spark, sf_dir))
+
+
+@register("user_hours")
+def q_user_hours(spark, sf_dir):
+    return reports.user_hours(roles.bind(spark, sf_dir))
+
+
+@register("queue_venues")
+def q_queue_venues(spark, sf_dir):
+    return reports.queue_venues(roles.bind(spark, sf_dir))
+
+
+@register("queue_dishes_nested")
+def q_queue_dishes_nested(spark, sf_dir):
+    return reports.nested_as_text(reports.queue_dishes(roles.bind(spark, sf_dir)))
+
+
+@register("queue_locations")
+def q_queue_locations(spark, sf_dir):
+    return reports.queue_locations(roles.bind(spark, sf_dir))
+
+
+@register("queue_comments")
+def q_queue_comments(spark, sf_dir):
+    return reports.queue_comments(roles.bind(spark, sf_dir))
+
+
+@register("queue_hours")
+def q_queue_hours(spark, sf_dir):
+    return reports.queue_hours(roles.bind(spark, sf_dir))

@@ -221,12 +221,32 @@ def hours(t: dict[str, DataFrame]) -> DataFrame:
     # dated exceptions: at most one entry per (venue, day), so the map per
     # venue is bounded by the number of distinct days
     sp = (special_days(t).groupBy("id_restaurant")
-          .agg(F.map_from_entries(F.collect_list(F.struct("day_key", "value"))).alias("special")))
+          .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("day_key", "value"))))
+               .alias("special")))
     cols = ["id", "id_restaurant", "mon", "tue", "wed", "thu", "fri", "sat", "sun",
             "special", "updated_by", "verified_by", "verified", "deleted"]
     return versions.join(sp, "id_restaurant", "left").select(*cols)
 
 
+def view_requests(t: dict[str, DataFrame]) -> DataFrame:
+    """Venue page requests: the venue id of every 'view' event."""
+    return t["events"].where(F.col("event_type") == "view").select(F.col("user_id").alias("id"))
+
+
+def dish_requests(t: dict[str, DataFrame]) -> DataFrame:
+    """Dish page requests: a dish id derived from every 'click' event."""
+    return (t["events"].where(F.col("event_type") == "click")
+            .select(F.floor(F.col("value") * 4).cast("long").alias("id")))
+
+
+def probe_points(t: dict[str, DataFrame]) -> DataFrame:
+    """One search location per customer (for the many-probe radius join)."""
+    c = F.col("c_custkey")
+    return t["customer"].select(c.alias("probe_id"),
+                                (LAT0 + ((c * 17) % 1000) * LAT_STEP).alias("lat"),
+                                (LON0 + ((c * 23) % 1000) * LON_STEP).alias("lon"))
+
+
 def commands(t: dict[str, DataFrame]) -> DataFrame:
     """The moderation command log: one row per non-'view' event."""
     e = t["events"]
