@@ -82,7 +82,7 @@ def special_problem(special: Column) -> Column:
         .when(~F.coalesce(valid_weekly_value(e["value"]), F.lit(False)),
               F.concat(F.lit("Invalid value for "), e["key"], F.lit(": "),
                        F.coalesce(e["value"], F.lit("null")))))
-    return F.element_at(F.filter(msgs, lambda m: m.isNotNull()), 1)
+    return F.try_element_at(F.filter(msgs, lambda m: m.isNotNull()), F.lit(1))
 
 
 def seconds_of(ts: Column) -> Column:

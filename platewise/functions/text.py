@@ -63,5 +63,5 @@ def strip_chars(col: Column, chars: str) -> Column:
 
 def nonzero_number(col: Column) -> Column:
     """JavaScript ``Number(x)`` truthiness: numeric and not zero."""
-    d = col.cast("string").try_cast("double")
+    d = col.try_cast("double")
     return F.coalesce((d != 0) & ~F.isnan(d), F.lit(False))

@@ -320,3 +320,196 @@ WHERE {where}
 """
 SQL["user_hours"] = _HOURS_VENUE.format(where="NOT h.deleted")
 SQL["queue_hours"] = _HOURS_VENUE.format(where="NOT h.verified AND NOT h.deleted")
+
+# -- moderation folds (window formulations) ------------------------------------------
+
+_ADMIN = "actor IN (SELECT id FROM users WHERE is_admin)"
+_KNOWN = "actor IN (SELECT id FROM users)"
+
+SQL["role_gate"] = ROLES_SQL + f"""
+SELECT event_id, key, action, actor FROM commands
+WHERE (action IN ('VER', 'DEL') AND {_ADMIN}) OR (action NOT IN ('VER', 'DEL') AND {_KNOWN})
+"""
+
+_FLAG_CTES = f"""
+, gated AS (SELECT * FROM {{cmds}} WHERE action IN ('VER', 'DEL') AND {{pos}} AND {_ADMIN})
+, agg AS (SELECT {{keys}}, bool_or(action = 'VER') AS any_ver, bool_or(action = 'DEL') AS any_del
+          FROM gated GROUP BY {{keys}})
+, lastc AS (SELECT {{keys}}, actor FROM gated
+            QUALIFY row_number() OVER (PARTITION BY {{keys}} ORDER BY ts DESC, event_id DESC) = 1)
+"""
+
+SQL["moderate_flags"] = ROLES_SQL + _FLAG_CTES.format(cmds="commands", pos="key > 0", keys="key") + """
+SELECT r.id, r.name, r.opinion, r.verified OR COALESCE(a.any_ver, FALSE) AS verified, r.address,
+       r.updated_by, COALESCE(l.actor, r.verified_by) AS verified_by,
+       r.deleted OR COALESCE(a.any_del, FALSE) AS deleted
+FROM restaurants r LEFT JOIN agg a ON a.key = r.id LEFT JOIN lastc l ON l.key = r.id
+"""
+
+_MENU_CMDS = """
+, mcmds AS (SELECT event_id, ts, key AS id_restaurant, CAST(floor(value * 4) AS BIGINT) AS id_dish, action, actor
+            FROM commands WHERE action IN ('VER', 'DEL'))
+"""
+_NEW_MENU = ROLES_SQL + _MENU_CMDS + _FLAG_CTES.format(
+    cmds="mcmds", pos="id_restaurant > 0 AND id_dish > 0", keys="id_restaurant, id_dish") + """
+, new_menu AS (
+  SELECT m.id_restaurant, m.id_dish, m.verified OR COALESCE(a.any_ver, FALSE) AS verified, m.updated_by,
+         COALESCE(l.actor, m.verified_by) AS verified_by, m.deleted OR COALESCE(a.any_del, FALSE) AS deleted,
+         a.id_restaurant IS NOT NULL AS touched
+  FROM menu m LEFT JOIN agg a ON a.id_restaurant = m.id_restaurant AND a.id_dish = m.id_dish
+  LEFT JOIN lastc l ON l.id_restaurant = m.id_restaurant AND l.id_dish = m.id_dish)
+"""
+SQL["moderate_menu"] = _NEW_MENU + """
+SELECT id_restaurant, id_dish, verified, updated_by, verified_by, deleted FROM new_menu
+"""
+
+_DIET = """
+SELECT d.id,
+  {veg_pre}NOT EXISTS (SELECT 1 FROM dish_ingredients di JOIN ingredients i ON di.id_ingredient = i.id
+                 JOIN {menu} rd ON rd.id_dish = di.id_dish
+                 WHERE di.id_dish = d.id AND NOT i.vegetarian AND rd.verified){veg_post} AS vegetarian,
+  {vgn_pre}NOT EXISTS (SELECT 1 FROM dish_ingredients di JOIN ingredients i ON di.id_ingredient = i.id
+                 JOIN {menu} rd ON rd.id_dish = di.id_dish
+                 WHERE di.id_dish = d.id AND NOT i.vegan AND rd.verified){vgn_post} AS vegan
+FROM dishes d
+"""
+SQL["derive_diet_flags"] = ROLES_SQL + _DIET.format(menu="menu", veg_pre="", veg_post="", vgn_pre="", vgn_post="")
+_TOUCHED = "d.id IN (SELECT id_dish FROM new_menu WHERE touched)"
+SQL["moderate_menu_diet"] = _NEW_MENU + _DIET.format(
+    menu="new_menu", veg_pre=f"CASE WHEN {_TOUCHED} THEN ", veg_post=" ELSE d.vegetarian END",
+    vgn_pre=f"CASE WHEN {_TOUCHED} THEN ", vgn_post=" ELSE d.vegan END")
+
+SQL["moderate_locations"] = ROLES_SQL + f"""
+, lc AS (
+  SELECT event_id, ts, key, action, actor,
+         CASE WHEN action = 'UPDATE' AND value >= 1 THEN 51e0 + value / 10000e0 ELSE 0e0 END AS p_lat,
+         CASE WHEN action = 'UPDATE' AND value >= 1 THEN 17e0 + value / 10000e0 ELSE 0e0 END AS p_lon
+  FROM commands
+  WHERE (action = 'UPDATE' AND {_KNOWN} AND key IN (SELECT id FROM restaurants))
+     OR (action IN ('VER', 'DEL') AND {_ADMIN} AND key > 0))
+, seq AS (
+  SELECT lc.*, lag(action) OVER w AS prev_action, lag(p_lat) OVER w AS prev_lat,
+         lag(p_lon) OVER w AS prev_lon, lag(actor) OVER w AS prev_actor
+  FROM lc WINDOW w AS (PARTITION BY key ORDER BY ts, event_id))
+, eff AS (
+  SELECT s.*, (s.action = 'VER' AND (s.prev_action IN ('UPDATE', 'DEL')
+               OR (s.prev_action IS NULL AND NOT c.verified))) AS is_eff,
+         c.pending_lat AS s_pending_lat, c.pending_lon AS s_pending_lon, c.edited_by AS s_edited_by
+  FROM seq s JOIN coordinates c ON c.id = s.key)
+, last_cmd AS (SELECT * FROM eff QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts DESC, event_id DESC) = 1)
+, last_change AS (
+  SELECT * FROM eff WHERE action IN ('UPDATE', 'DEL') OR is_eff
+  QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts DESC, event_id DESC) = 1)
+, last_eff AS (
+  SELECT *,
+    CASE WHEN prev_action = 'UPDATE' THEN prev_lat WHEN prev_action = 'DEL' THEN 0e0 ELSE s_pending_lat END AS new_lat,
+    CASE WHEN prev_action = 'UPDATE' THEN prev_lon WHEN prev_action = 'DEL' THEN 0e0 ELSE s_pending_lon END AS new_lon,
+    CASE WHEN prev_action = 'UPDATE' THEN prev_actor WHEN prev_action = 'DEL' THEN 0 ELSE s_edited_by END AS new_up
+  FROM eff WHERE is_eff
+  QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts DESC, event_id DESC) = 1)
+, last_vby AS (
+  SELECT key, actor FROM eff WHERE action = 'DEL' OR is_eff
+  QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts DESC, event_id DESC) = 1)
+SELECT c.id,
+  CASE WHEN lm.key IS NULL THEN c.verified ELSE lm.action = 'VER' END AS verified,
+  COALESCE(le.new_lat, c.lat) AS lat, COALESCE(le.new_lon, c.lon) AS lon,
+  CASE WHEN ch.key IS NULL THEN c.pending_lat WHEN ch.action = 'UPDATE' THEN ch.p_lat ELSE 0e0 END AS pending_lat,
+  CASE WHEN ch.key IS NULL THEN c.pending_lon WHEN ch.action = 'UPDATE' THEN ch.p_lon ELSE 0e0 END AS pending_lon,
+  CAST(COALESCE(le.new_up, c.updated_by) AS BIGINT) AS updated_by,
+  CAST(COALESCE(vb.actor, c.verified_by) AS BIGINT) AS verified_by,
+  CAST(CASE WHEN ch.key IS NULL THEN c.edited_by WHEN ch.action = 'UPDATE' THEN ch.actor ELSE 0 END AS BIGINT) AS edited_by
+FROM coordinates c
+LEFT JOIN last_cmd lm ON lm.key = c.id
+LEFT JOIN last_change ch ON ch.key = c.id
+LEFT JOIN last_eff le ON le.key = c.id
+LEFT JOIN last_vby vb ON vb.key = c.id
+"""
+
+_WD = "['08:00-16:00','09:00-17:00','10:00-22:00','closed','9:00-17:00']"
+_WE = "['closed','10:00-14:00','11:00-23:00','closed','12:00-18:00','22:00-02:00','99:99-00:00']"
+_PROPOSALS = f"""
+, props0 AS (
+  SELECT event_id, ts, key, actor, CAST(floor(value) AS BIGINT) AS fv, CAST(ts AS DATE) + 7 AS pday
+  FROM commands WHERE action = 'INSERT')
+, props AS (
+  SELECT event_id, ts, key, actor,
+    {_WD}[(fv % 5) + 1] AS mon, {_WD}[(fv % 5) + 1] AS tue, {_WD}[(fv % 5) + 1] AS wed,
+    {_WD}[(fv % 5) + 1] AS thu, {_WD}[(fv % 5) + 1] AS fri,
+    {_WE}[(fv % 7) + 1] AS sat, {_WE}[((fv + 2) % 7) + 1] AS sun,
+    CASE WHEN fv % 11 = 0 THEN strftime(pday, '%Y-%m-%d') ELSE strftime(pday, '%d.%m.%Y') END AS skey,
+    CASE WHEN fv % 7 = 3 THEN 'noon' WHEN fv % 7 = 1 THEN 'closed' ELSE '10:00-12:00' END AS sval
+  FROM props0)
+, checked AS (
+  SELECT *, '{{"' || skey || '":"' || sval || '"}}' AS special_text,
+    CASE WHEN NOT ({" AND ".join(_VALID.format(d=d) for d in ("mon", "tue", "wed", "thu", "fri", "sat", "sun"))})
+           THEN 'Hours wrong format in days (mon - sun)'
+         WHEN NOT regexp_full_match(skey, '\\d{{2}}\\.\\d{{2}}\\.\\d{{4}}') THEN 'Invalid date format in key: ' || skey
+         WHEN NOT {_VALID.format(d="sval")} THEN 'Invalid value for ' || skey || ': ' || sval
+    END AS reason
+  FROM props)
+"""
+
+SQL["validate_special"] = ROLES_SQL + _PROPOSALS + """
+SELECT event_id, special_text, reason IS NULL AS valid, reason FROM checked
+"""
+
+SQL["moderate_hours"] = ROLES_SQL + _PROPOSALS + f"""
+, valid_props AS (
+  SELECT * FROM checked WHERE reason IS NULL AND {_KNOWN} AND key IN (SELECT id FROM restaurants))
+, mods AS (SELECT * FROM commands WHERE action IN ('VER', 'DEL') AND key > 0 AND {_ADMIN})
+, targeted AS (
+  SELECT m.*, (SELECT p.event_id FROM valid_props p WHERE p.key = m.key
+                 AND (p.ts < m.ts OR (p.ts = m.ts AND p.event_id < m.event_id))
+               ORDER BY p.ts DESC, p.event_id DESC LIMIT 1) AS target
+  FROM mods m)
+, ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY target ORDER BY ts, event_id) AS rn
+  FROM targeted WHERE target IS NOT NULL)
+, first_cmd AS (SELECT target, action AS first_action FROM ranked WHERE rn = 1)
+, last_same AS (
+  SELECT r.target, r.actor FROM ranked r JOIN first_cmd f ON f.target = r.target AND r.action = f.first_action
+  QUALIFY row_number() OVER (PARTITION BY r.target ORDER BY r.ts DESC, r.event_id DESC) = 1)
+, new_versions AS (
+  SELECT p.event_id + 2000000000000 AS id, p.key AS id_restaurant, p.mon, p.tue, p.wed, p.thu, p.fri,
+         p.sat, p.sun, p.special_text AS special, p.actor AS updated_by,
+         CAST(COALESCE(ls.actor, 0) AS BIGINT) AS verified_by,
+         COALESCE(f.first_action = 'VER', FALSE) AS verified, COALESCE(f.first_action = 'DEL', FALSE) AS deleted
+  FROM valid_props p LEFT JOIN first_cmd f ON f.target = p.event_id
+  LEFT JOIN last_same ls ON ls.target = p.event_id)
+, sp AS (
+  SELECT id_restaurant, '{{' || string_agg('"' || day_key || '":"' || value || '"', ',' ORDER BY day_key) || '}}' AS special
+  FROM special_days GROUP BY id_restaurant)
+, allv AS (
+  SELECT h.id, h.id_restaurant, h.mon, h.tue, h.wed, h.thu, h.fri, h.sat, h.sun, sp.special,
+         h.updated_by, h.verified_by, h.verified, h.deleted
+  FROM hours h LEFT JOIN sp ON sp.id_restaurant = h.id_restaurant
+  UNION ALL SELECT * FROM new_versions)
+, vmax AS (SELECT id_restaurant, max(id) AS vmax FROM new_versions WHERE verified GROUP BY 1)
+SELECT a.id, a.id_restaurant, a.mon, a.tue, a.wed, a.thu, a.fri, a.sat, a.sun, a.special, a.updated_by,
+       a.verified_by, a.verified, a.deleted OR COALESCE(a.id < v.vmax, FALSE) AS deleted
+FROM allv a LEFT JOIN vmax v ON v.id_restaurant = a.id_restaurant
+"""
+
+SQL["upsert_comments"] = ROLES_SQL + f"""
+, subs AS (
+  SELECT event_id, ts, user_id AS res_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS actor,
+         value / 100e0 AS score,
+         ['Good,tasty.', 'very good', 'Great', ''][(CAST(floor(value) AS BIGINT) % 4) + 1] AS text
+  FROM events WHERE event_type = 'purchase')
+, ok AS (
+  SELECT * FROM subs
+  WHERE res_id <> 0 AND score > 0 AND score <= 5
+    AND regexp_full_match(replace(replace(text, ',', ''), '.', ''), '[A-Za-z0-9]+')
+    AND {_KNOWN} AND res_id IN (SELECT id FROM restaurants))
+, lastsub AS (
+  SELECT * FROM ok QUALIFY row_number() OVER (PARTITION BY res_id, actor ORDER BY ts DESC, event_id DESC) = 1)
+, existing AS (
+  SELECT rc.id_restaurant AS res_id, c.updated_by AS actor, max(c.id) AS old_id
+  FROM comments c JOIN restaurant_comments rc ON rc.id_comment = c.id GROUP BY 1, 2)
+, j AS (SELECT l.*, e.old_id FROM lastsub l LEFT JOIN existing e ON e.res_id = l.res_id AND e.actor = l.actor)
+SELECT CAST(COALESCE(old_id, (SELECT max(id) FROM comments)
+         + row_number() OVER (PARTITION BY old_id IS NULL ORDER BY res_id, actor)) AS BIGINT) AS id,
+       res_id, text AS comment, score, FALSE AS verified, actor AS updated_by,
+       CAST(0 AS BIGINT) AS verified_by, FALSE AS deleted, old_id IS NULL AS is_new
+FROM j
+"""

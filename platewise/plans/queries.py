@@ -222,3 +222,73 @@ def q_queue_comments(spark, sf_dir):
 @register("queue_hours")
 def q_queue_hours(spark, sf_dir):
     return reports.queue_hours(roles.bind(spark, sf_dir))
+
+
+# -- moderation folds --------------------------------------------------------------
+
+from platewise.operators import moderation  # noqa: E402
+
+
+@register("role_gate")
+def q_role_gate(spark, sf_dir):
+    t = roles.read_tables(spark, sf_dir)
+    cat = roles.bind(spark, sf_dir)
+    return moderation.role_gate(roles.commands(t), cat.users).select("event_id", "key", "action", "actor")
+
+
+@register("moderate_flags")
+def q_moderate_flags(spark, sf_dir):
+    t = roles.read_tables(spark, sf_dir)
+    cat = roles.bind(spark, sf_dir)
+    return moderation.moderate_flags(cat.restaurants, roles.moderation_commands(t), cat.users)
+
+
+@register("moderate_menu")
+def q_moderate_menu(spark, sf_dir):
+    t = roles.read_tables(spark, sf_dir)
+    new_menu, _ = moderation.moderate_menu(roles.bind(spark, sf_dir), roles.menu_commands(t))
+    return new_menu
+
+
+@register("moderate_menu_diet")
+def q_moderate_menu_diet(spark, sf_dir):
+    t = roles.read_tables(spark, sf_dir)
+    _, new_dishes = moderation.moderate_menu(roles.bind(spark, sf_dir), roles.menu_commands(t))
+    return new_dishes.select("id", "vegetarian", "vegan")
+
+
+@register("derive_diet_flags")
+def q_derive_diet_flags(spark, sf_dir):
+    return moderation.derive_diet_flags(roles.bind(spark, sf_dir)).select("id", "vegetarian", "vegan")
+
+
+@register("moderate_locations")
+def q_moderate_locations(spark, sf_dir):
+    t = roles.read_tables(spark, sf_dir)
+    cat = roles.bind(spark, sf_dir)
+    cmds = moderation.location_commands(roles.location_commands(t), cat.restaurants, cat.users)
+    return moderation.moderate_locations(cat.coordinates, cmds)
+
+
+@register("validate_special")
+def q_validate_special(spark, sf_dir):
+    t = roles.read_tables(spark, sf_dir)
+    p = moderation.validate_hours_proposals(roles.hours_proposals(t))
+    return p.select("event_id", "special_text", "valid", "reason")
+
+
+@register("moderate_hours")
+def q_moderate_hours(spark, sf_dir):
+    t = roles.read_tables(spark, sf_dir)
+    cat = roles.bind(spark, sf_dir)
+    out = moderation.moderate_hours(cat.hours, roles.hours_proposals(t), roles.moderation_commands(t),
+                                    cat.restaurants, cat.users)
+    return out.withColumn("special", F.to_json("special"))
+
+
+@register("upsert_comments")
+def q_upsert_comments(spark, sf_dir):
+    t = roles.read_tables(spark, sf_dir)
+    cat = roles.bind(spark, sf_dir)
+    return moderation.upsert_comments(cat.comments, cat.restaurant_comments,
+                                      roles.comment_submissions(t), cat.restaurants, cat.users)

@@ -272,3 +272,55 @@ def bind(spark: SparkSession, sf_dir: str) -> Catalog:
         ingredient_allergens=ingredient_allergens(t), coordinates=coordinates(t),
         hours=hours(t), comments=comments(t), restaurant_comments=restaurant_comments(t),
         users=users(t))
+
+
+# Fixed values of the derived request payloads (shared with the SQL oracle).
+PROPOSAL_BAD_VALUE, PROPOSAL_CLOSED_VALUE, PROPOSAL_OPEN_VALUE = "noon", "closed", "10:00-12:00"
+COMMENT_TEXTS = ["Good,tasty.", "very good", "Great", ""]
+
+
+def location_commands(t: dict[str, DataFrame]) -> DataFrame:
+    """Location log: UPDATE proposes a point (a zero axis when value < 1),
+    VER / DEL moderate it."""
+    c = commands(t).where(F.col("action").isin("UPDATE", "VER", "DEL"))
+    v = F.col("value")
+    return c.select("event_id", "ts", "key", "action", "actor",
+                    F.when(v < 1, F.lit(0.0)).otherwise(51.0 + v / 10000.0).alias("coord_x"),
+                    (17.0 + v / 10000.0).alias("coord_y"))
+
+
+def hours_proposals(t: dict[str, DataFrame]) -> DataFrame:
+    """INSERT events as proposed weekly hours with a one-day special schedule
+    (JSON text), some of them malformed on purpose."""
+    c = commands(t).where(F.col("action") == "INSERT")
+    fv = F.floor("value").cast("long")
+    day = F.date_add(F.to_date("ts"), 7)
+    key = F.when(fv % 11 == 0, F.date_format(day, "yyyy-MM-dd")).otherwise(F.date_format(day, "dd.MM.yyyy"))
+    val = (F.when(fv % 7 == 3, F.lit(PROPOSAL_BAD_VALUE)).when(fv % 7 == 1, F.lit(PROPOSAL_CLOSED_VALUE))
+           .otherwise(F.lit(PROPOSAL_OPEN_VALUE)))
+    return c.select(
+        "event_id", "ts", "key", "actor",
+        *[_pick(WEEKDAY_TEXT, fv).alias(d) for d in ("mon", "tue", "wed", "thu", "fri")],
+        _pick(WEEKEND_TEXT, fv).alias("sat"), _pick(WEEKEND_TEXT, fv + 2).alias("sun"),
+        F.concat(F.lit('{"'), key, F.lit('":"'), val, F.lit('"}')).alias("special_text"))
+
+
+def moderation_commands(t: dict[str, DataFrame]) -> DataFrame:
+    return commands(t).where(F.col("action").isin("VER", "DEL"))
+
+
+def menu_commands(t: dict[str, DataFrame]) -> DataFrame:
+    """VER / DEL on a menu row: (venue, dish) with the dish derived from the value."""
+    return moderation_commands(t).select(
+        "event_id", "ts", F.col("key").alias("id_restaurant"),
+        F.floor(F.col("value") * 4).cast("long").alias("id_dish"), "action", "actor")
+
+
+def comment_submissions(t: dict[str, DataFrame]) -> DataFrame:
+    """'purchase' events as comment submissions (venue, author, score, text)."""
+    e = t["events"].where(F.col("event_type") == "purchase")
+    return e.select("event_id", F.col("ts").cast("timestamp").alias("ts"),
+                    F.col("user_id").alias("res_id"),
+                    F.get_json_object("props", "$.k").cast("long").alias("actor"),
+                    (F.col("value") / 100.0).alias("score"),
+                    _pick(COMMENT_TEXTS, F.floor("value").cast("long")).alias("text"))
