@@ -13,26 +13,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from platewise.session import checkpoint_dir
+
 
 def assign_ids(df: DataFrame, order_cols: list[str], start: Column | int = 0,
                id_col: str = "id", num_partitions: int | None = None) -> DataFrame:
     """Add ``id_col`` = ``start`` + 1-based rank of ``order_cols`` (must be unique).
 
     ``start`` may be a scalar Column such as ``existing.select(max('id')).scalar()``.
+
+    The range-partitioned, locally numbered rows are written once with a
+    reliable ``checkpoint()`` (into ``spark.checkpoint.dir``): both the
+    per-partition counts and the final ids read that one copy, so a retried
+    task or a lost executor can never renumber rows (a range partitioner
+    re-sampled on recomputation could).
     """
     spark = df.sparkSession
+    checkpoint_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     start_c = start if isinstance(start, Column) else F.lit(start)
-    ranged = (df.repartitionByRange(n, *order_cols)
-              .withColumn("_pid", F.spark_partition_id()))
-    local = ranged.withColumn(
-        "_rn", F.row_number().over(Window.partitionBy("_pid").orderBy(*order_cols)))
-    counts = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
+    numbered = (df.repartitionByRange(n, *order_cols)
+                .sortWithinPartitions(*order_cols)
+                # partition index in the high bits, position in the partition in the low 33 bits
+                .withColumn("_mid", F.monotonically_increasing_id())
+                .checkpoint(eager=True))
+    numbered = (numbered.withColumn("_pid", F.shiftright("_mid", 33))
+                .withColumn("_rn", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)) + 1)
+                .drop("_mid"))
+    counts = numbered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     # a table with one row per partition: its window runs on a bounded input
     offsets = counts.select(
         "_pid", F.coalesce(F.sum("_cnt").over(Window.orderBy("_pid").rowsBetween(
             Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    return (local.join(F.broadcast(offsets), "_pid")
+    return (numbered.join(F.broadcast(offsets), "_pid")
             .withColumn(id_col, (F.coalesce(start_c, F.lit(0)) + F.col("_off") + F.col("_rn")).cast("long"))
             .drop("_pid", "_rn", "_off"))
 

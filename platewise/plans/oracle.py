@@ -513,3 +513,127 @@ SELECT CAST(COALESCE(old_id, (SELECT max(id) FROM comments)
        CAST(0 AS BIGINT) AS verified_by, FALSE AS deleted, old_id IS NULL AS is_new
 FROM j
 """
+
+# -- ingestion ----------------------------------------------------------------------------
+
+_PRIOS = "['URGENT','HIGH','MEDIUM','NOT SPECIFIED','LOW']"
+_VENUE_SUBS = f"""
+, subs AS (
+  SELECT c_custkey AS sub_id, c_custkey AS actor,
+         CASE WHEN c_acctbal < 0 THEN c_name ELSE replace(c_name, '#', '') END AS name,
+         c_mktsegment || ' ' || CAST(c_nationkey AS VARCHAR) || ', ' ||
+           CASE WHEN c_nationkey % 5 = 0 THEN 'Wro-claw' ELSE 'Wroclaw' END AS address,
+         [{_PRIOS}[(c_custkey % 5) + 1], 'Unknown', {_PRIOS}[((c_custkey + 2) % 5) + 1]] AS cuisines
+  FROM customer)
+, checked AS (
+  SELECT *, CASE WHEN NOT COALESCE(regexp_full_match(name, '[A-Za-z0-9]+'), FALSE) THEN 'invalid name'
+                 WHEN NOT COALESCE(regexp_full_match(replace(replace(address, ',', ''), ' ', ''), '[A-Za-z0-9]+'), FALSE)
+                   THEN 'invalid address' END AS reason
+  FROM subs WHERE {_KNOWN})
+, new_venues AS (
+  SELECT CAST((SELECT max(id) FROM restaurants) + row_number() OVER (ORDER BY sub_id) AS BIGINT) AS id,
+         name, 0e0 AS opinion, FALSE AS verified, address, actor AS updated_by,
+         CAST(0 AS BIGINT) AS verified_by, FALSE AS deleted, sub_id, cuisines
+  FROM checked WHERE reason IS NULL)
+"""
+SQL["ingest_venues"] = ROLES_SQL + _VENUE_SUBS + """
+SELECT id, name, opinion, verified, address, updated_by, verified_by, deleted, sub_id FROM new_venues
+"""
+SQL["ingest_venue_links"] = ROLES_SQL + _VENUE_SUBS + """
+SELECT v.id AS id_restaurant, c.id AS id_cuisine
+FROM (SELECT id, unnest(cuisines) AS cuisine FROM new_venues) v JOIN cuisines c ON c.type = v.cuisine
+"""
+SQL["ingest_venue_rejects"] = ROLES_SQL + _VENUE_SUBS + """
+SELECT sub_id, reason FROM checked WHERE reason IS NOT NULL
+"""
+SQL["default_coordinates"] = ROLES_SQL + _VENUE_SUBS + """
+SELECT id, FALSE AS verified, 0e0 AS lat, 0e0 AS lon, 0e0 AS pending_lat, 0e0 AS pending_lon,
+       CAST(0 AS BIGINT) AS updated_by, CAST(0 AS BIGINT) AS verified_by, CAST(0 AS BIGINT) AS edited_by
+FROM (SELECT id FROM restaurants UNION ALL SELECT id FROM new_venues) v
+WHERE id NOT IN (SELECT id FROM coordinates)
+"""
+SQL["default_hours"] = ROLES_SQL + _VENUE_SUBS + """
+, missing AS (
+  SELECT id AS id_restaurant FROM (SELECT id FROM restaurants UNION ALL SELECT id FROM new_venues) v
+  WHERE id NOT IN (SELECT id_restaurant FROM hours))
+SELECT id_restaurant, 'closed' AS mon, 'closed' AS tue, 'closed' AS wed, 'closed' AS thu, 'closed' AS fri,
+       'closed' AS sat, 'closed' AS sun, CAST(0 AS BIGINT) AS updated_by, CAST(0 AS BIGINT) AS verified_by,
+       FALSE AS verified, FALSE AS deleted,
+       CAST((SELECT max(id) FROM hours) + row_number() OVER (ORDER BY id_restaurant) AS BIGINT) AS id
+FROM missing
+"""
+
+_DISH_REQS = f"""
+, reqs AS (
+  SELECT o_orderkey AS req_id, o_custkey AS actor, o_custkey % 120 AS res_id,
+         CASE WHEN o_orderstatus = 'P' THEN 'bad-' || substr(o_orderpriority, 3)
+              ELSE substr(o_orderpriority, 3) || ' plate' END AS name,
+         CAST(CAST(floor(o_totalprice) AS BIGINT) % 900 AS DOUBLE) AS calories,
+         CAST((CAST(floor(o_totalprice) AS BIGINT) % 900) % 300 AS DOUBLE) AS weight,
+         CAST(CAST(floor(o_totalprice) AS BIGINT) % 1000 AS DOUBLE) AS price,
+         o_orderkey % 50 AS ing_no, o_orderkey % 3 AS nut_no
+  FROM orders)
+, okreq AS (
+  SELECT * FROM reqs
+  WHERE regexp_full_match(replace(name, ' ', ''), '[A-Za-z0-9]+') AND price > 0 AND calories > 0
+    AND weight > 0 AND res_id IN (SELECT id FROM restaurants) AND {_KNOWN})
+, new_dishes AS (
+  SELECT CAST((SELECT max(id) FROM dishes) + row_number() OVER (ORDER BY req_id) AS BIGINT) AS id, * FROM okreq)
+, ing_rows AS (
+  SELECT req_id, id AS id_dish, 0 AS pos, 'ing' || CAST(ing_no AS VARCHAR) AS ing_name,
+         ['MEDIUM', 'Nut' || CAST(nut_no AS VARCHAR)] AS allergens FROM new_dishes
+  UNION ALL
+  SELECT req_id, id, 1, 'salt', CAST([] AS VARCHAR[]) FROM new_dishes)
+, new_ings AS (
+  SELECT CAST((SELECT max(id) FROM ingredients) + row_number() OVER (ORDER BY req_id, pos) AS BIGINT) AS id_ingredient, *
+  FROM ing_rows)
+, wanted AS (SELECT id_ingredient, unnest(allergens) AS allergen FROM new_ings)
+, new_allergens AS (
+  SELECT CAST((SELECT max(id) FROM allergens) + row_number() OVER (ORDER BY allergen) AS BIGINT) AS id,
+         allergen AS name
+  FROM (SELECT DISTINCT allergen FROM wanted WHERE allergen NOT IN (SELECT name FROM allergens)))
+, all_allergens AS (SELECT id, name FROM allergens UNION ALL SELECT id, name FROM new_allergens)
+"""
+SQL["ingest_dishes"] = ROLES_SQL + _DISH_REQS + """
+SELECT id, name, CAST(calories AS INTEGER) AS calories, price, weight, TRUE AS vegetarian, FALSE AS vegan,
+       res_id FROM new_dishes
+"""
+SQL["ingest_allergens"] = ROLES_SQL + _DISH_REQS + "SELECT id, name FROM new_allergens\n"
+SQL["ingest_dish_links"] = ROLES_SQL + _DISH_REQS + """
+SELECT n.id_dish, n.id_ingredient, n.ing_name, a.id AS id_allergen
+FROM new_ings n LEFT JOIN wanted w ON w.id_ingredient = n.id_ingredient
+LEFT JOIN all_allergens a ON a.name = w.allergen
+"""
+
+SQL["validate_users"] = ROLES_SQL + """
+, regs AS (
+  SELECT event_id AS reg_id, ts, CAST(floor(value) AS BIGINT) AS fv, user_id,
+         json_extract_string(props, '$.k') AS actor
+  FROM events WHERE event_type = 'signup')
+, regs2 AS (
+  SELECT reg_id, ts, user_id, fv,
+         CASE WHEN fv % 4 = 0 THEN 'user' || actor WHEN fv % 4 = 1 THEN 'u' || CAST(fv % 10 AS VARCHAR)
+              ELSE 'guest' || CAST(user_id AS VARCHAR) || 'v' || CAST(fv % 3 AS VARCHAR) END AS login
+  FROM regs)
+, regs3 AS (
+  SELECT reg_id, ts, login,
+         CASE WHEN fv % 5 = 0 THEN 'Guest' || CAST(user_id AS VARCHAR) || '@Example.com'
+              ELSE lower(login) || '@mail.example.org' END AS email
+  FROM regs2)
+, r1 AS (
+  SELECT *, CASE
+      WHEN NOT regexp_full_match(email, '[a-z0-9._%+\\-]+@[a-z0-9.\\-]+\\.[a-z]{2,}') THEN 'bad email'
+      WHEN NOT (regexp_full_match(login, '[A-Za-z0-9]+') AND length(login) BETWEEN 4 AND 20) THEN 'bad login'
+      WHEN login IN (SELECT login FROM users) THEN 'login taken'
+      WHEN email IN (SELECT email FROM users) THEN 'email taken' END AS reason0
+  FROM regs3)
+, firsts AS (
+  SELECT reg_id,
+         row_number() OVER (PARTITION BY login ORDER BY ts, reg_id) AS rl,
+         row_number() OVER (PARTITION BY email ORDER BY ts, reg_id) AS re
+  FROM r1 WHERE reason0 IS NULL)
+SELECT r1.reg_id, login, email,
+       COALESCE(reason0, CASE WHEN f.rl > 1 OR f.re > 1 THEN 'duplicate in batch' END) IS NULL AS valid,
+       COALESCE(reason0, CASE WHEN f.rl > 1 OR f.re > 1 THEN 'duplicate in batch' END) AS reason
+FROM r1 LEFT JOIN firsts f ON f.reg_id = r1.reg_id
+"""

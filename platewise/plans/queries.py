@@ -292,3 +292,80 @@ def q_upsert_comments(spark, sf_dir):
     cat = roles.bind(spark, sf_dir)
     return moderation.upsert_comments(cat.comments, cat.restaurant_comments,
                                       roles.comment_submissions(t), cat.restaurants, cat.users)
+
+
+# -- ingestion --------------------------------------------------------------------------
+
+from platewise.operators import ingest  # noqa: E402
+
+
+def _ingested_venues(spark, sf_dir):
+    t = roles.read_tables(spark, sf_dir)
+    cat = roles.bind(spark, sf_dir)
+    return cat, ingest.ingest_venues(cat.restaurants, cat.cuisines, roles.venue_submissions(t), cat.users)
+
+
+@register("ingest_venues")
+def q_ingest_venues(spark, sf_dir):
+    _, (new, _links, _rej) = _ingested_venues(spark, sf_dir)
+    return new
+
+
+@register("ingest_venue_links")
+def q_ingest_venue_links(spark, sf_dir):
+    _, (_new, links, _rej) = _ingested_venues(spark, sf_dir)
+    return links
+
+
+@register("ingest_venue_rejects")
+def q_ingest_venue_rejects(spark, sf_dir):
+    _, (_new, _links, rej) = _ingested_venues(spark, sf_dir)
+    return rej
+
+
+@register("default_coordinates")
+def q_default_coordinates(spark, sf_dir):
+    cat, (new, _links, _rej) = _ingested_venues(spark, sf_dir)
+    venues = cat.restaurants.select("id").unionByName(new.select("id"))
+    return ingest.default_coordinates(venues, cat.coordinates)
+
+
+@register("default_hours")
+def q_default_hours(spark, sf_dir):
+    cat, (new, _links, _rej) = _ingested_venues(spark, sf_dir)
+    venues = cat.restaurants.select("id").unionByName(new.select("id"))
+    return ingest.default_hours(venues, cat.hours).drop("special")
+
+
+def _ingested_dishes(spark, sf_dir):
+    t = roles.read_tables(spark, sf_dir)
+    cat = roles.bind(spark, sf_dir)
+    return ingest.ingest_dishes(cat.dishes, cat.ingredients, cat.allergens, cat.restaurants, cat.users,
+                                roles.dish_requests_json(t))
+
+
+@register("ingest_dishes")
+def q_ingest_dishes(spark, sf_dir):
+    out = _ingested_dishes(spark, sf_dir)
+    return out["dishes"].join(out["menu"].select(F.col("id_dish").alias("id"), F.col("id_restaurant").alias("res_id")),
+                              "id")
+
+
+@register("ingest_allergens")
+def q_ingest_allergens(spark, sf_dir):
+    return _ingested_dishes(spark, sf_dir)["allergens"]
+
+
+@register("ingest_dish_links")
+def q_ingest_dish_links(spark, sf_dir):
+    out = _ingested_dishes(spark, sf_dir)
+    ing = out["ingredients"].select(F.col("id").alias("id_ingredient"), F.col("name").alias("ing_name"))
+    return (out["dish_ingredients"].join(ing, "id_ingredient")
+            .join(out["ingredient_allergens"], "id_ingredient", "left")
+            .select("id_dish", "id_ingredient", "ing_name", "id_allergen"))
+
+
+@register("validate_users")
+def q_validate_users(spark, sf_dir):
+    t = roles.read_tables(spark, sf_dir)
+    return ingest.validate_users(roles.bind(spark, sf_dir).users, roles.registrations(t))

@@ -324,3 +324,53 @@ def comment_submissions(t: dict[str, DataFrame]) -> DataFrame:
                     F.get_json_object("props", "$.k").cast("long").alias("actor"),
                     (F.col("value") / 100.0).alias("score"),
                     _pick(COMMENT_TEXTS, F.floor("value").cast("long")).alias("text"))
+
+
+# Fixed values of the derived submissions (shared with the SQL oracle).
+CUISINE_NAMES = ["URGENT", "HIGH", "MEDIUM", "NOT SPECIFIED", "LOW"]
+
+
+def venue_submissions(t: dict[str, DataFrame]) -> DataFrame:
+    """One venue submission per customer; some names / addresses invalid."""
+    c = t["customer"]
+    k = F.col("c_custkey")
+    name = F.when(F.col("c_acctbal") < 0, F.col("c_name")).otherwise(F.regexp_replace("c_name", "#", ""))
+    city = F.when(F.col("c_nationkey") % 5 == 0, F.lit("Wro-claw")).otherwise(F.lit("Wroclaw"))
+    address = F.concat(F.col("c_mktsegment"), F.lit(" "), F.col("c_nationkey").cast("string"), F.lit(", "), city)
+    cuisines = F.array(_pick(CUISINE_NAMES, k), F.lit("Unknown"), _pick(CUISINE_NAMES, k + 2))
+    return c.select(k.alias("sub_id"), k.alias("actor"), name.alias("name"), address.alias("address"),
+                    cuisines.alias("cuisines"))
+
+
+def dish_requests_json(t: dict[str, DataFrame]) -> DataFrame:
+    """One nested dish request (JSON text) per order."""
+    o = t["orders"]
+    cal = F.floor("o_totalprice").cast("long") % 900
+    price = F.floor("o_totalprice").cast("long") % 1000
+    weight = cal % 300
+    word = F.substring("o_orderpriority", 3, 100)
+    name = F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("bad-"), word)).otherwise(
+        F.concat(word, F.lit(" plate")))
+    s = lambda c: c.cast("string")
+    body = F.concat(
+        F.lit('{"id":'), s(F.col("o_custkey") % 120), F.lit(',"name":"'), name,
+        F.lit('","calories":'), s(cal), F.lit(',"weight":'), s(weight), F.lit(',"price":'), s(price),
+        F.lit(',"vegan":false,"vegetarian":true,"ingredients":[{"name":"ing'), s(F.col("o_orderkey") % 50),
+        F.lit('","allergens":["MEDIUM","Nut'), s(F.col("o_orderkey") % 3),
+        F.lit('"]},{"name":"salt","allergens":[]}]}'))
+    return o.select(F.col("o_orderkey").alias("req_id"), F.col("o_custkey").alias("actor"), body.alias("body"))
+
+
+def registrations(t: dict[str, DataFrame]) -> DataFrame:
+    """'signup' events as user registrations (some taken, malformed or repeated)."""
+    e = t["events"].where(F.col("event_type") == "signup")
+    fv = F.floor("value").cast("long")
+    actor = F.get_json_object("props", "$.k")
+    uid = F.col("user_id").cast("string")
+    login = (F.when(fv % 4 == 0, F.concat(F.lit("user"), actor))
+             .when(fv % 4 == 1, F.concat(F.lit("u"), (fv % 10).cast("string")))
+             .otherwise(F.concat(F.lit("guest"), uid, F.lit("v"), (fv % 3).cast("string"))))
+    email = F.when(fv % 5 == 0, F.concat(F.lit("Guest"), uid, F.lit("@Example.com"))).otherwise(
+        F.concat(F.lower(login), F.lit("@mail.example.org")))
+    return e.select(F.col("event_id").alias("reg_id"), F.col("ts").cast("timestamp").alias("ts"),
+                    login.alias("login"), email.alias("email"))
