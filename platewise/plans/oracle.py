@@ -637,3 +637,25 @@ SELECT r1.reg_id, login, email,
        COALESCE(reason0, CASE WHEN f.rl > 1 OR f.re > 1 THEN 'duplicate in batch' END) AS reason
 FROM r1 LEFT JOIN firsts f ON f.reg_id = r1.reg_id
 """
+
+# -- sources, sinks and dataset steps ---------------------------------------------------
+
+SQL["text_lines"] = ROLES_SQL + "SELECT c_name AS value FROM customer\n"
+SQL["address_format"] = ROLES_SQL + """
+SELECT 'st. ' || c_mktsegment || ' ' || CAST(c_nationkey AS VARCHAR) || ', Wroclaw, 50-' ||
+       lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0') AS address
+FROM customer
+"""
+SQL["json_array_roundtrip"] = ROLES_SQL + "SELECT id, name, calories, price, weight FROM dishes\n"
+SQL["wkb_decode"] = ROLES_SQL + "SELECT id, lat, lon FROM coordinates\n"
+SQL["distinct_sample"] = ROLES_SQL + """
+SELECT name FROM (SELECT DISTINCT name FROM dishes) ORDER BY md5(name), name LIMIT 20
+"""
+SQL["distinct_pairs"] = ROLES_SQL + "SELECT DISTINCT id_ingredient, id_dish FROM dish_ingredients\n"
+SQL["derived_measure"] = ROLES_SQL + "SELECT id, calories, round(calories / 5e0, 2) AS weight FROM dishes\n"
+
+# -- streams: same answers as the batch forms ------------------------------------------------
+
+SQL["stream_flags"] = SQL["moderate_flags"]
+SQL["stream_snapshot"] = SQL["moderate_locations"]
+SQL["stream_dedup"] = ROLES_SQL + "SELECT event_id, key, action FROM commands\n"

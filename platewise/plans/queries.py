@@ -369,3 +369,93 @@ def q_ingest_dish_links(spark, sf_dir):
 def q_validate_users(spark, sf_dir):
     t = roles.read_tables(spark, sf_dir)
     return ingest.validate_users(roles.bind(spark, sf_dir).users, roles.registrations(t))
+
+
+# -- sources, sinks and dataset steps ----------------------------------------------------
+
+from platewise.operators import generate  # noqa: E402
+from platewise.sources import files  # noqa: E402
+from platewise.streaming import commands as streams  # noqa: E402
+
+
+@register("text_lines")
+def q_text_lines(spark, sf_dir):
+    t = roles.read_tables(spark, sf_dir)
+    path = streams.run_dir(spark, "text-lines")
+    t["customer"].select(F.concat(F.lit("  "), "c_name", F.lit(" \t")).alias("value")).write.text(path)
+    return files.read_text_lines(spark, path)
+
+
+@register("address_format")
+def q_address_format(spark, sf_dir):
+    t = roles.read_tables(spark, sf_dir)
+    path = streams.run_dir(spark, "addresses")
+    (t["customer"].select(F.col("c_mktsegment").alias("street"), F.col("c_nationkey").cast("string").alias("no"),
+                          F.concat(F.lit("50-"), F.lpad((F.col("c_custkey") % 1000).cast("string"), 3, "0")).alias("zip"),
+                          F.lit("Wroclaw").alias("city"))
+     .write.csv(path))
+    return files.read_addresses(spark, path).select("address")
+
+
+@register("json_array_roundtrip")
+def q_json_array_roundtrip(spark, sf_dir):
+    cat = roles.bind(spark, sf_dir)
+    path = streams.run_dir(spark, "json-arrays")
+    d = cat.dishes.select("id", "name", "calories", "price", "weight")
+    files.write_json_arrays(d, path, rows_per_array=256)
+    return files.read_json_arrays(spark, path, d.schema)
+
+
+@register("wkb_decode")
+def q_wkb_decode(spark, sf_dir):
+    c = roles.bind(spark, sf_dir).coordinates
+    blobs = c.select("id", files.encode_point(F.col("lat"), F.col("lon")).alias("wkb"))
+    return blobs.select("id", files.decode_point(F.col("wkb")).alias("p")).select(
+        "id", F.col("p.x").alias("lat"), F.col("p.y").alias("lon"))
+
+
+@register("distinct_sample")
+def q_distinct_sample(spark, sf_dir):
+    return generate.distinct_sample(roles.bind(spark, sf_dir).dishes, "name", 20)
+
+
+@register("distinct_pairs")
+def q_distinct_pairs(spark, sf_dir):
+    return generate.distinct_pairs(roles.bind(spark, sf_dir).dish_ingredients, ["id_ingredient", "id_dish"])
+
+
+@register("derived_measure")
+def q_derived_measure(spark, sf_dir):
+    return generate.derived_weight(roles.bind(spark, sf_dir).dishes)
+
+
+# -- streams ------------------------------------------------------------------------------
+
+def _stream_commands(spark, sf_dir):
+    return roles.commands({"events": streams.event_stream(spark, sf_dir)})
+
+
+@register("stream_flags")
+def q_stream_flags(spark, sf_dir):
+    cat = roles.bind(spark, sf_dir)
+    cmds = _stream_commands(spark, sf_dir).where(F.col("action").isin("VER", "DEL"))
+    return streams.stream_flags(spark, cmds, cat.users, cat.restaurants)
+
+
+@register("stream_snapshot")
+def q_stream_snapshot(spark, sf_dir):
+    cat = roles.bind(spark, sf_dir)
+    raw = _stream_commands(spark, sf_dir).where(F.col("action").isin("UPDATE", "VER", "DEL"))
+    v = F.col("value")
+    raw = raw.select("event_id", "ts", "key", "action", "actor",
+                     F.when(v < 1, F.lit(0.0)).otherwise(51.0 + v / 10000.0).alias("coord_x"),
+                     (17.0 + v / 10000.0).alias("coord_y"))
+    cmds = moderation.location_commands(raw, cat.restaurants, cat.users)
+    return streams.stream_locations(spark, cmds, cat.coordinates)
+
+
+@register("stream_dedup")
+def q_stream_dedup(spark, sf_dir):
+    a = _stream_commands(spark, sf_dir)
+    b = _stream_commands(spark, sf_dir)      # a second delivery of every event
+    return streams.stream_dedup(spark, a.unionByName(b)).select("event_id", "key", "action")
