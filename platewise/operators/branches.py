@@ -48,10 +48,12 @@ def menu_branch(cat: Catalog, dish_term: str | None = None, ing_term: str | None
     Returns (id_restaurant, n_rows, dish_names[, ing_names]) where ``n_rows``
     is the number of rows the reference's join product would hold for the
     venue before the cuisine fan-out.
+
+    The dish side (filtered dishes, with their per-dish ingredient aggregate)
+    is joined to the menu first, so a selective term prunes the large menu
+    before any shuffle (broadcast or runtime filter when the dish side is
+    small); then one partial-aggregated shuffle on the venue.
     """
-    menu = (cat.menu.where(F.col("verified"))
-            .groupBy("id_restaurant", "id_dish")
-            .agg(F.count(F.lit(1)).alias("n_menu_rows")))
     d = cat.dishes.select(F.col("id").alias("id_dish"), F.col("name").alias("dish_name"),
                           "vegetarian", "vegan")
     if dish_term is not None:
@@ -63,10 +65,11 @@ def menu_branch(cat: Catalog, dish_term: str | None = None, ing_term: str | None
     d = d.select("id_dish", "dish_name")
     if with_ingredients:
         d = d.join(dish_ingredient_branch(cat, ing_term), "id_dish")
-        n = F.col("n_menu_rows") * F.col("n_ing_rows")
+        n = F.col("n_ing_rows")
     else:
-        n = F.col("n_menu_rows")
-    aggs = [F.sum(n).alias("n_rows"), concat_sorted_distinct("dish_name").alias("dish_names")]
+        n = F.lit(1)
+    menu = cat.menu.where(F.col("verified")).select("id_restaurant", "id_dish")
+    aggs = [F.sum(n).cast("long").alias("n_rows"), concat_sorted_distinct("dish_name").alias("dish_names")]
     if with_ingredients:
         aggs.append(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("ing_names")))), ",")
                     .alias("ing_names"))

@@ -23,6 +23,7 @@ from platewise.catalog import WEEKDAYS, Catalog
 from platewise.functions.hours import special_problem, valid_weekly_value
 from platewise.functions.text import is_alnum, nonzero_number, strip_chars
 from platewise.operators.ids import assign_ids, next_id_after
+from platewise.session import materialize
 
 ADMIN_ACTIONS = ("VER", "DEL")
 
@@ -36,14 +37,13 @@ def role_gate(commands: DataFrame, users: DataFrame,
               admin_actions: tuple[str, ...] = ADMIN_ACTIONS) -> DataFrame:
     """Keep admin actions of admins and other actions of known users.
 
-    Two left-semi joins against (small, one row per user) id sets; no OR join.
+    One left-semi join on the actor id with a residual condition on the
+    admin flag: a single pass over the log, no union of per-action scans.
     """
-    admins = users.where(F.col("is_admin")).select(F.col("id").alias("actor"))
-    known = users.select(F.col("id").alias("actor"))
-    is_admin_action = F.col("action").isin(*admin_actions)
-    a = commands.where(is_admin_action).join(admins, "actor", "left_semi")
-    b = commands.where(~is_admin_action).join(known, "actor", "left_semi")
-    return a.unionByName(b)
+    u = users.select(F.col("id").alias("_uid"), F.col("is_admin").alias("_adm"))
+    needs_admin = F.col("action").isin(*admin_actions)
+    cond = (F.col("actor") == F.col("_uid")) & (~needs_admin | F.coalesce(F.col("_adm"), F.lit(False)))
+    return commands.join(u, cond, "left_semi")
 
 
 # -- flags (W6, W7, W9) --------------------------------------------------------
@@ -116,7 +116,7 @@ def moderate_menu(cat: Catalog, commands: DataFrame) -> tuple[DataFrame, DataFra
     """Menu-row moderation (key: id_restaurant, id_dish) and the diet flags of
     the dishes it touched. Returns (new menu, new dishes)."""
     gated = role_gate(commands.where(F.col("action").isin(*ADMIN_ACTIONS)), cat.users)
-    ch = flag_changes(gated, ["id_restaurant", "id_dish"])
+    ch = materialize(flag_changes(gated, ["id_restaurant", "id_dish"]))
     new_menu = apply_flag_changes(cat.menu, ch, ["id_restaurant", "id_dish"],
                                   ["id_restaurant", "id_dish"])
     touched = cat.menu.join(ch.select("id_restaurant", "id_dish"), ["id_restaurant", "id_dish"],
@@ -130,17 +130,17 @@ def moderate_menu(cat: Catalog, commands: DataFrame) -> tuple[DataFrame, DataFra
 def location_commands(commands: DataFrame, restaurants: DataFrame, users: DataFrame) -> DataFrame:
     """Gate the log and turn UPDATE payloads (coord_x, coord_y) into a pending
     point; a non-numeric or zero axis makes it (0, 0).  UPDATE needs an
-    existing venue, VER/DEL an admin and a positive id."""
+    existing venue, VER/DEL an admin and a positive id.  One pass: a left
+    join with the (distinct) venue ids marks existence."""
     c = commands.where(F.col("action").isin("UPDATE", "VER", "DEL"))
     ok = nonzero_number(F.col("coord_x")) & nonzero_number(F.col("coord_y"))
     c = c.select("event_id", "ts", "key", "action", "actor",
                  F.when(ok, F.col("coord_x").try_cast("double")).otherwise(0.0).alias("p_lat"),
                  F.when(ok, F.col("coord_y").try_cast("double")).otherwise(0.0).alias("p_lon"))
-    gated = role_gate(c, users)
-    upd = gated.where(F.col("action") == "UPDATE").join(
-        restaurants.select(F.col("id").alias("key")), "key", "left_semi")
-    mod = gated.where(F.col("action").isin(*ADMIN_ACTIONS) & (F.col("key") > 0))
-    return upd.unionByName(mod)
+    venues = restaurants.select(F.col("id").alias("key")).distinct().withColumn("_exists", F.lit(True))
+    keep = (((F.col("action") == "UPDATE") & F.col("_exists").isNotNull())
+            | (F.col("action").isin(*ADMIN_ACTIONS) & (F.col("key") > 0)))
+    return role_gate(c, users).join(venues, "key", "left").where(keep).drop("_exists")
 
 
 def moderate_locations(coordinates: DataFrame, commands: DataFrame) -> DataFrame:
@@ -157,7 +157,8 @@ def moderate_locations(coordinates: DataFrame, commands: DataFrame) -> DataFrame
     the first VER after N (the last effective VER).  Three aggregates and two
     joins against per-key tables; no per-key sort.
     """
-    c = commands.select("key", "action", "actor", "p_lat", "p_lon", _o().alias("o"))
+    # the log feeds three passes: write it once, every pass reads that copy
+    c = materialize(commands.select("key", "action", "actor", "p_lat", "p_lon", _o().alias("o")))
     payload = F.struct("action", "actor", "p_lat", "p_lon", "o")
     a1 = (c.groupBy("key").agg(
         F.max_by(payload, F.col("o")).alias("last"),
@@ -237,24 +238,6 @@ def validate_hours_proposals(proposals: DataFrame) -> DataFrame:
             .withColumn("valid", F.col("reason").isNull()))
 
 
-def _as_of_targets(inserts: DataFrame, mods: DataFrame) -> DataFrame:
-    """For every VER/DEL, the newest INSERT of the same key before it.
-
-    A carry-forward over the key's log in (ts, event_id) order.  Known limit:
-    the window sorts one key's log inside one task (spilling, not failing);
-    a hot key is bounded by its own log, not by the table.
-    """
-    ins = inserts.select("key", "ts", "event_id", F.col("version_id").alias("_v"), F.lit(None).cast("string").alias("action"),
-                         F.lit(None).cast("long").alias("actor"))
-    md = mods.select("key", "ts", "event_id", F.lit(None).cast("long").alias("_v"), "action", "actor")
-    w = (Window.partitionBy("key").orderBy("ts", "event_id")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (ins.unionByName(md)
-            .withColumn("target", F.last("_v", ignorenulls=True).over(w))
-            .where(F.col("action").isNotNull() & F.col("target").isNotNull())
-            .select("target", "action", "actor", _o().alias("o")))
-
-
 VERSION_ID_OFFSET = 2_000_000_000_000
 
 
@@ -271,25 +254,44 @@ def moderate_hours(hours: DataFrame, proposals: DataFrame, mods: DataFrame,
       command that still acted (repeated VERs / repeated DELs);
     * a VER deletes every other version that exists at that time: all older
       versions of the venue, the snapshot's rows included.
+
+    Proposals and commands go through one union: a carry-forward over each
+    venue's log gives every row its version, one aggregate per version gives
+    its payload and fate.  Known limit: the carry-forward window sorts one
+    venue's log inside one task (spilling, not failing).
     """
     p = validate_hours_proposals(proposals)
     p = role_gate(p.withColumn("action", F.lit("INSERT")), users).where(F.col("valid"))
-    p = p.join(restaurants.select(F.col("id").alias("key")), "key", "left_semi")
-    p = p.withColumn("version_id", F.col("event_id") + F.lit(VERSION_ID_OFFSET))
+    p = p.join(restaurants.select(F.col("id").alias("key")).distinct(), "key", "left_semi")
+    payload = F.struct(*WEEKDAYS, "special", F.col("actor").alias("by"))
+    ins = p.select("key", "ts", "event_id", (F.col("event_id") + F.lit(VERSION_ID_OFFSET)).alias("_v"),
+                   F.lit(None).cast("string").alias("act"), F.lit(None).cast("long").alias("actor"),
+                   payload.alias("payload"))
     m = role_gate(mods.where(F.col("action").isin(*ADMIN_ACTIONS)), users).where(F.col("key") > 0)
-    t = _as_of_targets(p, m)
-    fate = (t.groupBy("target").agg(
-        F.min_by("action", F.col("o")).alias("first_action"),
-        F.max_by("actor", F.when(F.col("action") == "VER", F.col("o"))).alias("last_ver_actor"),
-        F.max_by("actor", F.when(F.col("action") == "DEL", F.col("o"))).alias("last_del_actor")))
-    new = (p.join(fate.withColumnRenamed("target", "version_id"), "version_id", "left")
-           .select(F.col("version_id").alias("id"), F.col("key").alias("id_restaurant"), *WEEKDAYS,
-                   "special", F.col("actor").alias("updated_by"),
-                   F.when(F.col("first_action") == "VER", F.col("last_ver_actor"))
-                   .when(F.col("first_action") == "DEL", F.col("last_del_actor"))
-                   .otherwise(F.lit(0)).cast("long").alias("verified_by"),
-                   F.coalesce(F.col("first_action") == "VER", F.lit(False)).alias("verified"),
-                   F.coalesce(F.col("first_action") == "DEL", F.lit(False)).alias("deleted")))
+    md = m.select("key", "ts", "event_id", F.lit(None).cast("long").alias("_v"),
+                  F.col("action").alias("act"), "actor",
+                  F.lit(None).cast(ins.schema["payload"].dataType).alias("payload"))
+    w = (Window.partitionBy("key").orderBy("ts", "event_id")
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    tagged = (ins.unionByName(md)
+              .withColumn("target", F.last("_v", ignorenulls=True).over(w))
+              .where(F.col("target").isNotNull()))
+    o = _o()
+    is_cmd = F.col("act").isNotNull()
+    fate = (tagged.groupBy("target", "key").agg(
+        F.max_by("payload", F.when(~is_cmd, o)).alias("payload"),
+        F.min_by("act", F.when(is_cmd, o)).alias("first_action"),
+        F.max_by("actor", F.when(F.col("act") == "VER", o)).alias("last_ver_actor"),
+        F.max_by("actor", F.when(F.col("act") == "DEL", o)).alias("last_del_actor")))
+    new = materialize(fate.select(
+        F.col("target").alias("id"), F.col("key").alias("id_restaurant"),
+        *[F.col("payload")[d].alias(d) for d in WEEKDAYS], F.col("payload.special").alias("special"),
+        F.col("payload.by").alias("updated_by"),
+        F.when(F.col("first_action") == "VER", F.col("last_ver_actor"))
+        .when(F.col("first_action") == "DEL", F.col("last_del_actor"))
+        .otherwise(F.lit(0)).cast("long").alias("verified_by"),
+        F.coalesce(F.col("first_action") == "VER", F.lit(False)).alias("verified"),
+        F.coalesce(F.col("first_action") == "DEL", F.lit(False)).alias("deleted")))
     newest_verified = (new.where(F.col("verified")).groupBy("id_restaurant")
                        .agg(F.max("id").alias("_vmax")))
     cols = ["id", "id_restaurant", *WEEKDAYS, "special", "updated_by", "verified_by", "verified", "deleted"]
@@ -329,7 +331,7 @@ def upsert_comments(comments: DataFrame, restaurant_comments: DataFrame, submiss
                 .join(restaurant_comments.select("id_comment", F.col("id_restaurant").alias("res_id")),
                       "id_comment")
                 .groupBy("res_id", "actor").agg(F.max("id_comment").alias("old_id")))
-    j = last.join(existing, ["res_id", "actor"], "left")
+    j = materialize(last.join(existing, ["res_id", "actor"], "left"))
     upd = j.where(F.col("old_id").isNotNull()).withColumn("id", F.col("old_id")).withColumn("is_new", F.lit(False))
     ins = assign_ids(j.where(F.col("old_id").isNull()), ["res_id", "actor"],
                      start=next_id_after(comments)).withColumn("is_new", F.lit(True))

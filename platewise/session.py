@@ -65,3 +65,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def materialize(df):
+    """Write ``df`` once as a reliable checkpoint (in ``spark.checkpoint.dir``)
+    and return a DataFrame reading that copy.
+
+    Used where one intermediate feeds several passes: every pass reads the
+    same rows instead of recomputing the lineage, and a lost executor cannot
+    change them.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
