@@ -48,11 +48,16 @@ def length_between(col: Column, lo: int, hi: int) -> Column:
     return F.coalesce(F.length(col).between(lo, hi), F.lit(False))
 
 
-def contains_ci(col: Column, term: str) -> Column:
+def contains_ci(col: Column, term: str, fold_accents: bool = False) -> Column:
     """Case-insensitive substring match (``LIKE '%term%'`` under a _ci collation).
 
     ``term`` is validated alphanumeric, so it can hold no LIKE wildcard.
+    ``fold_accents=True`` also ignores accents (as the reference's
+    ``utf8_general_ci`` does: 'Café' matches 'cafe') via Spark's
+    ``UNICODE_CI_AI`` collation.
     """
+    if fold_accents:
+        return F.contains(F.collate(col, "UNICODE_CI_AI"), F.lit(term))
     return col.ilike(f"%{term}%")
 
 

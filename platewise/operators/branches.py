@@ -29,11 +29,12 @@ def cuisine_branch(cat: Catalog, distinct: bool = True) -> DataFrame:
                  concat("type").alias("res_cuisines")))
 
 
-def dish_ingredient_branch(cat: Catalog, ing_term: str | None = None) -> DataFrame:
+def dish_ingredient_branch(cat: Catalog, ing_term: str | None = None,
+                           fold_accents: bool = False) -> DataFrame:
     """(id_dish, n_ing_rows, ing_names array) for dishes with a (matching) ingredient."""
     ing = cat.ingredients.select(F.col("id").alias("id_ingredient"), F.col("name").alias("ing_name"))
     if ing_term is not None:
-        ing = ing.where(contains_ci(F.col("ing_name"), ing_term))
+        ing = ing.where(contains_ci(F.col("ing_name"), ing_term, fold_accents))
     return (cat.dish_ingredients.join(ing, "id_ingredient")
             .groupBy("id_dish")
             .agg(F.count(F.lit(1)).alias("n_ing_rows"),
@@ -42,7 +43,7 @@ def dish_ingredient_branch(cat: Catalog, ing_term: str | None = None) -> DataFra
 
 def menu_branch(cat: Catalog, dish_term: str | None = None, ing_term: str | None = None,
                 with_ingredients: bool = False, vegetarian: bool = False,
-                vegan: bool = False) -> DataFrame:
+                vegan: bool = False, fold_accents: bool = False) -> DataFrame:
     """Verified menu rows of matching dishes, aggregated per venue.
 
     Returns (id_restaurant, n_rows, dish_names[, ing_names]) where ``n_rows``
@@ -57,14 +58,14 @@ def menu_branch(cat: Catalog, dish_term: str | None = None, ing_term: str | None
     d = cat.dishes.select(F.col("id").alias("id_dish"), F.col("name").alias("dish_name"),
                           "vegetarian", "vegan")
     if dish_term is not None:
-        d = d.where(contains_ci(F.col("dish_name"), dish_term))
+        d = d.where(contains_ci(F.col("dish_name"), dish_term, fold_accents))
     if vegetarian:
         d = d.where(F.col("vegetarian"))
     if vegan:
         d = d.where(F.col("vegan"))
     d = d.select("id_dish", "dish_name")
     if with_ingredients:
-        d = d.join(dish_ingredient_branch(cat, ing_term), "id_dish")
+        d = d.join(dish_ingredient_branch(cat, ing_term, fold_accents), "id_dish")
         n = F.col("n_ing_rows")
     else:
         n = F.lit(1)

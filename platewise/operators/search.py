@@ -20,11 +20,13 @@ def _top(df: DataFrame, limit: int | None) -> DataFrame:
     return df if limit is None else df.limit(limit)
 
 
-def search_by_name(cat: Catalog, term: str, limit: int | None = None) -> DataFrame:
-    """Verified venues whose name contains ``term`` (case-insensitive), with the
-    non-distinct list of their cuisines. Venues without a cuisine drop."""
+def search_by_name(cat: Catalog, term: str, limit: int | None = None,
+                   fold_accents: bool = False) -> DataFrame:
+    """Verified venues whose name contains ``term`` (case-insensitive; with
+    ``fold_accents`` also accent-insensitive), with the non-distinct list of
+    their cuisines. Venues without a cuisine drop."""
     require_term(term)
-    r = (cat.restaurants.where(F.col("verified") & contains_ci(F.col("name"), term))
+    r = (cat.restaurants.where(F.col("verified") & contains_ci(F.col("name"), term, fold_accents))
          .select(F.col("id").alias("id_restaurant"), "name", "opinion", "address"))
     out = (r.join(cuisine_branch(cat, distinct=False), "id_restaurant")
            .select(F.col("id_restaurant").alias("res_id"), F.col("name").alias("res_name"),
@@ -45,20 +47,22 @@ def _ranked(cat: Catalog, branch: DataFrame, extra: list[str], limit: int | None
     return _top(out.orderBy(F.desc("sort_score"), "res_id"), limit)
 
 
-def search_by_dish(cat: Catalog, term: str, limit: int | None = None) -> DataFrame:
+def search_by_dish(cat: Catalog, term: str, limit: int | None = None,
+                   fold_accents: bool = False) -> DataFrame:
     """Verified venues with verified menu rows whose dish name contains ``term``.
 
     ``sort_score`` equals the reference's ``count(*)`` over the join product
     (matching menu rows x cuisine rows), computed from branch aggregates.
     """
     require_term(term)
-    return _ranked(cat, menu_branch(cat, dish_term=term), ["dish_names"], limit)
+    return _ranked(cat, menu_branch(cat, dish_term=term, fold_accents=fold_accents), ["dish_names"], limit)
 
 
-def search_by_ingredient(cat: Catalog, term: str, limit: int | None = None) -> DataFrame:
+def search_by_ingredient(cat: Catalog, term: str, limit: int | None = None,
+                         fold_accents: bool = False) -> DataFrame:
     """As :func:`search_by_dish`, matching through dish -> ingredient names."""
     require_term(term)
-    branch = menu_branch(cat, ing_term=term, with_ingredients=True)
+    branch = menu_branch(cat, ing_term=term, with_ingredients=True, fold_accents=fold_accents)
     return _ranked(cat, branch, ["dish_names", "ing_names"], limit)
 
 
@@ -103,7 +107,7 @@ def advanced_search(cat: Catalog, res_name: str | None = None, dish_name: str |
                     lon: float | None = None, radius_km: float | None = None,
                     now_open: bool = False, vegetarian: bool = False, vegan: bool = False,
                     as_of: _dt.datetime | None = None, overnight: bool = False,
-                    limit: int | None = None) -> DataFrame:
+                    limit: int | None = None, fold_accents: bool = False) -> DataFrame:
     """Conjunction of name / dish / ingredient / radius criteria with diet and
     open-now modifiers (the reference's advanced search).
 
@@ -113,8 +117,9 @@ def advanced_search(cat: Catalog, res_name: str | None = None, dish_name: str |
     * modifiers apply only next to a criterion; no criterion raises ``ValueError``;
     * the venue and the menu row must be verified; the venue needs a location
       row, a cuisine and a dish with an ingredient (inner joins);
-    * ``hours`` is today's effective value of the venue's current hours version
-      (exactly one version, so it does not multiply ``sort_score``).
+    * ``hours`` is the effective value on ``as_of``'s date of the venue's
+      current hours version (exactly one version, so it does not multiply
+      ``sort_score``); ``as_of`` replaces the reference's two clocks.
     """
     terms = {}
     for key, val in (("res_name", res_name), ("dish_name", dish_name), ("ing_name", ing_name)):
@@ -130,13 +135,15 @@ def advanced_search(cat: Catalog, res_name: str | None = None, dish_name: str |
     use_radius = _nonzero(lat) and _nonzero(lon) and _nonzero(radius_km)
     if not terms and not use_radius:
         raise ValueError("advanced search needs at least one criterion")
-    as_of = as_of or _dt.datetime(2024, 1, 15, 12, 0, 0)
+    if as_of is None:
+        raise ValueError("as_of is required: the search reports the hours of that day")
 
     branch = menu_branch(cat, dish_term=terms.get("dish_name"), ing_term=terms.get("ing_name"),
-                         with_ingredients=True, vegetarian=vegetarian, vegan=vegan)
+                         with_ingredients=True, vegetarian=vegetarian, vegan=vegan,
+                         fold_accents=fold_accents)
     r = cat.restaurants.where(F.col("verified"))
     if "res_name" in terms:
-        r = r.where(contains_ci(F.col("name"), terms["res_name"]))
+        r = r.where(contains_ci(F.col("name"), terms["res_name"], fold_accents))
     r = r.select(F.col("id").alias("id_restaurant"), "name", "opinion")
     if use_radius:
         loc = _distance_candidates(cat, float(lat), float(lon), float(radius_km))

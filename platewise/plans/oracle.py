@@ -122,9 +122,10 @@ HAVING {dist(17.03, 51.1, 'co.lon', 'co.lat')} <= 5
 """
 
 
-def _advanced(where: str, radius: str | None = None, open_secs: int | None = None) -> str:
+def _advanced(where: str, radius: str | None = None, open_secs: int | None = None,
+              radius_km: float = 6) -> str:
     dist_col = f"round({radius}, 6) AS distance_km," if radius else ""
-    having = [f"{radius} <= 6"] if radius else []
+    having = [f"{radius} <= {radius_km}"] if radius else []
     if open_secs is not None:
         having.append(open_at("t.hours", open_secs))
     hv = ("HAVING " + " AND ".join(having)) if having else ""
@@ -153,6 +154,9 @@ SQL["advanced_search_name_dish"] = _advanced("r.name ILIKE '%supplier%' AND d.na
 SQL["advanced_search_radius_open"] = _advanced("co.lat > 0 AND co.lon > 0",
                                                radius=dist(51.1, 17.03), open_secs=12 * 3600)
 SQL["advanced_search_diet"] = _advanced("i.name ILIKE '%e%' AND d.vegetarian")
+SQL["advanced_search_all"] = _advanced(
+    "r.name ILIKE '%supplier%' AND d.name ILIKE '%e%' AND i.name ILIKE '%o%' AND co.lat > 0 AND co.lon > 0",
+    radius=dist(51.0, 17.0), open_secs=12 * 3600, radius_km=200)
 
 SQL["effective_hours"] = ROLES_SQL + CUR_HOURS + hours_on("2024-01-15") + """
 SELECT id_restaurant AS res_id, '15.01.2024' AS day, hours FROM hours_on
@@ -659,3 +663,12 @@ SQL["derived_measure"] = ROLES_SQL + "SELECT id, calories, round(calories / 5e0,
 SQL["stream_flags"] = SQL["moderate_flags"]
 SQL["stream_snapshot"] = SQL["moderate_locations"]
 SQL["stream_dedup"] = ROLES_SQL + "SELECT event_id, key, action FROM commands\n"
+
+SQL["moderate_comments"] = ROLES_SQL + """
+, ccmds AS (SELECT event_id, ts, CAST(floor(value * 25) AS BIGINT) AS key, action, actor
+            FROM commands WHERE action IN ('VER', 'DEL'))
+""" + _FLAG_CTES.format(cmds="ccmds", pos="key > 0", keys="key") + """
+SELECT c.id, c.comment, c.score, c.verified OR COALESCE(a.any_ver, FALSE) AS verified, c.updated_by,
+       COALESCE(l.actor, c.verified_by) AS verified_by, c.deleted OR COALESCE(a.any_del, FALSE) AS deleted
+FROM comments c LEFT JOIN agg a ON a.key = c.id LEFT JOIN lastc l ON l.key = c.id
+"""

@@ -79,6 +79,14 @@ def q_adv_diet(spark, sf_dir):
                                   as_of=AS_OF)
 
 
+@register("advanced_search_all")
+def q_adv_all(spark, sf_dir):
+    # every criterion at once, as in the reference's hand-written sample query
+    return search.advanced_search(roles.bind(spark, sf_dir), res_name=NAME_TERM, dish_name="e",
+                                  ing_name="o", lat=51.0, lon=17.0, radius_km=200.0,
+                                  now_open=True, as_of=AS_OF)
+
+
 @register("effective_hours")
 def q_effective_hours(spark, sf_dir):
     return calendar.effective_hours_on(roles.bind(spark, sf_dir).hours, AS_OF.date())
@@ -243,6 +251,13 @@ def q_moderate_flags(spark, sf_dir):
     return moderation.moderate_flags(cat.restaurants, roles.moderation_commands(t), cat.users)
 
 
+@register("moderate_comments")
+def q_moderate_comments(spark, sf_dir):
+    t = roles.read_tables(spark, sf_dir)
+    cat = roles.bind(spark, sf_dir)
+    return moderation.moderate_flags(cat.comments, roles.comment_commands(t), cat.users)
+
+
 @register("moderate_menu")
 def q_moderate_menu(spark, sf_dir):
     t = roles.read_tables(spark, sf_dir)

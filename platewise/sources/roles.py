@@ -318,6 +318,12 @@ def menu_commands(t: dict[str, DataFrame]) -> DataFrame:
         F.floor(F.col("value") * 4).cast("long").alias("id_dish"), "action", "actor")
 
 
+def comment_commands(t: dict[str, DataFrame]) -> DataFrame:
+    """VER / DEL on a comment, the comment id derived from the value."""
+    return moderation_commands(t).select(
+        "event_id", "ts", F.floor(F.col("value") * 25).cast("long").alias("key"), "action", "actor")
+
+
 def comment_submissions(t: dict[str, DataFrame]) -> DataFrame:
     """'purchase' events as comment submissions (venue, author, score, text)."""
     e = t["events"].where(F.col("event_type") == "purchase")

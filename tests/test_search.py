@@ -79,3 +79,12 @@ def test_advanced_search_needs_a_criterion(cat):
 def test_limit_is_top_k(cat):
     got = rows(search.search_by_dish(cat, "salad", limit=1), "res_id")
     assert got == [(1,)]
+
+
+def test_accent_folding_is_opt_in(spark, cat):
+    r = spark.createDataFrame([(7, "Café Olé", 0.0, True, "x", 1, 0, False)], cat.restaurants.schema)
+    rc = spark.createDataFrame([(7, 1)], cat.restaurant_cuisines.schema)
+    c2 = cat.with_tables(restaurants=cat.restaurants.unionByName(r),
+                         restaurant_cuisines=cat.restaurant_cuisines.unionByName(rc))
+    assert rows(search.search_by_name(c2, "cafe"), "res_id") == []
+    assert rows(search.search_by_name(c2, "cafe", fold_accents=True), "res_id") == [(7,)]
