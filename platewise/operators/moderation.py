@@ -7,8 +7,8 @@ Here a whole log is folded at once.  Order is fixed by ``(ts, event_id)``.
 * locations: order-dependent, but the final state is a function of a few
   "last/first command of a kind" aggregates per key (no per-key sort);
 * hours versions: each VER/DEL addresses the newest earlier version of the
-  venue (an as-of match), then a version's fate is its first command plus
-  "a later version was verified" (aggregates);
+  venue (a carry-forward split over range partitions), then a version's fate
+  is its first command plus "a later version was verified" (aggregates);
 * diet flags: recomputed from ingredients for dishes with a verified menu row.
 
 Role gate: VER/DEL need an admin actor, other commands a known user.
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from platewise.catalog import WEEKDAYS, Catalog
 from platewise.functions.hours import special_problem, valid_weekly_value
 from platewise.functions.text import is_alnum, nonzero_number, strip_chars
+from platewise.operators.asof import carry_forward
 from platewise.operators.ids import assign_ids, next_id_after
 from platewise.session import materialize
 
@@ -256,9 +257,9 @@ def moderate_hours(hours: DataFrame, proposals: DataFrame, mods: DataFrame,
       versions of the venue, the snapshot's rows included.
 
     Proposals and commands go through one union: a carry-forward over each
-    venue's log gives every row its version, one aggregate per version gives
-    its payload and fate.  Known limit: the carry-forward window sorts one
-    venue's log inside one task (spilling, not failing).
+    venue's log gives every row its version (range-partitioned, so a venue
+    with a huge log is split over tasks), one aggregate per version gives its
+    payload and fate.
     """
     p = validate_hours_proposals(proposals)
     p = role_gate(p.withColumn("action", F.lit("INSERT")), users).where(F.col("valid"))
@@ -271,10 +272,8 @@ def moderate_hours(hours: DataFrame, proposals: DataFrame, mods: DataFrame,
     md = m.select("key", "ts", "event_id", F.lit(None).cast("long").alias("_v"),
                   F.col("action").alias("act"), "actor",
                   F.lit(None).cast(ins.schema["payload"].dataType).alias("payload"))
-    w = (Window.partitionBy("key").orderBy("ts", "event_id")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    tagged = (ins.unionByName(md)
-              .withColumn("target", F.last("_v", ignorenulls=True).over(w))
+    # each command addresses the newest version inserted before it (hot venues are split)
+    tagged = (carry_forward(ins.unionByName(md), "key", ["ts", "event_id"], "_v", "target")
               .where(F.col("target").isNotNull()))
     o = _o()
     is_cmd = F.col("act").isNotNull()

@@ -4,7 +4,8 @@
   key), so late or reordered commands give the batch answer;
 * T2 snapshot maintenance: ``foreachBatch`` appends the batch to a command
   log and recomputes only the touched keys from their whole log (late
-  commands replay correctly), writing a new snapshot version per batch;
+  commands replay correctly), writing a new snapshot version per batch
+  (idempotent per epoch);
 * T3 duplicate suppression: ``dropDuplicatesWithinWatermark`` on event id.
 
 Sinks are files in the shared checkpoint folder (never the driver).
@@ -62,28 +63,53 @@ def stream_flags(spark: SparkSession, commands: DataFrame, users: DataFrame,
     return moderation.apply_flag_changes(snapshot, ch, ["id"], ["key"])
 
 
+def _write_epoch(df: DataFrame, path: str, epoch: int) -> None:
+    """Idempotent per micro-batch: a retried epoch overwrites its own partition."""
+    (df.withColumn("epoch", F.lit(epoch).cast("long")).write.mode("overwrite")
+       .option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(path))
+
+
+def _latest_before(spark: SparkSession, path: str, epoch: int | None):
+    """The newest snapshot version written before ``epoch`` (None if none)."""
+    try:
+        snaps = spark.read.parquet(path)
+    except Exception:  # noqa: BLE001 - nothing written yet
+        return None
+    if epoch is not None:
+        snaps = snaps.where(F.col("epoch") < epoch)
+    last = snaps.agg(F.max("epoch")).first()[0]
+    return None if last is None else snaps.where(F.col("epoch") == last).drop("epoch")
+
+
 def stream_locations(spark: SparkSession, location_cmds: DataFrame, coordinates: DataFrame,
                      out: str | None = None) -> DataFrame:
     """T2: keep the coordinates snapshot current under a stream of gated
-    location commands (columns of :func:`moderation.location_commands`)."""
+    location commands (columns of :func:`moderation.location_commands`).
+
+    Each micro-batch is appended to a command log, and only the keys it
+    touched are recomputed from their whole log (so a late command is
+    replayed in (ts, event_id) order); a new snapshot version is written per
+    epoch.  Log and snapshots are partitioned by epoch and written with
+    dynamic partition overwrite, so a retried batch or a restarted query
+    neither duplicates commands nor loses the latest snapshot.
+    """
     out = out or run_dir(spark, "locations")
     log_path, snap_root = f"{out}/log", f"{out}/snapshots"
-    state = {"latest": None}
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("append").parquet(log_path)
+        _write_epoch(batch, log_path, epoch)
         touched = batch.select(F.col("key").alias("id")).distinct()
-        log = spark.read.parquet(log_path).join(touched.withColumnRenamed("id", "key"), "key", "left_semi")
-        prev = spark.read.parquet(state["latest"]) if state["latest"] else coordinates
+        log = (spark.read.parquet(log_path).where(F.col("epoch") <= epoch).drop("epoch")
+               .join(touched.withColumnRenamed("id", "key"), "key", "left_semi"))
+        prev = _latest_before(spark, snap_root, epoch)
+        prev = coordinates if prev is None else prev
         base = coordinates.join(touched, "id", "left_semi")
         recomputed = moderation.moderate_locations(base, log)
-        new = prev.join(touched, "id", "left_anti").unionByName(recomputed)
-        path = f"{snap_root}/v{epoch:08d}"
-        new.write.mode("overwrite").parquet(path)
-        state["latest"] = path
+        _write_epoch(prev.join(touched, "id", "left_anti").unionByName(recomputed), snap_root, epoch)
 
     _run(location_cmds.writeStream.foreachBatch(sink).option("checkpointLocation", f"{out}/_checkpoint"))
-    return spark.read.parquet(state["latest"]) if state["latest"] else coordinates
+    latest = _latest_before(spark, snap_root, None)
+    return coordinates if latest is None else latest
 
 
 def stream_dedup(spark: SparkSession, commands: DataFrame, delay: str = "1 hour",
