@@ -22,7 +22,11 @@ from platewise.functions import geo
 def _lon_cells(max_abs_lat: Column, d_rad: float) -> Column:
     """Number of longitude cells (each at least as wide as the radius at the
     most polar probe); 1 when a probe circle reaches a pole."""
-    lat_reach = max_abs_lat + F.lit(math.degrees(d_rad))
+    lat_reach = F.lit(math.degrees(d_rad)) + max_abs_lat
+    return _cells_from_reach(lat_reach, d_rad)
+
+
+def _cells_from_reach(lat_reach: Column, d_rad: float) -> Column:
     ratio = F.lit(math.sin(d_rad)) / F.cos(F.radians(F.least(lat_reach, F.lit(89.999999))))
     width = F.degrees(F.asin(F.least(F.lit(1.0), ratio))) + F.lit(1e-9)
     n = F.floor(F.lit(360.0) / width)
@@ -41,26 +45,27 @@ def radius_join(probes: DataFrame, targets: DataFrame, radius_km: float,
         raise ValueError("radius must be positive")
     d_rad = radius_km / geo.EARTH_RADIUS_KM
     lat_cell = math.degrees(d_rad) + 1e-9
-    # one scalar from the probe side, evaluated once and shipped to the tasks
-    max_abs_lat = probes.select(F.max(F.abs("lat"))).scalar()
-    n_lon = _lon_cells(max_abs_lat, d_rad)
-    lon_w = F.lit(360.0) / n_lon
 
-    def cell_lat(lat):
-        return F.floor((lat + F.lit(90.0)) / F.lit(lat_cell)).cast("long")
+    # the cell width depends on one number, the largest |lat| of the probes:
+    # a single aggregate job returning one scalar (a scalar subquery would be
+    # inlined into every expression that uses it and re-run each time)
+    max_abs_lat = probes.agg(F.max(F.abs("lat")).alias("m")).first()["m"]
+    n_lon = _lon_cells(F.lit(0.0 if max_abs_lat is None else float(max_abs_lat)), d_rad)
 
-    def cell_lon(lon):
-        return F.pmod(F.floor((lon + F.lit(180.0)) / lon_w).cast("long"), n_lon)
+    def with_cells(df, lat, lon, cy, cx):
+        df = df.withColumn("_nlon", n_lon)
+        return df.select("*", F.floor((F.col(lat) + F.lit(90.0)) / F.lit(lat_cell)).cast("long").alias(cy),
+                         F.pmod(F.floor((F.col(lon) + F.lit(180.0)) / (F.lit(360.0) / F.col("_nlon"))).cast("long"),
+                                F.col("_nlon")).alias(cx))
 
     t = targets.select(F.col(target_id).alias("_tid"), F.col("lat").alias("t_lat"),
                        F.col("lon").alias("t_lon"))
-    t = t.select("*", cell_lat(F.col("t_lat")).alias("cy"), cell_lon(F.col("t_lon")).alias("cx"))
+    t = with_cells(t, "t_lat", "t_lon", "cy", "cx").drop("_nlon")
 
     offs = F.array(F.lit(-1), F.lit(0), F.lit(1))
     p = probes.select(F.col(probe_id).alias("_pid"), F.col("lat").alias("p_lat"),
                       F.col("lon").alias("p_lon"))
-    p = p.select("*", cell_lat(F.col("p_lat")).alias("py"), cell_lon(F.col("p_lon")).alias("px"),
-                 n_lon.alias("_nlon"))
+    p = with_cells(p, "p_lat", "p_lon", "py", "px")
     # 3 x 3 neighbourhood; array_distinct keeps one copy when there are < 3 lon cells
     neigh = F.array_distinct(F.flatten(F.transform(
         offs, lambda dy: F.transform(
@@ -74,4 +79,3 @@ def radius_join(probes: DataFrame, targets: DataFrame, radius_km: float,
             .select(F.col("_pid").alias(probe_id), F.col("_tid").alias(target_id), dist.alias("d"))
             .where(F.col("d") <= F.lit(float(radius_km)))
             .select(probe_id, target_id, F.round("d", 6).alias("distance_km")))
-
