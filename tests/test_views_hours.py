@@ -83,3 +83,30 @@ def test_special_validation(spark):
     assert got == [(True, None), (True, None),
                    (False, "Invalid date format in key: 2025-06-24"),
                    (False, "Invalid value for 24.06.2025: noon")]
+
+
+def test_nested_dish_report(cat):
+    from platewise.operators import reports
+    got = {(r.res_id, r.dish_id): [(e.ing_id, e.ing_name, e.allergens_names) for e in r.ing]
+           for r in reports.user_dishes(cat, user=1).collect()}
+    # only dish 10 has an ingredient with allergens (Cheese); Lettuce has none and is dropped
+    assert got[(1, 10)] == [(101, "Cheese", "Lactose,Milk")]
+    assert got[(1, 12)] == []
+    kept = {(r.res_id, r.dish_id): [e.ing_name for e in r.ing]
+            for r in reports.user_dishes(cat, user=1, keep_unlisted=True).collect()}
+    assert kept[(1, 10)] == ["Lettuce", "Cheese"] or kept[(1, 10)] == ["Cheese", "Lettuce"]
+    assert kept[(1, 12)] == ["Lettuce"]
+
+
+def test_queue_and_user_reports(cat):
+    from platewise.operators import reports
+    assert [r.res_id for r in reports.queue_venues(cat).collect()] == [3]
+    assert sorted((r.res_id, r.dish_id) for r in reports.queue_dishes(cat).collect()) == [(2, 10), (5, 13)]
+    assert [r.c_id for r in reports.user_comments(cat, user=7).collect()] == [1]
+    assert [r.hours_id for r in reports.queue_hours(cat).collect()] == [2]
+
+
+def test_rows_as_json(cat):
+    from platewise.sources.files import rows_as_json
+    got = [r.json for r in rows_as_json(cat.cuisines.orderBy("id")).collect()]
+    assert got[0] == '{"id":1,"type":"Thai"}'
