@@ -19,16 +19,34 @@ from platewise.functions.text import contains_ci
 
 
 def cuisine_branch(cat: Catalog, distinct: bool = True) -> DataFrame:
-    """(id_restaurant, n_cuisine_rows, res_cuisines) over the m:n link."""
-    link = cat.restaurant_cuisines
+    """(id_restaurant, n_cuisine_rows, res_cuisines) over the m:n link, for all venues."""
     c = cat.cuisines.select(F.col("id").alias("id_cuisine"), "type")
     concat = concat_sorted_distinct if distinct else concat_sorted
-    return (link.join(c, "id_cuisine")
+    return (cat.restaurant_cuisines.join(c, "id_cuisine")
             .groupBy("id_restaurant")
             .agg(F.count(F.lit(1)).alias("n_cuisine_rows"),
                  concat("type").alias("res_cuisines")))
 
 
+def attach_cuisines(venues: DataFrame, cat: Catalog, distinct: bool = True) -> DataFrame:
+    """Add n_cuisine_rows and res_cuisines to ``venues`` (one row per
+    ``id_restaurant``), keeping only venues with a cuisine (inner join).
+
+    The candidate rows themselves are joined to the link rows and grouped
+    once, so only the candidates' links are aggregated (no second pass over
+    the candidates, no aggregate over every venue); the candidates' other
+    columns ride along with ``any_value`` (one row per venue).
+    """
+    c = cat.cuisines.select(F.col("id").alias("id_cuisine"), "type")
+    links = cat.restaurant_cuisines.join(c, "id_cuisine").select("id_restaurant", "type")
+    concat = concat_sorted_distinct if distinct else concat_sorted
+    others = [x for x in venues.columns if x != "id_restaurant"]
+    return (venues.join(links, "id_restaurant")
+            .groupBy("id_restaurant")
+            .agg(*[F.any_value(x).alias(x) for x in others],
+                 F.count(F.lit(1)).alias("n_cuisine_rows"), concat("type").alias("res_cuisines")))
+
+
 def dish_ingredient_branch(cat: Catalog, ing_term: str | None = None,
                            fold_accents: bool = False) -> DataFrame:
     """(id_dish, n_ing_rows, ing_names array) for dishes with a (matching) ingredient."""

@@ -12,7 +12,7 @@ from platewise.catalog import Catalog
 from platewise.functions import geo
 from platewise.functions.hours import effective_hours, open_at, seconds_of
 from platewise.functions.text import contains_ci, is_alnum_value, require_term
-from platewise.operators.branches import cuisine_branch, menu_branch
+from platewise.operators.branches import attach_cuisines, menu_branch
 from platewise.operators.calendar import current_hours
 
 
@@ -28,7 +28,7 @@ def search_by_name(cat: Catalog, term: str, limit: int | None = None,
     require_term(term)
     r = (cat.restaurants.where(F.col("verified") & contains_ci(F.col("name"), term, fold_accents))
          .select(F.col("id").alias("id_restaurant"), "name", "opinion", "address"))
-    out = (r.join(cuisine_branch(cat, distinct=False), "id_restaurant")
+    out = (attach_cuisines(r, cat, distinct=False)
            .select(F.col("id_restaurant").alias("res_id"), F.col("name").alias("res_name"),
                    F.col("opinion").alias("res_score"), "res_cuisines",
                    F.col("address").alias("res_address")))
@@ -38,8 +38,7 @@ def search_by_name(cat: Catalog, term: str, limit: int | None = None,
 def _ranked(cat: Catalog, branch: DataFrame, extra: list[str], limit: int | None) -> DataFrame:
     r = (cat.restaurants.where(F.col("verified"))
          .select(F.col("id").alias("id_restaurant"), "name", "opinion"))
-    out = (r.join(branch, "id_restaurant")
-           .join(cuisine_branch(cat, distinct=True), "id_restaurant")
+    out = (attach_cuisines(r.join(branch, "id_restaurant"), cat)
            .select(F.col("id_restaurant").alias("res_id"),
                    (F.col("n_rows") * F.col("n_cuisine_rows")).cast("long").alias("sort_score"),
                    F.col("name").alias("res_name"), F.col("opinion").alias("res_score"),
@@ -93,8 +92,7 @@ def search_by_radius(cat: Catalog, lat: float, lon: float, radius_km: float,
     _check_point(lat, lon, radius_km)
     near = _distance_candidates(cat, lat, lon, radius_km, swap_axes)
     r = cat.restaurants.select(F.col("id").alias("id_restaurant"), "name", "opinion", "address")
-    out = (near.join(r, "id_restaurant")
-           .join(cuisine_branch(cat, distinct=True), "id_restaurant")
+    out = (attach_cuisines(near.join(r, "id_restaurant"), cat)
            .select(F.col("id_restaurant").alias("res_id"), F.col("name").alias("res_name"),
                    F.col("opinion").alias("res_score"), "res_cuisines",
                    F.col("address").alias("res_address"),
@@ -152,10 +150,8 @@ def advanced_search(cat: Catalog, res_name: str | None = None, dish_name: str |
     day = F.lit(as_of.date())
     today = (current_hours(cat.hours)
              .select("id_restaurant", effective_hours(day).alias("hours")))
-    out = (r.join(loc, "id_restaurant")
-           .join(branch, "id_restaurant")
-           .join(cuisine_branch(cat, distinct=True), "id_restaurant")
-           .join(today, "id_restaurant", "left"))
+    out = attach_cuisines(r.join(loc, "id_restaurant").join(branch, "id_restaurant")
+                          .join(today, "id_restaurant", "left"), cat)
     if now_open:
         out = out.where(open_at(F.col("hours"), seconds_of(F.lit(as_of)), overnight))
     cols = [F.col("id_restaurant").alias("res_id"),
