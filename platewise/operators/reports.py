@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from platewise.catalog import WEEKDAYS, Catalog
-from platewise.operators.branches import cuisine_branch
+from platewise.operators.branches import attach_cuisines
 from platewise.operators.calendar import validate_special  # noqa: F401  (re-export for users)
 
 
@@ -25,7 +25,7 @@ def _for_user(df: DataFrame, col: str, user) -> DataFrame:
 def _venues_with_cuisines(cat: Catalog, where) -> DataFrame:
     r = cat.restaurants.where(where).select(
         F.col("id").alias("id_restaurant"), "name", "opinion", "address", "verified", "updated_by")
-    return (r.join(cuisine_branch(cat, distinct=False), "id_restaurant")
+    return (attach_cuisines(r, cat, distinct=False)
             .select(F.col("id_restaurant").alias("res_id"), F.col("name").alias("res_name"),
                     F.col("opinion").alias("res_score"), "res_cuisines",
                     F.col("address").alias("res_address"), F.col("verified").alias("res_ver"),

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from platewise.catalog import Catalog
-from platewise.operators.branches import cuisine_branch
+from platewise.operators.branches import attach_cuisines
 
 
 def _repeat_sorted(names, times, sep: str):
@@ -16,18 +16,25 @@ def _repeat_sorted(names, times, sep: str):
     return F.array_join(F.array_sort(F.flatten(F.array_repeat(names, times.cast("int")))), sep)
 
 
-def comments_list(cat: Catalog) -> DataFrame:
+def _only(df: DataFrame, col: str, ids: DataFrame | None) -> DataFrame:
+    """Restrict ``df`` to requested ids early (left-semi join on the link rows)."""
+    if ids is None:
+        return df
+    return df.join(ids.select(F.col("_rid").alias(col)), col, "left_semi")
+
+
+def comments_list(cat: Catalog, venue_ids: DataFrame | None = None) -> DataFrame:
     """Comments with their venue and author name (LEFT: authors may be missing).
     No deleted filter, as in the reference."""
     u = cat.users.select(F.col("id").alias("updated_by"), F.col("username").alias("up_by"))
-    link = cat.restaurant_comments.select(F.col("id_comment").alias("id"),
-                                          F.col("id_restaurant").alias("res_id"))
+    link = _only(cat.restaurant_comments, "id_restaurant", venue_ids).select(
+        F.col("id_comment").alias("id"), F.col("id_restaurant").alias("res_id"))
     return (cat.comments.join(link, "id")
             .join(u, "updated_by", "left")
             .select("id", "comment", "up_by", "score", "res_id", "verified"))
 
 
-def dishes_info(cat: Catalog) -> DataFrame:
+def dishes_info(cat: Catalog, venue_ids: DataFrame | None = None) -> DataFrame:
     """Per (dish, venue) the ingredient names, one per row of the join product.
 
     The reference joins menu x ingredient rows and concatenates; a duplicated
@@ -35,7 +42,8 @@ def dishes_info(cat: Catalog) -> DataFrame:
     the per-dish list (a recipe, small) is repeated that many times, so the
     product is never shuffled.  Dishes without ingredients drop (inner join).
     """
-    m = (cat.menu.groupBy("id_dish", "id_restaurant").agg(F.count(F.lit(1)).alias("n_menu_rows")))
+    m = (_only(cat.menu, "id_restaurant", venue_ids)
+         .groupBy("id_dish", "id_restaurant").agg(F.count(F.lit(1)).alias("n_menu_rows")))
     ing = (cat.dish_ingredients
            .join(cat.ingredients.select(F.col("id").alias("id_ingredient"), F.col("name").alias("ing_name")),
                  "id_ingredient")
@@ -48,9 +56,9 @@ def dishes_info(cat: Catalog) -> DataFrame:
             .orderBy("id", "res_id"))
 
 
-def ingredients_list(cat: Catalog) -> DataFrame:
+def ingredients_list(cat: Catalog, dish_ids: DataFrame | None = None) -> DataFrame:
     """Per (ingredient, dish) the allergen names (', '-separated, 'None' if none)."""
-    link = (cat.dish_ingredients.groupBy("id_ingredient", "id_dish")
+    link = (_only(cat.dish_ingredients, "id_dish", dish_ids).groupBy("id_ingredient", "id_dish")
             .agg(F.count(F.lit(1)).alias("n_link_rows")))
     alg = (cat.ingredient_allergens
            .join(cat.allergens.select(F.col("id").alias("id_allergen"), F.col("name").alias("allergen")),
@@ -66,15 +74,15 @@ def ingredients_list(cat: Catalog) -> DataFrame:
             .orderBy("id", "dish_id"))
 
 
-def venue_details(cat: Catalog) -> DataFrame:
+def venue_details(cat: Catalog, venue_ids: DataFrame | None = None) -> DataFrame:
     """Venue with location, cuisines (non-distinct) and the names of the
     contributor and the verifying admin (the users table joined twice)."""
     client = cat.users.select(F.col("id").alias("updated_by"), F.col("username").alias("up_by"))
     admin = cat.users.select(F.col("id").alias("verified_by"), F.col("username").alias("ver_by"))
     co = cat.coordinates.select(F.col("id").alias("id_restaurant"), "lat", "lon")
-    r = cat.restaurants.select(F.col("id").alias("id_restaurant"), "name", "opinion", "address",
-                               "updated_by", "verified_by")
-    return (r.join(cuisine_branch(cat, distinct=False), "id_restaurant")
+    r = _only(cat.restaurants.select(F.col("id").alias("id_restaurant"), "name", "opinion", "address",
+                                     "updated_by", "verified_by"), "id_restaurant", venue_ids)
+    return (attach_cuisines(r, cat, distinct=False)
             .join(co, "id_restaurant")
             .join(client, "updated_by", "left")
             .join(admin, "verified_by", "left")
@@ -88,29 +96,29 @@ def positive_ids(requests: DataFrame, col: str = "id") -> DataFrame:
 
 
 def lookup(view: DataFrame, key: str, requests: DataFrame, req_col: str = "id") -> DataFrame:
-    """Batch form of the by-id lookups: rows of ``view`` whose ``key`` was requested.
-
-    A left-semi join, so a request table with repeated ids never duplicates rows.
-    """
+    """Rows of any ``view`` whose ``key`` was requested (a left-semi join, so
+    repeated requests never duplicate rows)."""
     ids = positive_ids(requests, req_col)
     return view.join(ids, view[key] == ids["_rid"], "left_semi")
 
 
 def venue_info(cat: Catalog, requests: DataFrame) -> DataFrame:
-    return lookup(venue_details(cat), "res_id", requests)
+    """Batch form of the by-id lookups: the request ids restrict the link
+    tables before any join or aggregate."""
+    return venue_details(cat, positive_ids(requests))
 
 
 def venue_comments(cat: Catalog, requests: DataFrame) -> DataFrame:
     """Verified comments of the requested venues (deleted not checked, as in the reference)."""
-    return lookup(comments_list(cat).where(F.col("verified")), "res_id", requests)
+    return comments_list(cat, positive_ids(requests)).where(F.col("verified"))
 
 
 def venue_dishes(cat: Catalog, requests: DataFrame) -> DataFrame:
-    return lookup(dishes_info(cat), "res_id", requests)
+    return dishes_info(cat, positive_ids(requests))
 
 
 def dish_ingredients_lookup(cat: Catalog, requests: DataFrame) -> DataFrame:
-    return lookup(ingredients_list(cat), "dish_id", requests)
+    return ingredients_list(cat, positive_ids(requests))
 
 
 def cuisine_types(cat: Catalog) -> DataFrame:
