@@ -163,7 +163,7 @@ SELECT id_restaurant AS res_id, '15.01.2024' AS day, hours FROM hours_on
 """
 
 SQL["weekly_calendar"] = ROLES_SQL + CUR_HOURS + """
-, days AS (SELECT i AS day_index, DATE '2024-01-12' + CAST(i AS INTEGER) AS d FROM range(7) t(i))
+, days AS (SELECT CAST(i AS INTEGER) AS day_index, DATE '2024-01-12' + CAST(i AS INTEGER) AS d FROM range(7) t(i))
 SELECT r.id AS res_id, days.day_index, strftime(days.d, '%d.%m.%Y') AS day,
        CASE WHEN h.id IS NULL THEN 'No data' ELSE COALESCE(s.value,
          CASE isodow(days.d) WHEN 1 THEN h.mon WHEN 2 THEN h.tue WHEN 3 THEN h.wed

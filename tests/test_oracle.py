@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as E
 from tools.check_oracle import TABLES, rows_of
+from tools.check_types import type_mismatches
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.exists(SF), reason="driver test data not present")
@@ -38,6 +39,8 @@ def test_entry_runs(spark):
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF)
     s_cols, s_rows = df.columns, [tuple(r) for r in df.collect()]
+    rel = con.sql(E.oracle_sql()[name])
+    assert type_mismatches(df.schema, rel.columns, rel.types) == {}
     res = con.execute(E.oracle_sql()[name])
     d_cols = [c[0] for c in res.description]
     d_rows = res.fetchall()
