@@ -17,6 +17,7 @@ from platewise.functions.text import (LOGIN_MAX_LEN, LOGIN_MIN_LEN, is_alnum, is
                                       length_between, strip_chars)
 from platewise.operators.ids import assign_ids, next_id_after
 from platewise.operators.moderation import role_gate
+from platewise.session import materialize
 
 DISH_REQUEST_SCHEMA = T.StructType([
     T.StructField("id", T.LongType()),
@@ -173,6 +174,8 @@ def validate_users(users: DataFrame, regs: DataFrame) -> DataFrame:
                      .when(F.col("_lt").isNotNull(), F.lit("login taken"))
                      .when(F.col("_et").isNotNull(), F.lit("email taken")))
          .drop("_lt", "_et"))
+    # the checked batch feeds three passes (two first-of-key aggregates and the result)
+    r = materialize(r)
     cand = r.where(F.col("reason").isNull())
     first_login = cand.groupBy("login").agg(F.min(o).alias("_fl"))
     first_email = cand.groupBy("email").agg(F.min(o).alias("_fe"))
