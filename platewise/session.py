@@ -18,6 +18,22 @@ _DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # checkpoints written by materialize() are removed once nothing references them
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+}
+
+# Suggested settings for a large cluster (~100 TB inputs); pass them as
+# ``extra_conf`` or through spark-submit.  AQE sizes the reduce side from
+# runtime statistics, so the initial partition number only has to be large
+# enough for the biggest shuffle; skew thresholds split hot partitions.
+CLUSTER_CONF = {
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
 }
 
 
