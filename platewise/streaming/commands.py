@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from platewise.operators import moderation
 from platewise.session import checkpoint_dir
+from platewise.sources import snapshots
 
 
 def run_dir(spark: SparkSession, name: str) -> str:
@@ -63,24 +64,6 @@ def stream_flags(spark: SparkSession, commands: DataFrame, users: DataFrame,
     return moderation.apply_flag_changes(snapshot, ch, ["id"], ["key"])
 
 
-def _write_epoch(df: DataFrame, path: str, epoch: int) -> None:
-    """Idempotent per micro-batch: a retried epoch overwrites its own partition."""
-    (df.withColumn("epoch", F.lit(epoch).cast("long")).write.mode("overwrite")
-       .option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(path))
-
-
-def _latest_before(spark: SparkSession, path: str, epoch: int | None):
-    """The newest snapshot version written before ``epoch`` (None if none)."""
-    try:
-        snaps = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - nothing written yet
-        return None
-    if epoch is not None:
-        snaps = snaps.where(F.col("epoch") < epoch)
-    last = snaps.agg(F.max("epoch")).first()[0]
-    return None if last is None else snaps.where(F.col("epoch") == last).drop("epoch")
-
-
 def stream_locations(spark: SparkSession, location_cmds: DataFrame, coordinates: DataFrame,
                      out: str | None = None) -> DataFrame:
     """T2: keep the coordinates snapshot current under a stream of gated
@@ -97,18 +80,20 @@ def stream_locations(spark: SparkSession, location_cmds: DataFrame, coordinates:
     log_path, snap_root = f"{out}/log", f"{out}/snapshots"
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        _write_epoch(batch, log_path, epoch)
+        snapshots.write_version(batch, log_path, epoch)
         touched = batch.select(F.col("key").alias("id")).distinct()
-        log = (spark.read.parquet(log_path).where(F.col("epoch") <= epoch).drop("epoch")
+        log = (spark.read.parquet(log_path).where(F.col(snapshots.VERSION_COL) <= epoch)
+               .drop(snapshots.VERSION_COL)
                .join(touched.withColumnRenamed("id", "key"), "key", "left_semi"))
-        prev = _latest_before(spark, snap_root, epoch)
-        prev = coordinates if prev is None else prev
+        before = snapshots.latest_version(spark, snap_root, before=epoch)
+        prev = coordinates if before is None else snapshots.read_version(spark, snap_root, before)
         base = coordinates.join(touched, "id", "left_semi")
         recomputed = moderation.moderate_locations(base, log)
-        _write_epoch(prev.join(touched, "id", "left_anti").unionByName(recomputed), snap_root, epoch)
+        snapshots.write_version(prev.join(touched, "id", "left_anti").unionByName(recomputed),
+                                snap_root, epoch)
 
     _run(location_cmds.writeStream.foreachBatch(sink).option("checkpointLocation", f"{out}/_checkpoint"))
-    latest = _latest_before(spark, snap_root, None)
+    latest = snapshots.read_version(spark, snap_root)
     return coordinates if latest is None else latest
 
 

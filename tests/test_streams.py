@@ -57,3 +57,17 @@ def test_stream_dedup_drops_second_delivery(spark):
               .withColumn("ts", F.col("ts").cast("timestamp")))    # watermarks need TIMESTAMP
     got = sorted(r.event_id for r in streams.stream_dedup(spark, stream).collect())
     assert got == [1, 2]
+
+
+def test_snapshot_versions(spark):
+    from platewise.sources import snapshots
+    root = os.path.join(tempfile.mkdtemp(prefix="platewise-test-snap-"), "t")
+    assert snapshots.read_version(spark, root) is None
+    v1 = snapshots.publish(spark.createDataFrame([(1, "a")], "id long, v string"), root)
+    old = snapshots.read_version(spark, root)
+    v2 = snapshots.publish(spark.createDataFrame([(1, "b"), (2, "c")], "id long, v string"), root)
+    assert (v1, v2) == (1, 2)
+    assert sorted(tuple(r) for r in snapshots.read_version(spark, root).collect()) == [(1, "b"), (2, "c")]
+    assert [tuple(r) for r in old.collect()] == [(1, "a")]          # readers of v1 are untouched
+    snapshots.write_version(spark.createDataFrame([(9, "z")], "id long, v string"), root, 2)  # retry of v2
+    assert [tuple(r) for r in snapshots.read_version(spark, root).collect()] == [(9, "z")]
