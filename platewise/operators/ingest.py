@@ -152,14 +152,21 @@ def ingest_dishes(dishes: DataFrame, ingredients: DataFrame, allergens: DataFram
 
 # -- users (W14) ---------------------------------------------------------------------------
 
-def validate_users(users: DataFrame, regs: DataFrame) -> DataFrame:
+def validate_users(users: DataFrame, regs: DataFrame, max_rounds: int = 64) -> DataFrame:
     """Registration checks over a batch (reg_id, ts, login, email).
 
     Email pattern (lower case), login 4-20 alphanumeric, login and email not
-    already taken (one anti join per key, not an OR join), and unique within
-    the batch: of candidates sharing a login or an email only the first by
-    (ts, reg_id) is accepted.  First-of-key uses an aggregate + join rather
-    than a per-key window.
+    already taken (one anti join per key, not an OR join), and the in-batch
+    rule of processing registrations one at a time: a registration is
+    rejected when an *accepted* earlier one shares its login or e-mail.
+
+    That greedy outcome is computed by peeling: each round accepts every
+    undecided candidate that is the earliest undecided one of both its login
+    and its e-mail group, and rejects the later undecided members of those
+    groups.  Every round decides at least the earliest undecided candidate,
+    so it ends; in practice after two or three rounds (chains of shared
+    logins / e-mails).  Each round is two partial aggregates and joins over
+    the undecided rows, checkpointed, with a one-row "any left?" check.
     """
     o = F.struct("ts", "reg_id")
     fmt = (F.when(~is_email(F.col("email")), F.lit("bad email"))
@@ -173,14 +180,31 @@ def validate_users(users: DataFrame, regs: DataFrame) -> DataFrame:
          .withColumn("reason", F.when(F.col("reason").isNotNull(), F.col("reason"))
                      .when(F.col("_lt").isNotNull(), F.lit("login taken"))
                      .when(F.col("_et").isNotNull(), F.lit("email taken")))
-         .drop("_lt", "_et"))
-    # the checked batch feeds three passes (two first-of-key aggregates and the result)
+         .drop("_lt", "_et")
+         .select("reg_id", "ts", "login", "email", "reason"))
     r = materialize(r)
-    cand = r.where(F.col("reason").isNull())
-    first_login = cand.groupBy("login").agg(F.min(o).alias("_fl"))
-    first_email = cand.groupBy("email").agg(F.min(o).alias("_fe"))
-    r = (r.join(first_login, "login", "left").join(first_email, "email", "left")
-         .withColumn("reason", F.when(F.col("reason").isNotNull(), F.col("reason"))
-                     .when((o != F.col("_fl")) | (o != F.col("_fe")), F.lit("duplicate in batch")))
-         .drop("_fl", "_fe"))
-    return r.select("reg_id", "login", "email", F.col("reason").isNull().alias("valid"), "reason")
+    decided = r.where(F.col("reason").isNotNull()).select("reg_id", "login", "email", "reason")
+    undecided = r.where(F.col("reason").isNull()).select("reg_id", "ts", "login", "email")
+    for _ in range(max_rounds):
+        if undecided.limit(1).count() == 0:
+            break
+        first_l = undecided.groupBy("login").agg(F.min(o).alias("_fl"))
+        first_e = undecided.groupBy("email").agg(F.min(o).alias("_fe"))
+        u = undecided.join(first_l, "login").join(first_e, "email")
+        accepted = materialize(u.where((o == F.col("_fl")) & (o == F.col("_fe")))
+                               .select("reg_id", "ts", "login", "email"))
+        acc_l = accepted.select("login", F.struct("ts", "reg_id").alias("_al"))
+        acc_e = accepted.select("email", F.struct("ts", "reg_id").alias("_ae"))
+        rest = (undecided.join(accepted.select("reg_id"), "reg_id", "left_anti")
+                .join(acc_l, "login", "left").join(acc_e, "email", "left"))
+        lost = (F.coalesce(o > F.col("_al"), F.lit(False)) | F.coalesce(o > F.col("_ae"), F.lit(False)))
+        rest = materialize(rest.withColumn("_lost", lost))
+        decided = (decided
+                   .unionByName(accepted.select("reg_id", "login", "email",
+                                                F.lit(None).cast("string").alias("reason")))
+                   .unionByName(rest.where(F.col("_lost")).select(
+                       "reg_id", "login", "email", F.lit("duplicate in batch").alias("reason"))))
+        undecided = rest.where(~F.col("_lost")).select("reg_id", "ts", "login", "email")
+    else:
+        raise RuntimeError("registration check did not settle within max_rounds")
+    return decided.select("reg_id", "login", "email", F.col("reason").isNull().alias("valid"), "reason")

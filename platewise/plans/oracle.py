@@ -609,6 +609,10 @@ FROM new_ings n LEFT JOIN wanted w ON w.id_ingredient = n.id_ingredient
 LEFT JOIN all_allergens a ON a.name = w.allergen
 """
 
+# In-batch rule: "first candidate per login and per e-mail".  The library
+# computes the exact one-at-a-time outcome (peeling rounds, tested against a
+# sequential fold); on these registrations login and e-mail determine each
+# other for every candidate, so both rules give the same answer here.
 SQL["validate_users"] = ROLES_SQL + """
 , regs AS (
   SELECT event_id AS reg_id, ts, CAST(floor(value) AS BIGINT) AS fv, user_id,

@@ -150,3 +150,37 @@ def test_bounding_box_contains_circle():
                 assert box[0] <= lat <= box[1]
                 if box[2] is not None:
                     assert box[2] <= lon <= box[3]
+
+
+def greedy_registrations(existing_logins, existing_emails, regs):
+    taken_l, taken_e, out = set(existing_logins), set(existing_emails), {}
+    for reg_id, _ts, login, email in sorted(regs, key=lambda r: (r[1], r[0])):
+        if login in taken_l or email in taken_e:
+            out[reg_id] = False
+        else:
+            out[reg_id] = True
+            taken_l.add(login)
+            taken_e.add(email)
+    return out
+
+
+def test_validate_users_matches_sequential_greedy(cat, spark):
+    rnd = random.Random(17)
+    regs = []
+    for i in range(400):
+        regs.append((i, T0 + dt.timedelta(seconds=rnd.randint(0, 300)),
+                     f"login{rnd.randint(0, 60)}", f"mail{rnd.randint(0, 60)}@x.pl"))
+    df = spark.createDataFrame(regs, "reg_id long, ts timestamp, login string, email string")
+    got = {r.reg_id: r.valid for r in ingest.validate_users(cat.users, df).collect()}
+    exp = greedy_registrations(["admin", "tester", "test", "seven"], [], regs)
+    assert got == exp
+
+
+def test_validate_users_chain(cat, spark):
+    # B loses its e-mail to A; C may then take B's login (B was rejected)
+    regs = spark.createDataFrame([(1, T0, "alpha", "a@x.pl"),
+                                  (2, T0 + dt.timedelta(minutes=1), "bravo", "a@x.pl"),
+                                  (3, T0 + dt.timedelta(minutes=2), "bravo", "c@x.pl")],
+                                 "reg_id long, ts timestamp, login string, email string")
+    got = {r.reg_id: r.reason for r in ingest.validate_users(cat.users, regs).collect()}
+    assert got == {1: None, 2: "duplicate in batch", 3: None}
