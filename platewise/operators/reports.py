@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from platewise.catalog import WEEKDAYS, Catalog
 from platewise.operators.branches import attach_cuisines
-from platewise.operators.calendar import validate_special  # noqa: F401  (re-export for users)
 
 
 def _for_user(df: DataFrame, col: str, user) -> DataFrame:
