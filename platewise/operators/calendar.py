@@ -56,6 +56,15 @@ def weekly_calendar(restaurants: DataFrame, hours: DataFrame, start: _dt.date,
                     .otherwise(effective_hours(F.col("date"))).alias("hours")))
 
 
+def calendar_lookup(restaurants: DataFrame, hours: DataFrame, requests: DataFrame,
+                    start: _dt.date, days: int = 7, req_col: str = "id") -> DataFrame:
+    """Batch form of the by-id hours lookup: the calendar of the requested
+    venues (ids > 0), filtered before the dates are expanded."""
+    ids = requests.select(F.col(req_col).alias("id")).where(F.col("id") > 0)
+    venues = restaurants.select("id").join(ids, "id", "left_semi")
+    return weekly_calendar(venues, hours, start, days)
+
+
 def open_now(restaurants: DataFrame, hours: DataFrame, as_of: _dt.datetime,
              overnight: bool = False) -> DataFrame:
     """Venues whose current hours on ``as_of``'s date contain its time (inclusive)."""

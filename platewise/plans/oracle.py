@@ -173,6 +173,9 @@ LEFT JOIN cur_hours h ON h.id_restaurant = r.id
 LEFT JOIN special_days s ON s.id_restaurant = r.id AND s.day_key = strftime(days.d, '%d.%m.%Y')
 """
 
+SQL["calendar_for_venue"] = SQL["weekly_calendar"] + \
+    "WHERE r.id IN (SELECT user_id FROM events WHERE event_type = 'view' AND user_id > 0)\n"
+
 _OPEN = ROLES_SQL + CUR_HOURS + "{hours_on}" + """
 SELECT t.id_restaurant AS res_id, r.name AS res_name, t.hours
 FROM hours_on t JOIN restaurants r ON r.id = t.id_restaurant

@@ -98,6 +98,14 @@ def q_weekly_calendar(spark, sf_dir):
     return calendar.weekly_calendar(cat.restaurants, cat.hours, CALENDAR_START, CALENDAR_DAYS)
 
 
+@register("calendar_for_venue")
+def q_calendar_for_venue(spark, sf_dir):
+    t = roles.read_tables(spark, sf_dir)
+    cat = roles.bind(spark, sf_dir)
+    return calendar.calendar_lookup(cat.restaurants, cat.hours, roles.view_requests(t), CALENDAR_START,
+                                    CALENDAR_DAYS)
+
+
 @register("open_now")
 def q_open_now(spark, sf_dir):
     cat = roles.bind(spark, sf_dir)
