@@ -65,6 +65,9 @@ WHERE r.name ILIKE '%supplier%' AND r.verified
 GROUP BY r.id, r.name, r.opinion, r.address
 """
 
+SQL["search_by_name_accent_folded"] = SQL["search_by_name"].replace(
+    "r.name ILIKE '%supplier%'", "strip_accents(lower(r.name)) LIKE '%supplier%'")
+
 SQL["search_by_dish"] = ROLES_SQL + """
 SELECT r.id AS res_id, count(*) AS sort_score, r.name AS res_name, r.opinion AS res_score,
        string_agg(DISTINCT c.type, ',' ORDER BY c.type) AS res_cuisines,

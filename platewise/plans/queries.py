@@ -39,6 +39,12 @@ def q_search_by_name(spark, sf_dir):
     return search.search_by_name(roles.bind(spark, sf_dir), NAME_TERM)
 
 
+@register("search_by_name_accent_folded")
+def q_search_by_name_folded(spark, sf_dir):
+    # the reference's collation ignores case and accents
+    return search.search_by_name(roles.bind(spark, sf_dir), NAME_TERM, fold_accents=True)
+
+
 @register("search_by_dish")
 def q_search_by_dish(spark, sf_dir):
     return search.search_by_dish(roles.bind(spark, sf_dir), DISH_TERM)
