@@ -25,6 +25,25 @@ def current_hours(hours: DataFrame) -> DataFrame:
             .select("id_restaurant", "v.*"))
 
 
+def attach_current_hours(venues: DataFrame, hours: DataFrame, day: _dt.date,
+                         out_col: str = "hours") -> DataFrame:
+    """Add the effective hours on ``day`` of each venue's current version
+    (NULL when it has none) to ``venues`` (one row per ``id_restaurant``).
+
+    Only the candidates' versions are read into the aggregate: a left join
+    and one ``max_by`` per venue, keyed like the caller's other joins.
+    """
+    d = F.lit(day)
+    versions = (hours.where(F.col("verified") & ~F.col("deleted"))
+                .select("id_restaurant", F.col("id").alias("_vid"),
+                        effective_hours(d).alias("_h")))
+    others = [c for c in venues.columns if c != "id_restaurant"]
+    return (venues.join(versions, "id_restaurant", "left")
+            .groupBy("id_restaurant")
+            .agg(*[F.any_value(c).alias(c) for c in others],
+                 F.max_by("_h", F.col("_vid")).alias(out_col)))
+
+
 def effective_hours_on(hours: DataFrame, day: _dt.date) -> DataFrame:
     """(res_id, day, hours) for every venue with a current version on ``day``."""
     d = F.lit(day)

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from platewise.catalog import Catalog
 from platewise.functions import geo
-from platewise.functions.hours import effective_hours, open_at, seconds_of
+from platewise.functions.hours import open_at, seconds_of
 from platewise.functions.text import contains_ci, is_alnum_value, require_term
 from platewise.operators.branches import attach_cuisines, menu_branch
-from platewise.operators.calendar import current_hours
+from platewise.operators.calendar import attach_current_hours
 
 
 def _top(df: DataFrame, limit: int | None) -> DataFrame:
@@ -147,11 +147,9 @@ def advanced_search(cat: Catalog, res_name: str | None = None, dish_name: str |
         loc = _distance_candidates(cat, float(lat), float(lon), float(radius_km))
     else:
         loc = cat.coordinates.select(F.col("id").alias("id_restaurant"), F.lit(None).cast("double").alias("distance"))
-    day = F.lit(as_of.date())
-    today = (current_hours(cat.hours)
-             .select("id_restaurant", effective_hours(day).alias("hours")))
-    out = attach_cuisines(r.join(loc, "id_restaurant").join(branch, "id_restaurant")
-                          .join(today, "id_restaurant", "left"), cat)
+    cand = attach_current_hours(r.join(loc, "id_restaurant").join(branch, "id_restaurant"),
+                                cat.hours, as_of.date())
+    out = attach_cuisines(cand, cat)
     if now_open:
         out = out.where(open_at(F.col("hours"), seconds_of(F.lit(as_of)), overnight))
     cols = [F.col("id_restaurant").alias("res_id"),
