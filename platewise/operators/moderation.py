@@ -282,7 +282,8 @@ def moderate_hours(hours: DataFrame, proposals: DataFrame, mods: DataFrame,
         F.min_by("act", F.when(is_cmd, o)).alias("first_action"),
         F.max_by("actor", F.when(F.col("act") == "VER", o)).alias("last_ver_actor"),
         F.max_by("actor", F.when(F.col("act") == "DEL", o)).alias("last_del_actor")))
-    new = materialize(fate.select(
+    # derived deterministically from the checkpointed carry-forward: cheap to read twice
+    new = (fate.select(
         F.col("target").alias("id"), F.col("key").alias("id_restaurant"),
         *[F.col("payload")[d].alias(d) for d in WEEKDAYS], F.col("payload.special").alias("special"),
         F.col("payload.by").alias("updated_by"),
