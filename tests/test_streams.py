@@ -71,3 +71,24 @@ def test_snapshot_versions(spark):
     assert [tuple(r) for r in old.collect()] == [(1, "a")]          # readers of v1 are untouched
     snapshots.write_version(spark.createDataFrame([(9, "z")], "id long, v string"), root, 2)  # retry of v2
     assert [tuple(r) for r in snapshots.read_version(spark, root).collect()] == [(9, "z")]
+
+
+def test_stream_flags_order_free_across_batches(spark):
+    from tests.fixtures import catalog
+    cat = catalog(spark)
+    src = tempfile.mkdtemp(prefix="platewise-test-flags-")
+    m = lambda i: T0 + dt.timedelta(minutes=i)
+    rows = [(1, m(1), 2, "VER", 1, 0.0, 0.0), (2, m(2), 2, "DEL", 3, 0.0, 0.0),
+            (3, m(3), 2, "VER", 2, 0.0, 0.0), (4, m(4), 3, "VER", 3, 0.0, 0.0)]
+    for i, r in enumerate(reversed(rows)):            # newest first, one per micro-batch
+        _write(src, f"f{i}.parquet", [r])
+    schema = spark.read.parquet(src).schema
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+              .select("event_id", "ts", "key", "action", "actor"))
+    got = {r.id: (r.verified, r.deleted, r.verified_by)
+           for r in streams.stream_flags(spark, stream, cat.users, cat.restaurants).collect()}
+    batch = spark.createDataFrame([r[:5] for r in rows], "event_id long, ts timestamp, key long, action string, actor long")
+    exp = {r.id: (r.verified, r.deleted, r.verified_by)
+           for r in moderation.moderate_flags(cat.restaurants, batch, cat.users).collect()}
+    assert got == exp
+    assert got[2] == (True, True, 3) and got[3] == (True, False, 3)
