@@ -86,4 +86,11 @@ def special_problem(special: Column) -> Column:
 
 
 def seconds_of(ts: Column) -> Column:
+    """Seconds of day of a timestamp column (in the session time zone)."""
     return F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+
+
+def clock_of(as_of) -> Column:
+    """Seconds of day of a Python ``datetime`` parameter as a literal: the
+    wall-clock time the caller means, whatever the session time zone."""
+    return F.lit(as_of.hour * 3600 + as_of.minute * 60 + as_of.second)

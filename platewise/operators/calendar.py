@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from platewise.catalog import WEEKDAYS
 from platewise.functions.hours import (NO_DATA, date_key, effective_hours, open_at,
-                                       seconds_of, special_problem, valid_weekly_value)
+                                       clock_of, special_problem, valid_weekly_value)
 
 
 def current_hours(hours: DataFrame) -> DataFrame:
@@ -90,7 +90,7 @@ def open_now(restaurants: DataFrame, hours: DataFrame, as_of: _dt.datetime,
     d = F.lit(as_of.date())
     cur = current_hours(hours).select("id_restaurant", effective_hours(d).alias("hours"))
     r = restaurants.select(F.col("id").alias("id_restaurant"), F.col("name").alias("res_name"))
-    return (cur.where(open_at(F.col("hours"), seconds_of(F.lit(as_of)), overnight))
+    return (cur.where(open_at(F.col("hours"), clock_of(as_of), overnight))
             .join(r, "id_restaurant")
             .select(F.col("id_restaurant").alias("res_id"), "res_name", "hours"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from platewise.catalog import Catalog
 from platewise.functions import geo
-from platewise.functions.hours import open_at, seconds_of
+from platewise.functions.hours import clock_of, open_at
 from platewise.functions.text import contains_ci, is_alnum_value, require_term
 from platewise.operators.branches import attach_cuisines, menu_branch
 from platewise.operators.calendar import attach_current_hours
@@ -151,7 +151,7 @@ def advanced_search(cat: Catalog, res_name: str | None = None, dish_name: str |
                                 cat.hours, as_of.date())
     out = attach_cuisines(cand, cat)
     if now_open:
-        out = out.where(open_at(F.col("hours"), seconds_of(F.lit(as_of)), overnight))
+        out = out.where(open_at(F.col("hours"), clock_of(as_of), overnight))
     cols = [F.col("id_restaurant").alias("res_id"),
             (F.col("n_rows") * F.col("n_cuisine_rows")).cast("long").alias("sort_score"),
             F.col("name").alias("res_name"), F.col("opinion").alias("res_score"), "res_cuisines"]

@@ -296,7 +296,8 @@ def hours_proposals(t: dict[str, DataFrame]) -> DataFrame:
     (JSON text), some of them malformed on purpose."""
     c = commands(t).where(F.col("action") == "INSERT")
     fv = F.floor("value").cast("long")
-    day = F.date_add(F.to_date("ts"), 7)
+    # the event's own (zone-less) date: TIMESTAMP -> TIMESTAMP_NTZ undoes the cast in commands()
+    day = F.date_add(F.to_date(F.col("ts").cast("timestamp_ntz")), 7)
     key = F.when(fv % 11 == 0, F.date_format(day, "yyyy-MM-dd")).otherwise(F.date_format(day, "dd.MM.yyyy"))
     val = (F.when(fv % 7 == 3, F.lit(PROPOSAL_BAD_VALUE)).when(fv % 7 == 1, F.lit(PROPOSAL_CLOSED_VALUE))
            .otherwise(F.lit(PROPOSAL_OPEN_VALUE)))
