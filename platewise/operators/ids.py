@@ -17,10 +17,18 @@ from platewise.session import checkpoint_dir
 
 
 def assign_ids(df: DataFrame, order_cols: list[str], start: Column | int = 0,
-               id_col: str = "id", num_partitions: int | None = None) -> DataFrame:
+               id_col: str = "id", num_partitions: int | None = None,
+               block_size_col: str | None = None, block_start: Column | int = 0,
+               block_col: str = "block_start") -> DataFrame:
     """Add ``id_col`` = ``start`` + 1-based rank of ``order_cols`` (must be unique).
 
-    ``start`` may be a scalar Column such as ``existing.select(max('id')).scalar()``.
+    ``start`` may be a scalar Column such as ``next_id_after(existing)``.
+
+    With ``block_size_col`` every row also reserves that many consecutive ids
+    of a second sequence: ``block_col`` is the first of them
+    (``block_start`` + sizes of all earlier rows + 1).  Child rows (e.g. the
+    ingredients of a dish request) then take ``block_col + position`` without
+    a second numbering pass.
 
     The range-partitioned, locally numbered rows are written once with a
     reliable ``checkpoint()`` (into ``spark.checkpoint.dir``): both the
@@ -40,14 +48,28 @@ def assign_ids(df: DataFrame, order_cols: list[str], start: Column | int = 0,
     numbered = (numbered.withColumn("_pid", F.shiftright("_mid", 33))
                 .withColumn("_rn", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)) + 1)
                 .drop("_mid"))
-    counts = numbered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
+    aggs = [F.count(F.lit(1)).alias("_cnt")]
+    if block_size_col:
+        aggs.append(F.sum(F.col(block_size_col).cast("long")).alias("_bsum"))
+        # running block sizes inside each partition slice (a slice is bounded by the partition size)
+        w_in = Window.partitionBy("_pid").orderBy("_rn").rowsBetween(Window.unboundedPreceding, -1)
+        numbered = numbered.withColumn(
+            "_bin", F.coalesce(F.sum(F.col(block_size_col).cast("long")).over(w_in), F.lit(0)))
+    counts = numbered.groupBy("_pid").agg(*aggs)
     # a table with one row per partition: its window runs on a bounded input
-    offsets = counts.select(
-        "_pid", F.coalesce(F.sum("_cnt").over(Window.orderBy("_pid").rowsBetween(
-            Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    return (numbered.join(F.broadcast(offsets), "_pid")
-            .withColumn(id_col, (F.coalesce(start_c, F.lit(0)) + F.col("_off") + F.col("_rn")).cast("long"))
-            .drop("_pid", "_rn", "_off"))
+    w_prev = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = [F.coalesce(F.sum("_cnt").over(w_prev), F.lit(0)).alias("_off")]
+    if block_size_col:
+        offs.append(F.coalesce(F.sum("_bsum").over(w_prev), F.lit(0)).alias("_boff"))
+    offsets = counts.select("_pid", *offs)
+    out = (numbered.join(F.broadcast(offsets), "_pid")
+           .withColumn(id_col, (F.coalesce(start_c, F.lit(0)) + F.col("_off") + F.col("_rn")).cast("long")))
+    if block_size_col:
+        b0 = block_start if isinstance(block_start, Column) else F.lit(block_start)
+        out = (out.withColumn(block_col, (F.coalesce(b0, F.lit(0)) + F.col("_boff") + F.col("_bin") + 1)
+                              .cast("long"))
+               .drop("_boff", "_bin"))
+    return out.drop("_pid", "_rn", "_off")
 
 
 def next_id_after(existing: DataFrame, col: str = "id") -> Column:

@@ -123,16 +123,20 @@ def ingest_dishes(dishes: DataFrame, ingredients: DataFrame, allergens: DataFram
     """
     req = validate_dish_requests(parse_dish_requests(_known(requests, users)), restaurants)
     rejects = req.where(~F.col("valid")).select("req_id", "reason")
-    ok = assign_ids(req.where(F.col("valid")), ["req_id"], start=next_id_after(dishes))
+    # dish ids and, in the same pass, a block of ingredient ids per request
+    ok = assign_ids(req.where(F.col("valid")).withColumn("_n_ing", F.size(F.coalesce(
+                        "ingredients", F.array().cast(DISH_REQUEST_SCHEMA["ingredients"].dataType)))),
+                    ["req_id"], start=next_id_after(dishes),
+                    block_size_col="_n_ing", block_start=next_id_after(ingredients), block_col="_ing0")
     new_dishes = ok.select("id", "name", F.col("calories").cast("int").alias("calories"), "price",
                            "weight", F.coalesce("vegetarian", F.lit(False)).alias("vegetarian"),
                            F.coalesce("vegan", F.lit(False)).alias("vegan"))
     new_menu = ok.select(F.col("res_id").alias("id_restaurant"), F.col("id").alias("id_dish"),
                          F.lit(False).alias("verified"), F.col("actor").alias("updated_by"),
                          F.lit(0).cast("long").alias("verified_by"), F.lit(False).alias("deleted"))
-    ing_rows = ok.select("req_id", F.col("id").alias("id_dish"),
-                         F.posexplode("ingredients").alias("pos", "ing"))
-    ing_rows = assign_ids(ing_rows, ["req_id", "pos"], start=next_id_after(ingredients))
+    ing_rows = (ok.select("req_id", F.col("id").alias("id_dish"), "_ing0",
+                          F.posexplode("ingredients").alias("pos", "ing"))
+                .withColumn("id", (F.col("_ing0") + F.col("pos")).cast("long")))
     new_ingredients = ing_rows.select("id", F.col("ing.name").alias("name"),
                                       F.lit(False).alias("vegetarian"), F.lit(False).alias("vegan"))
     dish_links = ing_rows.select(F.col("id").alias("id_ingredient"), "id_dish")

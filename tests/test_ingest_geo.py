@@ -184,3 +184,18 @@ def test_validate_users_chain(cat, spark):
                                  "reg_id long, ts timestamp, login string, email string")
     got = {r.reg_id: r.reason for r in ingest.validate_users(cat.users, regs).collect()}
     assert got == {1: None, 2: "duplicate in batch", 3: None}
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_assign_id_blocks(spark, parts):
+    rnd = random.Random(parts)
+    rows = [(k, rnd.randint(0, 4)) for k in rnd.sample(range(1000), 120)]
+    df = spark.createDataFrame(rows, "k long, n int")
+    out = sorted(assign_ids(df, ["k"], start=0, num_partitions=parts, block_size_col="n",
+                            block_start=500, block_col="b").collect(), key=lambda r: r.k)
+    expected, nxt = [], 501
+    for k, n in sorted(rows):
+        expected.append((k, nxt))
+        nxt += n
+    assert [(r.k, r.b) for r in out] == expected
+    assert [r.id for r in out] == list(range(1, 121))
