@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 VERSION_COL = "version"
 
 
-def write_version(df: DataFrame, root: str, version: int) -> None:
+def write_version(df: DataFrame, root: str, version: int, extra_partitions: tuple[str, ...] = ()) -> None:
+    """Write ``df`` as ``version`` (optionally also partitioned by ``extra_partitions``)."""
     (df.withColumn(VERSION_COL, F.lit(int(version)).cast("long")).write.mode("overwrite")
-       .option("partitionOverwriteMode", "dynamic").partitionBy(VERSION_COL).parquet(root))
+       .option("partitionOverwriteMode", "dynamic").partitionBy(VERSION_COL, *extra_partitions).parquet(root))
 
 
 def latest_version(spark: SparkSession, root: str, before: int | None = None) -> int | None:

@@ -64,15 +64,19 @@ def stream_flags(spark: SparkSession, commands: DataFrame, users: DataFrame,
     return moderation.apply_flag_changes(snapshot, ch, ["id"], ["key"])
 
 
+LOG_BUCKETS = 64
+
+
 def stream_locations(spark: SparkSession, location_cmds: DataFrame, coordinates: DataFrame,
                      out: str | None = None) -> DataFrame:
     """T2: keep the coordinates snapshot current under a stream of gated
     location commands (columns of :func:`moderation.location_commands`).
 
-    Each micro-batch is appended to a command log, and only the keys it
-    touched are recomputed from their whole log (so a late command is
-    replayed in (ts, event_id) order); a new snapshot version is written per
-    epoch.  Log and snapshots are partitioned by epoch and written with
+    Each micro-batch is appended to a command log partitioned by a hash
+    bucket of the key, and only the keys it touched are recomputed from their
+    whole log (so a late command is replayed in (ts, event_id) order); the
+    read of the log prunes the buckets no touched key falls into.  A new
+    snapshot version is written per epoch.  Log and snapshots are partitioned by epoch and written with
     dynamic partition overwrite, so a retried batch or a restarted query
     neither duplicates commands nor loses the latest snapshot.
     """
@@ -80,11 +84,14 @@ def stream_locations(spark: SparkSession, location_cmds: DataFrame, coordinates:
     log_path, snap_root = f"{out}/log", f"{out}/snapshots"
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        snapshots.write_version(batch, log_path, epoch)
-        touched = batch.select(F.col("key").alias("id")).distinct()
+        b = batch.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(LOG_BUCKETS)))
+        snapshots.write_version(b, log_path, epoch, extra_partitions=("bucket",))
+        touched_keys = b.select("key", "bucket").distinct()
+        touched = touched_keys.select(F.col("key").alias("id"))
+        # bucket is a partition column of the log: the semi join prunes untouched buckets
         log = (spark.read.parquet(log_path).where(F.col(snapshots.VERSION_COL) <= epoch)
-               .drop(snapshots.VERSION_COL)
-               .join(touched.withColumnRenamed("id", "key"), "key", "left_semi"))
+               .join(touched_keys, ["bucket", "key"], "left_semi")
+               .drop(snapshots.VERSION_COL, "bucket"))
         before = snapshots.latest_version(spark, snap_root, before=epoch)
         prev = coordinates if before is None else snapshots.read_version(spark, snap_root, before)
         base = coordinates.join(touched, "id", "left_semi")
