@@ -383,3 +383,18 @@ def registrations(t: dict[str, DataFrame]) -> DataFrame:
         F.concat(F.lower(login), F.lit("@mail.example.org")))
     return e.select(F.col("event_id").alias("reg_id"), F.col("ts").cast("timestamp").alias("ts"),
                     login.alias("login"), email.alias("email"))
+
+
+def load(spark: SparkSession, sf_dir: str, root: str) -> Catalog:
+    """Write every role table once as parquet under ``root`` and return a
+    catalogue reading those files: the deployment setting, where venues,
+    menus, links ... are base tables rather than views over the fact tables.
+    (Registered queries use the lazy :func:`bind`; this is the "loaded" form.)
+    """
+    cat = bind(spark, sf_dir)
+    tables = {}
+    for name in Catalog.__dataclass_fields__:
+        path = f"{root.rstrip('/')}/{name}"
+        getattr(cat, name).write.mode("overwrite").parquet(path)
+        tables[name] = spark.read.parquet(path)
+    return Catalog(**tables)

@@ -39,3 +39,12 @@ def test_one_location_and_hours_row_per_venue(cat):
     n = cat.restaurants.count()
     assert cat.coordinates.count() == n
     assert cat.hours.select("id_restaurant").distinct().count() == n
+
+
+def test_loaded_catalog_gives_the_same_answers(cat, spark):
+    import tempfile
+    from platewise.operators import search
+    loaded = roles.load(spark, SF, tempfile.mkdtemp(prefix="platewise-test-catalog-"))
+    a = sorted(tuple(r) for r in search.search_by_dish(cat, "red").collect())
+    b = sorted(tuple(r) for r in search.search_by_dish(loaded, "red").collect())
+    assert a == b and a
