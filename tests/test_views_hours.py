@@ -110,3 +110,31 @@ def test_rows_as_json(cat):
     from platewise.sources.files import rows_as_json
     got = [r.json for r in rows_as_json(cat.cuisines.orderBy("id")).collect()]
     assert got[0] == '{"id":1,"type":"Thai"}'
+
+
+def test_weekday_name_and_date_key(spark):
+    from platewise.functions.hours import date_key, weekday_name
+    df = spark.createDataFrame([(dt.date(2025, 1, 5) + dt.timedelta(days=i),) for i in range(7)], "d date")
+    got = [(r.k, r.w) for r in df.orderBy("d").select(date_key(F.col("d")).alias("k"),
+                                                      weekday_name(F.col("d")).alias("w")).collect()]
+    assert [w for _, w in got] == ["sun", "mon", "tue", "wed", "thu", "fri", "sat"]   # 5 Jan 2025 is a Sunday
+    assert got[0][0] == "05.01.2025"
+
+
+def test_json_array_sources_and_sink(spark, tmp_path):
+    import json
+    from pyspark.sql import types as T
+    from platewise.sources.files import read_json_arrays, write_json_arrays
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType())])
+    whole = tmp_path / "whole"
+    whole.mkdir()
+    (whole / "dishes.json").write_text(json.dumps([{"id": 1, "name": "a"}, {"id": 2, "name": "b"}], indent=4))
+    got = sorted(tuple(r) for r in read_json_arrays(spark, str(whole), schema, whole_file=True).collect())
+    assert got == [(1, "a"), (2, "b")]
+    df = spark.createDataFrame([(i, f"n{i}") for i in range(1000)], schema)
+    out = str(tmp_path / "arrays")
+    write_json_arrays(df, out, rows_per_array=64)
+    lines = [x.value for x in spark.read.text(out).collect()]
+    assert all(x.startswith("[") and len(json.loads(x)) <= 64 for x in lines)
+    assert sorted(tuple(r) for r in read_json_arrays(spark, out, schema).collect()) == \
+        [(i, f"n{i}") for i in range(1000)]
