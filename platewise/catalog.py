@@ -49,3 +49,31 @@ class Catalog:
     def with_tables(self, **tables: DataFrame) -> "Catalog":
         """A new catalogue with some tables replaced (snapshots are immutable)."""
         return replace(self, **tables)
+
+
+class LazyCatalog:
+    """A catalogue whose tables are built on first use.
+
+    Same attributes and ``with_tables`` as :class:`Catalog`; a query that
+    touches five tables never analyses the plans of the other nine.
+    """
+
+    _FIELDS = tuple(Catalog.__dataclass_fields__)
+
+    def __init__(self, builders, overrides=None):
+        self._builders = builders
+        self._built = dict(overrides or {})
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_") or name not in self._FIELDS:
+            raise AttributeError(name)
+        if name not in self._built:
+            self._built[name] = self._builders[name]()
+        return self._built[name]
+
+    def with_tables(self, **tables: DataFrame) -> "LazyCatalog":
+        return LazyCatalog(self._builders, {**self._built, **tables})
+
+    def materialized(self) -> Catalog:
+        """All tables as a plain :class:`Catalog`."""
+        return Catalog(**{f: getattr(self, f) for f in self._FIELDS})

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platewise.catalog import Catalog
+from platewise.catalog import Catalog, LazyCatalog
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
@@ -40,8 +40,23 @@ SECOND_VERSION_OFFSET = 1_000_000_000_000
 ACTIONS = {"purchase": "VER", "error": "DEL", "signup": "UPDATE", "click": "INSERT"}
 
 
+_TABLES: dict[tuple, dict[str, DataFrame]] = {}
+_CATALOGS: dict[tuple, "LazyCatalog"] = {}
+
+
+def _key(spark: SparkSession, sf_dir: str) -> tuple:
+    # one entry per running Spark application and data folder (the files are read-only)
+    return spark.sparkContext.applicationId, id(spark), sf_dir
+
+
 def read_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
+    """Table handles, opened once per application and folder: listing the
+    files and reading the parquet footers is driver work worth doing once.
+    DataFrames are immutable; every query still reads and computes in full."""
+    k = _key(spark, sf_dir)
+    if k not in _TABLES:
+        _TABLES[k] = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
+    return _TABLES[k]
 
 
 def _pick(values: list[str], idx) -> F.Column:
@@ -265,15 +280,15 @@ def commands(t: dict[str, DataFrame]) -> DataFrame:
         "value"))
 
 
-def bind(spark: SparkSession, sf_dir: str) -> Catalog:
-    t = read_tables(spark, sf_dir)
-    return Catalog(
-        restaurants=restaurants(t), cuisines=cuisines(t), restaurant_cuisines=restaurant_cuisines(t),
-        dishes=dishes(t), menu=menu(t), ingredients=ingredients(t),
-        dish_ingredients=dish_ingredients(t), allergens=allergens(t),
-        ingredient_allergens=ingredient_allergens(t), coordinates=coordinates(t),
-        hours=hours(t), comments=comments(t), restaurant_comments=restaurant_comments(t),
-        users=users(t))
+def bind(spark: SparkSession, sf_dir: str) -> LazyCatalog:
+    """The catalogue over the driver tables; each role is built on first use
+    and the handles are kept per application and folder."""
+    k = _key(spark, sf_dir)
+    if k not in _CATALOGS:
+        t = read_tables(spark, sf_dir)
+        builders = {name: (lambda f=globals()[name]: f(t)) for name in Catalog.__dataclass_fields__}
+        _CATALOGS[k] = LazyCatalog(builders)
+    return _CATALOGS[k]
 
 
 # Fixed values of the derived request payloads (shared with the SQL oracle).
