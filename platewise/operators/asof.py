@@ -28,10 +28,9 @@ def carry_forward(df: DataFrame, key: str, order_cols: list[str], value_col: str
                   out_col: str, num_partitions: int | None = None) -> DataFrame:
     """Add ``out_col`` = last non-null ``value_col`` at or before each row
     (ordered by ``order_cols``, which must be unique within a key)."""
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sliced = (df.repartitionByRange(n, key, *order_cols)
-              .withColumn("_slice", F.spark_partition_id()))
+    ranged = (df.repartitionByRange(num_partitions, key, *order_cols) if num_partitions
+              else df.repartitionByRange(key, *order_cols))      # AQE sizes the slices
+    sliced = ranged.withColumn("_slice", F.spark_partition_id())
     w_local = (Window.partitionBy("_slice", key).orderBy(*order_cols)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = materialize(sliced.withColumn("_local", F.last(value_col, ignorenulls=True).over(w_local)))

@@ -38,9 +38,12 @@ def assign_ids(df: DataFrame, order_cols: list[str], start: Column | int = 0,
     """
     spark = df.sparkSession
     checkpoint_dir(spark)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     start_c = start if isinstance(start, Column) else F.lit(start)
-    numbered = (df.repartitionByRange(n, *order_cols)
+    # without a fixed count AQE sizes the range exchange from the data; merging
+    # adjacent range partitions keeps the order, so ids stay ordered by key
+    ranged = (df.repartitionByRange(num_partitions, *order_cols) if num_partitions
+              else df.repartitionByRange(*order_cols))
+    numbered = (ranged
                 .sortWithinPartitions(*order_cols)
                 # partition index in the high bits, position in the partition in the low 33 bits
                 .withColumn("_mid", F.monotonically_increasing_id())
