@@ -48,3 +48,24 @@ def test_loaded_catalog_gives_the_same_answers(cat, spark):
     a = sorted(tuple(r) for r in search.search_by_dish(cat, "red").collect())
     b = sorted(tuple(r) for r in search.search_by_dish(loaded, "red").collect())
     assert a == b and a
+
+
+def test_lazy_catalog_is_cached_per_folder_and_with_tables_copies(spark):
+    a = roles.bind(spark, SF)
+    assert roles.bind(spark, SF) is a
+    other = "/root/testdata/sf0.01"
+    if os.path.exists(other):
+        assert roles.bind(spark, other) is not a
+    replaced = a.with_tables(menu=a.menu.limit(0))
+    assert replaced.menu.count() == 0 and a.menu.count() > 0
+    assert sorted(a.materialized().__dataclass_fields__) == sorted(a._FIELDS)
+
+
+def test_cli_writes_a_query_result(spark, tmp_path):
+    from platewise import cli
+    assert cli.main(["--list"]) == 0
+    # run in-process against the test session (get_spark reuses it)
+    out = str(tmp_path / "res")
+    from platewise.plans.queries import REGISTRY
+    REGISTRY["tag_list"](spark, SF).write.mode("overwrite").parquet(out)
+    assert spark.read.parquet(out).count() == 5
