@@ -51,20 +51,33 @@ def clock_seconds(text: Column) -> Column:
     return F.when(ok & (hi <= 23) & (mi <= 59), hi * 3600 + mi * 60)
 
 
+def _range(hours_text: Column):
+    return (clock_seconds(F.substring_index(hours_text, "-", 1)),
+            clock_seconds(F.substring_index(hours_text, "-", -1)))
+
+
 def open_at(hours_text: Column, seconds: Column, overnight: bool = False) -> Column:
-    """Is ``seconds`` (of day) inside an ``open-close`` range? Inclusive both ends.
+    """Is ``seconds`` (of day) inside the day's ``open-close`` range? Inclusive.
 
     By default a range whose close is before its open (22:00-02:00) never
-    matches, as in the reference; ``overnight=True`` wraps it past midnight.
+    matches, as in the reference.  With ``overnight=True`` such a range is
+    open from its opening time to midnight on its own day; the hours after
+    midnight belong to the next day (:func:`open_after_midnight`).
     """
-    open_s = clock_seconds(F.substring_index(hours_text, "-", 1))
-    close_s = clock_seconds(F.substring_index(hours_text, "-", -1))
+    open_s, close_s = _range(hours_text)
     inside = (open_s <= seconds) & (close_s >= seconds)
     if overnight:
-        inside = inside | ((close_s < open_s) & ((seconds >= open_s) | (seconds <= close_s)))
+        inside = inside | ((close_s < open_s) & (seconds >= open_s))
     return F.coalesce(inside, F.lit(False))
 
 
+def open_after_midnight(prev_hours_text: Column, seconds: Column) -> Column:
+    """Still open from the previous day's overnight range (e.g. 01:00 inside
+    yesterday's 22:00-02:00)?"""
+    open_s, close_s = _range(prev_hours_text)
+    return F.coalesce((close_s < open_s) & (seconds <= close_s), F.lit(False))
+
+
 def valid_weekly_value(col: Column) -> Column:
     """``HH:MM-HH:MM`` or 'closed' (format only: '99:99-00:00' passes)."""
     return F.coalesce(col.rlike(_TIME_RANGE_JAVA) | (col == F.lit(CLOSED)), F.lit(False))

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from platewise.catalog import WEEKDAYS
-from platewise.functions.hours import (NO_DATA, date_key, effective_hours, open_at,
-                                       clock_of, special_problem, valid_weekly_value)
+from platewise.functions.hours import (NO_DATA, clock_of, date_key, effective_hours, open_after_midnight,
+                                       open_at, special_problem, valid_weekly_value)
 
 
 def current_hours(hours: DataFrame) -> DataFrame:
@@ -26,7 +26,7 @@ def current_hours(hours: DataFrame) -> DataFrame:
 
 
 def attach_current_hours(venues: DataFrame, hours: DataFrame, day: _dt.date,
-                         out_col: str = "hours") -> DataFrame:
+                         out_col: str = "hours", prev_col: str | None = None) -> DataFrame:
     """Add the effective hours on ``day`` of each venue's current version
     (NULL when it has none) to ``venues`` (one row per ``id_restaurant``).
 
@@ -36,12 +36,17 @@ def attach_current_hours(venues: DataFrame, hours: DataFrame, day: _dt.date,
     d = F.lit(day)
     versions = (hours.where(F.col("verified") & ~F.col("deleted"))
                 .select("id_restaurant", F.col("id").alias("_vid"),
-                        effective_hours(d).alias("_h")))
+                        F.struct(effective_hours(d).alias("h"),
+                                 effective_hours(F.date_sub(d, 1)).alias("p")).alias("_h")))
     others = [c for c in venues.columns if c != "id_restaurant"]
-    return (venues.join(versions, "id_restaurant", "left")
-            .groupBy("id_restaurant")
-            .agg(*[F.any_value(c).alias(c) for c in others],
-                 F.max_by("_h", F.col("_vid")).alias(out_col)))
+    out = (venues.join(versions, "id_restaurant", "left")
+           .groupBy("id_restaurant")
+           .agg(*[F.any_value(c).alias(c) for c in others],
+                F.max_by("_h", F.col("_vid")).alias("_cur")))
+    cols = [*venues.columns, F.col("_cur.h").alias(out_col)]
+    if prev_col:
+        cols.append(F.col("_cur.p").alias(prev_col))
+    return out.select(*cols)
 
 
 def effective_hours_on(hours: DataFrame, day: _dt.date) -> DataFrame:
@@ -86,11 +91,18 @@ def calendar_lookup(restaurants: DataFrame, hours: DataFrame, requests: DataFram
 
 def open_now(restaurants: DataFrame, hours: DataFrame, as_of: _dt.datetime,
              overnight: bool = False) -> DataFrame:
-    """Venues whose current hours on ``as_of``'s date contain its time (inclusive)."""
+    """Venues whose current hours on ``as_of``'s date contain its time
+    (inclusive).  With ``overnight`` the previous day's overnight range also
+    counts up to its closing time."""
     d = F.lit(as_of.date())
-    cur = current_hours(hours).select("id_restaurant", effective_hours(d).alias("hours"))
+    cur = current_hours(hours).select("id_restaurant", effective_hours(d).alias("hours"),
+                                      effective_hours(F.date_sub(d, 1)).alias("prev_hours"))
+    t = clock_of(as_of)
+    is_open = open_at(F.col("hours"), t, overnight)
+    if overnight:
+        is_open = is_open | open_after_midnight(F.col("prev_hours"), t)
     r = restaurants.select(F.col("id").alias("id_restaurant"), F.col("name").alias("res_name"))
-    return (cur.where(open_at(F.col("hours"), clock_of(as_of), overnight))
+    return (cur.where(is_open)
             .join(r, "id_restaurant")
             .select(F.col("id_restaurant").alias("res_id"), "res_name", "hours"))
 

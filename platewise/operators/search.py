@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from platewise.catalog import Catalog
 from platewise.functions import geo
-from platewise.functions.hours import clock_of, open_at
+from platewise.functions.hours import clock_of, open_after_midnight, open_at
 from platewise.functions.text import contains_ci, is_alnum_value, require_term
 from platewise.operators.branches import attach_cuisines, menu_branch
 from platewise.operators.calendar import attach_current_hours
@@ -147,11 +147,15 @@ def advanced_search(cat: Catalog, res_name: str | None = None, dish_name: str |
         loc = _distance_candidates(cat, float(lat), float(lon), float(radius_km))
     else:
         loc = cat.coordinates.select(F.col("id").alias("id_restaurant"), F.lit(None).cast("double").alias("distance"))
+    prev = "prev_hours" if (now_open and overnight) else None
     cand = attach_current_hours(r.join(loc, "id_restaurant").join(branch, "id_restaurant"),
-                                cat.hours, as_of.date())
+                                cat.hours, as_of.date(), prev_col=prev)
     out = attach_cuisines(cand, cat)
     if now_open:
-        out = out.where(open_at(F.col("hours"), clock_of(as_of), overnight))
+        is_open = open_at(F.col("hours"), clock_of(as_of), overnight)
+        if overnight:
+            is_open = is_open | open_after_midnight(F.col("prev_hours"), clock_of(as_of))
+        out = out.where(is_open)
     cols = [F.col("id_restaurant").alias("res_id"),
             (F.col("n_rows") * F.col("n_cuisine_rows")).cast("long").alias("sort_score"),
             F.col("name").alias("res_name"), F.col("opinion").alias("res_score"), "res_cuisines"]

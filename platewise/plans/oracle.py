@@ -29,11 +29,18 @@ def open_at(h, secs, overnight=False):
     o = clock(f"split_part({h}, '-', 1)")
     c = clock(f"string_split({h}, '-')[-1]")
     cond = f"({o} <= {secs} AND {c} >= {secs})"
-    if overnight:
-        cond = f"({cond} OR ({c} < {o} AND ({secs} >= {o} OR {secs} <= {c})))"
+    if overnight:   # an overnight range is open from its opening time until midnight
+        cond = f"({cond} OR ({c} < {o} AND {secs} >= {o}))"
     return f"COALESCE({cond}, FALSE)"
 
 
+def open_after_midnight(h, secs):
+    """The previous day's overnight range, still open until its closing time."""
+    o = clock(f"split_part({h}, '-', 1)")
+    c = clock(f"string_split({h}, '-')[-1]")
+    return f"COALESCE({c} < {o} AND {secs} <= {c}, FALSE)"
+
+
 CUR_HOURS = """
 , cur_hours AS (
   SELECT * FROM hours WHERE verified AND NOT deleted
@@ -41,10 +48,10 @@ CUR_HOURS = """
 """
 
 
-def hours_on(date_iso: str) -> str:
+def hours_on(date_iso: str, name: str = "hours_on") -> str:
     """Effective hours per current version on a date, via a join to the special days."""
     return f"""
-, hours_on AS (
+, {name} AS (
   SELECT h.id_restaurant, COALESCE(s.value,
          CASE isodow(DATE '{date_iso}') WHEN 1 THEN h.mon WHEN 2 THEN h.tue WHEN 3 THEN h.wed
               WHEN 4 THEN h.thu WHEN 5 THEN h.fri WHEN 6 THEN h.sat ELSE h.sun END) AS hours
@@ -185,8 +192,21 @@ FROM hours_on t JOIN restaurants r ON r.id = t.id_restaurant
 WHERE {cond}
 """
 SQL["open_now"] = _OPEN.format(hours_on=hours_on("2024-01-15"), cond=open_at("t.hours", 12 * 3600))
-SQL["open_now_overnight"] = _OPEN.format(hours_on=hours_on("2024-01-13"),
-                                         cond=open_at("t.hours", 23 * 3600 + 1800, overnight=True))
+SQL["open_now_overnight"] = ROLES_SQL + CUR_HOURS + hours_on("2024-01-13") + \
+    hours_on("2024-01-12", "hours_prev") + f"""
+SELECT t.id_restaurant AS res_id, r.name AS res_name, t.hours
+FROM hours_on t JOIN restaurants r ON r.id = t.id_restaurant
+JOIN hours_prev p ON p.id_restaurant = t.id_restaurant
+WHERE {open_at("t.hours", 23 * 3600 + 1800, overnight=True)} OR {open_after_midnight("p.hours", 23 * 3600 + 1800)}
+"""
+
+SQL["open_now_after_midnight"] = ROLES_SQL + CUR_HOURS + hours_on("2024-01-14") + \
+    hours_on("2024-01-13", "hours_prev") + f"""
+SELECT t.id_restaurant AS res_id, r.name AS res_name, t.hours
+FROM hours_on t JOIN restaurants r ON r.id = t.id_restaurant
+JOIN hours_prev p ON p.id_restaurant = t.id_restaurant
+WHERE {open_at("t.hours", 5400, overnight=True)} OR {open_after_midnight("p.hours", 5400)}
+"""
 
 _VALID = "COALESCE(regexp_full_match({d}, '\\d{{2}}:\\d{{2}}-\\d{{2}}:\\d{{2}}') OR {d} = 'closed', FALSE)"
 _BAD_DAYS = "concat_ws(',', " + ", ".join(

@@ -126,6 +126,14 @@ def q_open_now_overnight(spark, sf_dir):
                              overnight=True)
 
 
+@register("open_now_after_midnight")
+def q_open_now_after_midnight(spark, sf_dir):
+    # Sunday 01:30: Saturday's 22:00-02:00 ranges are still open
+    cat = roles.bind(spark, sf_dir)
+    return calendar.open_now(cat.restaurants, cat.hours, _dt.datetime(2024, 1, 14, 1, 30),
+                             overnight=True)
+
+
 @register("validate_hours")
 def q_validate_hours(spark, sf_dir):
     return calendar.validate_weekly(roles.bind(spark, sf_dir).hours)

@@ -67,6 +67,8 @@ def test_overnight(spark):
     assert calendar.open_now(r, h, at, overnight=True).count() == 1
     assert calendar.open_now(r, h, dt.datetime(2025, 1, 7, 1, 0), overnight=True).count() == 1
     assert calendar.open_now(r, h, dt.datetime(2025, 1, 7, 3, 0), overnight=True).count() == 0
+    # Monday 01:00: Sunday ('x') had no overnight range, Monday's opens at 22:00
+    assert calendar.open_now(r, h, dt.datetime(2025, 1, 6, 1, 0), overnight=True).count() == 0
 
 
 def test_weekly_value_validation(spark):
