@@ -635,11 +635,11 @@ FROM new_ings n LEFT JOIN wanted w ON w.id_ingredient = n.id_ingredient
 LEFT JOIN all_allergens a ON a.name = w.allergen
 """
 
-# In-batch rule: "first candidate per login and per e-mail".  The library
-# computes the exact one-at-a-time outcome (peeling rounds, tested against a
-# sequential fold); on these registrations login and e-mail determine each
-# other for every candidate, so both rules give the same answer here.
-SQL["validate_users"] = ROLES_SQL + """
+# The in-batch rule as the reference applies it: one registration at a time,
+# each taking its login and e-mail if both are still free.  Written as a
+# recursive walk over the batch in (ts, reg_id) order carrying the taken sets:
+# an independent formulation of the library's peeling rounds.
+SQL["validate_users"] = ROLES_SQL.replace("WITH", "WITH RECURSIVE", 1) + """
 , regs AS (
   SELECT event_id AS reg_id, ts, CAST(floor(value) AS BIGINT) AS fv, user_id,
          json_extract_string(props, '$.k') AS actor
@@ -659,17 +659,23 @@ SQL["validate_users"] = ROLES_SQL + """
       WHEN NOT regexp_full_match(email, '[a-z0-9._%+\\-]+@[a-z0-9.\\-]+\\.[a-z]{2,}') THEN 'bad email'
       WHEN NOT (regexp_full_match(login, '[A-Za-z0-9]+') AND length(login) BETWEEN 4 AND 20) THEN 'bad login'
       WHEN login IN (SELECT login FROM users) THEN 'login taken'
-      WHEN email IN (SELECT email FROM users) THEN 'email taken' END AS reason0
+      WHEN email IN (SELECT email FROM users) THEN 'email taken' END AS reason0,
+    row_number() OVER (ORDER BY ts, reg_id) AS rn
   FROM regs3)
-, firsts AS (
-  SELECT reg_id,
-         row_number() OVER (PARTITION BY login ORDER BY ts, reg_id) AS rl,
-         row_number() OVER (PARTITION BY email ORDER BY ts, reg_id) AS re
-  FROM r1 WHERE reason0 IS NULL)
-SELECT r1.reg_id, login, email,
-       COALESCE(reason0, CASE WHEN f.rl > 1 OR f.re > 1 THEN 'duplicate in batch' END) IS NULL AS valid,
-       COALESCE(reason0, CASE WHEN f.rl > 1 OR f.re > 1 THEN 'duplicate in batch' END) AS reason
-FROM r1 LEFT JOIN firsts f ON f.reg_id = r1.reg_id
+, walk(rn, reg_id, reason, logins, emails) AS (
+  SELECT 0, CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[])
+  UNION ALL
+  SELECT r.rn, r.reg_id,
+         CASE WHEN r.reason0 IS NOT NULL THEN r.reason0
+              WHEN list_contains(w.logins, r.login) OR list_contains(w.emails, r.email) THEN 'duplicate in batch'
+         END,
+         CASE WHEN r.reason0 IS NULL AND NOT list_contains(w.logins, r.login)
+                   AND NOT list_contains(w.emails, r.email) THEN list_append(w.logins, r.login) ELSE w.logins END,
+         CASE WHEN r.reason0 IS NULL AND NOT list_contains(w.logins, r.login)
+                   AND NOT list_contains(w.emails, r.email) THEN list_append(w.emails, r.email) ELSE w.emails END
+  FROM walk w JOIN r1 r ON r.rn = w.rn + 1)
+SELECT r1.reg_id, r1.login, r1.email, w.reason IS NULL AS valid, w.reason
+FROM walk w JOIN r1 ON r1.reg_id = w.reg_id
 """
 
 # -- sources, sinks and dataset steps ---------------------------------------------------
