@@ -483,29 +483,46 @@ SQL["validate_special"] = ROLES_SQL + _PROPOSALS + """
 SELECT event_id, special_text, reason IS NULL AS valid, reason FROM checked
 """
 
-SQL["moderate_hours"] = ROLES_SQL + _PROPOSALS + f"""
+# The hours fold as a sequential walk: per venue, its valid proposals and
+# gated VER/DEL commands in (ts, event_id) order, carrying the list of
+# versions; VER/DEL act on the newest proposal so far, VER only when it is not
+# deleted (then every other version is deleted), DEL only when it is not
+# verified.  Independent of the library's "first command decides" reasoning.
+SQL["moderate_hours"] = ROLES_SQL.replace("WITH", "WITH RECURSIVE", 1) + _PROPOSALS + f"""
 , valid_props AS (
   SELECT * FROM checked WHERE reason IS NULL AND {_KNOWN} AND key IN (SELECT id FROM restaurants))
 , mods AS (SELECT * FROM commands WHERE action IN ('VER', 'DEL') AND key > 0 AND {_ADMIN})
-, targeted AS (
-  SELECT m.*, (SELECT p.event_id FROM valid_props p WHERE p.key = m.key
-                 AND (p.ts < m.ts OR (p.ts = m.ts AND p.event_id < m.event_id))
-               ORDER BY p.ts DESC, p.event_id DESC LIMIT 1) AS target
-  FROM mods m)
-, ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY target ORDER BY ts, event_id) AS rn
-  FROM targeted WHERE target IS NOT NULL)
-, first_cmd AS (SELECT target, action AS first_action FROM ranked WHERE rn = 1)
-, last_same AS (
-  SELECT r.target, r.actor FROM ranked r JOIN first_cmd f ON f.target = r.target AND r.action = f.first_action
-  QUALIFY row_number() OVER (PARTITION BY r.target ORDER BY r.ts DESC, r.event_id DESC) = 1)
-, new_versions AS (
-  SELECT p.event_id + 2000000000000 AS id, p.key AS id_restaurant, p.mon, p.tue, p.wed, p.thu, p.fri,
-         p.sat, p.sun, p.special_text AS special, p.actor AS updated_by,
-         CAST(COALESCE(ls.actor, 0) AS BIGINT) AS verified_by,
-         COALESCE(f.first_action = 'VER', FALSE) AS verified, COALESCE(f.first_action = 'DEL', FALSE) AS deleted
-  FROM valid_props p LEFT JOIN first_cmd f ON f.target = p.event_id
-  LEFT JOIN last_same ls ON ls.target = p.event_id)
+, ev AS (
+  SELECT key, ts, event_id, 'INSERT' AS action, actor FROM valid_props
+  UNION ALL SELECT key, ts, event_id, action, actor FROM mods)
+, evn AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts, event_id) AS rn FROM ev)
+, base AS (
+  SELECT id_restaurant AS key,
+         list(struct_pack(id := id, verified := verified, deleted := deleted, vby := verified_by) ORDER BY id) AS st
+  FROM hours GROUP BY 1)
+, walk(key, rn, newest, st) AS (
+  SELECT k.key, CAST(0 AS BIGINT), CAST(NULL AS BIGINT),
+         COALESCE(b.st, CAST([] AS STRUCT(id BIGINT, verified BOOLEAN, deleted BOOLEAN, vby BIGINT)[]))
+  FROM (SELECT DISTINCT key FROM evn) k LEFT JOIN base b ON b.key = k.key
+  UNION ALL
+  SELECT w.key, e.rn,
+    CASE WHEN e.action = 'INSERT' THEN e.event_id + 2000000000000 ELSE w.newest END,
+    CASE
+      WHEN e.action = 'INSERT' THEN list_append(w.st, struct_pack(id := e.event_id + 2000000000000,
+                                    verified := FALSE, deleted := FALSE, vby := CAST(0 AS BIGINT)))
+      WHEN w.newest IS NULL THEN w.st
+      WHEN e.action = 'VER' AND NOT list_filter(w.st, lambda x: x.id = w.newest)[1].deleted THEN
+        list_transform(w.st, lambda x: CASE WHEN x.id = w.newest
+          THEN struct_pack(id := x.id, verified := TRUE, deleted := x.deleted, vby := e.actor)
+          ELSE struct_pack(id := x.id, verified := x.verified, deleted := TRUE, vby := x.vby) END)
+      WHEN e.action = 'DEL' AND NOT list_filter(w.st, lambda x: x.id = w.newest)[1].verified THEN
+        list_transform(w.st, lambda x: CASE WHEN x.id = w.newest
+          THEN struct_pack(id := x.id, verified := x.verified, deleted := TRUE, vby := e.actor)
+          ELSE x END)
+      ELSE w.st END
+  FROM walk w JOIN evn e ON e.key = w.key AND e.rn = w.rn + 1)
+, final AS (SELECT key, st FROM walk QUALIFY row_number() OVER (PARTITION BY key ORDER BY rn DESC) = 1)
+, fate AS (SELECT v.id, v.verified, v.deleted, v.vby FROM (SELECT unnest(st) AS v FROM final))
 , sp AS (
   SELECT id_restaurant, '{{' || string_agg('"' || day_key || '":"' || value || '"', ',' ORDER BY day_key) || '}}' AS special
   FROM special_days GROUP BY id_restaurant)
@@ -513,11 +530,14 @@ SQL["moderate_hours"] = ROLES_SQL + _PROPOSALS + f"""
   SELECT h.id, h.id_restaurant, h.mon, h.tue, h.wed, h.thu, h.fri, h.sat, h.sun, sp.special,
          h.updated_by, h.verified_by, h.verified, h.deleted
   FROM hours h LEFT JOIN sp ON sp.id_restaurant = h.id_restaurant
-  UNION ALL SELECT * FROM new_versions)
-, vmax AS (SELECT id_restaurant, max(id) AS vmax FROM new_versions WHERE verified GROUP BY 1)
+  UNION ALL
+  SELECT p.event_id + 2000000000000, p.key, p.mon, p.tue, p.wed, p.thu, p.fri, p.sat, p.sun,
+         p.special_text, p.actor, CAST(0 AS BIGINT), FALSE, FALSE
+  FROM valid_props p)
 SELECT a.id, a.id_restaurant, a.mon, a.tue, a.wed, a.thu, a.fri, a.sat, a.sun, a.special, a.updated_by,
-       a.verified_by, a.verified, a.deleted OR COALESCE(a.id < v.vmax, FALSE) AS deleted
-FROM allv a LEFT JOIN vmax v ON v.id_restaurant = a.id_restaurant
+       CAST(COALESCE(f.vby, a.verified_by) AS BIGINT) AS verified_by,
+       COALESCE(f.verified, a.verified) AS verified, COALESCE(f.deleted, a.deleted) AS deleted
+FROM allv a LEFT JOIN fate f ON f.id = a.id
 """
 
 SQL["upsert_comments"] = ROLES_SQL + f"""
