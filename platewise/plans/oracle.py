@@ -1,8 +1,10 @@
 """Independent DuckDB SQL for every registered query (same column names).
 
 Written the way the reference asks its database: full join products with
-``count(*)``, window functions for versions and logs.  Only the role views
-(:data:`ROLES_SQL`) are shared with nothing else.
+``count(*)``, window functions for versions and logs, and recursive walks
+that apply order-dependent commands one at a time (hours versions,
+registrations).  The role views (:data:`ROLES_SQL`) are the only part shared
+with the Spark side's data binding.
 """
 
 from __future__ import annotations
