@@ -175,18 +175,20 @@ SELECT id_restaurant AS res_id, '15.01.2024' AS day, hours FROM hours_on
 """
 
 SQL["weekly_calendar"] = ROLES_SQL + CUR_HOURS + """
-, days AS (SELECT CAST(i AS INTEGER) AS day_index, DATE '2024-01-12' + CAST(i AS INTEGER) AS d FROM range(7) t(i))
-SELECT r.id AS res_id, days.day_index, strftime(days.d, '%d.%m.%Y') AS day,
+, venue_days AS (
+  SELECT id, CAST(i AS INTEGER) AS day_index, DATE '2024-01-12' + CAST(i AS INTEGER) AS d
+  FROM (SELECT id, unnest(range(7)) AS i FROM restaurants))
+SELECT v.id AS res_id, v.day_index, strftime(v.d, '%d.%m.%Y') AS day,
        CASE WHEN h.id IS NULL THEN 'No data' ELSE COALESCE(s.value,
-         CASE isodow(days.d) WHEN 1 THEN h.mon WHEN 2 THEN h.tue WHEN 3 THEN h.wed
+         CASE isodow(v.d) WHEN 1 THEN h.mon WHEN 2 THEN h.tue WHEN 3 THEN h.wed
               WHEN 4 THEN h.thu WHEN 5 THEN h.fri WHEN 6 THEN h.sat ELSE h.sun END) END AS hours
-FROM restaurants r CROSS JOIN days
-LEFT JOIN cur_hours h ON h.id_restaurant = r.id
-LEFT JOIN special_days s ON s.id_restaurant = r.id AND s.day_key = strftime(days.d, '%d.%m.%Y')
+FROM venue_days v
+LEFT JOIN cur_hours h ON h.id_restaurant = v.id
+LEFT JOIN special_days s ON s.id_restaurant = v.id AND s.day_key = strftime(v.d, '%d.%m.%Y')
 """
 
 SQL["calendar_for_venue"] = SQL["weekly_calendar"] + \
-    "WHERE r.id IN (SELECT user_id FROM events WHERE event_type = 'view' AND user_id > 0)\n"
+    "WHERE v.id IN (SELECT user_id FROM events WHERE event_type = 'view' AND user_id > 0)\n"
 
 _OPEN = ROLES_SQL + CUR_HOURS + "{hours_on}" + """
 SELECT t.id_restaurant AS res_id, r.name AS res_name, t.hours
@@ -275,7 +277,13 @@ SQL["radius_join_many"] = ROLES_SQL + """
   SELECT p.probe_id, co.id AS res_id,
          6371e0 * acos(least(1e0, greatest(-1e0, cos(radians(p.lat)) * cos(radians(co.lat)) *
            cos(radians(co.lon) - radians(p.lon)) + sin(radians(p.lat)) * sin(radians(co.lat))))) AS d
-  FROM probes p, coordinates co WHERE co.lat > 0 AND co.lon > 0)
+  -- a band join on latitude / longitude (every pair within 0.5 km lies inside
+  -- the band: 0.0045 deg of latitude, 0.009 deg of longitude above cos(lat) = 0.5),
+  -- then the exact distance: a different method from the library's grid cells
+  FROM probes p JOIN coordinates co
+    ON co.lat BETWEEN p.lat - 0.0045 AND p.lat + 0.0045
+   AND co.lon BETWEEN p.lon - 0.009 AND p.lon + 0.009
+  WHERE co.lat > 0 AND co.lon > 0)
 SELECT probe_id, res_id, round(d, 6) AS distance_km FROM pairs WHERE d <= 0.5
 """
 

@@ -42,3 +42,12 @@ def test_radius_search_pushes_bounding_box(spark):
     plan = physical_plan(E.queries()["search_by_radius"](spark, SF))
     supplier = [line for line in plan.splitlines() if "FileScan parquet" in line and "supplier" in line]
     assert any("GreaterThan" in s or "LessThan" in s or "s_suppkey" in s for s in supplier)
+
+
+def test_library_code_has_no_cross_joins_or_local_checkpoints():
+    import pathlib
+    root = pathlib.Path(__file__).resolve().parent.parent / "platewise"
+    for f in root.rglob("*.py"):
+        text = f.read_text()
+        for banned in ("crossJoin", "localCheckpoint", "CROSS JOIN"):
+            assert banned not in text, (f, banned)
