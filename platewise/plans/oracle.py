@@ -721,6 +721,22 @@ SQL["wkb_decode"] = ROLES_SQL + "SELECT id, lat, lon FROM coordinates\n"
 SQL["distinct_sample"] = ROLES_SQL + """
 SELECT name FROM (SELECT DISTINCT name FROM dishes) ORDER BY md5(name), name LIMIT 20
 """
+SQL["name_product_sample"] = ROLES_SQL + """
+, a AS (SELECT w AS a, row_number() OVER (ORDER BY w) - 1 AS ia
+        FROM (SELECT DISTINCT split_part(p_name, ' ', 1) AS w FROM part))
+, b AS (SELECT w AS b, row_number() OVER (ORDER BY w) - 1 AS ib
+        FROM (SELECT DISTINCT split_part(p_name, ' ', 2) AS w FROM part))
+, sizes AS (SELECT (SELECT count(*) FROM a) AS na, (SELECT count(*) FROM b) AS nb)
+, stride AS (
+  SELECT min(s) AS s FROM sizes, range(CAST(floor(0.6180339887 * na * nb) AS BIGINT), na * nb + 1) t(s)
+  WHERE s >= 1 AND gcd(s, na * nb) = 1)
+, picks AS (
+  SELECT (j * stride.s) % (na * nb) AS k, nb
+  FROM sizes, stride, range(least(20, (SELECT na * nb FROM sizes))) t(j))
+SELECT a.a || ' ' || b.b AS name
+FROM picks JOIN a ON a.ia = picks.k // picks.nb JOIN b ON b.ib = picks.k % picks.nb
+"""
+
 SQL["distinct_pairs"] = ROLES_SQL + "SELECT DISTINCT id_ingredient, id_dish FROM dish_ingredients\n"
 SQL["derived_measure"] = ROLES_SQL + "SELECT id, calories, round(calories / 5e0, 2) AS weight FROM dishes\n"
 

@@ -456,6 +456,15 @@ def q_distinct_sample(spark, sf_dir):
     return generate.distinct_sample(roles.bind(spark, sf_dir).dishes, "name", 20)
 
 
+@register("name_product_sample")
+def q_name_product_sample(spark, sf_dir):
+    # adjectives x nouns taken from the dish names, 20 distinct combinations
+    p = roles.read_tables(spark, sf_dir)["part"]
+    first = p.select(F.split("p_name", " ").getItem(0).alias("w"))
+    second = p.select(F.split("p_name", " ").getItem(1).alias("w"))
+    return generate.product_sample(first, second, 20)
+
+
 @register("distinct_pairs")
 def q_distinct_pairs(spark, sf_dir):
     return generate.distinct_pairs(roles.bind(spark, sf_dir).dish_ingredients, ["id_ingredient", "id_dish"])

@@ -199,3 +199,19 @@ def test_assign_id_blocks(spark, parts):
         nxt += n
     assert [(r.k, r.b) for r in out] == expected
     assert [r.id for r in out] == list(range(1, 121))
+
+
+@pytest.mark.parametrize("n", [0, 5, 12, 40])
+def test_product_sample_against_enumeration(spark, n):
+    from platewise.operators.generate import product_sample, product_stride
+    left = ["red", "blue", "old", "red"]            # duplicates are ignored
+    right = ["ring", "rod", "bolt"]
+    got = [r.name for r in product_sample(spark.createDataFrame([(w,) for w in left], "w string"),
+                                           spark.createDataFrame([(w,) for w in right], "w string"),
+                                           n).collect()]
+    a, b = sorted(set(left)), sorted(set(right))
+    product = [f"{x} {y}" for x in a for y in b]       # brute force on a tiny fixture only
+    stride = product_stride(len(product))
+    expected = [product[(j * stride) % len(product)] for j in range(min(n, len(product)))]
+    assert sorted(got) == sorted(expected)
+    assert len(set(got)) == len(got) == min(n, len(product))
