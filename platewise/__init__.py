@@ -6,7 +6,7 @@ is built-in Spark expressions so Catalyst can push filters, prune columns
 and pick join strategies; nothing is collected to the driver.
 """
 
-from platewise.catalog import Catalog
-from platewise.session import get_spark, checkpoint_dir
+from platewise.catalog import Catalog, LazyCatalog
+from platewise.session import checkpoint_dir, get_spark, materialize
 
-__all__ = ["Catalog", "get_spark", "checkpoint_dir"]
+__all__ = ["Catalog", "LazyCatalog", "get_spark", "checkpoint_dir", "materialize"]

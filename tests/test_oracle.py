@@ -46,3 +46,8 @@ def test_query_matches_oracle(spark, con, name):
     d_rows = res.fetchall()
     assert sorted(s_cols) == sorted(d_cols)
     assert rows_of(s_cols, s_rows) == rows_of(d_cols, d_rows)
+
+
+def test_readme_names_every_registered_query():
+    readme = open(os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "README.md")).read()
+    assert [q for q in sorted(E.queries()) if f"`{q}`" not in readme] == []
