@@ -55,12 +55,16 @@ def stream_flags(spark: SparkSession, commands: DataFrame, users: DataFrame,
     gated = moderation.role_gate(commands.where(F.col("action").isin(*moderation.ADMIN_ACTIONS)), users)
     changes = moderation.flag_changes(gated, ["key"])
 
-    def sink(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/changes")
+    def sink(batch: DataFrame, epoch: int) -> None:
+        # complete mode: every epoch is the whole per-key state, written as its own
+        # version (a failed or retried write never leaves readers a partial table)
+        snapshots.write_version(batch, f"{out}/changes", epoch)
 
     _run(changes.writeStream.outputMode("complete").foreachBatch(sink)
          .option("checkpointLocation", f"{out}/_checkpoint"))
-    ch = spark.read.parquet(f"{out}/changes")
+    ch = snapshots.read_version(spark, f"{out}/changes")
+    if ch is None:
+        return snapshot
     return moderation.apply_flag_changes(snapshot, ch, ["id"], ["key"])
 
 
