@@ -12,8 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platewise.operators import calendar, search
-from platewise.sources import roles
+from platewise.operators import calendar, generate, geo_join, ingest, moderation, reports, search, views
+from platewise.sources import files, roles
+from platewise.streaming import commands as streams
 
 # Fixed parameters of the registered queries (mirrored in plans/oracle.py).
 NAME_TERM = "supplier"
@@ -141,8 +142,6 @@ def q_validate_hours(spark, sf_dir):
 
 # -- views and lookups --------------------------------------------------------
 
-from platewise.operators import geo_join, reports, views  # noqa: E402
-
 
 @register("comments_list")
 def q_comments_list(spark, sf_dir):
@@ -256,8 +255,6 @@ def q_queue_hours(spark, sf_dir):
 
 # -- moderation folds --------------------------------------------------------------
 
-from platewise.operators import moderation  # noqa: E402
-
 
 @register("role_gate")
 def q_role_gate(spark, sf_dir):
@@ -333,8 +330,6 @@ def q_upsert_comments(spark, sf_dir):
 
 # -- ingestion --------------------------------------------------------------------------
 
-from platewise.operators import ingest  # noqa: E402
-
 
 def _ingested_venues(spark, sf_dir):
     t = roles.read_tables(spark, sf_dir)
@@ -410,10 +405,6 @@ def q_validate_users(spark, sf_dir):
 
 # -- sources, sinks and dataset steps ----------------------------------------------------
 
-from platewise.operators import generate  # noqa: E402
-from platewise.sources import files  # noqa: E402
-from platewise.streaming import commands as streams  # noqa: E402
-
 
 @register("text_lines")
 def q_text_lines(spark, sf_dir):
