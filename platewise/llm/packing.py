@@ -162,7 +162,8 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     plan = min_slack_plan(counts, capacity)
     # a length's numbers: those of earlier tasks come first
     earlier = Window.partitionBy("__n").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = by_task.select("__n", "__part", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("__base"))
+    bases = scratch.write(
+        by_task.select("__n", "__part", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("__base")), "bases")
     starts = (plan["length"] << 40) + plan["start"]
 
     @F.pandas_udf("sequence_id long, offset long")
@@ -176,6 +177,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             "sequence_id": pd.Series(plan["sequence"][slot] + rank.to_numpy() - plan["start"][slot]).astype("Int64").where(found),
             "offset": pd.Series(plan["offset"][slot]).astype("Int64").where(found)})
 
-    placed = rows.join(bases, ["__n", "__part"]).withColumn("__at", place("__n", F.col("__rank") + F.col("__base")))
+    # a row per task and length: it grows with the corpus, so it is not broadcast
+    placed = rows.join(bases.hint("merge"), ["__n", "__part"]).withColumn("__at", place("__n", F.col("__rank") + F.col("__base")))
     keep = [F.col("__row")[c].alias(c) for c in pieces.columns if c not in ("sequence_id", "offset")]
     return placed.select(*keep, "__at.sequence_id", "__at.offset")

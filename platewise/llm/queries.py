@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platewise.llm import bpe_codec, packing
+from platewise.llm import bpe_codec, minhash, packing
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -51,3 +51,9 @@ def op7_byte_bpe(spark, sf_dir):
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"), "ids")
     return bpe_codec.decode(ids, tokenizer).select(
         "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@register
+def op6_minhash_near_dedup(spark, sf_dir):
+    """Every document's component of texts at 0.85 or more."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
