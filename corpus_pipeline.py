@@ -1,8 +1,62 @@
-"""Placeholder of the corpus pipeline (stages follow with their operators)."""
+"""Corpus pipeline: quality rules, language identification, near-duplicate
+removal, packing.
 
-STAGES: list = []
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
+each result to the shared folder and reads it again as the next stage's docs.
+The filtering stages return all columns of the documents they keep.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from platewise.llm import langid, minhash, packing, quality
+from platewise.llm.store import Scratch
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the fences of their language and source."""
+    return quality.judge(docs, docs.columns).where("kept").select("row.*")
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one recognised language (texts without letters and ambiguous ones go)."""
+    said = langid.identify(docs, docs.columns)
+    return said.where(~F.col("ambiguous") & (F.col("lang_pred") != langid.UNKNOWN)).select("row.*")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, that with the smallest doc_id.
+
+    Of rows with the same doc_id one stays; rows without doc_id all stay.
+    """
+    kept = minhash.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id")
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).union(docs.where("doc_id is null"))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the remaining documents and their places in sequences."""
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        pieces = packing.cut_documents(docs, f.read())
+    return packing.pack_pieces(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("best_fit_packing", best_fit_packing),
+]
+#: language identification has no SQL form; the tests compare the pipeline with a brute-force version
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows for the documents of ``sf_dir``."""
+    scratch = Scratch(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = scratch.write(stage(spark, docs, sf_dir), name)
+    return docs

@@ -12,7 +12,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platewise.llm import bpe_codec, minhash, packing
+from platewise.llm import bpe_codec, langid, minhash, packing, quality, warc
+from platewise.llm.store import Scratch
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -57,3 +58,30 @@ def op7_byte_bpe(spark, sf_dir):
 def op6_minhash_near_dedup(spark, sf_dir):
     """Every document's component of texts at 0.85 or more."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register
+def op10_quality_rules(spark, sf_dir):
+    """Every document's counts and verdict."""
+    judged = quality.judge(table(spark, sf_dir, "documents"), ["doc_id"])
+    return judged.select("row.doc_id", *quality.COUNTS, "base_failed", "kept")
+
+
+@register
+def op4_language_id(spark, sf_dir):
+    """Every document's language, learned from three quarters of the ids."""
+    said = langid.identify(table(spark, sf_dir, "documents"), ["doc_id"])
+    return said.select("row.doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
+@register
+def op8_warc(spark, sf_dir):
+    """Every page written to WARC archives and read back."""
+    scratch = Scratch(spark, "warc")
+    archives = f"{scratch.path}/archives"
+    scratch.write(warc.write_archives(warc.mark_revisits(table(spark, sf_dir, "pages")), archives), "written")
+    found = warc.read_archives(spark, archives)
+    return found.select(
+        F.expr("cast(nullif(regexp_extract(record_id, '^<urn:page:(.*)>$', 1), 'None') as bigint)").alias("page_id"),
+        F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type",
+        F.expr("cast(regexp_extract(refers_to, '^<urn:page:(.*)>$', 1) as bigint)").alias("refers_to"))

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from platewise.session import checkpoint_dir
@@ -65,3 +66,9 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
 def fields(df: DataFrame, columns: list[str], more: str) -> T.StructType:
     """Columns of ``df``, followed by those of a DDL string."""
     return T.StructType([*(df.schema[c] for c in columns), *T.StructType.fromDDL(more).fields])
+
+
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows, else as it is
+    (a shuffled join)."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
