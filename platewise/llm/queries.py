@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platewise.llm import bpe_codec, langid, minhash, packing, quality, warc
+from platewise.llm import bpe_codec, langid, minhash, packing, quality, topk, url_filter, warc
 from platewise.llm.store import Scratch
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,19 @@ def op8_warc(spark, sf_dir):
         F.expr("cast(nullif(regexp_extract(record_id, '^<urn:page:(.*)>$', 1), 'None') as bigint)").alias("page_id"),
         F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type",
         F.expr("cast(regexp_extract(refers_to, '^<urn:page:(.*)>$', 1) as bigint)").alias("refers_to"))
+
+
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+@register
+def op2_url_filter(spark, sf_dir):
+    """Every page's url judged by rule or model."""
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@register
+def op5_exact_top_k(spark, sf_dir):
+    """The 20 best candidates of every twentieth vector."""
+    vectors = topk.quantized(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return topk.top_k(vectors, F.col("id") % 20 == 0, 20)
