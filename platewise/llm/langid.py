@@ -96,8 +96,16 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> dict:
     """
     scratch = Scratch(docs.sparkSession, "langid")
     known = docs.where(in_training(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = scratch.write(known.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= sample).drop("rank").distinct(), "chosen")
+    # the lowest hashes of each language: a count by their leading 12 bits says
+    # which rows can be among them, so no language is gathered whole in a task
+    hashed = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("hash")) \
+        .withColumn("lead", F.shiftrightunsigned("hash", 52)).distinct()
+    leads = hashed.groupBy("lang", "lead").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("lang").orderBy("lead").rowsBetween(Window.unboundedPreceding, -1))
+    enough = leads.withColumn("before", F.coalesce(upto, F.lit(0))).where(F.col("before") < sample).groupBy("lang").agg(F.max("lead").alias("last"))
+    low = hashed.join(small(scratch.write(enough, "leads")), "lang").where("lead <= last")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.expr("shiftrightunsigned(hash, 1)"), "hash", "doc_id"))
+    chosen = scratch.write(low.withColumn("rank", rank).where(F.col("rank") <= sample).select("doc_id", "lang"), "chosen")
     picked = known.join(small(chosen), ["doc_id", "lang"])
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platewise.llm import bpe_codec, langid, minhash, packing, quality, topk, url_filter, warc
+from platewise.llm import bpe_codec, langid, license_scan, minhash, packing, quality, topk, url_filter, warc, wordpiece
 from platewise.llm.store import Scratch
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,18 @@ def op5_exact_top_k(spark, sf_dir):
     """The 20 best candidates of every twentieth vector."""
     vectors = topk.quantized(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return topk.top_k(vectors, F.col("id") % 20 == 0, 20)
+
+
+@register
+def op3_token_counts(spark, sf_dir):
+    """Greedy word-piece counts of every text."""
+    starts, inside = wordpiece.sentencepiece_vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    return wordpiece.count_tokens(table(spark, sf_dir, "documents"), starts, inside)
+
+
+@register
+def op9_license_scan(spark, sf_dir):
+    """Every document's license, its place being source / language / doc_id."""
+    place = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))
+    found = license_scan.scan(table(spark, sf_dir, "documents").select(place.alias("path"), "text"))
+    return found.withColumn("doc_id", F.expr("try_cast(substring_index(path, '/', -1) as bigint)"))
