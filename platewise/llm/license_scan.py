@@ -42,13 +42,16 @@ def terms(text: str) -> list[str]:
 
 
 class Weights:
-    """The templates' unit vectors and inverse document frequencies (over the templates)."""
+    """The templates' unit vectors and the inverse document frequencies of their terms.
 
-    def __init__(self, templates: dict[str, list[str]]):
+    ``often`` says in how many of ``total`` files each term occurs; a term of no
+    template counts as one that no file holds.
+    """
+
+    def __init__(self, templates: dict[str, list[str]], often: dict[str, int], total: int):
         counted = [(name, Counter(terms(text))) for name, texts in templates.items() for text in texts]
-        often = Counter(t for _, c in counted for t in c)
-        self.idf = {t: math.log((1 + len(counted)) / (1 + n)) + 1 for t, n in often.items()}
-        self.unseen = math.log(1 + len(counted)) + 1
+        self.idf = {t: math.log((1 + total) / (1 + often.get(t, 0))) + 1 for _, c in counted for t in c}
+        self.unseen = math.log(1 + total) + 1
         self.vectors = []
         for name, c in counted:
             raw = {t: n * self.idf[t] for t, n in c.items()}
@@ -69,20 +72,20 @@ class Weights:
 
 
 def similar(units: DataFrame, weights: Weights, scratch: Scratch) -> DataFrame:
-    """unit, license and score (the best cosine) of distinct texts that share a term with a template."""
+    """key, license and score (the best cosine) of texts (key, unit) that share a term with a template."""
     spark = units.sparkSession
     words = F.array_remove(F.split(F.lower("unit"), _NOT_TERM), "")
-    counts = units.select("unit", F.explode(words).alias("term")).groupBy("unit", "term").agg(F.count("*").alias("tf"))
+    counts = units.select("key", F.explode(words).alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf"))
     # one row per template term: bounded by the templates
     idf = spark.createDataFrame(sorted(weights.idf.items()), "term string, idf double")
     vectors = spark.createDataFrame([(i, name, t, w) for i, (name, v) in enumerate(weights.vectors) for t, w in sorted(v.items())],
                                     "template int, license string, term string, weight double")
     weighed = scratch.write(counts.join(F.broadcast(idf), "term", "left")
-                            .select("unit", "term", (F.col("tf") * F.coalesce("idf", F.lit(weights.unseen))).alias("w")), "weighed")
-    norms = weighed.groupBy("unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = weighed.join(F.broadcast(vectors), "term").groupBy("unit", "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+                            .select("key", "term", (F.col("tf") * F.coalesce("idf", F.lit(weights.unseen))).alias("w")), "weighed")
+    norms = weighed.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = weighed.join(F.broadcast(vectors), "term").groupBy("key", "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
     best = F.max(F.struct(F.round(F.col("dot") / F.col("norm"), 9).alias("score"), (-F.col("template")).alias("first"), F.col("license").alias("license")))
-    return dots.join(norms, "unit").groupBy("unit").agg(best.alias("b")).select("unit", "b.license", "b.score")
+    return dots.join(norms, "key").groupBy("key").agg(best.alias("b")).select("key", "b.license", "b.score")
 
 
 def scan(files: DataFrame, templates: dict[str, list[str]] | None = None, header: float = HEADER_SIMILARITY,
@@ -96,19 +99,26 @@ def scan(files: DataFrame, templates: dict[str, list[str]] | None = None, header
     path.  licensed_by is the licence file of an inherited licence.
     """
     scratch = Scratch(files.sparkSession, "licenses")
-    weights = Weights(templates or TEMPLATES)
+    templates = TEMPLATES if templates is None else templates
     rows = files.where("path is not null").select("path", F.coalesce("text", F.lit("")).alias("text"))
+    vocabulary = sorted({t for texts in templates.values() for text in texts for t in terms(text)})
+    held = F.array_intersect(F.split(F.lower("text"), _NOT_TERM), F.array(*map(F.lit, vocabulary)).cast("array<string>"))
+    # a row per template term, and the number of files
+    often = rows.select(F.explode(F.array_append(held, F.lit(""))).alias("term")).groupBy("term").count().collect()
+    often = {r["term"]: r["count"] for r in often}
+    weights = Weights(templates, often, often.pop("", 0))
 
     def holds(similarity: float):
-        pattern = rf"(^|[^a-z0-9])({'|'.join(weights.needed(similarity))})([^a-z0-9]|$)"
-        return lambda text: F.lower(text).rlike(pattern)
+        needed = F.array(*map(F.lit, weights.needed(similarity))).cast("array<string>")
+        return lambda text: F.arrays_overlap(F.split(F.lower(text), _NOT_TERM), needed)
 
     # lines of texts without any needed term are not split
     near = rows.where(holds(min(header, whole))("text"))
     lines = near.select("path", F.explode(F.array_distinct(F.filter(F.split("text", "\n"), holds(header)))).alias("unit"), F.lit(False).alias("whole"))
-    units = scratch.write(lines.union(near.where(holds(whole)("text")).select("path", F.col("text").alias("unit"), F.lit(True).alias("whole"))), "units")
-    scores = scratch.write(similar(units.select("unit").distinct(), weights, scratch).where(F.col("score") >= min(header, whole)), "scores")
-    matched = scratch.write(units.join(scores, "unit").where(F.when(F.col("whole"), F.col("score") >= whole).otherwise(F.col("score") >= header))
+    units = lines.union(near.where(holds(whole)("text")).select("path", F.col("text").alias("unit"), F.lit(True).alias("whole")))
+    units = scratch.write(units.withColumn("key", F.md5("unit")), "units")
+    scores = scratch.write(similar(units.select("key", "unit").dropDuplicates(["key"]), weights, scratch).where(F.col("score") >= min(header, whole)), "scores")
+    matched = scratch.write(units.join(scores, "key").where(F.when(F.col("whole"), F.col("score") >= whole).otherwise(F.col("score") >= header))
                             .select("path", "whole", "license", "score"), "matched")
     best = F.max(F.struct("score", "license")).alias("b")
     own = scratch.write(matched.groupBy("path").agg(best, F.max("whole").alias("whole"))
