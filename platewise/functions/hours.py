@@ -91,9 +91,9 @@ def special_problem(special: Column) -> Column:
     msgs = F.transform(
         F.map_entries(special),
         lambda e: F.when(~e["key"].rlike(_DATE_KEY_JAVA),
-                         F.concat(F.lit("Invalid date format in key: "), e["key"]))
+                         F.concat(F.lit("bad_date:"), e["key"]))
         .when(~F.coalesce(valid_weekly_value(e["value"]), F.lit(False)),
-              F.concat(F.lit("Invalid value for "), e["key"], F.lit(": "),
+              F.concat(F.lit("bad_range:"), e["key"], F.lit(": "),
                        F.coalesce(e["value"], F.lit("null")))))
     return F.try_element_at(F.filter(msgs, lambda m: m.isNotNull()), F.lit(1))
 

@@ -232,9 +232,9 @@ def validate_hours_proposals(proposals: DataFrame) -> DataFrame:
     for d in WEEKDAYS:
         days_ok = days_ok & valid_weekly_value(F.col(d))
     p = proposals.withColumn("special", special)
-    problem = F.when(F.col("special").isNull(), F.lit("Special is not a JSON object")) \
+    problem = F.when(F.col("special").isNull(), F.lit("bad_special")) \
         .otherwise(special_problem(F.col("special")))
-    return (p.withColumn("reason", F.when(~days_ok, F.lit("Hours wrong format in days (mon - sun)"))
+    return (p.withColumn("reason", F.when(~days_ok, F.lit("bad_day"))
                          .otherwise(problem))
             .withColumn("valid", F.col("reason").isNull()))
 
@@ -307,9 +307,9 @@ def validate_comment_submissions(subs: DataFrame) -> DataFrame:
     """0 < score <= 5 (0 is rejected as falsy), text alphanumeric after
     removing ',' and '.', venue id a non-zero number."""
     score = F.col("score").try_cast("double")
-    reason = (F.when(~nonzero_number(F.col("res_id")), F.lit("wrong res id"))
-              .when(~F.coalesce((score > 0) & (score <= 5), F.lit(False)), F.lit("wrong score"))
-              .when(~is_alnum(strip_chars(F.col("text"), ",.")), F.lit("wrong desc, only alnum, ',' and '.'")))
+    reason = (F.when(~nonzero_number(F.col("res_id")), F.lit("bad_venue"))
+              .when(~F.coalesce((score > 0) & (score <= 5), F.lit(False)), F.lit("bad_score"))
+              .when(~is_alnum(strip_chars(F.col("text"), ",.")), F.lit("bad_text")))
     return subs.withColumn("score", score).withColumn("reason", reason).withColumn("valid", reason.isNull())
 
 

@@ -8,6 +8,7 @@ touches the versions being read; readers take the newest version.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +25,9 @@ def latest_version(spark: SparkSession, root: str, before: int | None = None) ->
     """Newest version number (optionally below ``before``); None when there is none."""
     try:
         versions = spark.read.parquet(root).select(VERSION_COL)
-    except Exception:  # noqa: BLE001 - nothing published yet
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":  # nothing published yet; all else is a fault
+            raise
         return None
     if before is not None:
         versions = versions.where(F.col(VERSION_COL) < before)

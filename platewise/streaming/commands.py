@@ -29,23 +29,21 @@ def run_dir(spark: SparkSession, name: str) -> str:
 
 
 def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
-    """The events table as an unbounded source (new parquet files = new events)."""
+    """The events table as an unbounded source.
+
+    The table is one file or a folder of part files; files that arrive in the
+    folder later are new events.
+    """
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    # a glob, since a stream's plain path must be a folder
     return (spark.readStream.schema(schema)
-            .option("pathGlobFilter", "events.parquet")
             .option("maxFilesPerTrigger", files_per_trigger)
-            .parquet(sf_dir))
+            .parquet(f"{sf_dir}/events.parque[t]"))
 
 
-def _run(writer, timeout_s: int = 600) -> None:
-    q = writer.trigger(availableNow=True).start()
-    try:
-        q.awaitTermination(timeout_s)
-    finally:
-        if q.isActive:
-            q.stop()
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
+def _run(writer) -> None:
+    """Run until all available data is processed; a failed query raises."""
+    writer.trigger(availableNow=True).start().awaitTermination()
 
 
 def stream_flags(spark: SparkSession, commands: DataFrame, users: DataFrame,
@@ -90,7 +88,8 @@ def stream_locations(spark: SparkSession, location_cmds: DataFrame, coordinates:
     def sink(batch: DataFrame, epoch: int) -> None:
         b = batch.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(LOG_BUCKETS)))
         snapshots.write_version(b, log_path, epoch, extra_partitions=("bucket",))
-        touched_keys = b.select("key", "bucket").distinct()
+        written = snapshots.read_version(spark, log_path, epoch)  # the batch is computed once
+        touched_keys = written.select("key", "bucket").distinct()
         touched = touched_keys.select(F.col("key").alias("id"))
         # bucket is a partition column of the log: the semi join prunes untouched buckets
         log = (spark.read.parquet(log_path).where(F.col(snapshots.VERSION_COL) <= epoch)

@@ -75,7 +75,7 @@ def test_ingest_dishes(cat, spark):
         [(200, 103), (202, 103), (202, 105)]
     assert out["dish_ingredients"].count() == 3
     assert {r.req_id: r.reason for r in out["rejects"].collect()} == \
-        {3: "Invalid price.", 4: "Restaurant does not exist."}
+        {3: "bad_price", 4: "no_venue"}
 
 
 def test_validate_users(cat, spark):

@@ -92,3 +92,33 @@ def test_stream_flags_order_free_across_batches(spark):
            for r in moderation.moderate_flags(cat.restaurants, batch, cat.users).collect()}
     assert got == exp
     assert got[2] == (True, True, 3) and got[3] == (True, False, 3)
+
+
+def test_event_stream_reads_a_folder_of_part_files(spark):
+    import shutil
+    src = tempfile.mkdtemp(prefix="platewise-test-events-")
+    table = pq.read_table("/root/testdata/sf0.001/events.parquet")
+    os.mkdir(f"{src}/events.parquet")
+    for i in range(4):
+        part = table.slice(i * len(table) // 4, (i + 1) * len(table) // 4 - i * len(table) // 4)
+        pq.write_table(part, f"{src}/events.parquet/part-{i}.parquet")
+    out = tempfile.mkdtemp(prefix="platewise-test-out-")
+
+    def run():
+        streams._run(streams.event_stream(spark, src).writeStream.format("parquet")
+                     .option("path", f"{out}/data").option("checkpointLocation", f"{out}/state"))
+        return spark.read.parquet(f"{out}/data").count()
+
+    assert run() == len(table)
+    shutil.copy(f"{src}/events.parquet/part-0.parquet", f"{src}/events.parquet/part-9.parquet")
+    assert run() == len(table) + pq.read_metadata(f"{src}/events.parquet/part-0.parquet").num_rows
+
+
+def test_only_a_missing_folder_counts_as_no_snapshot(spark):
+    import pytest
+    from platewise.sources import snapshots
+    root = tempfile.mkdtemp(prefix="platewise-test-snap-")
+    assert snapshots.latest_version(spark, f"{root}/none") is None
+    pq.write_table(pa.table({"x": [1]}), f"{root}/a.parquet")
+    with pytest.raises(Exception):
+        snapshots.latest_version(spark, root)
