@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from platewise.llm import bpe_codec, langid, license_scan, minhash, packing, quality, topk, url_filter, warc, wordpiece
+from platewise.llm.oracle import SQL  # noqa: F401 - read by the entry point
 from platewise.llm.store import Scratch
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 
 
 def register(fn):

@@ -16,9 +16,10 @@ import tiktoken
 import tokenizers
 from pyspark.sql import functions as F
 
-from platewise.llm import bpe_codec, langid, license_scan, minhash, packing, quality, topk, url_filter, warc, wordpiece
+from platewise.llm import bpe_codec, langid, license_scan, minhash, packing, quality, queries, topk, url_filter, warc, wordpiece
 from platewise.llm.store import Scratch
 
+SF = os.environ.get("LLM_SF_DIR", "/root/testdata/sf0.01")
 SPACED = r"[^\x20\x09-\x0D]+"
 SCHEMA = "doc_id long, text string, lang string, source string, n_words string, kept string, length string, label string, a int"
 
@@ -293,3 +294,17 @@ def test_pipeline(spark, tmp_path, docs):
     kept = corpus_pipeline.near_dedup(spark, docs, str(tmp_path))
     assert kept.columns == docs.columns and kept.where("doc_id = 5").count() == 1
     assert os.path.exists(f"{tmp_path}/documents.parquet")
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_query_equals_its_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "pages", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    got = queries.REGISTRY[name](spark, SF)
+    want = con.execute(queries.SQL[name]).fetch_arrow_table()
+    key = lambda row: tuple((v is not None, v) for v in row)
+    assert sorted(got.columns) == sorted(want.column_names)
+    assert sorted(map(tuple, got.select(*want.column_names).collect()), key=key) == sorted(zip(*want.to_pydict().values(), strict=True), key=key)
