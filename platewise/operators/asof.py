@@ -43,3 +43,21 @@ def carry_forward(df: DataFrame, key: str, order_cols: list[str], value_col: str
     return (local.join(carried_in, ["_slice", key], "left")
             .withColumn(out_col, F.coalesce(F.col("_local"), F.col("_in")))
             .drop("_slice", "_local", "_in"))
+
+
+def min_after(df: DataFrame, key: str, order_cols: list[str], value_col: str, out_col: str) -> DataFrame:
+    """Add ``out_col`` = least non-null ``value_col`` among the key's later rows
+    (ordered by ``order_cols``, which must be unique within a key).
+
+    The same two levels as :func:`carry_forward`, from the last row back.
+    """
+    sliced = df.repartitionByRange(key, *order_cols).withColumn("_slice", F.spark_partition_id())
+    w_local = (Window.partitionBy("_slice", key).orderBy(*[F.desc(c) for c in order_cols])
+               .rowsBetween(Window.unboundedPreceding, -1))
+    local = materialize(sliced.withColumn("_local", F.min(value_col).over(w_local)))
+    starts = local.groupBy("_slice", key).agg(F.min(value_col).alias("_start"))
+    w_next = Window.partitionBy(key).orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
+    carried_in = starts.select("_slice", key, F.min("_start").over(w_next).alias("_in"))
+    return (local.join(carried_in, ["_slice", key], "left")
+            .withColumn(out_col, F.least("_local", "_in"))   # least() skips nulls
+            .drop("_slice", "_local", "_in"))

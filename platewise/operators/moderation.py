@@ -6,9 +6,8 @@ Here a whole log is folded at once.  Order is fixed by ``(ts, event_id)``.
 * flags (venue, menu row, comment): order-free -> one aggregate per key;
 * locations: order-dependent, but the final state is a function of a few
   "last/first command of a kind" aggregates per key (no per-key sort);
-* hours versions: each VER/DEL addresses the newest earlier version of the
-  venue (a carry-forward split over range partitions), then a version's fate
-  is its first command plus "a later version was verified" (aggregates);
+* hours versions: each VER has one possible successor (scans split over range
+  partitions); the VERs that act are a chain, found by pointer doubling;
 * diet flags: recomputed from ingredients for dishes with a verified menu row.
 
 Role gate: VER/DEL need an admin actor, other commands a known user.
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 from platewise.catalog import WEEKDAYS, Catalog
 from platewise.functions.hours import special_problem, valid_weekly_value
 from platewise.functions.text import is_alnum, nonzero_number, strip_chars
-from platewise.operators.asof import carry_forward
+from platewise.operators.asof import carry_forward, min_after
 from platewise.operators.ids import assign_ids, next_id_after
 from platewise.session import materialize
 
@@ -242,63 +241,119 @@ def validate_hours_proposals(proposals: DataFrame) -> DataFrame:
 VERSION_ID_OFFSET = 2_000_000_000_000
 
 
-def moderate_hours(hours: DataFrame, proposals: DataFrame, mods: DataFrame,
-                   restaurants: DataFrame, users: DataFrame) -> DataFrame:
-    """New hours snapshot after proposals (INSERT) and VER/DEL commands.
-
-    * a valid proposal by a known user for an existing venue becomes a new
-      unverified version, id ``VERSION_ID_OFFSET + event_id`` (newer = larger);
-    * VER/DEL (admins) address the newest earlier version of the venue;
-    * a version's fate is its first command: VER -> verified, DEL -> deleted
-      (DEL only acts on unverified rows, VER only on not-deleted ones, so
-      later commands cannot flip it); ``verified_by`` is the actor of the last
-      command that still acted (repeated VERs / repeated DELs);
-    * a VER deletes every other version that exists at that time: all older
-      versions of the venue, the snapshot's rows included.
-
-    Proposals and commands go through one union: a carry-forward over each
-    venue's log gives every row its version (range-partitioned, so a venue
-    with a huge log is split over tasks), one aggregate per version gives its
-    payload and fate.
-    """
+HOURS_COLUMNS = ["id", "id_restaurant", *WEEKDAYS, "special", "updated_by", "verified_by", "verified", "deleted"]
+
+
+def hours_versions(proposals: DataFrame, restaurants: DataFrame, users: DataFrame) -> DataFrame:
+    """The new versions (columns of hours, and their place ``o`` in the log): a
+    valid proposal by a known user for an existing venue, unverified, with id
+    ``VERSION_ID_OFFSET + event_id``."""
     p = validate_hours_proposals(proposals)
     p = role_gate(p.withColumn("action", F.lit("INSERT")), users).where(F.col("valid"))
     p = p.join(restaurants.select(F.col("id").alias("key")).distinct(), "key", "left_semi")
-    payload = F.struct(*WEEKDAYS, "special", F.col("actor").alias("by"))
-    ins = p.select("key", "ts", "event_id", (F.col("event_id") + F.lit(VERSION_ID_OFFSET)).alias("_v"),
-                   F.lit(None).cast("string").alias("act"), F.lit(None).cast("long").alias("actor"),
-                   payload.alias("payload"))
+    return p.select((F.col("event_id") + F.lit(VERSION_ID_OFFSET)).alias("id"), F.col("key").alias("id_restaurant"),
+                    *WEEKDAYS, "special", F.col("actor").alias("updated_by"), F.lit(0).cast("long").alias("verified_by"),
+                    F.lit(False).alias("verified"), F.lit(False).alias("deleted"), _o().alias("o"))
+
+
+def _reached(heads: DataFrame, successor: DataFrame) -> DataFrame:
+    """Nodes on the chains that start at ``heads`` (node) and follow
+    ``successor`` (node, next).  Pointers double every round, so a chain of n
+    commands takes log2(n) rounds; every join is on unique nodes."""
+    reached, jump = materialize(heads.select("node")), successor
+    while not jump.isEmpty():
+        found = jump.join(reached, "node", "left_semi").select(F.col("next").alias("node"))
+        reached = materialize(reached.unionByName(found))
+        onward = jump.select(F.col("node").alias("next"), F.col("next").alias("_far"))
+        jump = materialize(jump.join(onward, "next").select("node", F.col("_far").alias("next")))
+    return reached
+
+
+def fold_hours(hours: DataFrame, new: DataFrame, cmds: DataFrame) -> DataFrame:
+    """New hours snapshot after new versions (:func:`hours_versions`) and gated
+    VER/DEL commands (version, o, act, actor), one at a time in the order of o:
+
+    * DEL acts on an existing unverified version: deleted, ``verified_by``;
+    * VER acts on an existing version that is not deleted: verified,
+      ``verified_by``, and every other version the venue has by then is deleted.
+
+    Deleted versions never come back, so a version can win only by its first
+    VER, before any DEL unless it is verified already.  After an acting VER on
+    v, the next VER to act is the next one on v, or an earlier first VER of a
+    version that came after: each VER has one successor, found by scans from
+    the end of the log that split hot venues and hot versions.  The VERs that
+    act are the chain from the venue's first one (pointer doubling).  Applying a
+    log in parts gives the same snapshot as applying it whole.
+    """
+    versions = materialize(hours.select(*HOURS_COLUMNS).withColumn("o", F.lit(None).cast(new.schema["o"].dataType))
+                           .unionByName(new.select(*HOURS_COLUMNS, "o")))
+    known = versions.select(F.col("id").alias("version"), "id_restaurant", F.col("o").alias("since"),
+                            F.col("verified").alias("was_verified"), F.col("deleted").alias("was_deleted"))
+    c = materialize(cmds.join(known, "version").where(F.col("since").isNull() | (F.col("since") < F.col("o"))))
+    ver, dele = F.when(F.col("act") == "VER", F.col("o")), F.when(F.col("act") == "DEL", F.col("o"))
+    per_version = materialize(c.groupBy("version", "id_restaurant", "since", "was_verified", "was_deleted").agg(
+        F.min(ver).alias("first_ver"), F.min(dele).alias("first_del"),
+        F.max_by("actor", dele).alias("del_actor")))
+    may_win = per_version.where(~F.col("was_deleted") & F.col("first_ver").isNotNull() & (
+        F.col("was_verified") | F.col("first_del").isNull() | (F.col("first_ver") < F.col("first_del"))))
+    vers = (c.where(F.col("act") == "VER").join(may_win.select("version"), "version", "left_semi")
+            .select("version", "id_restaurant", "actor", F.col("o.ts").alias("ts"), F.col("o.event_id").alias("node"), "o"))
+    # the next VER of the same version
+    vers = min_after(vers, "version", ["ts", "node"], "o", "again")
+    # the earliest first VER among versions that come later than this VER
+    came = (may_win.where(F.col("since").isNotNull())
+            .select("version", "id_restaurant", F.col("since.ts").alias("ts"), F.col("since.event_id").alias("node"),
+                    F.col("first_ver").alias("won")))
+    log = vers.unionByName(came, allowMissingColumns=True)
+    vers = materialize(min_after(log, "id_restaurant", ["ts", "node"], "won", "rival").where(F.col("o").isNotNull()))
+    successor = vers.select("node", F.least("again", "rival")["event_id"].alias("next")).where(F.col("next").isNotNull())
+    heads = may_win.groupBy("id_restaurant").agg(F.min("first_ver").alias("o")).select(F.col("o.event_id").alias("node"))
+    acted = materialize(vers.join(_reached(heads, materialize(successor)), "node", "left_semi"))
+
+    winners = acted.groupBy("version").agg(F.max_by("actor", "o").alias("ver_actor"))
+    last = acted.groupBy("id_restaurant").agg(F.max(F.struct("o", "version")).alias("last"))
+    fate = materialize(per_version.join(winners, "version", "left").select(
+        F.col("version").alias("id"), "ver_actor",
+        F.when(F.col("ver_actor").isNull() & ~F.col("was_verified"), F.col("del_actor")).alias("del_actor")))
+    beaten = ((F.col("last.version") != F.col("id"))
+              & (F.col("o").isNull() | (F.col("o") < F.col("last.o"))))
+    return (versions.join(fate, "id", "left").join(materialize(last), "id_restaurant", "left")
+            .withColumn("verified", F.col("verified") | F.col("ver_actor").isNotNull())
+            .withColumn("verified_by", F.coalesce("ver_actor", "del_actor", "verified_by"))
+            .withColumn("deleted", F.col("deleted") | F.col("del_actor").isNotNull() | F.coalesce(beaten, F.lit(False)))
+            .select(*HOURS_COLUMNS))
+
+
+def moderate_hours_by_id(hours: DataFrame, proposals: DataFrame, mods: DataFrame,
+                         restaurants: DataFrame, users: DataFrame) -> DataFrame:
+    """New hours snapshot after proposals and VER/DEL commands of admins
+    (event_id, ts, version, action, actor), each naming a version of any age.
+    Commands on versions that do not exist yet do nothing."""
+    m = role_gate(mods.where(F.col("action").isin(*ADMIN_ACTIONS)), users).where(F.col("version") > 0)
+    return fold_hours(hours, hours_versions(proposals, restaurants, users),
+                      m.select("version", _o().alias("o"), F.col("action").alias("act"), "actor"))
+
+
+def moderate_hours(hours: DataFrame, proposals: DataFrame, mods: DataFrame,
+                   restaurants: DataFrame, users: DataFrame) -> DataFrame:
+    """:func:`moderate_hours_by_id` for commands that name only the venue (key):
+    each addresses the venue's newest version at that time, the one proposed
+    last before it or else the snapshot's with the largest id.  Event ids grow
+    with time, as version ids do.
+
+    A carry-forward over each venue's log gives every command its version
+    (range-partitioned, so a venue with a huge log is split over tasks).
+    """
+    new = materialize(hours_versions(proposals, restaurants, users))
     m = role_gate(mods.where(F.col("action").isin(*ADMIN_ACTIONS)), users).where(F.col("key") > 0)
-    md = m.select("key", "ts", "event_id", F.lit(None).cast("long").alias("_v"),
-                  F.col("action").alias("act"), "actor",
-                  F.lit(None).cast(ins.schema["payload"].dataType).alias("payload"))
-    # each command addresses the newest version inserted before it (hot venues are split)
-    tagged = (carry_forward(ins.unionByName(md), "key", ["ts", "event_id"], "_v", "target")
-              .where(F.col("target").isNotNull()))
-    o = _o()
-    is_cmd = F.col("act").isNotNull()
-    fate = (tagged.groupBy("target", "key").agg(
-        F.max_by("payload", F.when(~is_cmd, o)).alias("payload"),
-        F.min_by("act", F.when(is_cmd, o)).alias("first_action"),
-        F.max_by("actor", F.when(F.col("act") == "VER", o)).alias("last_ver_actor"),
-        F.max_by("actor", F.when(F.col("act") == "DEL", o)).alias("last_del_actor")))
-    # derived deterministically from the checkpointed carry-forward: cheap to read twice
-    new = (fate.select(
-        F.col("target").alias("id"), F.col("key").alias("id_restaurant"),
-        *[F.col("payload")[d].alias(d) for d in WEEKDAYS], F.col("payload.special").alias("special"),
-        F.col("payload.by").alias("updated_by"),
-        F.when(F.col("first_action") == "VER", F.col("last_ver_actor"))
-        .when(F.col("first_action") == "DEL", F.col("last_del_actor"))
-        .otherwise(F.lit(0)).cast("long").alias("verified_by"),
-        F.coalesce(F.col("first_action") == "VER", F.lit(False)).alias("verified"),
-        F.coalesce(F.col("first_action") == "DEL", F.lit(False)).alias("deleted")))
-    newest_verified = (new.where(F.col("verified")).groupBy("id_restaurant")
-                       .agg(F.max("id").alias("_vmax")))
-    cols = ["id", "id_restaurant", *WEEKDAYS, "special", "updated_by", "verified_by", "verified", "deleted"]
-    return (hours.select(*cols).unionByName(new.select(*cols))
-            .join(newest_verified, "id_restaurant", "left")
-            .withColumn("deleted", F.col("deleted") | F.coalesce(F.col("id") < F.col("_vmax"), F.lit(False)))
-            .select(*cols))
+    log = (new.select(F.col("id_restaurant").alias("key"), "o.ts", "o.event_id", F.col("id").alias("_v"))
+           .unionByName(m.select("key", "ts", "event_id", F.col("action").alias("act"), "actor"), allowMissingColumns=True))
+    newest = materialize(hours.groupBy(F.col("id_restaurant").alias("key")).agg(F.max("id").alias("_newest")))
+    cmds = (carry_forward(log, "key", ["ts", "event_id"], "_v", "target").where(F.col("act").isNotNull())
+            .join(newest, "key", "left")
+            .select(F.coalesce("target", "_newest").alias("version"), _o().alias("o"), "act", "actor")
+            .where(F.col("version").isNotNull()))
+    return fold_hours(hours, new, cmds)
 
 
 # -- comments (W4) ---------------------------------------------------------------------

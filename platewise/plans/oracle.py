@@ -495,23 +495,25 @@ SELECT event_id, special_text, reason IS NULL AS valid, reason FROM checked
 
 # The hours fold as a sequential walk: per venue, its valid proposals and
 # gated VER/DEL commands in (ts, event_id) order, carrying the list of
-# versions; VER/DEL act on the newest proposal so far, VER only when it is not
-# deleted (then every other version is deleted), DEL only when it is not
-# verified.  Independent of the library's "first command decides" reasoning.
-SQL["moderate_hours"] = ROLES_SQL.replace("WITH", "WITH RECURSIVE", 1) + _PROPOSALS + f"""
+# versions; VER acts only when its version is not deleted (then every other
+# version is deleted), DEL only when it is not verified.  Commands name a
+# version, or the venue's newest one at that time.  Independent of the
+# library's chains of successors.
+def _hours_walk(mods: str, target: str) -> str:
+    return ROLES_SQL.replace("WITH", "WITH RECURSIVE", 1) + _PROPOSALS + f"""
 , valid_props AS (
   SELECT * FROM checked WHERE reason IS NULL AND {_KNOWN} AND key IN (SELECT id FROM restaurants))
-, mods AS (SELECT * FROM commands WHERE action IN ('VER', 'DEL') AND key > 0 AND {_ADMIN})
+, mods AS ({mods})
 , ev AS (
-  SELECT key, ts, event_id, 'INSERT' AS action, actor FROM valid_props
-  UNION ALL SELECT key, ts, event_id, action, actor FROM mods)
+  SELECT key, ts, event_id, 'INSERT' AS action, actor, CAST(NULL AS BIGINT) AS version FROM valid_props
+  UNION ALL SELECT key, ts, event_id, action, actor, version FROM mods)
 , evn AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts, event_id) AS rn FROM ev)
 , base AS (
   SELECT id_restaurant AS key,
          list(struct_pack(id := id, verified := verified, deleted := deleted, vby := verified_by) ORDER BY id) AS st
   FROM hours GROUP BY 1)
 , walk(key, rn, newest, st) AS (
-  SELECT k.key, CAST(0 AS BIGINT), CAST(NULL AS BIGINT),
+  SELECT k.key, CAST(0 AS BIGINT), list_max(list_transform(b.st, lambda x: x.id)),
          COALESCE(b.st, CAST([] AS STRUCT(id BIGINT, verified BOOLEAN, deleted BOOLEAN, vby BIGINT)[]))
   FROM (SELECT DISTINCT key FROM evn) k LEFT JOIN base b ON b.key = k.key
   UNION ALL
@@ -520,13 +522,13 @@ SQL["moderate_hours"] = ROLES_SQL.replace("WITH", "WITH RECURSIVE", 1) + _PROPOS
     CASE
       WHEN e.action = 'INSERT' THEN list_append(w.st, struct_pack(id := e.event_id + 2000000000000,
                                     verified := FALSE, deleted := FALSE, vby := CAST(0 AS BIGINT)))
-      WHEN w.newest IS NULL THEN w.st
-      WHEN e.action = 'VER' AND NOT list_filter(w.st, lambda x: x.id = w.newest)[1].deleted THEN
-        list_transform(w.st, lambda x: CASE WHEN x.id = w.newest
+      WHEN {target} IS NULL THEN w.st
+      WHEN e.action = 'VER' AND NOT list_filter(w.st, lambda x: x.id = {target})[1].deleted THEN
+        list_transform(w.st, lambda x: CASE WHEN x.id = {target}
           THEN struct_pack(id := x.id, verified := TRUE, deleted := x.deleted, vby := e.actor)
           ELSE struct_pack(id := x.id, verified := x.verified, deleted := TRUE, vby := x.vby) END)
-      WHEN e.action = 'DEL' AND NOT list_filter(w.st, lambda x: x.id = w.newest)[1].verified THEN
-        list_transform(w.st, lambda x: CASE WHEN x.id = w.newest
+      WHEN e.action = 'DEL' AND NOT list_filter(w.st, lambda x: x.id = {target})[1].verified THEN
+        list_transform(w.st, lambda x: CASE WHEN x.id = {target}
           THEN struct_pack(id := x.id, verified := x.verified, deleted := TRUE, vby := e.actor)
           ELSE x END)
       ELSE w.st END
@@ -550,6 +552,18 @@ SELECT a.id, a.id_restaurant, a.mon, a.tue, a.wed, a.thu, a.fri, a.sat, a.sun, a
 FROM allv a LEFT JOIN fate f ON f.id = a.id
 """
 
+
+SQL["moderate_hours"] = _hours_walk(
+    f"SELECT *, NULL AS version FROM commands WHERE action IN ('VER', 'DEL') AND key > 0 AND {_ADMIN}", "w.newest")
+SQL["moderate_hours_by_id"] = _hours_walk(f"""
+  SELECT v.key, c.ts, c.event_id, c.action, c.actor, c.version
+  FROM (SELECT *, CASE CAST(floor(value) AS BIGINT) % 8 WHEN 0 THEN key WHEN 1 THEN key + 1000000000000
+                  ELSE event_id + 2 - CAST(floor(value) AS BIGINT) % 9 + 2000000000000 END AS version
+        FROM commands WHERE action IN ('VER', 'DEL') AND {_ADMIN}) c
+  JOIN (SELECT id, id_restaurant AS key FROM hours
+        UNION ALL SELECT event_id + 2000000000000, key FROM valid_props) v ON v.id = c.version
+  WHERE c.version > 0""", "e.version")
+
 SQL["upsert_comments"] = ROLES_SQL + f"""
 , subs AS (
   SELECT event_id, ts, user_id AS res_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS actor,

@@ -320,6 +320,15 @@ def q_moderate_hours(spark, sf_dir):
     return out.withColumn("special", F.to_json("special"))
 
 
+@register("moderate_hours_by_id")
+def q_moderate_hours_by_id(spark, sf_dir):
+    t = roles.read_tables(spark, sf_dir)
+    cat = roles.bind(spark, sf_dir)
+    out = moderation.moderate_hours_by_id(cat.hours, roles.hours_proposals(t), roles.hours_commands(t),
+                                          cat.restaurants, cat.users)
+    return out.withColumn("special", F.to_json("special"))
+
+
 @register("upsert_comments")
 def q_upsert_comments(spark, sf_dir):
     t = roles.read_tables(spark, sf_dir)

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from platewise.catalog import Catalog, LazyCatalog
+from platewise.operators.moderation import VERSION_ID_OFFSET
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
@@ -327,6 +328,17 @@ def moderation_commands(t: dict[str, DataFrame]) -> DataFrame:
     return commands(t).where(F.col("action").isin("VER", "DEL"))
 
 
+def hours_commands(t: dict[str, DataFrame]) -> DataFrame:
+    """VER / DEL on an hours version by id: the venue's first or second version,
+    or one proposed by an event shortly before (or after: no version yet)."""
+    fv = F.floor("value").cast("long")
+    near = F.col("event_id") + 2 - fv % 9 + VERSION_ID_OFFSET
+    version = (F.when(fv % 8 == 0, F.col("key")).when(fv % 8 == 1, F.col("key") + SECOND_VERSION_OFFSET)
+               .otherwise(near))
+    return (commands(t).where(F.col("action").isin("VER", "DEL"))
+            .select("event_id", "ts", version.alias("version"), "action", "actor"))
+
+
 def menu_commands(t: dict[str, DataFrame]) -> DataFrame:
     """VER / DEL on a menu row: (venue, dish) with the dish derived from the value."""
     return moderation_commands(t).select(

@@ -88,60 +88,88 @@ def test_location_random_logs_match_sequential_fold(spark):
 
 
 def fold_hours(base, log):
-    """Sequential fold: INSERT adds a version; VER/DEL address the newest INSERT so far."""
+    """Sequential fold of (event_id, action, actor, version or None); without a
+    version VER/DEL address the newest one so far."""
     versions = {v["id"]: dict(v) for v in base}
-    newest = None
-    for eid, action, actor in log:
+    newest = max(versions, default=None)
+    for eid, action, actor, version in log:
         if action == "INSERT":
             newest = eid + moderation.VERSION_ID_OFFSET
             versions[newest] = dict(id=newest, verified=False, deleted=False, verified_by=0)
-        elif newest is None:
             continue
-        elif action == "VER":
-            v = versions[newest]
-            if not v["deleted"]:
-                v.update(verified=True, verified_by=actor)
-                for w in versions.values():
-                    if w["id"] != newest:
-                        w["deleted"] = True
-        elif action == "DEL":
-            v = versions[newest]
-            if not v["verified"]:
-                v.update(deleted=True, verified_by=actor)
+        v = versions.get(version or newest)
+        if v is not None and action == "VER" and not v["deleted"]:
+            v.update(verified=True, verified_by=actor)
+            for w in versions.values():
+                if w["id"] != v["id"]:
+                    w["deleted"] = True
+        elif v is not None and action == "DEL" and not v["verified"]:
+            v.update(deleted=True, verified_by=actor)
     return versions
 
 
-def test_hours_random_logs_match_sequential_fold(spark):
-    rnd = random.Random(5)
+def random_hours_logs(spark, by_id):
+    """Snapshot, proposals, commands, users, venues and the expected fate of every version."""
+    rnd = random.Random(5 + by_id)
     base_rows, props, mods, expected = [], [], [], {}
     eid = 0
-    for key in range(1, 201):
-        base = [dict(id=key, verified=rnd.random() < 0.6, deleted=rnd.random() < 0.2, verified_by=0)]
+    for key in range(1, 301):
+        ids = [key + 1000 * n for n in range(rnd.randint(0, 3))]
+        base = [dict(id=i, verified=rnd.random() < 0.4, deleted=rnd.random() < 0.3, verified_by=0) for i in ids]
         log = []
-        for i in range(rnd.randint(0, 10)):
+        for _ in range(rnd.randint(0, 14)):
             eid += 1
-            a = rnd.choice(["INSERT", "VER", "DEL", "VER"])
+            a = rnd.choice(["INSERT", "VER", "DEL", "VER", "INSERT"])
             actor = rnd.randint(1, 4)
-            log.append((eid, a, actor))
             ts = T0 + dt.timedelta(minutes=eid)
+            version = None
             if a == "INSERT":
+                ids.append(eid + moderation.VERSION_ID_OFFSET)
                 props.append((eid, ts, key, actor))
             else:
-                mods.append((eid, ts, key, a, actor))
+                # also ids that nobody has, and ids of versions that come later
+                version = rnd.choice(ids[-3:] + ids[:1] + [eid + 1 + moderation.VERSION_ID_OFFSET]) if by_id else None
+                mods.append((eid, ts, version if by_id else key, a, actor))
+            log.append((eid, a, actor, version))
         base_rows += [(b["id"], key, *(["closed"] * 7), None, 0, b["verified_by"], b["verified"], b["deleted"])
                       for b in base]
         for v in fold_hours(base, log).values():
             expected[v["id"]] = (v["verified"], v["deleted"], v["verified_by"])
-    hours = spark.createDataFrame(base_rows, HOURS_SCHEMA)
     p = spark.createDataFrame(props, "event_id long, ts timestamp, key long, actor long").select(
         "*", *[F.lit("closed").alias(d) for d in ("mon", "tue", "wed", "thu", "fri", "sat", "sun")],
         F.lit("{}").alias("special_text"))
-    m = spark.createDataFrame(mods, "event_id long, ts timestamp, key long, action string, actor long")
+    m = spark.createDataFrame(mods, f"event_id long, ts timestamp, {'version' if by_id else 'key'} long, action string, actor long")
     users = spark.createDataFrame([(i, True) for i in range(1, 5)], "id long, is_admin boolean")
-    venues = spark.createDataFrame([(k,) for k in range(1, 201)], "id long")
-    out = moderation.moderate_hours(hours, p, m, venues, users)
-    got = {r.id: (r.verified, r.deleted, r.verified_by) for r in out.collect()}
-    assert got == expected
+    venues = spark.createDataFrame([(k,) for k in range(1, 301)], "id long")
+    return spark.createDataFrame(base_rows, HOURS_SCHEMA), p, m, venues, users, expected
+
+
+@pytest.mark.parametrize("by_id", [False, True])
+def test_hours_random_logs_match_sequential_fold(spark, by_id):
+    fold = moderation.moderate_hours_by_id if by_id else moderation.moderate_hours
+    hours, p, m, venues, users, expected = random_hours_logs(spark, by_id)
+    state = lambda df: {r.id: (r.verified, r.deleted, r.verified_by) for r in df.collect()}
+    assert state(fold(hours, p, m, venues, users)) == expected
+    # the log in two parts
+    mid = F.lit(T0 + dt.timedelta(minutes=m.count() * 5 // 6))
+    first = fold(hours, p.where(F.col("ts") < mid), m.where(F.col("ts") < mid), venues, users)
+    second = fold(first, p.where(F.col("ts") >= mid), m.where(F.col("ts") >= mid), venues, users)
+    assert state(second) == expected
+
+
+def test_hours_long_chain(spark):
+    """Every version is verified in turn, one of them many times."""
+    n = 300
+    p = spark.range(n).select((F.col("id") * 3 + 1).alias("event_id"), F.lit(1).cast("long").alias("key"), F.lit(1).cast("long").alias("actor"),
+                              *[F.lit("closed").alias(d) for d in ("mon", "tue", "wed", "thu", "fri", "sat", "sun")],
+                              F.lit("{}").alias("special_text"))
+    m = spark.range(2 * n).select((F.col("id") + F.floor(F.col("id") / 2) + 2).alias("event_id"), F.lit("VER").alias("action"),
+                                  F.lit(1).cast("long").alias("actor"))
+    m = m.withColumn("version", F.expr(f"event_id - (event_id - 1) % 3 + {moderation.VERSION_ID_OFFSET}"))
+    at = F.timestamp_seconds("event_id")
+    users, venues = spark.createDataFrame([(1, True)], "id long, is_admin boolean"), spark.createDataFrame([(1,)], "id long")
+    out = moderation.moderate_hours_by_id(spark.createDataFrame([], HOURS_SCHEMA), p.withColumn("ts", at), m.withColumn("ts", at), venues, users)
+    assert [(r.n, r.v, r.live) for r in out.selectExpr("count(*) n", "count_if(verified) v", "count_if(not deleted) live").collect()] == [(n, n, 1)]
 
 
 def test_flags_order_free_and_gated(cat, spark):
