@@ -61,6 +61,12 @@ def contains_ci(col: Column, term: str, fold_accents: bool = False) -> Column:
     return col.ilike(f"%{term}%")
 
 
+def text_key(col: Column) -> Column:
+    """The column as a key that ignores case and accents in joins, groups and
+    comparisons ("nut" = "Nut", "cafe" = "Café")."""
+    return F.collate(col, "UNICODE_CI_AI")
+
+
 def strip_chars(col: Column, chars: str) -> Column:
     """Remove every occurrence of each char in ``chars`` (``replaceAll`` chain)."""
     return F.translate(col, chars, "")

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from platewise.catalog import WEEKDAYS
 from platewise.functions.text import (LOGIN_MAX_LEN, LOGIN_MIN_LEN, is_alnum, is_email,
-                                      length_between, strip_chars)
+                                      length_between, strip_chars, text_key)
 from platewise.operators.ids import assign_ids, next_id_after
 from platewise.operators.moderation import role_gate
 from platewise.session import materialize
@@ -55,7 +55,8 @@ def ingest_venues(restaurants: DataFrame, cuisines: DataFrame, subs: DataFrame,
     (new restaurants, new cuisine links, rejects).
 
     New venues are unverified; ids follow the current maximum in ``sub_id``
-    order.  Cuisine names resolve by equality; unknown names are dropped.
+    order.  Cuisine names resolve without regard to case and accents; unknown
+    names are dropped.
     """
     checked = validate_venue_submissions(_known(subs, users))
     rejects = checked.where(~F.col("valid")).select("sub_id", "reason")
@@ -63,9 +64,9 @@ def ingest_venues(restaurants: DataFrame, cuisines: DataFrame, subs: DataFrame,
     new = ok.select("id", "name", F.lit(0.0).alias("opinion"), F.lit(False).alias("verified"),
                     "address", F.col("actor").alias("updated_by"),
                     F.lit(0).cast("long").alias("verified_by"), F.lit(False).alias("deleted"), "sub_id")
-    c = cuisines.select(F.col("id").alias("id_cuisine"), F.col("type").alias("cuisine"))
+    c = cuisines.select(F.col("id").alias("id_cuisine"), text_key(F.col("type")).alias("_cuisine"))
     links = (ok.select(F.col("id").alias("id_restaurant"), F.explode("cuisines").alias("cuisine"))
-             .join(c, "cuisine").select("id_restaurant", "id_cuisine"))
+             .withColumn("_cuisine", text_key(F.col("cuisine"))).join(c, "_cuisine").select("id_restaurant", "id_cuisine"))
     return new, links, rejects
 
 
@@ -119,8 +120,9 @@ def ingest_dishes(dishes: DataFrame, ingredients: DataFrame, allergens: DataFram
     Returns ``dishes``, ``menu``, ``ingredients``, ``allergens`` (new names
     only), ``ingredient_allergens``, ``dish_ingredients`` and ``rejects``.
     Each ingredient is inserted anew with unset diet flags; allergens are
-    get-or-create by name over the whole batch, so two requests naming the
-    same new allergen create one row.  All ids are contiguous after the
+    get-or-create by name (without regard to case and accents, spelled as first
+    named) over the whole batch, so two requests naming the same new allergen
+    create one row.  All ids are contiguous after the
     current maxima, ordered by request id (and position).
     """
     req = validate_dish_requests(parse_dish_requests(_known(requests, users)), restaurants)
@@ -143,14 +145,14 @@ def ingest_dishes(dishes: DataFrame, ingredients: DataFrame, allergens: DataFram
                                       F.lit(False).alias("vegetarian"), F.lit(False).alias("vegan"))
     dish_links = ing_rows.select(F.col("id").alias("id_ingredient"), "id_dish")
     wanted = ing_rows.select(F.col("id").alias("id_ingredient"),
-                             F.explode("ing.allergens").alias("allergen"))
-    old = allergens.select(F.col("id").alias("id_allergen"), F.col("name").alias("allergen"))
-    fresh = wanted.select("allergen").distinct().join(old, "allergen", "left_anti")
-    new_allergens = assign_ids(fresh, ["allergen"], start=next_id_after(allergens)).select(
-        "id", F.col("allergen").alias("name"))
-    all_allergens = old.unionByName(new_allergens.select(F.col("id").alias("id_allergen"),
-                                                         F.col("name").alias("allergen")))
-    alg_links = wanted.join(all_allergens, "allergen").select("id_allergen", "id_ingredient")
+                             F.posexplode("ing.allergens").alias("pos", "allergen")).withColumn("_name", text_key(F.col("allergen")))
+    old = (allergens.groupBy(text_key(F.col("name")).alias("_name")).agg(F.min("id").alias("id_allergen")))
+    fresh = (wanted.groupBy("_name").agg(F.min_by("allergen", F.struct("id_ingredient", "pos")).alias("name"))
+             .join(old, "_name", "left_anti").select("name"))
+    new_allergens = assign_ids(fresh, ["name"], start=next_id_after(allergens)).select("id", "name")
+    all_allergens = old.unionByName(new_allergens.select(text_key(F.col("name")).alias("_name"),
+                                                         F.col("id").alias("id_allergen")))
+    alg_links = wanted.join(all_allergens, "_name").select("id_allergen", "id_ingredient")
     return {"dishes": new_dishes, "menu": new_menu, "ingredients": new_ingredients,
             "allergens": new_allergens, "ingredient_allergens": alg_links,
             "dish_ingredients": dish_links, "rejects": rejects}
@@ -164,7 +166,8 @@ def validate_users(users: DataFrame, regs: DataFrame) -> DataFrame:
     Email pattern (lower case), login 4-20 alphanumeric, login and email not
     already taken (one anti join per key, not an OR join), and the in-batch
     rule of processing registrations one at a time: a registration is
-    rejected when an *accepted* earlier one shares its login or e-mail.
+    rejected when an *accepted* earlier one shares its login or e-mail.  Logins
+    and e-mails are compared without regard to case and accents.
 
     That greedy outcome is computed by peeling: each round accepts every
     undecided candidate that is the earliest undecided one of both its login
@@ -179,33 +182,38 @@ def validate_users(users: DataFrame, regs: DataFrame) -> DataFrame:
            .when(~(is_alnum(F.col("login")) & length_between(F.col("login"), LOGIN_MIN_LEN, LOGIN_MAX_LEN)),
                  F.lit("bad login")))
     r = regs.withColumn("reason", fmt)
-    logins = users.select(F.col("login"), F.lit(True).alias("_lt"))
-    emails = users.select(F.col("email"), F.lit(True).alias("_et"))
-    r = (r.join(logins.dropDuplicates(["login"]), "login", "left")
-         .join(emails.dropDuplicates(["email"]), "email", "left")
+    r = r.withColumn("_login", text_key(F.col("login"))).withColumn("_email", text_key(F.col("email")))
+
+    def taken(key: str, mark: str) -> DataFrame:
+        # only users that share a value with the batch are grouped
+        held = users.select(text_key(F.col(key)).alias(f"_{key}"))
+        return held.join(r.select(f"_{key}"), f"_{key}", "left_semi").distinct().withColumn(mark, F.lit(True))
+
+    r = (r.join(taken("login", "_lt"), "_login", "left")
+         .join(taken("email", "_et"), "_email", "left")
          .withColumn("reason", F.when(F.col("reason").isNotNull(), F.col("reason"))
                      .when(F.col("_lt").isNotNull(), F.lit("login taken"))
                      .when(F.col("_et").isNotNull(), F.lit("email taken")))
          .drop("_lt", "_et")
-         .select("reg_id", "ts", "login", "email", "reason"))
+         .select("reg_id", "ts", "login", "email", "_login", "_email", "reason"))
     r = materialize(r)
     decided = [r.where(F.col("reason").isNotNull()).select("reg_id", "login", "email", "reason")]
-    undecided = r.where(F.col("reason").isNull()).select("reg_id", "ts", "login", "email")
+    undecided = r.where(F.col("reason").isNull()).select("reg_id", "ts", "login", "email", "_login", "_email")
     while not undecided.isEmpty():
-        first_l = undecided.groupBy("login").agg(F.min(o).alias("_fl"))
-        first_e = undecided.groupBy("email").agg(F.min(o).alias("_fe"))
-        u = undecided.join(first_l, "login").join(first_e, "email")
+        first_l = undecided.groupBy("_login").agg(F.min(o).alias("_fl"))
+        first_e = undecided.groupBy("_email").agg(F.min(o).alias("_fe"))
+        u = undecided.join(first_l, "_login").join(first_e, "_email")
         accepted = materialize(u.where((o == F.col("_fl")) & (o == F.col("_fe")))
-                               .select("reg_id", "ts", "login", "email"))
-        acc_l = accepted.select("login", F.struct("ts", "reg_id").alias("_al"))
-        acc_e = accepted.select("email", F.struct("ts", "reg_id").alias("_ae"))
+                               .select("reg_id", "ts", "login", "email", "_login", "_email"))
+        acc_l = accepted.select("_login", F.struct("ts", "reg_id").alias("_al"))
+        acc_e = accepted.select("_email", F.struct("ts", "reg_id").alias("_ae"))
         rest = (undecided.join(accepted.select("reg_id"), "reg_id", "left_anti")
-                .join(acc_l, "login", "left").join(acc_e, "email", "left"))
+                .join(acc_l, "_login", "left").join(acc_e, "_email", "left"))
         lost = (F.coalesce(o > F.col("_al"), F.lit(False)) | F.coalesce(o > F.col("_ae"), F.lit(False)))
         rest = materialize(rest.withColumn("_lost", lost))
         decided += [accepted.select("reg_id", "login", "email", F.lit(None).cast("string").alias("reason")),
                     rest.where(F.col("_lost")).select("reg_id", "login", "email", F.lit("duplicate in batch").alias("reason"))]
         if len(decided) > 16:  # the plan does not grow with the chain
             decided = [materialize(reduce(DataFrame.unionByName, decided))]
-        undecided = rest.where(~F.col("_lost")).select("reg_id", "ts", "login", "email")
+        undecided = rest.where(~F.col("_lost")).select("reg_id", "ts", "login", "email", "_login", "_email")
     return reduce(DataFrame.unionByName, decided).select("reg_id", "login", "email", F.col("reason").isNull().alias("valid"), "reason")

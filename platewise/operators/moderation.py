@@ -93,7 +93,11 @@ def derive_diet_flags(cat: Catalog, touched: DataFrame | None = None) -> DataFra
     ing = cat.ingredients.select(F.col("id").alias("id_ingredient"),
                                  F.col("vegan").alias("i_vegan"),
                                  F.col("vegetarian").alias("i_vegetarian"))
-    worst = (cat.dish_ingredients.join(ing, "id_ingredient")
+    links = cat.dish_ingredients
+    if touched is not None:   # only their links and menu rows are read on
+        t = materialize(touched.select("id_dish").distinct())
+        links, served = links.join(t, "id_dish", "left_semi"), served.join(t, "id_dish", "left_semi")
+    worst = (links.join(ing, "id_ingredient")
              .join(served, "id_dish", "left_semi")
              .groupBy("id_dish")
              .agg(F.min(F.col("i_vegan").cast("int")).alias("all_vegan"),
@@ -102,8 +106,7 @@ def derive_diet_flags(cat: Catalog, touched: DataFrame | None = None) -> DataFra
     new_vegan = F.coalesce(F.col("all_vegan") == 1, F.lit(True))
     new_veg = F.coalesce(F.col("all_vegetarian") == 1, F.lit(True))
     if touched is not None:
-        t = touched.select(F.col("id_dish").alias("id")).distinct().withColumn("_t", F.lit(True))
-        d = d.join(t, "id", "left")
+        d = d.join(t.select(F.col("id_dish").alias("id"), F.lit(True).alias("_t")), "id", "left")
         hit = F.coalesce(F.col("_t"), F.lit(False))
         new_vegan = F.when(hit, new_vegan).otherwise(F.col("vegan"))
         new_veg = F.when(hit, new_veg).otherwise(F.col("vegetarian"))
@@ -380,11 +383,14 @@ def upsert_comments(comments: DataFrame, restaurant_comments: DataFrame, submiss
     v = validate_comment_submissions(submissions).where(F.col("valid"))
     v = role_gate(v.withColumn("action", F.lit("COMMENT")), users)
     v = v.join(restaurants.select(F.col("id").alias("res_id")), "res_id", "left_semi")
-    last = (v.groupBy("res_id", "actor")
-            .agg(F.max_by(F.struct("score", "text"), _o()).alias("s")))
-    existing = (comments.select(F.col("id").alias("id_comment"), F.col("updated_by").alias("actor"))
-                .join(restaurant_comments.select("id_comment", F.col("id_restaurant").alias("res_id")),
-                      "id_comment")
+    last = materialize(v.groupBy("res_id", "actor")
+                       .agg(F.max_by(F.struct("score", "text"), _o()).alias("s")))
+    # of the history, only comments of the batch's authors on the batch's venues
+    theirs = (comments.select(F.col("id").alias("id_comment"), F.col("updated_by").alias("actor"))
+              .join(last.select("actor").distinct(), "actor", "left_semi"))
+    there = (restaurant_comments.select("id_comment", F.col("id_restaurant").alias("res_id"))
+             .join(last.select("res_id").distinct(), "res_id", "left_semi"))
+    existing = (theirs.join(there, "id_comment").join(last.select("res_id", "actor"), ["res_id", "actor"], "left_semi")
                 .groupBy("res_id", "actor").agg(F.max("id_comment").alias("old_id")))
     j = materialize(last.join(existing, ["res_id", "actor"], "left"))
     upd = j.where(F.col("old_id").isNotNull()).withColumn("id", F.col("old_id")).withColumn("is_new", F.lit(False))

@@ -259,8 +259,8 @@ GROUP BY r.id, r.name, r.opinion, co.lat, co.lon, r.address, cl.username, ad.use
 """
 
 _VIEW_REQ = "(SELECT user_id FROM events WHERE event_type = 'view' AND user_id > 0)"
-_DISH_REQ = ("(SELECT CAST(floor(value * 4) AS BIGINT) FROM events "
-             "WHERE event_type = 'click' AND CAST(floor(value * 4) AS BIGINT) > 0)")
+_DISH_REQ = ("(SELECT event_id // 5 FROM events "
+             "WHERE event_type = 'click' AND event_id // 5 > 0)")
 SQL["venue_info_lookup"] = (SQL["venue_details"].replace("GROUP BY r.id,", f"WHERE r.id IN {_VIEW_REQ}\nGROUP BY r.id,"))
 SQL["comments_for_venue"] = SQL["comments_list"] + f"WHERE c.verified AND rc.id_restaurant IN {_VIEW_REQ}\n"
 SQL["dishes_for_venue"] = SQL["dishes_info"].replace(
@@ -387,8 +387,9 @@ FROM restaurants r LEFT JOIN agg a ON a.key = r.id LEFT JOIN lastc l ON l.key =
 """
 
 _MENU_CMDS = """
-, mcmds AS (SELECT event_id, ts, key AS id_restaurant, CAST(floor(value * 4) AS BIGINT) AS id_dish, action, actor
-            FROM commands WHERE action IN ('VER', 'DEL'))
+, mcmds AS (SELECT event_id, ts, l_suppkey AS id_restaurant, l_partkey AS id_dish, action, actor
+            FROM commands JOIN lineitem ON l_orderkey = event_id AND l_linenumber = 1
+            WHERE action IN ('VER', 'DEL'))
 """
 _NEW_MENU = ROLES_SQL + _MENU_CMDS + _FLAG_CTES.format(
     cmds="mcmds", pos="id_restaurant > 0 AND id_dish > 0", keys="id_restaurant, id_dish") + """
@@ -597,7 +598,7 @@ _VENUE_SUBS = f"""
          CASE WHEN c_acctbal < 0 THEN c_name ELSE replace(c_name, '#', '') END AS name,
          c_mktsegment || ' ' || CAST(c_nationkey AS VARCHAR) || ', ' ||
            CASE WHEN c_nationkey % 5 = 0 THEN 'Wro-claw' ELSE 'Wroclaw' END AS address,
-         [{_PRIOS}[(c_custkey % 5) + 1], 'Unknown', {_PRIOS}[((c_custkey + 2) % 5) + 1]] AS cuisines
+         [{_PRIOS}[(c_custkey % 5) + 1], 'Unknown', lower({_PRIOS}[((c_custkey + 2) % 5) + 1])] AS cuisines
   FROM customer)
 , checked AS (
   SELECT *, CASE WHEN NOT COALESCE(regexp_full_match(name, '[A-Za-z0-9]+'), FALSE) THEN 'invalid name'
@@ -615,7 +616,7 @@ SELECT id, name, opinion, verified, address, updated_by, verified_by, deleted, s
 """
 SQL["ingest_venue_links"] = ROLES_SQL + _VENUE_SUBS + """
 SELECT v.id AS id_restaurant, c.id AS id_cuisine
-FROM (SELECT id, unnest(cuisines) AS cuisine FROM new_venues) v JOIN cuisines c ON c.type = v.cuisine
+FROM (SELECT id, unnest(cuisines) AS cuisine FROM new_venues) v JOIN cuisines c ON lower(strip_accents(c.type)) = lower(strip_accents(v.cuisine))
 """
 SQL["ingest_venue_rejects"] = ROLES_SQL + _VENUE_SUBS + """
 SELECT sub_id, reason FROM checked WHERE reason IS NOT NULL
@@ -639,13 +640,15 @@ FROM missing
 
 _DISH_REQS = f"""
 , reqs AS (
-  SELECT o_orderkey AS req_id, o_custkey AS actor, o_custkey % 120 AS res_id,
+  SELECT o_orderkey AS req_id, o_custkey AS actor, o_custkey // 15 AS res_id,
          CASE WHEN o_orderstatus = 'P' THEN 'bad-' || substr(o_orderpriority, 3)
               ELSE substr(o_orderpriority, 3) || ' plate' END AS name,
          CAST(CAST(floor(o_totalprice) AS BIGINT) % 900 AS DOUBLE) AS calories,
          CAST((CAST(floor(o_totalprice) AS BIGINT) % 900) % 300 AS DOUBLE) AS weight,
          CAST(CAST(floor(o_totalprice) AS BIGINT) % 1000 AS DOUBLE) AS price,
-         o_orderkey % 50 AS ing_no, o_orderkey % 3 AS nut_no
+         o_orderkey // 30 AS ing_no,
+         CASE WHEN o_orderkey % 2 = 0 THEN ['MEDIUM', 'Nut' || CAST(o_orderkey // 100 AS VARCHAR)]
+              ELSE ['Medium', 'NUT' || CAST(o_orderkey // 100 AS VARCHAR)] END AS named
   FROM orders)
 , okreq AS (
   SELECT * FROM reqs
@@ -655,17 +658,19 @@ _DISH_REQS = f"""
   SELECT CAST((SELECT max(id) FROM dishes) + row_number() OVER (ORDER BY req_id) AS BIGINT) AS id, * FROM okreq)
 , ing_rows AS (
   SELECT req_id, id AS id_dish, 0 AS pos, 'ing' || CAST(ing_no AS VARCHAR) AS ing_name,
-         ['MEDIUM', 'Nut' || CAST(nut_no AS VARCHAR)] AS allergens FROM new_dishes
+         named AS allergens FROM new_dishes
   UNION ALL
   SELECT req_id, id, 1, 'salt', CAST([] AS VARCHAR[]) FROM new_dishes)
 , new_ings AS (
   SELECT CAST((SELECT max(id) FROM ingredients) + row_number() OVER (ORDER BY req_id, pos) AS BIGINT) AS id_ingredient, *
   FROM ing_rows)
-, wanted AS (SELECT id_ingredient, unnest(allergens) AS allergen FROM new_ings)
+, wanted AS (SELECT id_ingredient, allergen, lower(strip_accents(allergen)) AS low, apos
+  FROM (SELECT id_ingredient, unnest(allergens) AS allergen, unnest(range(len(allergens))) AS apos FROM new_ings))
 , new_allergens AS (
   SELECT CAST((SELECT max(id) FROM allergens) + row_number() OVER (ORDER BY allergen) AS BIGINT) AS id,
          allergen AS name
-  FROM (SELECT DISTINCT allergen FROM wanted WHERE allergen NOT IN (SELECT name FROM allergens)))
+  FROM (SELECT allergen FROM wanted WHERE low NOT IN (SELECT lower(strip_accents(name)) FROM allergens)
+        QUALIFY row_number() OVER (PARTITION BY low ORDER BY id_ingredient, apos) = 1))
 , all_allergens AS (SELECT id, name FROM allergens UNION ALL SELECT id, name FROM new_allergens)
 """
 SQL["ingest_dishes"] = ROLES_SQL + _DISH_REQS + """
@@ -676,7 +681,7 @@ SQL["ingest_allergens"] = ROLES_SQL + _DISH_REQS + "SELECT id, name FROM new_all
 SQL["ingest_dish_links"] = ROLES_SQL + _DISH_REQS + """
 SELECT n.id_dish, n.id_ingredient, n.ing_name, a.id AS id_allergen
 FROM new_ings n LEFT JOIN wanted w ON w.id_ingredient = n.id_ingredient
-LEFT JOIN all_allergens a ON a.name = w.allergen
+LEFT JOIN all_allergens a ON lower(strip_accents(a.name)) = w.low
 """
 
 # The in-batch rule as the reference applies it: one registration at a time,
@@ -690,8 +695,8 @@ SQL["validate_users"] = ROLES_SQL.replace("WITH", "WITH RECURSIVE", 1) + """
   FROM events WHERE event_type = 'signup')
 , regs2 AS (
   SELECT reg_id, ts, user_id, fv,
-         CASE WHEN fv % 4 = 0 THEN 'user' || actor WHEN fv % 4 = 1 THEN 'u' || CAST(fv % 10 AS VARCHAR)
-              ELSE 'guest' || CAST(user_id AS VARCHAR) || 'v' || CAST(fv % 3 AS VARCHAR) END AS login
+         CASE WHEN fv % 4 = 0 THEN 'User' || actor WHEN fv % 4 = 1 THEN 'u' || CAST(fv % 10 AS VARCHAR)
+              ELSE CASE WHEN fv % 2 = 0 THEN 'guest' ELSE 'Guest' END || CAST(user_id AS VARCHAR) || 'v' || CAST(fv % 3 AS VARCHAR) END AS login
   FROM regs)
 , regs3 AS (
   SELECT reg_id, ts, login,
@@ -702,8 +707,8 @@ SQL["validate_users"] = ROLES_SQL.replace("WITH", "WITH RECURSIVE", 1) + """
   SELECT *, CASE
       WHEN NOT regexp_full_match(email, '[a-z0-9._%+\\-]+@[a-z0-9.\\-]+\\.[a-z]{2,}') THEN 'bad email'
       WHEN NOT (regexp_full_match(login, '[A-Za-z0-9]+') AND length(login) BETWEEN 4 AND 20) THEN 'bad login'
-      WHEN login IN (SELECT login FROM users) THEN 'login taken'
-      WHEN email IN (SELECT email FROM users) THEN 'email taken' END AS reason0,
+      WHEN lower(login) IN (SELECT lower(login) FROM users) THEN 'login taken'
+      WHEN lower(email) IN (SELECT lower(email) FROM users) THEN 'email taken' END AS reason0,
     row_number() OVER (ORDER BY ts, reg_id) AS rn
   FROM regs3)
 , walk(rn, reg_id, reason, logins, emails) AS (
@@ -711,11 +716,11 @@ SQL["validate_users"] = ROLES_SQL.replace("WITH", "WITH RECURSIVE", 1) + """
   UNION ALL
   SELECT r.rn, r.reg_id,
          CASE WHEN r.reason0 IS NOT NULL THEN r.reason0
-              WHEN list_contains(w.logins, r.login) OR list_contains(w.emails, r.email) THEN 'duplicate in batch'
+              WHEN list_contains(w.logins, lower(r.login)) OR list_contains(w.emails, r.email) THEN 'duplicate in batch'
          END,
-         CASE WHEN r.reason0 IS NULL AND NOT list_contains(w.logins, r.login)
-                   AND NOT list_contains(w.emails, r.email) THEN list_append(w.logins, r.login) ELSE w.logins END,
-         CASE WHEN r.reason0 IS NULL AND NOT list_contains(w.logins, r.login)
+         CASE WHEN r.reason0 IS NULL AND NOT list_contains(w.logins, lower(r.login))
+                   AND NOT list_contains(w.emails, r.email) THEN list_append(w.logins, lower(r.login)) ELSE w.logins END,
+         CASE WHEN r.reason0 IS NULL AND NOT list_contains(w.logins, lower(r.login))
                    AND NOT list_contains(w.emails, r.email) THEN list_append(w.emails, r.email) ELSE w.emails END
   FROM walk w JOIN r1 r ON r.rn = w.rn + 1)
 SELECT r1.reg_id, r1.login, r1.email, w.reason IS NULL AS valid, w.reason
@@ -761,7 +766,7 @@ SQL["stream_snapshot"] = SQL["moderate_locations"]
 SQL["stream_dedup"] = ROLES_SQL + "SELECT event_id, key, action FROM commands\n"
 
 SQL["moderate_comments"] = ROLES_SQL + """
-, ccmds AS (SELECT event_id, ts, CAST(floor(value * 25) AS BIGINT) AS key, action, actor
+, ccmds AS (SELECT event_id, ts, event_id * 3 // 2 AS key, action, actor
             FROM commands WHERE action IN ('VER', 'DEL'))
 """ + _FLAG_CTES.format(cmds="ccmds", pos="key > 0", keys="key") + """
 SELECT c.id, c.comment, c.score, c.verified OR COALESCE(a.any_ver, FALSE) AS verified, c.updated_by,

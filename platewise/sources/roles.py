@@ -252,9 +252,9 @@ def view_requests(t: dict[str, DataFrame]) -> DataFrame:
 
 
 def dish_requests(t: dict[str, DataFrame]) -> DataFrame:
-    """Dish page requests: a dish id derived from every 'click' event."""
+    """Dish page requests: a dish id derived from every 'click' event, over all dishes."""
     return (t["events"].where(F.col("event_type") == "click")
-            .select(F.floor(F.col("value") * 4).cast("long").alias("id")))
+            .select(F.floor(F.col("event_id") / 5).cast("long").alias("id")))
 
 
 def probe_points(t: dict[str, DataFrame]) -> DataFrame:
@@ -340,16 +340,17 @@ def hours_commands(t: dict[str, DataFrame]) -> DataFrame:
 
 
 def menu_commands(t: dict[str, DataFrame]) -> DataFrame:
-    """VER / DEL on a menu row: (venue, dish) with the dish derived from the value."""
-    return moderation_commands(t).select(
-        "event_id", "ts", F.col("key").alias("id_restaurant"),
-        F.floor(F.col("value") * 4).cast("long").alias("id_dish"), "action", "actor")
+    """VER / DEL on a menu row (venue, dish): the first line of the order numbered like the event."""
+    line = t["lineitem"].where("l_linenumber = 1").select(
+        F.col("l_orderkey").alias("event_id"), F.col("l_suppkey").alias("id_restaurant"), F.col("l_partkey").alias("id_dish"))
+    return moderation_commands(t).join(line, "event_id").select(
+        "event_id", "ts", "id_restaurant", "id_dish", "action", "actor")
 
 
 def comment_commands(t: dict[str, DataFrame]) -> DataFrame:
-    """VER / DEL on a comment, the comment id derived from the value."""
+    """VER / DEL on a comment, the comment id derived from the event's, over all comments."""
     return moderation_commands(t).select(
-        "event_id", "ts", F.floor(F.col("value") * 25).cast("long").alias("key"), "action", "actor")
+        "event_id", "ts", F.floor(F.col("event_id") * 3 / 2).cast("long").alias("key"), "action", "actor")
 
 
 def comment_submissions(t: dict[str, DataFrame]) -> DataFrame:
@@ -373,7 +374,8 @@ def venue_submissions(t: dict[str, DataFrame]) -> DataFrame:
     name = F.when(F.col("c_acctbal") < 0, F.col("c_name")).otherwise(F.regexp_replace("c_name", "#", ""))
     city = F.when(F.col("c_nationkey") % 5 == 0, F.lit("Wro-claw")).otherwise(F.lit("Wroclaw"))
     address = F.concat(F.col("c_mktsegment"), F.lit(" "), F.col("c_nationkey").cast("string"), F.lit(", "), city)
-    cuisines = F.array(_pick(CUISINE_NAMES, k), F.lit("Unknown"), _pick(CUISINE_NAMES, k + 2))
+    # names as people type them: some in lower case
+    cuisines = F.array(_pick(CUISINE_NAMES, k), F.lit("Unknown"), F.lower(_pick(CUISINE_NAMES, k + 2)))
     return c.select(k.alias("sub_id"), k.alias("actor"), name.alias("name"), address.alias("address"),
                     cuisines.alias("cuisines"))
 
@@ -389,10 +391,11 @@ def dish_requests_json(t: dict[str, DataFrame]) -> DataFrame:
         F.concat(word, F.lit(" plate")))
     s = lambda c: c.cast("string")
     body = F.concat(
-        F.lit('{"id":'), s(F.col("o_custkey") % 120), F.lit(',"name":"'), name,
+        F.lit('{"id":'), s(F.floor(F.col("o_custkey") / 15).cast("long")), F.lit(',"name":"'), name,
         F.lit('","calories":'), s(cal), F.lit(',"weight":'), s(weight), F.lit(',"price":'), s(price),
-        F.lit(',"vegan":false,"vegetarian":true,"ingredients":[{"name":"ing'), s(F.col("o_orderkey") % 50),
-        F.lit('","allergens":["MEDIUM","Nut'), s(F.col("o_orderkey") % 3),
+        F.lit(',"vegan":false,"vegetarian":true,"ingredients":[{"name":"ing'), s(F.floor(F.col("o_orderkey") / 30).cast("long")),
+        F.when(F.col("o_orderkey") % 2 == 0, F.lit('","allergens":["MEDIUM","Nut')).otherwise(F.lit('","allergens":["Medium","NUT')),
+        s(F.floor(F.col("o_orderkey") / 100).cast("long")),
         F.lit('"]},{"name":"salt","allergens":[]}]}'))
     return o.select(F.col("o_orderkey").alias("req_id"), F.col("o_custkey").alias("actor"), body.alias("body"))
 
@@ -403,9 +406,9 @@ def registrations(t: dict[str, DataFrame]) -> DataFrame:
     fv = F.floor("value").cast("long")
     actor = F.get_json_object("props", "$.k")
     uid = F.col("user_id").cast("string")
-    login = (F.when(fv % 4 == 0, F.concat(F.lit("user"), actor))
+    login = (F.when(fv % 4 == 0, F.concat(F.lit("User"), actor))
              .when(fv % 4 == 1, F.concat(F.lit("u"), (fv % 10).cast("string")))
-             .otherwise(F.concat(F.lit("guest"), uid, F.lit("v"), (fv % 3).cast("string"))))
+             .otherwise(F.concat(F.when(fv % 2 == 0, F.lit("guest")).otherwise(F.lit("Guest")), uid, F.lit("v"), (fv % 3).cast("string"))))
     email = F.when(fv % 5 == 0, F.concat(F.lit("Guest"), uid, F.lit("@Example.com"))).otherwise(
         F.concat(F.lower(login), F.lit("@mail.example.org")))
     return e.select(F.col("event_id").alias("reg_id"), F.col("ts").cast("timestamp").alias("ts"),

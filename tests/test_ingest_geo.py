@@ -215,3 +215,15 @@ def test_product_sample_against_enumeration(spark, n):
     expected = [product[(j * stride) % len(product)] for j in range(min(n, len(product)))]
     assert sorted(got) == sorted(expected)
     assert len(set(got)) == len(got) == min(n, len(product))
+
+
+def test_text_equality_ignores_case_and_accents(cat, spark):
+    subs = spark.createDataFrame([(1, 1, "Cafe", "Street 1", ["POLISH", "Pólish"])],
+                                 "sub_id long, actor long, name string, address string, cuisines array<string>")
+    polish = spark.createDataFrame([(1, "Polish")], "id long, type string")
+    _, links, _ = ingest.ingest_venues(cat.restaurants, polish, subs, cat.users)
+    assert [r.id_cuisine for r in links.collect()] == [1, 1]
+    regs = spark.createDataFrame([(1, T0, "ADMIN", "n1@x.pl"), (2, T0, "Fresh1", "n2@x.pl"), (3, T0, "fresh1", "n3@x.pl")],
+                                 "reg_id long, ts timestamp, login string, email string")
+    got = {r.reg_id: r.reason for r in ingest.validate_users(cat.users, regs).collect()}
+    assert got == {1: "login taken", 2: None, 3: "duplicate in batch"}
