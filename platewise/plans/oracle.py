@@ -773,3 +773,6 @@ SELECT c.id, c.comment, c.score, c.verified OR COALESCE(a.any_ver, FALSE) AS ver
        COALESCE(l.actor, c.verified_by) AS verified_by, c.deleted OR COALESCE(a.any_del, FALSE) AS deleted
 FROM comments c LEFT JOIN agg a ON a.key = c.id LEFT JOIN lastc l ON l.key = c.id
 """
+
+SQL["stream_comments"] = SQL["moderate_comments"]
+SQL["stream_menu"] = SQL["moderate_menu"]

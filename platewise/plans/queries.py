@@ -488,6 +488,21 @@ def q_stream_flags(spark, sf_dir):
     return streams.stream_flags(spark, cmds, cat.users, cat.restaurants)
 
 
+@register("stream_comments")
+def q_stream_comments(spark, sf_dir):
+    cat = roles.bind(spark, sf_dir)
+    cmds = roles.comment_commands({"events": streams.event_stream(spark, sf_dir)})
+    return streams.stream_flags(spark, cmds, cat.users, cat.comments)
+
+
+@register("stream_menu")
+def q_stream_menu(spark, sf_dir):
+    t, cat = roles.read_tables(spark, sf_dir), roles.bind(spark, sf_dir)
+    cmds = roles.menu_commands({**t, "events": streams.event_stream(spark, sf_dir)})
+    keys = ("id_restaurant", "id_dish")
+    return streams.stream_flags(spark, cmds, cat.users, cat.menu, snap_keys=keys, cmd_keys=keys)
+
+
 @register("stream_snapshot")
 def q_stream_snapshot(spark, sf_dir):
     cat = roles.bind(spark, sf_dir)

@@ -47,11 +47,13 @@ def _run(writer) -> None:
 
 
 def stream_flags(spark: SparkSession, commands: DataFrame, users: DataFrame,
-                 snapshot: DataFrame, out: str | None = None) -> DataFrame:
-    """T1: fold a command stream into flag changes, then apply them to ``snapshot``."""
+                 snapshot: DataFrame, out: str | None = None,
+                 snap_keys: tuple[str, ...] = ("id",), cmd_keys: tuple[str, ...] = ("key",)) -> DataFrame:
+    """T1: fold a command stream into flag changes, then apply them to ``snapshot``
+    (venues, comments; menu rows with a two-column key)."""
     out = out or run_dir(spark, "flags")
     gated = moderation.role_gate(commands.where(F.col("action").isin(*moderation.ADMIN_ACTIONS)), users)
-    changes = moderation.flag_changes(gated, ["key"])
+    changes = moderation.flag_changes(gated, list(cmd_keys))
 
     def sink(batch: DataFrame, epoch: int) -> None:
         # complete mode: every epoch is the whole per-key state, written as its own
@@ -63,7 +65,7 @@ def stream_flags(spark: SparkSession, commands: DataFrame, users: DataFrame,
     ch = snapshots.read_version(spark, f"{out}/changes")
     if ch is None:
         return snapshot
-    return moderation.apply_flag_changes(snapshot, ch, ["id"], ["key"])
+    return moderation.apply_flag_changes(snapshot, ch, list(snap_keys), list(cmd_keys))
 
 
 LOG_BUCKETS = 64
