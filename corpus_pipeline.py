@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 from platewise.llm import langid, minhash, packing, quality
 from platewise.llm.store import Scratch
 
+#: near_dedup links documents at this percentage (op6's contract has its own, 85)
+PERCENT = 80
+#: a pair at 0.80 shares no band with probability (1 - 0.8^5)^40 = 1e-7
+BANDS, ROWS = 40, 5
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the fences of their language and source."""
@@ -28,11 +33,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the smallest doc_id.
+    """One document of each group of near duplicates (0.80 or more), that with the smallest doc_id.
 
     Of rows with the same doc_id one stays; rows without doc_id all stay.
     """
-    kept = minhash.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id")
+    kept = minhash.near_duplicates(docs, percent=PERCENT, bands=BANDS, rows=ROWS).where("kept and doc_id is not null").select("doc_id")
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).union(docs.where("doc_id is null"))
 
 

@@ -296,6 +296,16 @@ def test_pipeline(spark, tmp_path, docs):
     assert os.path.exists(f"{tmp_path}/documents.parquet")
 
 
+def test_pipeline_links_below_the_contract_of_op6(spark):
+    """45 of 55 shingles in common, 0.818: two documents of op6, one of the pipeline's."""
+    import corpus_pipeline
+
+    base = [f"w{i}" for i in range(54)]
+    pair = spark.createDataFrame([(1, " ".join(base)), (2, " ".join([*base[:27], "other", *base[28:]]))], "doc_id long, text string")
+    assert [r.doc_id for r in corpus_pipeline.near_dedup(spark, pair, "").collect()] == [1]
+    assert minhash.near_duplicates(pair).where("kept").count() == 2
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_equals_its_sql(spark, name):
     import duckdb
