@@ -4,7 +4,9 @@ The vocabulary's pieces form two tries, one for word starts and one for
 continuations.  A node's failure link leads to where the greedy match stands
 after the longest pieces at its front are taken off, and the node knows how
 many those are; so a word is counted in one pass over its characters, without
-backing up and without building a piece.
+backing up and without building a piece.  An empty word start stands for the
+vocabulary's bare word mark: a word that no longer start fits takes it as its
+first piece and goes on with continuations.
 """
 
 from __future__ import annotations
@@ -40,8 +42,10 @@ class LongestMatch:
                 ends.add(node)
         self.link: list[int | None] = [None] * len(self.next)
         self.popped = [0] * len(self.next)
+        if "" in starts:
+            self.link[_START], self.popped[_START] = _INSIDE, 1
         level = [_START, _INSIDE]
-        while level:  # by depth: links lead to shorter strings
+        while level:  # by depth: links lead to shorter strings, or from starts to continuations as long
             for node in level:
                 for char, child in self.next[node].items():
                     if child in ends:
@@ -72,7 +76,8 @@ class LongestMatch:
 
 def sentencepiece_vocabulary(path: str, mark: str = "▁") -> tuple[set[str], set[str]]:
     """Word starts and continuations of a sentencepiece file: pieces with the mark
-    in front begin words; control and byte pieces are left out."""
+    in front begin words (the mark alone is the empty start); control and byte
+    pieces are left out."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -91,13 +96,13 @@ def count_tokens(docs: DataFrame, starts: set[str], inside: set[str]) -> DataFra
     one by one, also repeated ones and those without doc_id; other columns are
     not read.
     """
-    vocabulary = ("\n".join(sorted(starts)), "\n".join(sorted(inside)))
+    vocabulary = (tuple(sorted(starts)), tuple(sorted(inside)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = hash(vocabulary)
         if key not in _AUTOMATA:
             _AUTOMATA.clear()
-            _AUTOMATA[key] = (LongestMatch(*(set(v.split("\n")) for v in vocabulary)), {})
+            _AUTOMATA[key] = (LongestMatch(*map(set, vocabulary)), {})
         automaton, known = _AUTOMATA[key]
         for batch in batches:
             for part in text_slices(batch, "text"):

@@ -218,6 +218,29 @@ def test_longest_match():
         assert automaton.count(word) == greedy(word)
 
 
+def test_bare_word_mark_begins_words():
+    """piece_bpe_32k against plain greedy longest match on mark + word."""
+    starts, inside = wordpiece.sentencepiece_vocabulary(P.path("piece_bpe_32k.model"))
+    automaton, marked = wordpiece.LongestMatch(starts, inside), {"▁" + p for p in starts}
+
+    def greedy(word):
+        text, n, at, pieces = "▁" + word, 0, 0, marked
+        while at < len(text):
+            end = next((e for e in range(len(text), at, -1) if text[at:e] in pieces), None)
+            if end is None:
+                return None
+            n, at, pieces = n + 1, end, inside
+        return n
+
+    rng = random.Random(9)
+    chars = sorted(c for c in inside | starts if len(c) == 1)
+    made = ["".join(rng.choice(chars) for _ in range(rng.randint(1, 8))) for _ in range(3000)]
+    for word in ["2024", "7", "3.14", "中文", "ça", "ñandú", "garçon", "λόγος", "слово", "the", "\ue000", *made]:
+        assert automaton.count(word) == greedy(word), word
+    assert automaton.count("2024") == 5 and automaton.count("中文") == 3 and automaton.count("\ue000") is None
+    assert wordpiece.LongestMatch({"a"}, {"b"}).count("b") is None
+
+
 def test_token_counts(docs, none):
     rows = wordpiece.count_tokens(docs, {"the", "h", "one"}, {"e", "o", "use"}).collect()
     assert sorted(r.n_words for r in rows) == sorted(len(words(t)) for _, t, *_ in documents())
