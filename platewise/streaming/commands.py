@@ -6,7 +6,8 @@
   log and recomputes only the touched keys from their whole log (late
   commands replay correctly), writing a new snapshot version per batch
   (idempotent per epoch);
-* T3 duplicate suppression: ``dropDuplicatesWithinWatermark`` on event id.
+* T3 duplicate suppression: ``foreachBatch`` appends the event ids that no
+  earlier batch delivered, however late they come (no watermark).
 
 Sinks are files in the shared checkpoint folder (never the driver).
 """
@@ -17,6 +18,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from platewise.operators import moderation
 from platewise.session import checkpoint_dir
@@ -109,11 +111,26 @@ def stream_locations(spark: SparkSession, location_cmds: DataFrame, coordinates:
     return coordinates if latest is None else latest
 
 
-def stream_dedup(spark: SparkSession, commands: DataFrame, delay: str = "1 hour",
-                 out: str | None = None) -> DataFrame:
-    """T3: drop repeated deliveries of the same event id within the watermark."""
+def stream_dedup(spark: SparkSession, commands: DataFrame, out: str | None = None) -> DataFrame:
+    """T3: every event id once, whatever the order in which files and events arrive.
+
+    Repeats within a micro-batch are dropped, then the ids that earlier epochs
+    wrote; the rest is written as the epoch's own version, so a retried batch
+    replaces its rows.  Rows without event id count as repeats of each other.
+    """
     out = out or run_dir(spark, "dedup")
-    dedup = commands.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
-    _run(dedup.writeStream.format("parquet").outputMode("append")
-         .option("path", f"{out}/data").option("checkpointLocation", f"{out}/_checkpoint"))
-    return spark.read.parquet(f"{out}/data")
+    data = f"{out}/data"
+    schema = T.StructType([*commands.schema.fields, T.StructField(snapshots.VERSION_COL, T.LongType()),
+                           T.StructField("bucket", T.LongType())])
+    parts = (snapshots.VERSION_COL, "bucket")
+    spark.createDataFrame([], schema).write.mode("append").partitionBy(*parts).parquet(data)  # readable before the first epoch
+
+    def sink(batch: DataFrame, epoch: int) -> None:
+        b = batch.dropDuplicates(["event_id"]).withColumn("bucket", F.pmod(F.xxhash64("event_id"), F.lit(LOG_BUCKETS)))
+        seen = (spark.read.schema(schema).parquet(data).where(F.col(snapshots.VERSION_COL) < epoch)
+                .select(F.col("bucket").alias("seen_bucket"), F.col("event_id").alias("seen_id")))
+        known = (F.col("bucket") == F.col("seen_bucket")) & F.col("event_id").eqNullSafe(F.col("seen_id"))
+        snapshots.write_version(b.join(seen, known, "left_anti").repartition("bucket"), data, epoch, extra_partitions=("bucket",))
+
+    _run(commands.writeStream.foreachBatch(sink).option("checkpointLocation", f"{out}/_checkpoint"))
+    return spark.read.schema(schema).parquet(data).drop(*parts)

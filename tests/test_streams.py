@@ -59,6 +59,25 @@ def test_stream_dedup_drops_second_delivery(spark):
     assert got == [1, 2]
 
 
+def test_stream_dedup_keeps_late_first_deliveries(spark):
+    src, out = tempfile.mkdtemp(prefix="platewise-test-dedup-"), tempfile.mkdtemp(prefix="platewise-test-out-")
+    row = lambda i: (i, T0 + dt.timedelta(days=i), 1, "VER", 1, 0.0, 0.0)
+    for i, ids in enumerate(([20, 29, 29], [3, 20, 11], [12, 3, 1, 29])):   # days, not in order of time
+        _write(src, f"part-{i}.parquet", [row(x) for x in ids])
+    schema = spark.read.parquet(src).schema
+
+    def run():
+        stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+                  .withColumn("ts", F.col("ts").cast("timestamp")))
+        rows = streams.stream_dedup(spark, stream, out=out)
+        assert rows.columns == CMD_COLS
+        return sorted(r.event_id for r in rows.collect())
+
+    assert run() == [1, 3, 11, 12, 20, 29]
+    _write(src, "part-9.parquet", [row(2), row(11)])                        # arrives between two runs
+    assert run() == [1, 2, 3, 11, 12, 20, 29]
+
+
 def test_snapshot_versions(spark):
     from platewise.sources import snapshots
     root = os.path.join(tempfile.mkdtemp(prefix="platewise-test-snap-"), "t")
