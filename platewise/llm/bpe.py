@@ -1,9 +1,10 @@
 """Byte-level BPE over Arrow batches with the tokenizers library.
 
 A text is cut into chunks at spaces where the pre-tokenizer always has a
-boundary; the distinct chunks of a batch are encoded once (and remembered by
-the Python worker, within ``CACHE_CHUNKS``), and the ids of the texts are put
-together by array indexing.  The result equals encoding every whole text.
+boundary; the distinct chunks of a batch are encoded once (and remembered for
+the task, within ``CACHE_CHARS``), and the ids of the texts are put together by
+array indexing.  The result equals encoding every whole text.  A text that
+holds the string of an added token is encoded whole, as the library does.
 
 Why the cut is safe: no piece of the pattern holds a space except as its first
 character or inside a run of white space.  Before a space there is therefore
@@ -14,17 +15,20 @@ space is the last of its run and a word follows.  Texts with other spaces
 
 from __future__ import annotations
 
+import contextlib
+import json
 import re
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: distinct chunks in a generation of a Python worker's memory (two: about 120 MB)
-CACHE_CHUNKS = 250_000
+#: characters of the distinct chunks in a generation of a task's memory (two: about 60 MB, with the ids and the table)
+CACHE_CHARS = 1 << 20
 #: longer chunks are encoded each time
-CACHE_CHARS = 64
+LONGEST_CACHED = 64
 
 _WS = r"[\s\x0B\x{85}\p{Z}]"
 _WIDE_RUN = rf"{_WS} (?:{_WS}|$)"
@@ -64,21 +68,32 @@ class ChunkEncoder:
     """Encodes arrays of texts with one tokenizer (byte-level BPE, the pattern
     of the byte-level vocabularies)."""
 
-    def __init__(self, tokenizer_json: str):
+    def __init__(self, tokenizer_json: str, added: bool = True):
+        """``added``: the strings of added tokens in a text are those tokens, as in the library, else ordinary text."""
         import tokenizers
 
         self.tokenizer = tokenizers.Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not added
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
         self.model = self.tokenizer.model
-        # two generations of known chunks: what is in use moves to the young one
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the memory of chunks."""
+        # two generations: what is in use moves to the young one
         self._young: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
+        self._chars = 0
 
     def encode(self, array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """ids (uint32, all texts in a row) and offsets (one more than texts)."""
         if not len(array):
             return np.zeros(0, np.uint32), np.zeros(1, np.int64)
         wide = pc.match_substring_regex(array, _WIDE_RUN)
+        held = pa.array(np.zeros(len(array), bool))
+        for token in self.added:
+            held = pc.or_(held, pc.match_substring(array, token))
+        wide = pc.or_(wide, held)
         split = pc.split_pattern(pc.if_else(wide, "", array), " ")
         firsts = split.offsets.to_numpy()
         firsts, words = firsts - firsts[0], split.flatten().dictionary_encode()
@@ -88,7 +103,8 @@ class ChunkEncoder:
         index[firsts[:-1]] = len(entries) + np.arange(len(array))
         heads = self._all(pc.list_element(split, 0).to_pylist())
         for i in np.flatnonzero(wide.to_numpy(zero_copy_only=False)):
-            heads[i] = b"".join(self._all(_AFTER_WORD.split(array[int(i)].as_py())))
+            text = array[int(i)].as_py()
+            heads[i] = self._library(text) if held[int(i)].as_py() else b"".join(self._all(_AFTER_WORD.split(text)))
         entries += heads
 
         flat = np.frombuffer(b"".join(entries), "<u4")
@@ -101,8 +117,8 @@ class ChunkEncoder:
 
     def _all(self, chunks: list[str]) -> list[bytes]:
         """The ids of each chunk."""
-        if len(self._young) > CACHE_CHUNKS:
-            self._old, self._young = self._young, {}
+        if self._chars > CACHE_CHARS:
+            self._old, self._young, self._chars = self._young, {}, 0
         young, old, out = self._young, self._old, []
         for chunk in chunks:
             ids = young.get(chunk)
@@ -110,8 +126,9 @@ class ChunkEncoder:
                 ids = old.get(chunk)
                 if ids is None:
                     ids = self._encode(chunk)
-                if len(chunk) <= CACHE_CHARS:
+                if len(chunk) <= LONGEST_CACHED:
                     young[chunk] = ids
+                    self._chars += len(chunk)
             out.append(ids)
         return out
 
@@ -123,19 +140,35 @@ class ChunkEncoder:
             return b"".join(self._all([word[0], chunk[word.end():]]))
         if _PLAIN.match(chunk):
             return b"".join(map(self._piece, _PIECES.findall(chunk)))
-        return _le32(self.tokenizer.encode_batch_fast([chunk], add_special_tokens=False)[0].ids)
+        return self._library(chunk)
+
+    def _library(self, text: str) -> bytes:
+        return _le32(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
 
     def _piece(self, piece: str) -> bytes:
         return _le32([t.id for t in self.model.tokenize(as_byte_chars(piece.encode()))])
 
 
+def token_bytes(tokenizer_json: str) -> list[bytes | None]:
+    """The bytes of every id (an id without token: null)."""
+    byte_of = {c: b for b, c in enumerate(byte_chars())}
+    spec = json.loads(tokenizer_json)
+    vocab = {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
+    vocab |= {i: bytes(map(byte_of.__getitem__, t)) for t, i in spec["model"]["vocab"].items() if i not in vocab}
+    return [vocab.get(i) for i in range(max(vocab, default=-1) + 1)]
+
+
 _ENCODERS: dict[int, ChunkEncoder] = {}
 
 
-def encoder(tokenizer_json: str) -> ChunkEncoder:
-    """The Python worker's encoder for this tokenizer (kept between tasks)."""
+@contextlib.contextmanager
+def encoder(tokenizer_json: str) -> Iterator[ChunkEncoder]:
+    """The Python worker's encoder for this tokenizer; it forgets its chunks at the end."""
     key = hash(tokenizer_json)
     if key not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[key] = ChunkEncoder(tokenizer_json)
-    return _ENCODERS[key]
+    try:
+        yield _ENCODERS[key]
+    finally:
+        _ENCODERS[key].forget() if key in _ENCODERS else None

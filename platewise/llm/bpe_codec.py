@@ -61,11 +61,7 @@ def _last_pair(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes] | N
 
 def _token_bytes(tokenizer_json: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The bytes of all tokens in a row, and their places and sizes by id; the last entry stands for unknown ids."""
-    byte_of = {c: b for b, c in enumerate(bpe.byte_chars())}
-    spec = json.loads(tokenizer_json)
-    vocab = {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
-    vocab |= {i: bytes(map(byte_of.__getitem__, t)) for t, i in spec["model"]["vocab"].items() if i not in vocab}
-    table = [vocab.get(i, _UNKNOWN) for i in range(max(vocab, default=-1) + 1)] + [_UNKNOWN]
+    table = [_UNKNOWN if t is None else t for t in bpe.token_bytes(tokenizer_json)] + [_UNKNOWN]
     size = np.array([len(t) for t in table], np.int64)
     return np.frombuffer(b"".join(table), np.uint8), np.cumsum(size) - size, size
 
@@ -85,10 +81,10 @@ def encode(docs: DataFrame, tokenizer_json: str, offsets: bool = False) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = _token_bytes(tokenizer_json)[2] if offsets else None
-        for batch in batches:
-            for part in text_slices(batch, "text"):
+        with bpe.encoder(tokenizer_json) as encoder:
+            for part in (p for batch in batches for p in text_slices(batch, "text")):
                 text = texts(part)
-                ids, ends = bpe.encoder(tokenizer_json).encode(text)
+                ids, ends = encoder.encode(text)
                 out = [part.column("doc_id"), _lists(ids, ends)]
                 if offsets:
                     out += [_lists(s, ends) for s in _char_spans(text, ids, ends, size)]

@@ -34,17 +34,17 @@ END_ID = 2
 def cut_documents(docs: DataFrame, tokenizer_json: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length, ids (binary, little-endian unsigned 32 bit) of every document.
 
-    A document is the ids of its text, then ``end_id`` (null and empty texts:
+    A document is the ids that the library gives its text (strings of added
+    tokens are those tokens), then ``end_id`` (null and empty texts:
     that id alone).  Documents over ``capacity`` are cut into pieces of that
     length, of which the first is the shorter one.  Repeated rows give
     repeated pieces; a null doc_id stays null; other columns are not read.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = bpe.encoder(tokenizer_json).encode
-        for batch in batches:
-            for part in text_slices(batch, "text"):
-                ids, ends = encode(texts(part))
+        with bpe.encoder(tokenizer_json) as encoder:
+            for part in (p for batch in batches for p in text_slices(batch, "text")):
+                ids, ends = encoder.encode(texts(part))
                 count = np.diff(ends) + 1
                 stops = np.cumsum(count)
                 full = np.empty(stops[-1], "<u4")

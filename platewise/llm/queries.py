@@ -6,13 +6,14 @@ derives the contract's columns from the operator's output.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platewise.llm import bpe_codec, langid, license_scan, minhash, packing, quality, topk, url_filter, warc, wordpiece
+from platewise.llm import alignment, ann, bpe_codec, codebooks, langid, license_scan, minhash, packing, quality, topk, url_filter, warc, wordpiece
 from platewise.llm.oracle import SQL  # noqa: F401 - read by the entry point
 from platewise.llm.store import Scratch
 
@@ -116,3 +117,26 @@ def op9_license_scan(spark, sf_dir):
     place = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))
     found = license_scan.scan(table(spark, sf_dir, "documents").select(place.alias("path"), "text"))
     return found.withColumn("doc_id", F.expr("try_cast(substring_index(path, '/', -1) as bigint)"))
+
+
+@register
+def op11_multi_index_hashing(spark, sf_dir):
+    """The 10 nearest found of every hundredth vector."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("id") % 100 == 0, 10)
+
+
+@register
+def op12_vector_codes(spark, sf_dir):
+    """Every usable vector's code and errors, and a digest of the codebooks."""
+    coded, books = codebooks.compress(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+    digest = hashlib.sha256(",".join(map(str, books.reshape(-1).tolist())).encode()).hexdigest()
+    code = F.array_join(F.transform("code", lambda i: F.lower(F.lpad(F.hex(i), 2, "0"))), "")
+    return coded.select("vec_id", code.alias("code"), "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
+@register
+def op13_tokenizer_alignment(spark, sf_dir):
+    """Every document's tokens by a byte-level and a word-piece vocabulary, aligned."""
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        model = f.read()
+    return alignment.compare(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), model)
