@@ -12,6 +12,7 @@ tokens that a cut divides is put together again when the pieces are stitched.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +27,8 @@ from platewise.llm.store import Scratch, fields, text_slices, texts
 
 #: tokens of both lists in a piece
 PIECE = 1 << 16
-#: tables of at most so many id pairs are broadcast (a pair: 24 bytes), larger ones are joined by shuffle
-BROADCAST_PAIRS = 1_000_000
+#: tables of at most so many id pairs (17 bytes a pair) are held by every task, larger ones are joined by shuffle
+BROADCAST_PAIRS = 2_000_000
 #: shares of a frequent pair's rows in the shuffled join
 SALTS = 32
 _SPACE = "▁"
@@ -89,6 +90,7 @@ class Pair:
         import sentencepiece
 
         self.encoder = bpe.ChunkEncoder(tokenizer_json, added=False)
+        self.ranked = bpe.rank_encoding(tokenizer_json)
         self.a_bytes = [t or b"" for t in bpe.token_bytes(tokenizer_json)]
         self.processor = sentencepiece.SentencePieceProcessor(model_proto=model)
         pieces = [self.processor.id_to_piece(i) for i in range(self.processor.get_piece_size())]
@@ -96,8 +98,12 @@ class Pair:
         self.a_size, self.b_size = (np.array(list(map(len, t)), np.int64) for t in (self.a_bytes, self.b_bytes))
         # no piece goes on past a space: words can be encoded one by one
         self.by_word = not any(_SPACE in p.lstrip(_SPACE) for p in pieces)
+        self.a_flat, self.b_flat = (np.frombuffer(b"".join(t), np.uint8) for t in (self.a_bytes, self.b_bytes))
         # what each token adds to the groups' text: its id, and what follows it
-        self.words = [f"{i}{mark}".encode() for marks, n in ((",|", len(self.a_bytes)), (",;", len(pieces))) for mark in marks for i in range(n)]
+        words = [f"{i}{mark}".encode() for marks, n in ((",|", len(self.a_bytes)), (",;", len(pieces))) for mark in marks for i in range(n)]
+        self.word_size = np.array(list(map(len, words)), np.int64)
+        self.words = np.zeros((len(words), self.word_size.max()), np.uint8)
+        self.words[np.arange(self.words.shape[1]) < self.word_size[:, None]] = np.frombuffer(b"".join(words), np.uint8)
 
     def _pieces(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """ids of b, and how many a text has.  Distinct words are encoded once; texts with other than single
@@ -118,31 +124,60 @@ class Pair:
         ids = flat[np.repeat((np.cumsum(sizes) - sizes)[index] - ends[:-1], lens) + np.arange(ends[-1])]
         return ids, np.diff(ends[firsts])
 
+    def _byte_ids(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """ids of a, and how many a text has.  Texts of characters whose classes are beyond dispute are merged by
+        rank (the same ids, sooner), the others go through the library."""
+        plain = np.array([self.ranked is not None and bool(bpe.PLAIN.match(t)) for t in text.to_pylist()], bool)
+        ids, ends = self.encoder.encode(text.filter(pa.array(~plain)))
+        count = np.empty(len(text), np.int64)
+        count[~plain] = np.diff(ends)
+        lists = [self.ranked.encode_ordinary(t) for t in text.filter(pa.array(plain)).to_pylist()]
+        count[plain] = np.fromiter(map(len, lists), np.int64, len(lists))
+        out = np.empty(count.sum(), np.int64)
+        ranked = np.repeat(plain, count)
+        out[~ranked] = ids
+        out[ranked] = np.fromiter(itertools.chain.from_iterable(lists), np.int64, count[plain].sum())
+        return out, count
+
     def tokens(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """ids of a, how many a text has, ids of b, how many; a text whose tokens do not give its bytes has none."""
         spaced = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), text, pa.scalar("", pa.large_string()))
-        a_ids, ends = self.encoder.encode(spaced)
-        a_ids, a_count = a_ids.astype(np.int64), np.diff(ends)
+        a_ids, a_count = self._byte_ids(spaced)
         b_ids, b_count = self._pieces(text)
-        size = np.array(pc.binary_length(spaced).to_numpy(zero_copy_only=False), np.int64)
+        stops = np.frombuffer(spaced.buffers()[1], np.int64)[spaced.offset:spaced.offset + len(spaced) + 1]
+        data, size = np.frombuffer(spaced.buffers()[2], np.uint8), np.diff(stops)
         good = size > 1
-        for ids, count, table, sizes in ((a_ids, a_count, self.a_bytes, self.a_size), (b_ids, b_count, self.b_bytes, self.b_size)):
+        for ids, count, flat, sizes in ((a_ids, a_count, self.a_flat, self.a_size), (b_ids, b_count, self.b_flat, self.b_size)):
             good &= _sums(sizes[ids], count) == size
-            stops = np.cumsum(count)
-            for row in np.flatnonzero(good):
-                joined = b"".join(map(table.__getitem__, ids[stops[row] - count[row]:stops[row]].tolist()))
-                good[row] = joined == spaced[int(row)].as_py().encode()
+            kept = ids[np.repeat(good, count)]
+            same = _gather(flat, (np.cumsum(sizes) - sizes)[kept], sizes[kept]) == _gather(data, stops[:-1][good], size[good])
+            good[np.flatnonzero(good)[_sums(same, size[good]) < size[good]]] = False
         return a_ids[np.repeat(good, a_count)], a_count * good, b_ids[np.repeat(good, b_count)], b_count * good
 
-    def groups_text(self, a_ids: np.ndarray, b_ids: np.ndarray, a_stop: np.ndarray, b_stop: np.ndarray) -> list[bytes]:
-        """The tokens in the order of their groups, a's before b's, each with the mark that follows it."""
+    def groups_text(self, a_ids: np.ndarray, b_ids: np.ndarray, a_stop: np.ndarray, b_stop: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The tokens in the order of their groups, a's before b's, each with the mark that follows it; and how far
+        this text has come after each token."""
         a_last, b_last = np.zeros(len(a_ids), np.int64), np.zeros(len(b_ids), np.int64)
         a_last[a_stop - 1] = b_last[b_stop - 1] = 1
         a_group, b_group = np.cumsum(a_last) - a_last, np.cumsum(b_last) - b_last
         out = np.empty(len(a_ids) + len(b_ids), np.int64)
         out[np.arange(len(a_ids)) + np.concatenate([[0], b_stop])[a_group]] = a_ids + len(self.a_bytes) * a_last
         out[np.arange(len(b_ids)) + a_stop[b_group]] = b_ids + 2 * len(self.a_bytes) + len(self.b_bytes) * b_last
-        return list(map(self.words.__getitem__, out.tolist()))
+        size = self.word_size[out]
+        return self.words[out][np.arange(self.words.shape[1]) < size[:, None]].tobytes(), np.concatenate([[0], np.cumsum(size)])
+
+
+_PAIRS: dict[tuple[int, int], Pair] = {}
+
+
+def _pair(tokenizer_json: str, model: bytes) -> Pair:
+    """The Python worker's pair of tokenizers; what an earlier task remembered is forgotten."""
+    key = hash(tokenizer_json), hash(model)
+    if key not in _PAIRS:
+        _PAIRS.clear()
+        _PAIRS[key] = Pair(tokenizer_json, model)
+    _PAIRS[key].encoder.forget()
+    return _PAIRS[key]
 
 
 def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -152,6 +187,11 @@ def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total[stops] - total[stops - counts]
 
 
+def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Runs of ``flat`` in a row."""
+    return flat[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+
+
 def _runs(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values, kind))
 
@@ -167,7 +207,7 @@ def links(docs: DataFrame, tokenizer_json: str, model: bytes, piece: int = PIECE
     schema = fields(docs, ["doc_id"], "row long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<int>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both, seen = Pair(tokenizer_json, model), TaskContext.get().partitionId() << 33
+        both, seen = _pair(tokenizer_json, model), TaskContext.get().partitionId() << 33
         for batch in batches:
             for part in text_slices(batch, "text", 2 << 20):
                 a_ids, n_a, b_ids, n_b = both.tokens(texts(part))
@@ -176,30 +216,67 @@ def links(docs: DataFrame, tokenizer_json: str, model: bytes, piece: int = PIECE
                 # texts end at common ends
                 group_of = np.searchsorted(a_stop, np.cumsum(n_a), side="right")
                 n_groups = np.diff(group_of, prepend=0)
-                words = both.groups_text(a_ids, b_ids, a_stop, b_stop)
-                stops = np.cumsum(n_a + n_b)
-                digests = [hashlib.sha256(b"".join(words[s - n:s])[:-1]).hexdigest() if n else "" for s, n in zip(stops, n_a + n_b, strict=True)]
-                del words
-                row = np.searchsorted(np.cumsum(n_a), left, side="right")
-                pair = (a_ids[left] << 32) + b_ids[right]
-                order = np.lexsort((pair, row))
-                row, pair = row[order], pair[order]
-                first = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (row[1:] != row[:-1])])) if len(pair) else np.zeros(0, np.int64)
-                times = np.diff(np.append(first, len(pair)))
-                distinct = np.bincount(row[first], minlength=len(part))
+                words, places = both.groups_text(a_ids, b_ids, a_stop, b_stop)
+                stops = places[np.concatenate([[0], np.cumsum(n_a + n_b)])]
+                digests = [hashlib.sha256(words[x:y - 1]).hexdigest() if y > x else "" for x, y in zip(stops[:-1], stops[1:], strict=True)]
+                del words, places
+                row = np.repeat(np.arange(len(part)), n_a)[left]
+                n_links = np.bincount(row, minlength=len(part)).astype(np.int64)
+                # a number for the text and the pair: rows of a batch times pairs of ids stay below 2^63
+                found, times = np.unique((row * len(both.a_bytes) + a_ids[left]) * len(both.b_bytes) + b_ids[right], return_counts=True)
+                pair, other = np.divmod(found, len(both.b_bytes))
+                row, pair = np.divmod(pair, len(both.a_bytes))
+                distinct = np.bincount(row, minlength=len(part))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(np.arange(seen, seen + len(part))), pa.array(n_a), pa.array(n_b), pa.array(n_groups, pa.int64()),
-                     pa.array(np.bincount(row, minlength=len(part)).astype(np.int64)), pa.array(digests, pa.string()),
-                     _runs(pair[first], distinct, pa.int64()), _runs(times, distinct, pa.int32())], names=schema.names)
+                     pa.array(n_links), pa.array(digests, pa.string()), _runs((pair << 32) + other, distinct, pa.int64()),
+                     _runs(times, distinct, pa.int32())], names=schema.names)
                 seen += len(part)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def _lists(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs and their times of all rows, and how many pairs a row has."""
+    pairs, times = batch.column("pairs"), batch.column("times")
+    return pairs.flatten().to_numpy(), times.flatten().to_numpy().astype(np.int64), pc.list_value_length(pairs).to_numpy().astype(np.int64)
+
+
 def pair_counts(linked: DataFrame) -> DataFrame:
-    """pair and count: its links in all documents."""
-    each = linked.select(F.explode(F.arrays_zip("pairs", "times")).alias("e"))
-    return each.groupBy(F.col("e.pairs").alias("pair")).agg(F.sum("e.times").alias("count"))
+    """pair and count: its links in all documents.  A batch's pairs are summed before they are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs, times, _ = _lists(batch)
+            pair, at = np.unique(pairs, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(np.bincount(at, times, len(pair)).astype(np.int64))], names=["pair", "count"])
+
+    return linked.select("pairs", "times").mapInArrow(run, "pair long, count long").groupBy("pair").agg(F.sum("count").alias("count"))
+
+
+def _rate_here(linked: DataFrame, rated: DataFrame) -> DataFrame:
+    """row, n_best and count_sum, by looking the pairs up in a table that every task holds."""
+    table = rated.orderBy("pair").toArrow()  # at most ``broadcast_pairs`` rows
+    held = linked.sparkSession.sparkContext.broadcast([table.column(c).to_numpy() for c in ("pair", "count", "best")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, count, best = held.value
+        for batch in batches:
+            pairs, times, size = _lists(batch)
+            at = np.searchsorted(known, pairs)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row"), pa.array(_sums(times * best[at], size)), pa.array(_sums(times * count[at], size))], names=["row", "n_best", "count_sum"])
+
+    return linked.select("row", "pairs", "times").mapInArrow(run, "row long, n_best long, count_sum long")
+
+
+def _rate_by_shuffle(linked: DataFrame, rated: DataFrame) -> DataFrame:
+    """The same by a join; a pair that a third of the documents hold is dealt over all salts."""
+    each = linked.select("row", F.explode(F.arrays_zip("pairs", "times")).alias("e")) \
+        .select("row", F.col("e.pairs").alias("pair"), F.col("e.times").alias("times"), F.pmod("row", F.lit(SALTS)).alias("salt"))
+    salted = rated.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return each.hint("merge").join(salted, ["pair", "salt"]).groupBy("row").agg(
+        F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("count")).alias("count_sum"))
 
 
 def compare(docs: DataFrame, tokenizer_json: str, model: bytes, broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
@@ -215,13 +292,6 @@ def compare(docs: DataFrame, tokenizer_json: str, model: bytes, broadcast_pairs:
     counts = scratch.write(pair_counts(linked).withColumn("b", F.col("pair").bitwiseAND(F.lit((1 << 32) - 1))), "counts")
     most = counts.groupBy("b").agg(F.max("count").alias("most"))
     rated = scratch.write(counts.join(most, "b").select("pair", "count", (F.col("count") == F.col("most")).alias("best")), "rated")
-    each = linked.select("row", F.explode(F.arrays_zip("pairs", "times")).alias("e")).select("row", F.col("e.pairs").alias("pair"), F.col("e.times").alias("times"))
-    if rated.count() <= broadcast_pairs:
-        met = each.join(F.broadcast(rated), "pair")
-    else:  # a pair that a third of the documents hold is dealt over all salts
-        met = each.withColumn("salt", F.pmod("row", F.lit(SALTS))).hint("merge") \
-            .join(rated.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["pair", "salt"])
-    sums = met.groupBy("row").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"),
-                                  F.sum(F.col("times") * F.col("count")).alias("count_sum"))
+    sums = (_rate_here if rated.count() <= broadcast_pairs else _rate_by_shuffle)(linked, rated)
     return linked.join(sums, "row", "left").select(
         "doc_id", "n_a", "n_b", "n_groups", "n_links", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_best", "count_sum")), "groups_sha256")

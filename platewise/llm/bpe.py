@@ -25,8 +25,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: characters of the distinct chunks in a generation of a task's memory (two: about 60 MB, with the ids and the table)
-CACHE_CHARS = 1 << 20
+#: characters of the distinct chunks in a generation of a task's memory (two: about 120 MB, with the ids and the table)
+CACHE_CHARS = 1 << 21
 #: longer chunks are encoded each time
 LONGEST_CACHED = 64
 
@@ -34,7 +34,7 @@ _WS = r"[\s\x0B\x{85}\p{Z}]"
 _WIDE_RUN = rf"{_WS} (?:{_WS}|$)"
 _AFTER_WORD = re.compile(r"(?<=\S)(?= )")
 # Characters whose letter / digit / space class no Unicode version disputes.
-_PLAIN = re.compile(r"[\t\n\x20-\x7EÀ-ÖØ-öø-ɏ]*\Z")
+PLAIN = re.compile(r"[\t\n\x20-\x7EÀ-ÖØ-öø-ɏ]*\Z")
 _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
 _WORD = re.compile(rf" ?[{_LETTER}]+")
 _PIECES = re.compile(
@@ -138,7 +138,7 @@ class ChunkEncoder:
             if word.end() == len(chunk):
                 return self._piece(chunk)
             return b"".join(self._all([word[0], chunk[word.end():]]))
-        if _PLAIN.match(chunk):
+        if PLAIN.match(chunk):
             return b"".join(map(self._piece, _PIECES.findall(chunk)))
         return self._library(chunk)
 
@@ -158,6 +158,21 @@ def token_bytes(tokenizer_json: str) -> list[bytes | None]:
     return [vocab.get(i) for i in range(max(vocab, default=-1) + 1)]
 
 
+def rank_encoding(tokenizer_json: str):
+    """The tiktoken encoding with the same ids, if the file's tokens are numbered in the order of their merges (else null)."""
+    import public_tokenizers
+    import tiktoken
+
+    spec = json.loads(tokenizer_json)
+    vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
+    made = [vocab[m.replace(" ", "") if isinstance(m, str) else "".join(m)] for m in merges]
+    if any(x >= y for x, y in zip(made, made[1:])) or spec["pre_tokenizer"].get("type") != "ByteLevel":
+        return None
+    added = {t["id"] for t in spec["added_tokens"]}
+    ranks = {t: i for i, t in enumerate(token_bytes(tokenizer_json)) if t is not None and i not in added}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 _ENCODERS: dict[int, ChunkEncoder] = {}
 
 
