@@ -61,3 +61,23 @@ def min_after(df: DataFrame, key: str, order_cols: list[str], value_col: str, ou
     return (local.join(carried_in, ["_slice", key], "left")
             .withColumn(out_col, F.least("_local", "_in"))   # least() skips nulls
             .drop("_slice", "_local", "_in"))
+
+
+def previous(df: DataFrame, key: str, order_cols: list[str], value_col: str, out_col: str,
+             num_partitions: int | None = None) -> DataFrame:
+    """Add ``out_col`` = ``value_col`` of the key's row just before (null for its first row),
+    ordered by ``order_cols``.
+
+    The same two levels as :func:`carry_forward`: only a slice's first row of a
+    key looks at the slices before.
+    """
+    ranged = (df.repartitionByRange(num_partitions, key, *order_cols) if num_partitions
+              else df.repartitionByRange(key, *order_cols))
+    w_local = Window.partitionBy("_slice", key).orderBy(*order_cols)
+    local = materialize(ranged.withColumn("_slice", F.spark_partition_id())
+                        .withColumn("_n", F.row_number().over(w_local)).withColumn("_local", F.lag(value_col).over(w_local)))
+    ends = local.groupBy("_slice", key).agg(F.max_by(value_col, "_n").alias("_end"))
+    carried_in = ends.withColumn("_in", F.lag("_end").over(Window.partitionBy(key).orderBy("_slice"))) \
+        .select("_slice", key, "_in", F.lit(1).alias("_n"))
+    return (local.join(carried_in, ["_slice", key, "_n"], "left")
+            .withColumn(out_col, F.coalesce("_local", "_in")).drop("_slice", "_n", "_local", "_in"))

@@ -4,8 +4,8 @@ In the reference each command is an UPDATE on one row, run in arrival order.
 Here a whole log is folded at once.  Order is fixed by ``(ts, event_id)``.
 
 * flags (venue, menu row, comment): order-free -> one aggregate per key;
-* locations: order-dependent, but the final state is a function of a few
-  "last/first command of a kind" aggregates per key (no per-key sort);
+* locations: order-dependent, but a command only needs the one before it
+  (a scan split over range slices), then one aggregate per key;
 * hours versions: each VER has one possible successor (scans split over range
   partitions); the VERs that act are a chain, found by pointer doubling;
 * diet flags: recomputed from ingredients for dishes with a verified menu row.
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from platewise.catalog import WEEKDAYS, Catalog
 from platewise.functions.hours import special_problem, valid_weekly_value
 from platewise.functions.text import is_alnum, nonzero_number, strip_chars
-from platewise.operators.asof import carry_forward, min_after
+from platewise.operators.asof import carry_forward, min_after, previous
 from platewise.operators.ids import assign_ids, next_id_after
 from platewise.session import materialize
 
@@ -33,6 +33,13 @@ def _o() -> Column:
     return F.struct(F.col("ts"), F.col("event_id"))
 
 
+def once(commands: DataFrame) -> DataFrame:
+    """Each event id once: a repeated delivery counts as one (of unlike ones the least)."""
+    rest = [c for c in commands.columns if c != "event_id"]
+    return (commands.groupBy("event_id").agg(F.min(F.struct(*rest)).alias("_c"))
+            .select("event_id", "_c.*").select(*commands.columns))
+
+
 def role_gate(commands: DataFrame, users: DataFrame,
               admin_actions: tuple[str, ...] = ADMIN_ACTIONS) -> DataFrame:
     """Keep admin actions of admins and other actions of known users.
@@ -155,50 +162,42 @@ def moderate_locations(coordinates: DataFrame, commands: DataFrame) -> DataFrame
     verified=1, verified_by, updated_by := edited_by, edited_by=0.
 
     A VER is effective iff the command before it is an UPDATE or DEL (or it
-    is first and the row starts unverified).  So the final state needs only:
-    the last command, the last non-VER command N before the last VER, and
-    the first VER after N (the last effective VER).  Three aggregates and two
-    joins against per-key tables; no per-key sort.
+    is first and the row starts unverified), so every command only needs the
+    one before it: a scan in two levels over range slices, so that a venue with
+    a huge log is split over tasks.  The final state then is a function of the
+    first, the last, the last DEL and the last effective command of each key:
+    one partially aggregated pass, no join on the key.
     """
-    # the log feeds three passes: write it once, every pass reads that copy
-    c = materialize(commands.select("key", "action", "actor", "p_lat", "p_lon", _o().alias("o")))
-    payload = F.struct("action", "actor", "p_lat", "p_lon", "o")
-    a1 = (c.groupBy("key").agg(
-        F.max_by(payload, F.col("o")).alias("last"),
-        F.max(F.when(F.col("action") == "VER", F.col("o"))).alias("last_ver_o"),
-        F.max_by(payload, F.when(F.col("action") != "VER", F.col("o"))).alias("last_nonver"),
-        F.max_by(payload, F.when(F.col("action") == "DEL", F.col("o"))).alias("last_del"),
-        F.min_by(payload, F.when(F.col("action") == "VER", F.col("o"))).alias("first_ver")))
-    # N: last non-VER before the last VER
-    n = (c.join(a1.select("key", "last_ver_o"), "key")
-         .where((F.col("action") != "VER") & (F.col("o") < F.col("last_ver_o")))
-         .groupBy("key").agg(F.max_by(payload, F.col("o")).alias("n")))
-    # E: first VER after N (the effective VER closing the last run of VERs)
-    e = (c.join(n.select("key", F.col("n.o").alias("n_o")), "key")
-         .where((F.col("action") == "VER") & (F.col("o") > F.col("n_o")))
-         .groupBy("key").agg(F.min_by(payload, F.col("o")).alias("e")))
-    s = (coordinates.join(a1.withColumnRenamed("key", "id"), "id", "left")
-         .join(n.withColumnRenamed("key", "id"), "id", "left")
-         .join(e.withColumnRenamed("key", "id"), "id", "left"))
+    payload = F.struct("action", "actor", "p_lat", "p_lon")
+    c = commands.select("key", "ts", "event_id", "action", "actor", payload.alias("payload"))
+    c = previous(c, "key", ["ts", "event_id"], "payload", "before")
+    o = _o()
+    effective = (F.col("action") == "VER") & (F.col("before.action") != "VER")
+    a = c.groupBy(F.col("key").alias("id")).agg(
+        F.max_by("payload", o).alias("last"),
+        F.min_by(F.struct("action", "actor", o.alias("o")), o).alias("first"),
+        F.max(F.col("action") != "VER").alias("any_nonver"),
+        F.max_by(F.struct("actor", o.alias("o")), F.when(F.col("action") == "DEL", o)).alias("last_del"),
+        F.max_by(F.struct("actor", o.alias("o"), F.col("before").alias("n")), F.when(effective, o)).alias("e"))
+    s = coordinates.join(a, "id", "left")
 
     has_cmd = F.col("last").isNotNull()
     last_act = F.col("last.action")
-    run_only = F.col("n").isNull() & F.col("last_ver_o").isNotNull()  # log starts with the VER run
-    eff_from_start = run_only & ~F.col("verified")                     # that run's first VER acts
-    has_eff = F.col("e").isNotNull() | eff_from_start
-    eff_actor = F.when(F.col("e").isNotNull(), F.col("e.actor")).otherwise(F.col("first_ver.actor"))
-    eff_o = F.when(F.col("e").isNotNull(), F.col("e.o")).otherwise(F.col("first_ver.o"))
-    n_act = F.col("n.action")
-    new_lat = (F.when(F.col("e").isNotNull(), F.when(n_act == "UPDATE", F.col("n.p_lat")).otherwise(0.0))
+    has_e = F.col("e").isNotNull()
+    eff_from_start = ~has_e & (F.col("first.action") == "VER") & ~F.col("verified")  # the first command acts
+    has_eff = has_e | eff_from_start
+    eff_actor = F.when(has_e, F.col("e.actor")).otherwise(F.col("first.actor"))
+    eff_o = F.when(has_e, F.col("e.o")).otherwise(F.col("first.o"))
+    proposed = F.col("e.n.action") == "UPDATE"
+    new_lat = (F.when(has_e, F.when(proposed, F.col("e.n.p_lat")).otherwise(0.0))
                .when(eff_from_start, F.col("pending_lat")).otherwise(F.col("lat")))
-    new_lon = (F.when(F.col("e").isNotNull(), F.when(n_act == "UPDATE", F.col("n.p_lon")).otherwise(0.0))
+    new_lon = (F.when(has_e, F.when(proposed, F.col("e.n.p_lon")).otherwise(0.0))
                .when(eff_from_start, F.col("pending_lon")).otherwise(F.col("lon")))
-    new_updated_by = (F.when(F.col("e").isNotNull(),
-                             F.when(n_act == "UPDATE", F.col("n.actor")).otherwise(F.lit(0)))
+    new_updated_by = (F.when(has_e, F.when(proposed, F.col("e.n.actor")).otherwise(F.lit(0)))
                       .when(eff_from_start, F.col("edited_by")).otherwise(F.col("updated_by")))
     # last state-changing command: UPDATE / DEL, or an effective VER
     last_is_ver = last_act == "VER"
-    ver_cleared = last_is_ver & (F.col("last_nonver").isNotNull() | ~F.col("verified"))
+    ver_cleared = last_is_ver & (F.col("any_nonver") | ~F.col("verified"))
     new_pending_lat = (F.when(~has_cmd, F.col("pending_lat"))
                        .when(last_act == "UPDATE", F.col("last.p_lat"))
                        .when((last_act == "DEL") | ver_cleared, F.lit(0.0))
@@ -250,8 +249,8 @@ HOURS_COLUMNS = ["id", "id_restaurant", *WEEKDAYS, "special", "updated_by", "ver
 def hours_versions(proposals: DataFrame, restaurants: DataFrame, users: DataFrame) -> DataFrame:
     """The new versions (columns of hours, and their place ``o`` in the log): a
     valid proposal by a known user for an existing venue, unverified, with id
-    ``VERSION_ID_OFFSET + event_id``."""
-    p = validate_hours_proposals(proposals)
+    ``VERSION_ID_OFFSET + event_id``.  A proposal delivered twice is one."""
+    p = validate_hours_proposals(once(proposals))
     p = role_gate(p.withColumn("action", F.lit("INSERT")), users).where(F.col("valid"))
     p = p.join(restaurants.select(F.col("id").alias("key")).distinct(), "key", "left_semi")
     return p.select((F.col("event_id") + F.lit(VERSION_ID_OFFSET)).alias("id"), F.col("key").alias("id_restaurant"),
@@ -261,15 +260,21 @@ def hours_versions(proposals: DataFrame, restaurants: DataFrame, users: DataFram
 
 def _reached(heads: DataFrame, successor: DataFrame) -> DataFrame:
     """Nodes on the chains that start at ``heads`` (node) and follow
-    ``successor`` (node, next).  Pointers double every round, so a chain of n
-    commands takes log2(n) rounds; every join is on unique nodes."""
-    reached, jump = materialize(heads.select("node")), successor
-    while not jump.isEmpty():
-        found = jump.join(reached, "node", "left_semi").select(F.col("next").alias("node"))
-        reached = materialize(reached.unionByName(found))
-        onward = jump.select(F.col("node").alias("next"), F.col("next").alias("_far"))
-        jump = materialize(jump.join(onward, "next").select("node", F.col("_far").alias("next")))
-    return reached
+    ``successor`` (node, next; next is null at the end).  Pointers double every
+    round, so a chain of n commands takes log2(n) rounds, one write each; every
+    join is on unique nodes.  Successors that run in a circle are an error."""
+    state = materialize(successor.join(heads.select("node", F.lit(True).alias("on")), "node", "left")
+                        .select("node", "next", F.coalesce("on", F.lit(False)).alias("on")))
+    rounds, limit = 0, state.count().bit_length() + 1
+    while not state.where("next is not null").isEmpty():
+        if rounds == limit:
+            raise ValueError("commands follow each other in a circle")
+        onward = state.select(F.col("node").alias("next"), F.col("next").alias("far"))
+        hit = state.where("on and next is not null").select(F.col("next").alias("node"), F.lit(True).alias("hit"))
+        state = materialize(state.join(onward, "next", "left").join(hit, "node", "left")
+                            .select("node", F.col("far").alias("next"), (F.col("on") | F.col("hit").isNotNull()).alias("on")))
+        rounds += 1
+    return state.where("on").select("node")
 
 
 def fold_hours(hours: DataFrame, new: DataFrame, cmds: DataFrame) -> DataFrame:
@@ -287,11 +292,16 @@ def fold_hours(hours: DataFrame, new: DataFrame, cmds: DataFrame) -> DataFrame:
     the end of the log that split hot venues and hot versions.  The VERs that
     act are the chain from the venue's first one (pointer doubling).  Applying a
     log in parts gives the same snapshot as applying it whole.
+
+    Every event id counts once (``o`` must hold it).  Of the snapshot, only ids,
+    venues and flags take part in the fold; schedules are read once, at the end.
     """
-    versions = materialize(hours.select(*HOURS_COLUMNS).withColumn("o", F.lit(None).cast(new.schema["o"].dataType))
-                           .unionByName(new.select(*HOURS_COLUMNS, "o")))
-    known = versions.select(F.col("id").alias("version"), "id_restaurant", F.col("o").alias("since"),
-                            F.col("verified").alias("was_verified"), F.col("deleted").alias("was_deleted"))
+    none = F.lit(None).cast(new.schema["o"].dataType)
+    known = (hours.select(F.col("id").alias("version"), "id_restaurant", none.alias("since"), "verified", "deleted")
+             .unionByName(new.select(F.col("id").alias("version"), "id_restaurant", F.col("o").alias("since"), "verified", "deleted"))
+             .withColumnsRenamed({"verified": "was_verified", "deleted": "was_deleted"}))
+    cmds = (cmds.groupBy(F.col("o.event_id").alias("event_id")).agg(F.min(F.struct("o", "version", "act", "actor")).alias("c"))
+            .select("c.*"))
     c = materialize(cmds.join(known, "version").where(F.col("since").isNull() | (F.col("since") < F.col("o"))))
     ver, dele = F.when(F.col("act") == "VER", F.col("o")), F.when(F.col("act") == "DEL", F.col("o"))
     per_version = materialize(c.groupBy("version", "id_restaurant", "since", "was_verified", "was_deleted").agg(
@@ -309,18 +319,19 @@ def fold_hours(hours: DataFrame, new: DataFrame, cmds: DataFrame) -> DataFrame:
                     F.col("first_ver").alias("won")))
     log = vers.unionByName(came, allowMissingColumns=True)
     vers = materialize(min_after(log, "id_restaurant", ["ts", "node"], "won", "rival").where(F.col("o").isNotNull()))
-    successor = vers.select("node", F.least("again", "rival")["event_id"].alias("next")).where(F.col("next").isNotNull())
+    successor = vers.select("node", F.least("again", "rival")["event_id"].alias("next"))
     heads = may_win.groupBy("id_restaurant").agg(F.min("first_ver").alias("o")).select(F.col("o.event_id").alias("node"))
-    acted = materialize(vers.join(_reached(heads, materialize(successor)), "node", "left_semi"))
+    acted = vers.join(_reached(heads, successor), "node", "left_semi")
 
     winners = acted.groupBy("version").agg(F.max_by("actor", "o").alias("ver_actor"))
     last = acted.groupBy("id_restaurant").agg(F.max(F.struct("o", "version")).alias("last"))
-    fate = materialize(per_version.join(winners, "version", "left").select(
+    fate = (per_version.join(winners, "version", "left").select(
         F.col("version").alias("id"), "ver_actor",
         F.when(F.col("ver_actor").isNull() & ~F.col("was_verified"), F.col("del_actor")).alias("del_actor")))
     beaten = ((F.col("last.version") != F.col("id"))
               & (F.col("o").isNull() | (F.col("o") < F.col("last.o"))))
-    return (versions.join(fate, "id", "left").join(materialize(last), "id_restaurant", "left")
+    versions = hours.select(*HOURS_COLUMNS).withColumn("o", none).unionByName(new.select(*HOURS_COLUMNS, "o"))
+    return (versions.join(fate, "id", "left").join(last, "id_restaurant", "left")
             .withColumn("verified", F.col("verified") | F.col("ver_actor").isNotNull())
             .withColumn("verified_by", F.coalesce("ver_actor", "del_actor", "verified_by"))
             .withColumn("deleted", F.col("deleted") | F.col("del_actor").isNotNull() | F.coalesce(beaten, F.lit(False)))
@@ -333,7 +344,7 @@ def moderate_hours_by_id(hours: DataFrame, proposals: DataFrame, mods: DataFrame
     (event_id, ts, version, action, actor), each naming a version of any age.
     Commands on versions that do not exist yet do nothing."""
     m = role_gate(mods.where(F.col("action").isin(*ADMIN_ACTIONS)), users).where(F.col("version") > 0)
-    return fold_hours(hours, hours_versions(proposals, restaurants, users),
+    return fold_hours(hours, materialize(hours_versions(proposals, restaurants, users)),
                       m.select("version", _o().alias("o"), F.col("action").alias("act"), "actor"))
 
 
@@ -348,7 +359,7 @@ def moderate_hours(hours: DataFrame, proposals: DataFrame, mods: DataFrame,
     (range-partitioned, so a venue with a huge log is split over tasks).
     """
     new = materialize(hours_versions(proposals, restaurants, users))
-    m = role_gate(mods.where(F.col("action").isin(*ADMIN_ACTIONS)), users).where(F.col("key") > 0)
+    m = role_gate(once(mods).where(F.col("action").isin(*ADMIN_ACTIONS)), users).where(F.col("key") > 0)
     log = (new.select(F.col("id_restaurant").alias("key"), "o.ts", "o.event_id", F.col("id").alias("_v"))
            .unionByName(m.select("key", "ts", "event_id", F.col("action").alias("act"), "actor"), allowMissingColumns=True))
     newest = materialize(hours.groupBy(F.col("id_restaurant").alias("key")).agg(F.max("id").alias("_newest")))
@@ -371,6 +382,13 @@ def validate_comment_submissions(subs: DataFrame) -> DataFrame:
     return subs.withColumn("score", score).withColumn("reason", reason).withColumn("valid", reason.isNull())
 
 
+def valid_comments(submissions: DataFrame, restaurants: DataFrame, users: DataFrame) -> DataFrame:
+    """The valid submissions by known users for existing venues."""
+    v = validate_comment_submissions(submissions).where(F.col("valid"))
+    v = role_gate(v.withColumn("action", F.lit("COMMENT")), users)
+    return v.join(restaurants.select(F.col("id").alias("res_id")), "res_id", "left_semi")
+
+
 def upsert_comments(comments: DataFrame, restaurant_comments: DataFrame, submissions: DataFrame,
                     restaurants: DataFrame, users: DataFrame) -> DataFrame:
     """Apply comment submissions (event_id, ts, res_id, actor, score, text).
@@ -380,9 +398,7 @@ def upsert_comments(comments: DataFrame, restaurant_comments: DataFrame, submiss
     state reset; otherwise a new comment gets the next free id (contiguous,
     ordered by key).  Returns the upserted rows with ``is_new``.
     """
-    v = validate_comment_submissions(submissions).where(F.col("valid"))
-    v = role_gate(v.withColumn("action", F.lit("COMMENT")), users)
-    v = v.join(restaurants.select(F.col("id").alias("res_id")), "res_id", "left_semi")
+    v = valid_comments(submissions, restaurants, users)
     last = materialize(v.groupBy("res_id", "actor")
                        .agg(F.max_by(F.struct("score", "text"), _o()).alias("s")))
     # of the history, only comments of the batch's authors on the batch's venues

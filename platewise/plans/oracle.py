@@ -388,7 +388,8 @@ FROM restaurants r LEFT JOIN agg a ON a.key = r.id LEFT JOIN lastc l ON l.key =
 
 _MENU_CMDS = """
 , mcmds AS (SELECT event_id, ts, l_suppkey AS id_restaurant, l_partkey AS id_dish, action, actor
-            FROM commands JOIN lineitem ON l_orderkey = event_id AND l_linenumber = 1
+            FROM commands JOIN (SELECT * FROM lineitem QUALIFY row_number() OVER (
+                                  PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey) = 1) ON l_orderkey = event_id
             WHERE action IN ('VER', 'DEL'))
 """
 _NEW_MENU = ROLES_SQL + _MENU_CMDS + _FLAG_CTES.format(
@@ -776,3 +777,6 @@ FROM comments c LEFT JOIN agg a ON a.key = c.id LEFT JOIN lastc l ON l.key = c.i
 
 SQL["stream_comments"] = SQL["moderate_comments"]
 SQL["stream_menu"] = SQL["moderate_menu"]
+SQL["stream_hours"] = SQL["moderate_hours_by_id"]
+SQL["stream_upsert_comments"] = SQL["upsert_comments"]
+SQL["stream_diet_flags"] = SQL["moderate_menu_diet"]

@@ -515,6 +515,28 @@ def q_stream_snapshot(spark, sf_dir):
     return streams.stream_locations(spark, cmds, cat.coordinates)
 
 
+@register("stream_diet_flags")
+def q_stream_diet_flags(spark, sf_dir):
+    t, cat = roles.read_tables(spark, sf_dir), roles.bind(spark, sf_dir)
+    out = streams.stream_diet_flags(spark, cat, roles.menu_commands({**t, "events": streams.event_stream(spark, sf_dir)}))
+    return out.select("id", "vegetarian", "vegan")
+
+
+@register("stream_hours")
+def q_stream_hours(spark, sf_dir):
+    cat = roles.bind(spark, sf_dir)
+    log = roles.hours_log({"events": streams.event_stream(spark, sf_dir)})
+    out = streams.stream_hours(spark, log, cat.hours, cat.restaurants, cat.users)
+    return out.withColumn("special", F.to_json("special"))
+
+
+@register("stream_upsert_comments")
+def q_stream_upsert_comments(spark, sf_dir):
+    cat = roles.bind(spark, sf_dir)
+    subs = roles.comment_submissions({"events": streams.event_stream(spark, sf_dir)})
+    return streams.stream_upsert_comments(spark, subs, cat.comments, cat.restaurant_comments, cat.restaurants, cat.users)
+
+
 @register("stream_dedup")
 def q_stream_dedup(spark, sf_dir):
     a = _stream_commands(spark, sf_dir)

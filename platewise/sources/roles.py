@@ -339,10 +339,17 @@ def hours_commands(t: dict[str, DataFrame]) -> DataFrame:
             .select("event_id", "ts", version.alias("version"), "action", "actor"))
 
 
+def hours_log(t: dict[str, DataFrame]) -> DataFrame:
+    """Proposals and moderation of hours versions in one log (version and action null for proposals)."""
+    proposals, mods = hours_proposals(t), hours_commands(t)
+    return proposals.unionByName(mods, allowMissingColumns=True)
+
+
 def menu_commands(t: dict[str, DataFrame]) -> DataFrame:
-    """VER / DEL on a menu row (venue, dish): the first line of the order numbered like the event."""
-    line = t["lineitem"].where("l_linenumber = 1").select(
-        F.col("l_orderkey").alias("event_id"), F.col("l_suppkey").alias("id_restaurant"), F.col("l_partkey").alias("id_dish"))
+    """VER / DEL on a menu row (venue, dish): the least line of the order numbered like the event."""
+    least = F.min(F.struct("l_linenumber", "l_suppkey", "l_partkey"))
+    line = t["lineitem"].groupBy(F.col("l_orderkey").alias("event_id")).agg(least.alias("l")).select(
+        "event_id", F.col("l.l_suppkey").alias("id_restaurant"), F.col("l.l_partkey").alias("id_dish"))
     return moderation_commands(t).join(line, "event_id").select(
         "event_id", "ts", "id_restaurant", "id_dish", "action", "actor")
 

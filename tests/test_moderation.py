@@ -200,3 +200,17 @@ def test_role_gate(cat, spark):
                                  "event_id long, action string, actor long")
     got = sorted(r.event_id for r in moderation.role_gate(cmds, cat.users).collect())
     assert got == [1, 3]
+
+
+@pytest.mark.parametrize("by_id", [False, True])
+def test_hours_commands_delivered_twice_count_once(spark, by_id):
+    fold = moderation.moderate_hours_by_id if by_id else moderation.moderate_hours
+    hours, p, m, venues, users, expected = random_hours_logs(spark, by_id)
+    out = fold(hours, p.union(p), m.union(m), venues, users)
+    assert {r.id: (r.verified, r.deleted, r.verified_by) for r in out.collect()} == expected
+
+
+def test_successors_in_a_circle_are_an_error(spark):
+    circle = spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "node long, next long")
+    with pytest.raises(ValueError):
+        moderation._reached(spark.createDataFrame([(1,)], "node long"), circle)

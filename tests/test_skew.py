@@ -81,3 +81,39 @@ def test_skewed_dish_search(skew_session):
     plan = df._jdf.queryExecution().executedPlan().toString()
     # the hot dish partition of the menu side is split (Spark 4 prints "skew=true")
     assert "SortMergeJoin(skew=true)" in plan and "AQEShuffleRead skewed" in plan, plan
+
+
+def test_a_venue_with_a_third_of_the_log_is_split(spark):
+    """W8: slices of a log cut hot venues; the answer equals the sequential rules on every venue."""
+    import datetime as dt
+    import random
+
+    from pyspark.sql import functions as F
+
+    from platewise.operators import asof, moderation
+    from tests.test_moderation import fold_location
+
+    rnd = random.Random(8)
+    t0 = dt.datetime(2025, 1, 1)
+    rows = [(i, t0 + dt.timedelta(seconds=i), 1 if i % 3 == 0 else rnd.randint(2, 400), rnd.choice(["UPDATE", "VER", "DEL", "VER"]),
+             rnd.randint(1, 9), float(rnd.randint(1, 9)), 2.0) for i in range(30_000)]
+    log = spark.createDataFrame(rows, "event_id long, ts timestamp, key long, action string, actor long, p_lat double, p_lon double")
+    seen = asof.previous(log, "key", ["ts", "event_id"], "event_id", "before", num_partitions=16)
+    before, expected = {}, {}
+    for i, _, key, *_ in rows:
+        expected[i] = before.get(key)
+        before[key] = i
+    assert {r.event_id: r.before for r in seen.select("event_id", "before").collect()} == expected
+    slices = log.repartitionByRange(16, "key", "ts", "event_id").groupBy(F.spark_partition_id()).count().collect()
+    sizes = sorted(r["count"] for r in slices)
+    assert len(sizes) >= 12 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+    states = {k: dict(id=k, verified=k % 2 == 0, lat=50.0, lon=17.0, pending_lat=51.0, pending_lon=18.0, updated_by=3, verified_by=0, edited_by=4)
+              for k in range(1, 400)}
+    schema = ("id long, verified boolean, lat double, lon double, pending_lat double, pending_lon double, "
+              "updated_by long, verified_by long, edited_by long")
+    got = {r.id: r.asDict() for r in moderation.moderate_locations(spark.createDataFrame([tuple(s.values()) for s in states.values()], schema), log).collect()}
+    logs = {}
+    for event in rows:
+        logs.setdefault(event[2], []).append(event[3:])
+    for key in (1, 2, 3, 77, 399):
+        assert got[key] == fold_location(states[key], logs.get(key, []))
