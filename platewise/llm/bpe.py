@@ -1,10 +1,13 @@
 """Byte-level BPE over Arrow batches with the tokenizers library.
 
-A text is cut into chunks at spaces where the pre-tokenizer always has a
-boundary; the distinct chunks of a batch are encoded once (and remembered for
-the task, within ``CACHE_CHARS``), and the ids of the texts are put together by
-array indexing.  The result equals encoding every whole text.  A text that
-holds the string of an added token is encoded whole, as the library does.
+The result equals the library's for every whole text.  Texts of characters
+whose classes are beyond dispute are merged by rank (tiktoken: the same ids,
+sooner and without a memory), if the file's tokens are numbered in the order of
+their merges.  Other texts are cut into chunks at spaces where the
+pre-tokenizer always has a boundary; the distinct chunks of a batch are encoded
+once (and remembered for the task, within ``CACHE_CHARS``), and the ids of the
+texts are put together by array indexing.  A text that holds the string of an
+added token is encoded whole by the library.
 
 Why the cut is safe: no piece of the pattern holds a space except as its first
 character or inside a run of white space.  Before a space there is therefore
@@ -16,6 +19,7 @@ space is the last of its run and a word follows.  Texts with other spaces
 from __future__ import annotations
 
 import contextlib
+import itertools
 import json
 import re
 import struct
@@ -25,8 +29,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: characters of the distinct chunks in a generation of a task's memory (two: about 120 MB, with the ids and the table)
-CACHE_CHARS = 1 << 21
+#: characters of the distinct chunks in a generation of a task's memory (two: about 60 MB, with the ids and the table)
+CACHE_CHARS = 1 << 20
 #: longer chunks are encoded each time
 LONGEST_CACHED = 64
 
@@ -34,7 +38,7 @@ _WS = r"[\s\x0B\x{85}\p{Z}]"
 _WIDE_RUN = rf"{_WS} (?:{_WS}|$)"
 _AFTER_WORD = re.compile(r"(?<=\S)(?= )")
 # Characters whose letter / digit / space class no Unicode version disputes.
-PLAIN = re.compile(r"[\t\n\x20-\x7EÀ-ÖØ-öø-ɏ]*\Z")
+_PLAIN = re.compile(r"[\t\n\x20-\x7EÀ-ÖØ-öø-ɏ]*\Z")
 _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
 _WORD = re.compile(rf" ?[{_LETTER}]+")
 _PIECES = re.compile(
@@ -76,6 +80,7 @@ class ChunkEncoder:
         self.tokenizer.encode_special_tokens = not added
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
         self.model = self.tokenizer.model
+        self.ranked = _rank_encoding(tokenizer_json)
         self.forget()
 
     def forget(self) -> None:
@@ -87,6 +92,21 @@ class ChunkEncoder:
 
     def encode(self, array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """ids (uint32, all texts in a row) and offsets (one more than texts)."""
+        if self.ranked is None:
+            return self._by_chunks(array)
+        texts = array.to_pylist()
+        plain = np.array([_PLAIN.match(t) is not None and not any(a in t for a in self.added) for t in texts], bool)
+        others, ends = self._by_chunks(array.filter(pa.array(~plain)))
+        lists = [self.ranked.encode_ordinary(t) for t, p in zip(texts, plain, strict=True) if p]
+        count = np.empty(len(array), np.int64)
+        count[~plain] = np.diff(ends)
+        count[plain] = np.fromiter(map(len, lists), np.int64, len(lists))
+        ids, ranked = np.empty(count.sum(), np.uint32), np.repeat(plain, count)
+        ids[~ranked] = others
+        ids[ranked] = np.fromiter(itertools.chain.from_iterable(lists), np.uint32, count[plain].sum())
+        return ids, np.concatenate([[0], np.cumsum(count)])
+
+    def _by_chunks(self, array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if not len(array):
             return np.zeros(0, np.uint32), np.zeros(1, np.int64)
         wide = pc.match_substring_regex(array, _WIDE_RUN)
@@ -138,7 +158,7 @@ class ChunkEncoder:
             if word.end() == len(chunk):
                 return self._piece(chunk)
             return b"".join(self._all([word[0], chunk[word.end():]]))
-        if PLAIN.match(chunk):
+        if _PLAIN.match(chunk):
             return b"".join(map(self._piece, _PIECES.findall(chunk)))
         return self._library(chunk)
 
@@ -158,7 +178,7 @@ def token_bytes(tokenizer_json: str) -> list[bytes | None]:
     return [vocab.get(i) for i in range(max(vocab, default=-1) + 1)]
 
 
-def rank_encoding(tokenizer_json: str):
+def _rank_encoding(tokenizer_json: str):
     """The tiktoken encoding with the same ids, if the file's tokens are numbered in the order of their merges (else null)."""
     import public_tokenizers
     import tiktoken

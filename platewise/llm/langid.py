@@ -15,11 +15,11 @@ from __future__ import annotations
 
 import itertools
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +35,6 @@ GAIN = 8.0
 AMBIGUOUS = 0.02
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
 _SEGMENT = 1 << 20
 _ALPHA: list[np.ndarray] = []
 
@@ -112,7 +111,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> dict:
         totals: dict[str, np.ndarray] = {}
         for frame in frames:
             for lang, text in zip(frame["lang"], frame["text"], strict=True):
-                if _LETTER.search(text):
+                if any(map(str.isalpha, text)):
                     totals[lang] = totals.get(lang, 0) + ngram_counts(text).astype(np.float64)
         for lang, total in totals.items():
             place = np.flatnonzero(total)
@@ -150,11 +149,12 @@ def predictor(model: dict):
     """
     languages, code, weights = model["languages"], model["code"], model["weights"]
 
-    @F.pandas_udf("lang_pred string, score double, ambiguous boolean")
-    def predict(column: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("struct<lang_pred: string, score: double, ambiguous: boolean>")
+    def predict(column: pa.Array) -> pa.Array:
         rows = []
-        for text in column:
-            if text is None or not languages or not _LETTER.search(text):
+        for scalar in column:  # one text at a time becomes a Python string
+            text = scalar.as_py()
+            if text is None or not languages or not any(map(str.isalpha, text)):
                 rows.append((UNKNOWN, 0.0, False))
             elif len(languages) == 1:
                 rows.append((languages[0], 1.0, False))
@@ -162,7 +162,9 @@ def predictor(model: dict):
                 counts = ngram_counts(text)
                 best, score, near = decode(GAIN * (counts @ weights) / counts.sum(), code)
                 rows.append((languages[best], score, near))
-        return pd.DataFrame(rows, columns=["lang_pred", "score", "ambiguous"])
+        said = list(zip(*rows, strict=True)) or [(), (), ()]
+        return pa.StructArray.from_arrays([pa.array(said[0], pa.string()), pa.array(said[1], pa.float64()), pa.array(said[2], pa.bool_())],
+                                          names=["lang_pred", "score", "ambiguous"])
 
     return predict
 
@@ -173,5 +175,7 @@ def identify(docs: DataFrame, carry: list[str], sample: int = SAMPLE) -> DataFra
     Rows stay one by one, also repeated ones; carried columns may have any name.
     """
     predict = predictor(fit(docs, sample))
-    said = docs.select(F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row"), held_out(F.col("doc_id")).alias("held_out"), predict("text").alias("said"))
-    return said.select("row", "held_out", "said.*")
+    needed = list(dict.fromkeys([*carry, "doc_id", "text"]))  # a text is held once beside the Python worker
+    said = docs.select(*(F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(needed))).withColumn("said", predict(f"__{needed.index('text')}"))
+    row = F.struct(*(F.col(f"__{i}").alias(c) for i, c in enumerate(needed[:len(carry)])))
+    return said.select(row.alias("row"), held_out(F.col(f"__{needed.index('doc_id')}")).alias("held_out"), "said.*")

@@ -5,16 +5,18 @@
 bits and keeps the smallest of every bin (one permutation); empty bins borrow
 from a non-empty bin chosen by a universal hash of (bin, attempt), the optimal
 densification; ``rows`` bins make a band.  ``near_duplicates`` collapses equal
-sets, links every member of a band bucket to the bucket's first member only (a
-star), confirms the links on full sets, and takes connected components.
-
-Two sets in one bucket that are both unlike its first member are not lost: a
-round with other centres follows for buckets that hold several components, and
-the last round is exact.  It compares what is left of different components,
-in small buckets pair by pair; members of large buckets meet on the shingles
-of their prefixes (the rarest ``n - ceil(0.85 n) + 1`` of each set: linked sets
-share one), so a passage that thousands of documents hold brings none of them
-together.  Pairs that exact sizes already rule out are not compared.
+sets, links every member of a band bucket to two of its members only (stars: the
+first, and one by a hash), confirms the links on full sets, and takes
+connected components.
+
+Two sets in one bucket that are both unlike its centres are not lost: if
+buckets still hold several components, a round follows that is exact.  It
+compares what is left of different components, in small buckets pair by pair;
+members of large buckets meet on the shingles of their prefixes (the rarest
+``n - ceil(0.85 n) + 1`` of each set: linked sets share one), so a passage that
+thousands of documents hold brings none of them together.  Pairs that exact
+sizes rule out are not compared, nor those that share too few shingles of
+their prefixes to reach the least intersection with the rest of either set.
 """
 
 from __future__ import annotations
@@ -33,8 +35,6 @@ WORDS = 5
 PERCENT = 85
 #: a pair at 0.85 shares no band with probability (1 - 0.85^6)^32 = 3e-7
 BANDS, ROWS = 32, 6
-#: star rounds with other centres before the round that compares what is left
-STAR_ROUNDS = 1
 #: larger buckets are compared by the prefixes of their members in the last round
 SMALL_BUCKET = 64
 
@@ -201,17 +201,15 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-links")
     labels = scratch.write(both.groupBy("a").agg(F.min("b").alias("m"))
                            .select(F.col("a").alias("node"), F.least("a", "m").alias("label")), f"{name}-0")
-    step, changed = 0, True
+    step, changed = 0, not labels.isEmpty()
     while changed:
         step += 1
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b") \
             .groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        lower = scratch.write(labels.join(near, "node").select("node", F.col("label").alias("before"), F.least("label", "near").alias("label")),
-                              f"{name}-{step}-near")
+        lower = labels.join(near, "node").select("node", F.col("label").alias("before"), F.least("label", "near").alias("label"))
         jump = lower.select(F.col("node").alias("label"), F.col("label").alias("beyond"))
         after = scratch.write(lower.join(jump, "label").select("node", "before", F.col("beyond").alias("label")), f"{name}-{step}")
         changed = not after.where("label <> before").isEmpty()
-        scratch.drop(f"{name}-{step}-near")
         scratch.drop(f"{name}-{step - 1}")
         labels = after.select("node", "label")
     scratch.drop(f"{name}-links")
@@ -232,52 +230,50 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     sketch = scratch.write(sketches(docs, words, bands, rows), "sketches")
     usable = sketch.where("n_shingles > 0 and doc_id is not null")
     # equal sets are one node from here on, named by their smallest doc_id
-    sets = scratch.write(usable.groupBy("set_low", "set_high").agg(F.min("doc_id").alias("rep")), "sets")
-    reps = usable.join(sets.select("set_low", "set_high", F.col("rep").alias("doc_id")), ["set_low", "set_high", "doc_id"]) \
-        .select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket")).distinct()
-    reps = scratch.write(reps, "reps")
-    shared = scratch.write(reps.groupBy("bucket").agg(F.min("rep").alias("a"), F.max("rep").alias("z"))
-                           .where("a <> z").select("bucket", "a"), "shared")
-    members = scratch.write(reps.join(shared, "bucket").select("bucket", "rep", "n", "a"), "members")
-
+    sets = scratch.write(usable.groupBy("set_low", "set_high").agg(
+        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "sets")
+    each = sets.select("rep", "n", F.explode("bands").alias("bucket"))
+    first, other = F.min(F.struct("rep", "n")).alias("first"), F.min(F.struct(F.xxhash64("rep").alias("h"), "rep", "n")).alias("other")
+    shared = each.groupBy("bucket").agg(first, other, F.max("rep").alias("last")).where("first.rep <> last").drop("last")
+    members = scratch.write(each.join(shared, "bucket"), "members")
     nodes = members.select(F.col("rep").alias("doc_id")).distinct()
     full = scratch.write(shingle_sets(docs.select("doc_id", "text").join(nodes, "doc_id"), words), "full")
 
-    # first round: the bucket's smallest member is its centre
-    centre_size = members.where("rep = a").select("bucket", F.col("n").alias("na"))
-    stars = members.join(centre_size, "bucket").where("rep <> a").select("a", F.col("rep").alias("b"), "na", F.col("n").alias("nb"))
-    tested = _confirmed(stars, full, percent, scratch, "stars-0")
-    labels = components(tested.where("linked"), scratch, "labels-0")
-    for turn in range(1, STAR_ROUNDS + 2):
-        labelled = scratch.write(_labelled(members, labels), f"labelled-{turn}")
-        mixed = scratch.write(_mixed(labelled), f"mixed-{turn}")
-        if turn <= STAR_ROUNDS:
-            order = F.min(F.struct(F.xxhash64("rep", F.lit(turn)), "rep", "n", "label")).alias("c")
-            centres = mixed.groupBy("bucket").agg(order).select("bucket", F.col("c.rep").alias("a"), F.col("c.n").alias("na"), F.col("c.label").alias("la"))
-            pairs = _across(mixed, scratch.write(centres, f"centres-{turn}"))
-        else:
-            large = scratch.write(mixed.groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") > SMALL_BUCKET), "large")
-            small = mixed.join(large, "bucket", "left_anti").withColumn("place", F.lit(1))
-            pairs = _across(small, _others(small, scratch, "small"))
-            crowd = mixed.join(large, "bucket", "left_semi").select("rep", "n", "label").distinct()
-            met = scratch.write(_prefixes(scratch.write(crowd, "crowd"), full, percent, scratch), "prefixes")
-            met = scratch.write(_mixed(met), "met")
-            # the least intersection of linked sets, and the places up to which they must have met
-            least = F.ceil((F.col("n") + F.col("na")) * percent / (100 + percent))
-            early = (F.col("place") <= F.col("n") - least + 1) & (F.col("pa") <= F.col("na") - least + 1)
-            pairs = pairs.union(_across(met, _others(met, scratch, "met"), early))
-        found = _confirmed(pairs, full, percent, scratch, f"stars-{turn}", tested)
-        tested = tested.union(found)
+    stars = members.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.explode(F.array(
+        F.struct("first.rep", "first.n"), F.struct("other.rep", "other.n"))).alias("c")).where("c.rep <> b")
+    ordered = F.col("c.rep") < F.col("b")
+    tested = _confirmed(stars.select(
+        F.least("c.rep", "b").alias("a"), F.greatest("c.rep", "b").alias("b"),
+        F.when(ordered, F.col("c.n")).otherwise(F.col("nb")).alias("na"), F.when(ordered, F.col("nb")).otherwise(F.col("c.n")).alias("nb")),
+        full, percent, scratch, "stars")
+    labels = components(tested.where("linked"), scratch, "labels")
+
+    mixed = scratch.write(_mixed(_labelled(members, labels)), "mixed")
+    if not mixed.isEmpty():
+        large = mixed.groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") > SMALL_BUCKET)
+        small = mixed.join(large, "bucket", "left_anti").withColumn("place", F.lit(0)).withColumn("kept", F.lit(0))
+        crowd = mixed.join(large, "bucket", "left_semi").select("rep", "n", "label").distinct()
+        met = scratch.write(_mixed(_prefixes(crowd, full, percent, scratch)), "met")
+        met_pairs = _across(met)
+        # the least intersection of linked sets; linked sets have met early enough, and often enough for
+        # the rest of that set whose prefix ends first to make it up
+        least = F.ceil((F.col("n") + F.col("na")) * percent / (100 + percent))
+        early = (F.col("place") <= F.col("n") - least + 1) & (F.col("pa") <= F.col("na") - least + 1)
+        often = met_pairs.groupBy("a", "rep", "n", "na").agg(
+            F.count("*").alias("times"), F.max(early).alias("early"), F.max(F.greatest(F.col("n") - F.col("kept"), F.col("na") - F.col("ka"))).alias("rest"))
+        enough = often.where(F.col("early") & (F.col("times") + F.col("rest") >= least))
+        found = _confirmed(_in_order(_across(small)).union(_in_order(enough)), full, percent, scratch, "left", tested)
         more = found.where("linked").select("a", "b")
         if not more.isEmpty():
-            labels = _merged(labels, more, scratch, turn)
+            known = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).where("a <> b")
+            labels = components(known.union(more), scratch, "merged")
     scratch.drop("full")
 
     named = sets.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left") \
         .select("set_low", "set_high", F.coalesce("label", "rep").alias("component"))
     # a doc_id with several texts: the smallest component of any of them
     rows_ = sketch.select("doc_id", "n_shingles", "set_low", "set_high")
-    out = rows_.join(scratch.write(named, "named"), ["set_low", "set_high"], "left") \
+    out = rows_.join(named, ["set_low", "set_high"], "left") \
         .withColumn("component_id", F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", (F.col("component_id").isNull() | (F.col("component_id") == F.col("doc_id"))).alias("kept"))
 
@@ -294,31 +290,33 @@ def _mixed(labelled: DataFrame) -> DataFrame:
     return labelled.join(several.select("bucket"), "bucket")
 
 
-def _others(mixed: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """bucket, a, na, la, pa: the members outside their bucket's largest component."""
+def _across(mixed: DataFrame) -> DataFrame:
+    """a, na, pa, ka with rep, n, place, kept: the pairs of members of one bucket in different components, once a
+    bucket.  Each has a member outside the bucket's largest component."""
     size = mixed.groupBy("bucket", "label").agg(F.count("*").alias("size"))
-    main = scratch.write(size.groupBy("bucket").agg(F.max(F.struct("size", "label")).alias("m")), f"{name}-main")
-    others = mixed.join(main, "bucket").where("label <> m.label")
-    return scratch.write(others.select("bucket", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"),
-                                       F.col("place").alias("pa")), f"{name}-others")
+    main = size.groupBy("bucket").agg(F.max(F.struct("size", "label")).alias("m"))
+    placed = mixed.join(main, "bucket").withColumn("outside", F.col("label") != F.col("m.label")).drop("m")
+    others = placed.where("outside").select("bucket", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"),
+                                            F.col("place").alias("pa"), F.col("kept").alias("ka"))
+    return placed.join(others, "bucket").where((F.col("label") != F.col("la")) & (~F.col("outside") | (F.col("a") < F.col("rep"))))
 
 
-def _across(mixed: DataFrame, centres: DataFrame, also=None) -> DataFrame:
-    """a, b, na, nb: the centres with the members of other components in their buckets."""
+def _in_order(pairs: DataFrame) -> DataFrame:
+    """a, b, na, nb with a < b."""
     first = F.col("a") < F.col("rep")
-    found = mixed.join(centres, "bucket").where("label <> la")
-    return (found if also is None else found.where(also)).select(
+    return pairs.select(
         F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b"),
         F.when(first, F.col("na")).otherwise(F.col("n")).alias("na"), F.when(first, F.col("n")).otherwise(F.col("na")).alias("nb"))
 
 
 def _prefixes(crowd: DataFrame, full: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """bucket (a shingle), rep, n, label, place: the rarest shingles of each set and their places
+    """bucket (a shingle), rep, n, label, place, kept: the ``kept`` rarest shingles of each set and their places
     in the order by rarity.  Linked sets share one; more closely, two sets that have c in common
-    share one among the first ``n - c + 1`` of either."""
+    share one among the first ``n - c + 1`` of either.  Shared shingles up to the earlier end of two
+    prefixes lie in both."""
     each = scratch.write(crowd.join(full.withColumnRenamed("doc_id", "rep"), "rep")
                          .select("rep", "n", "label", F.explode("shingles").alias("bucket")), "crowd-shingles")
-    often = scratch.write(each.groupBy("bucket").agg(F.count("*").alias("often")).where("often > 1"), "crowd-counts")
+    often = each.groupBy("bucket").agg(F.count("*").alias("often")).where("often > 1")
     # a shingle of one set alone comes first in the order and meets no other
     alone = each.groupBy("rep").agg(F.count("*").alias("all")) \
         .join(each.join(often, "bucket").groupBy("rep").agg(F.count("*").alias("shared")), "rep") \
@@ -326,20 +324,8 @@ def _prefixes(crowd: DataFrame, full: DataFrame, percent: int, scratch: Scratch)
     rank = F.row_number().over(Window.partitionBy("rep").orderBy("often", "bucket"))
     kept = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     return each.join(often, "bucket").withColumn("rank", rank).join(alone, "rep") \
-        .withColumn("place", F.col("rank") + F.col("alone")).where(F.col("place") <= kept) \
-        .select("bucket", "rep", "n", "label", "place")
-
-
-def _merged(labels: DataFrame, more: DataFrame, scratch: Scratch, turn: int) -> DataFrame:
-    """Labels after more links: components of components."""
-    for side in ("a", "b"):
-        more = more.join(labels.select(F.col("node").alias(side), F.col("label").alias(f"l{side}")), side, "left") \
-            .withColumn(f"l{side}", F.coalesce(f"l{side}", side))
-    upper = components(more.select(F.col("la").alias("a"), F.col("lb").alias("b")), scratch, f"upper-{turn}") \
-        .select(F.col("node").alias("label"), F.col("label").alias("top"))
-    fresh = upper.select(F.col("label").alias("node"), "label").join(labels.select("node"), "node", "left_anti")
-    return scratch.write(labels.union(fresh).join(upper, "label", "left")
-                         .select("node", F.coalesce("top", "label").alias("label")), f"labels-{turn}")
+        .withColumn("place", F.col("rank") + F.col("alone")).withColumn("kept", kept).where("place <= kept") \
+        .select("bucket", "rep", "n", "label", "place", "kept")
 
 
 def _confirmed(pairs: DataFrame, full: DataFrame, percent: int, scratch: Scratch, name: str, tested: DataFrame | None = None) -> DataFrame:
@@ -350,11 +336,8 @@ def _confirmed(pairs: DataFrame, full: DataFrame, percent: int, scratch: Scratch
     pairs = pairs.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b").distinct()
     if tested is not None:
         pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    pairs = scratch.write(pairs, f"{name}-pairs")
     common = F.size(F.array_intersect("sa", "sb"))
     linked = 100 * common >= percent * (F.size("sa") + F.size("sb") - common)
     both = pairs.join(full.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b") \
         .join(full.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
-    out = scratch.write(both.select("a", "b", linked.alias("linked")), name)
-    scratch.drop(f"{name}-pairs")
-    return out
+    return scratch.write(both.select("a", "b", linked.alias("linked")), name)

@@ -6,8 +6,11 @@
 The packing itself depends only on how many pieces have each length, a table
 of at most ``capacity`` rows however large the corpus is.  ``min_slack_plan``
 packs that table: each bin takes the longest piece that is left, and a bitset
-subset-sum over the available lengths finds the fullest combination that goes
-with it; the combination is used as often as the counts allow, then removed.
+subset-sum over the available lengths, from the longest down, finds the fullest
+combination that goes with it; the combination is used as often as the counts
+allow, then removed.  The search for a bin may end at a slack that is allowed
+(relaxed minimum bin slack), which keeps short pieces for bins that need them;
+of several allowed slacks the plan with the fewest sequences counts.
 Pieces are numbered within their length (per task, plus the offset of the
 task), and the plan maps (length, number) to (sequence, offset).  No piece
 passes through the driver and no length is gathered in one task.
@@ -29,6 +32,8 @@ from platewise.llm.store import Scratch, fields, text_slices, texts
 
 CAPACITY = 1024
 END_ID = 2
+#: slacks that a bin's search may end at; the best plan counts
+SLACKS = (0, 1, 2, 4, 6, 8, 12, 16, 24, 32)
 
 
 def cut_documents(docs: DataFrame, tokenizer_json: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -75,40 +80,57 @@ def min_slack_plan(counts: dict[int, int], capacity: int) -> dict[str, np.ndarra
     to the next slot of that length) at ``offset[i]`` of the sequences from
     ``sequence[i]`` on, one each.
     """
-    left = {n: c for n, c in sorted(counts.items(), reverse=True) if c > 0}
-    taken = dict.fromkeys(left, 0)
+    least = -(-sum(n * c for n, c in counts.items()) // capacity)
+    best, fewest = [], None
+    for slack in SLACKS:
+        found = _combinations(counts, capacity, slack)
+        size = sum(bins for _, bins in found)
+        if fewest is None or size < fewest:
+            best, fewest = found, size
+        if fewest == least:
+            break
+    taken: dict[int, int] = {}
     slots, sequences = [], 0
-    mask = (1 << (capacity + 1)) - 1
+    for combination, bins in best:
+        offset = 0
+        for n, k in combination.items():
+            for _ in range(k):
+                slots.append((n, taken.get(n, 0), sequences, offset))
+                taken[n] = taken.get(n, 0) + bins
+                offset += n
+        sequences += bins
+    columns = zip(*sorted(slots), strict=True) if slots else ([], [], [], [])
+    return dict(zip(("length", "start", "sequence", "offset"), (np.array(c, np.int64) for c in columns), strict=True))
+
+
+def _combinations(counts: dict[int, int], capacity: int, slack: int) -> list[tuple[dict[int, int], int]]:
+    """Combinations of lengths (how many of each) and in how many bins each is used."""
+    left = {n: c for n, c in sorted(counts.items(), reverse=True) if c > 0}
+    out = []
     while left:
         longest = next(iter(left))
         left[longest] -= 1
         combination = {longest: 1}
-        for n, k in _fullest(left, capacity - longest, mask).items():
+        for n, k in fullest(left, capacity - longest, slack).items():
             combination[n] = combination.get(n, 0) + k
         left[longest] += 1
         bins = min(left[n] // k for n, k in combination.items())
-        offset = 0
         for n, k in combination.items():
-            for _ in range(k):
-                slots.append((n, taken[n], sequences, offset))
-                taken[n] += bins
-                offset += n
             left[n] -= k * bins
             if not left[n]:
                 del left[n]
-        sequences += bins
-    columns = zip(*sorted(slots), strict=True) if slots else ([], [], [], [])
-    return dict(zip(("length", "start", "sequence", "offset"), (np.array(c, np.int64) for c in columns), strict=True))
+        out.append((combination, bins))
+    return out
 
 
-def _fullest(left: dict[int, int], room: int, mask: int) -> dict[int, int]:
-    """The fullest combination of available lengths within ``room``.
+def fullest(left: dict[int, int], room: int, slack: int = 0) -> dict[int, int]:
+    """The fullest combination of available lengths (from the longest down) within ``room``.
 
-    Lengths enter from the longest down, and the search ends as soon as the
-    room can be filled to the last place, so long pieces go first.
+    The search ends as soon as the lengths so far can fill the room up to
+    ``slack``, so long pieces go first.
     """
     sums, steps = 1, []
-    mask &= (1 << (room + 1)) - 1
+    mask = (1 << (room + 1)) - 1
     for n, count in left.items():
         if n > room or not count:
             continue
@@ -118,7 +140,7 @@ def _fullest(left: dict[int, int], room: int, mask: int) -> dict[int, int]:
             step = min(step, count)
             sums |= (sums << (step * n)) & mask
             count, step = count - step, step * 2
-        if sums >> room & 1:
+        if sums >> max(0, room - slack):
             break
     total, found = sums.bit_length() - 1, {}
     for n, before in reversed(steps):

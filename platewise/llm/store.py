@@ -22,6 +22,8 @@ from platewise.session import checkpoint_dir
 
 #: bytes of text that one vectorised step inside a task works on
 SLICE_BYTES = 4 << 20
+#: bytes of a Parquet row group: what a writing task holds
+ROW_GROUP = 16 << 20
 
 
 class Scratch:
@@ -34,7 +36,7 @@ class Scratch:
     def write(self, df: DataFrame, table: str) -> DataFrame:
         """Write ``df`` once and return a DataFrame that reads that copy."""
         target = f"{self.path}/{table}"
-        df.write.parquet(target)
+        df.write.option("parquet.block.size", ROW_GROUP).parquet(target)
         return self.spark.read.schema(df.schema).parquet(target)
 
     def drop(self, table: str) -> None:

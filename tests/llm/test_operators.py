@@ -56,7 +56,6 @@ def words(text):
 def test_packing(docs, none):
     spec = open(P.path("byte_bpe_50k.json"), encoding="utf-8").read()
     model = tokenizers.Tokenizer.from_str(spec)
-    model.encode_special_tokens = True
     got = packing.pack_pieces(packing.cut_documents(docs, spec, 64).withColumn("crc", F.crc32("ids")).drop("ids"), 64).collect()
     want = collections.Counter()
     for doc_id, text, *_ in documents():
@@ -89,6 +88,53 @@ def test_plan_uses_every_piece_once():
             assert starts.min() == 0 and len(set(starts)) == len(starts) and starts.max() < c
 
 
+def plain_fullest(left, room):
+    """The largest sum within the room, by trying every number of every length."""
+    sums = {0}
+    for n, count in left.items():
+        sums = {s + n * k for s in sums for k in range(count + 1) if s + n * k <= room}
+    return max(sums)
+
+
+def test_fullest_combination():
+    rng = random.Random(6)
+    for _ in range(200):
+        left = dict(sorted(((rng.randint(1, 30), rng.randint(0, 4)) for _ in range(8)), reverse=True))
+        room, slack = rng.randint(0, 60), rng.randint(0, 5)
+        found = packing.fullest(left, room, slack)
+        assert all(0 < k <= left[n] for n, k in found.items())
+        total, most = sum(n * k for n, k in found.items()), plain_fullest(left, room)
+        assert total == most if slack == 0 else min(most, room - slack) <= total <= most
+
+
+def best_fit_decreasing(lengths, capacity):
+    rooms = []
+    for n in sorted(lengths, reverse=True):
+        fits = [r for r in rooms if r >= n]
+        if fits:
+            rooms.remove(min(fits))
+            rooms.append(min(fits) - n)
+        else:
+            rooms.append(capacity - n)
+    return len(rooms)
+
+
+def test_no_more_sequences_than_best_fit_decreasing(spark):
+    pieces = packing.cut_documents(queries.table(spark, SF, "documents"), queries.vocabulary("byte_bpe_50k.json")).drop("ids")
+    got = packing.pack_pieces(pieces).agg(F.countDistinct("sequence_id")).first()[0]
+    lengths = [r.length for r in pieces.select("length").collect()]
+    assert -(-sum(lengths) // 1024) <= got <= best_fit_decreasing(lengths, 1024)
+
+
+def test_strings_of_added_tokens_are_those_tokens(spark):
+    spec = queries.vocabulary("byte_bpe_50k.json")
+    model = tokenizers.Tokenizer.from_str(spec)
+    texts = ["<|endoftext|>", "a<|endoftext|> b", "  <|endoftext|>x", "<|endoftext|", "plain text, é and 中"]
+    rows = packing.cut_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), spec).collect()
+    assert {r.doc_id: np.frombuffer(bytes(r.ids), "<u4").tolist() for r in rows} == {
+        i: [*model.encode(t, add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
+
+
 def test_codec(docs, none):
     ranks = bpe_codec.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
     spec = bpe_codec.rank_tokenizer(ranks, P.PATTERN)
