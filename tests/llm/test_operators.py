@@ -375,6 +375,79 @@ def test_pipeline_links_below_the_contract_of_op6(spark):
     assert minhash.near_duplicates(pair).where("kept").count() == 2
 
 
+def test_near_dedup_stage_judges_every_row(spark):
+    """Unlike texts with one id both stay, copies without id go, equal rows are one."""
+    import corpus_pipeline
+
+    one, two = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(1, one, "x"), (1, two, "x"), (None, one, "x"), (None, one, "x"), (2, one, "x"), (3, None, "x"), (3, None, "x"), (4, None, "x"), (4, "", "x")]
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), "")
+    assert collections.Counter(map(tuple, got.collect())) == collections.Counter([(1, one, "x"), (1, two, "x"), (3, None, "x"), (4, None, "x"), (4, "", "x")])
+
+
+def test_stages_of_an_empty_table_and_their_columns(spark, docs, none):
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, none, "")
+        assert out.columns == none.columns and out.count() == 0, name
+    assert corpus_pipeline.best_fit_packing(spark, none, "").count() == 0
+    plain = {(d, t) for d, t, *_ in documents() if any(c.isalpha() for c in t or "")}
+    kept = corpus_pipeline.language_id(spark, docs, "").select("doc_id", "text").collect()
+    assert {tuple(r) for r in kept} <= plain and len(kept) >= 40
+    pieces = corpus_pipeline.best_fit_packing(spark, docs, "")
+    assert pieces.where("piece = 0").count() == len(documents())
+
+
+def test_letters_by_one_definition(spark):
+    texts = ["½", "²", "①", "Ⅷ", "12 !?", "", None]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)] + [(20 + i, "the house and the river", "en") for i in range(8)]
+                                 + [(40 + i, "das haus und der fluss", "de") for i in range(8)], "doc_id long, text string, lang string")
+    said = langid.identify(docs, ["doc_id"]).where("row.doc_id < 20").collect()
+    assert len(said) == 7 and all(r.lang_pred == "und" and r.score == 0 for r in said)
+
+
+def test_language_against_plain_decoding(spark):
+    """Weights and decoding with dictionaries of n-grams, no arrays and no hashing of sums."""
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("the house", "en"), ("das haus", "de"), ("la casa", "es"), ("the river", "en"), ("der fluss", "de"), ("el rio", "es")] * 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+
+    def grams(text):
+        spaced = re.sub(r"[^a-z]+", " ", f" {text.lower()} ")
+        return [spaced[i:i + n] for n in langid.ORDERS for i in range(len(spaced) - n + 1)]
+
+    place = {}
+    for _, text, _ in rows:
+        for g in grams(text):  # an n-gram's bucket, from its string alone
+            value = 0
+            for ch in g:
+                value = (value * 0x01000193 + ord(ch)) % 2 ** 32
+            place[g] = ((value ^ len(g)) * 0x9E3779B1 % 2 ** 32) >> (32 - 15)
+    totals = {x: collections.Counter() for x in ("de", "en", "es")}
+    for i, text, lang in rows:
+        if zlib.crc32(str(i).encode()) % 4 != 2:
+            totals[lang].update(place[g] for g in grams(text))
+    sums = {x: sum(c.values()) + 0.5 * langid.BUCKETS for x, c in totals.items()}
+    assert model["languages"] == sorted(totals)
+    for r in langid.identify(docs, ["doc_id", "text"]).collect():
+        seen = grams(r.row.text)
+        losses = []
+        for x, word in zip(sorted(totals), langid.codewords(3).tolist()):
+            loss = 0
+            for bit, sign in enumerate(word):
+                mean = 0
+                for g in seen:
+                    sides = {1: [], -1: []}
+                    for y, other in zip(sorted(totals), langid.codewords(3).tolist()):
+                        sides[other[bit]].append((totals[y][place[g]] + 0.5) / sums[y])
+                    mean += np.log(np.mean(sides[1])) - np.log(np.mean(sides[-1]))
+                loss += np.log1p(np.exp(-sign * langid.GAIN * mean / len(seen)))
+            losses.append(loss)
+        assert r.lang_pred == sorted(totals)[int(np.argmin(losses))]
+        assert r.score == pytest.approx(1 / sum(np.exp(min(losses) - np.array(losses))), rel=1e-3)
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_equals_its_sql(spark, name):
     import duckdb
