@@ -33,12 +33,25 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (0.80 or more), that with the smallest doc_id.
+    """One document of each group of near duplicates (0.80 or more): the one with the smallest doc_id.
 
-    Of rows with the same doc_id one stays; rows without doc_id all stay.
+    Every row is a document of its own: unlike texts with one doc_id are both
+    judged, rows without doc_id come after those with one, and among equal ids
+    digests decide.  Of equal rows one stays.
     """
-    kept = minhash.near_duplicates(docs, percent=PERCENT, bands=BANDS, rows=ROWS).where("kept and doc_id is not null").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).union(docs.where("doc_id is null"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"),
+                   F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text"), F.xxhash64(F.col("text").isNull(), *others).alias("others"))
+    keyed = docs.withColumn("__key", key)
+    scratch = Scratch(spark, "near-dedup")
+    found = scratch.write(minhash.near_duplicates(keyed.select(F.col("__key").alias("doc_id"), "text"), percent=PERCENT, bands=BANDS, rows=ROWS), "found")
+    removed = found.where(~F.col("kept")).select(F.col("doc_id").alias("__key")).distinct()
+    kept = keyed.join(removed, "__key", "left_anti")
+    equal = scratch.write(found.groupBy(F.col("doc_id").alias("__key")).count().where("count > 1").select("__key"), "equal")
+    if equal.isEmpty():
+        return kept.drop("__key")
+    once = kept.join(equal, "__key", "left_semi").dropDuplicates(["__key"])
+    return kept.join(equal, "__key", "left_anti").unionByName(once).drop("__key")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,14 +67,17 @@ STAGES = [
     ("near_dedup", near_dedup),
     ("best_fit_packing", best_fit_packing),
 ]
-#: language identification has no SQL form; the tests compare the pipeline with a brute-force version
+#: language identification has no SQL form; the tests compare every stage with a plain version
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows for the documents of ``sf_dir``."""
     scratch = Scratch(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         docs = scratch.write(stage(spark, docs, sf_dir), name)
+        if before:
+            scratch.drop(before)
+        before = name
     return docs
