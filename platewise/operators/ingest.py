@@ -8,8 +8,10 @@ version directory.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -160,6 +162,30 @@ def ingest_dishes(dishes: DataFrame, ingredients: DataFrame, allergens: DataFram
 
 # -- users (W14) ---------------------------------------------------------------------------
 
+#: rounds of peeling at least, and rows that one task folds at most
+PEELING_ROUNDS, FOLD_ROWS = 2, 1_000_000
+
+
+def _one_at_a_time(regs: DataFrame) -> DataFrame:
+    """Decisions (reg_id, login, email, reason) of at most ``FOLD_ROWS`` registrations in the order of time: accepted
+    unless one accepted before has the login or the e-mail."""
+    schema = T.StructType([*(regs.schema[c] for c in ("reg_id", "login", "email")), T.StructField("reason", T.StringType())])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        logins, emails = set(), set()
+        for batch in batches:
+            reasons = []
+            for login, email in zip(batch.column("_login").to_pylist(), batch.column("_email").to_pylist(), strict=True):
+                free = login not in logins and email not in emails
+                if free:
+                    logins.add(login)
+                    emails.add(email)
+                reasons.append(None if free else "duplicate in batch")
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("reg_id", "login", "email")), pa.array(reasons, pa.string())],
+                                             names=schema.names)
+
+    return regs.repartition(1).sortWithinPartitions("ts", "reg_id").mapInArrow(fold, schema)
+
 def validate_users(users: DataFrame, regs: DataFrame) -> DataFrame:
     """Registration checks over a batch (reg_id, ts, login, email).
 
@@ -172,10 +198,11 @@ def validate_users(users: DataFrame, regs: DataFrame) -> DataFrame:
     That greedy outcome is computed by peeling: each round accepts every
     undecided candidate that is the earliest undecided one of both its login
     and its e-mail group, and rejects the later undecided members of those
-    groups.  Every round decides at least the earliest undecided candidate,
-    so it ends: after two or three rounds in practice, after about half its
-    length for a chain of shared logins / e-mails.  Each round is two partial aggregates and joins over
-    the undecided rows, checkpointed, with a one-row "any left?" check.
+    groups.  Each round is two partial aggregates and joins over the undecided rows,
+    checkpointed.  A round decides almost everything, but only the ends of a
+    chain of shared logins and e-mails; so as soon as at most ``FOLD_ROWS`` rows
+    are left (a checked size), they are folded one at a time, in one pass in
+    the order of time.
     """
     o = F.struct("ts", "reg_id")
     fmt = (F.when(~is_email(F.col("email")), F.lit("bad email"))
@@ -199,12 +226,14 @@ def validate_users(users: DataFrame, regs: DataFrame) -> DataFrame:
     r = materialize(r)
     decided = [r.where(F.col("reason").isNotNull()).select("reg_id", "login", "email", "reason")]
     undecided = r.where(F.col("reason").isNull()).select("reg_id", "ts", "login", "email", "_login", "_email")
-    while not undecided.isEmpty():
+    columns = ["reg_id", "ts", "login", "email", "_login", "_email"]
+    rounds, left = 0, undecided.count()
+    while left and (rounds < PEELING_ROUNDS or left > FOLD_ROWS):
+        rounds += 1
         first_l = undecided.groupBy("_login").agg(F.min(o).alias("_fl"))
         first_e = undecided.groupBy("_email").agg(F.min(o).alias("_fe"))
         u = undecided.join(first_l, "_login").join(first_e, "_email")
-        accepted = materialize(u.where((o == F.col("_fl")) & (o == F.col("_fe")))
-                               .select("reg_id", "ts", "login", "email", "_login", "_email"))
+        accepted = materialize(u.where((o == F.col("_fl")) & (o == F.col("_fe"))).select(*columns))
         acc_l = accepted.select("_login", F.struct("ts", "reg_id").alias("_al"))
         acc_e = accepted.select("_email", F.struct("ts", "reg_id").alias("_ae"))
         rest = (undecided.join(accepted.select("reg_id"), "reg_id", "left_anti")
@@ -215,5 +244,8 @@ def validate_users(users: DataFrame, regs: DataFrame) -> DataFrame:
                     rest.where(F.col("_lost")).select("reg_id", "login", "email", F.lit("duplicate in batch").alias("reason"))]
         if len(decided) > 16:  # the plan does not grow with the chain
             decided = [materialize(reduce(DataFrame.unionByName, decided))]
-        undecided = rest.where(~F.col("_lost")).select("reg_id", "ts", "login", "email", "_login", "_email")
+        undecided = rest.where(~F.col("_lost")).select(*columns)
+        left = undecided.count()
+    if left:
+        decided.append(_one_at_a_time(undecided))
     return reduce(DataFrame.unionByName, decided).select("reg_id", "login", "email", F.col("reason").isNull().alias("valid"), "reason")

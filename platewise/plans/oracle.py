@@ -780,3 +780,4 @@ SQL["stream_menu"] = SQL["moderate_menu"]
 SQL["stream_hours"] = SQL["moderate_hours_by_id"]
 SQL["stream_upsert_comments"] = SQL["upsert_comments"]
 SQL["stream_diet_flags"] = SQL["moderate_menu_diet"]
+SQL["json_array_whole_file"] = SQL["json_array_roundtrip"]

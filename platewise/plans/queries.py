@@ -443,6 +443,15 @@ def q_json_array_roundtrip(spark, sf_dir):
     return files.read_json_arrays(spark, path, d.schema)
 
 
+@register("json_array_whole_file")
+def q_json_array_whole_file(spark, sf_dir):
+    cat = roles.bind(spark, sf_dir)
+    path = streams.run_dir(spark, "json-files")
+    d = cat.dishes.select("id", "name", "calories", "price", "weight")
+    files.write_json_files(d, path)
+    return files.read_json_arrays(spark, path, d.schema, whole_file=True)
+
+
 @register("wkb_decode")
 def q_wkb_decode(spark, sf_dir):
     c = roles.bind(spark, sf_dir).coordinates

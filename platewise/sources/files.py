@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from platewise.session import materialize
+
 ADDRESS_SCHEMA = T.StructType([
     T.StructField("street", T.StringType()),
     T.StructField("no", T.StringType()),
@@ -47,14 +52,72 @@ def write_json_arrays(df: DataFrame, path: str, rows_per_array: int = 1024) -> N
        .select("value").write.mode("overwrite").text(path))
 
 
+def write_json_files(df: DataFrame, path: str) -> None:
+    """Write rows as one indented JSON array of objects per file (a file a partition)."""
+    def array(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = True
+        for batch in batches:
+            lines = [("" if first and not i else ",\n") + text for i, text in enumerate(batch.column(0).to_pylist())]
+            if lines:
+                lines[0] = ("[\n" if first else "") + lines[0]
+                first = False
+                yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["[]" if first else "]"], pa.string())], names=["value"])
+
+    text = F.to_json(F.struct(*df.columns), {"pretty": "true"})
+    df.select(text.alias("value")).mapInArrow(array, "value string").write.mode("overwrite").text(path)
+
+
 def read_json_arrays(spark: SparkSession, path: str, schema: T.StructType,
                      whole_file: bool = False) -> DataFrame:
     """Rows from JSON arrays of objects: one array per line (splittable) or,
-    with ``whole_file``, one indented array per file (each file one task)."""
-    reader = spark.read.schema(schema)
-    if whole_file:
-        reader = reader.option("multiLine", True)
-    return reader.json(path)
+    with ``whole_file``, arrays that go over many lines (see :func:`json_objects`)."""
+    if not whole_file:
+        return spark.read.schema(schema).json(path)
+    return json_objects(spark, path).select(F.from_json("json", schema).alias("_row")).select("_row.*")
+
+
+def _running(df: DataFrame, value: str, out: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over the file's earlier pieces: within a byte range by a window (a range is
+    bounded), over the ranges before by one over a row a range."""
+    here = Window.partitionBy("file", "start").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = df.groupBy("file", "start").agg(F.sum(value).alias("_all"))
+    ranges = ranges.select("file", "start", F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_before"))
+    return (df.withColumn("_here", F.coalesce(F.sum(value).over(here), F.lit(0))).join(ranges, ["file", "start"])
+            .withColumn(out, F.col("_here") + F.col("_before")).drop("_here", "_before"))
+
+
+def json_objects(spark: SparkSession, path: str) -> DataFrame:
+    """The objects (``json``, text) of arrays that fill whole files, one file read by many tasks.
+
+    A file is read by byte ranges in pieces that end at a closing brace.
+    Whether a brace stands inside a string depends on all quotes before it,
+    and whether it ends an object on all braces before it: running sums over
+    the file, taken within each range and over one row a range.  The pieces of
+    an object are put together wherever they were read.  What is outside of
+    objects (brackets, commas, space, values that are no objects) is left out,
+    as is an object without end.  Empty files and empty arrays have no rows.
+    """
+    read = spark.read.option("lineSep", "}").text(path)
+    pieces = read.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+                         F.monotonically_increasing_id().alias("at"))
+    plain = F.regexp_replace("value", r"(?s)\\.", "")          # without escaped characters
+    outside = lambda text: F.regexp_replace(text, r'(?s)"[^"]*("|$)', "")
+    pieces = materialize(pieces.withColumns({
+        "quotes": F.regexp_count(plain, F.lit('"')),
+        "opened": F.regexp_count(outside(plain), F.lit(r"\{")),                             # if it begins outside of a string
+        "opened_within": F.regexp_count(outside(F.concat(F.lit('"'), plain)), F.lit(r"\{"))}))  # if it begins inside
+    known = _running(pieces, "quotes", "quotes_before").withColumn("within", F.col("quotes_before") % 2 == 1)
+    closes = (F.col("quotes_before") + F.col("quotes")) % 2 == 0
+    known = known.withColumn("depth", F.when(F.col("within"), F.col("opened_within")).otherwise(F.col("opened")) - closes.cast("int"))
+    ends = _running(known, "depth", "depth_before").withColumn(
+        "ends", (closes & (F.col("depth_before") + F.col("depth") == 0) & (F.col("depth_before") + F.col("depth") + 1 > 0)).cast("int"))
+    ends = materialize(ends.select("file", "start", "at", "value", "depth", "depth_before", "ends"))
+    numbered = _running(ends, "ends", "object")
+    text = F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "at", "value"))), lambda p: p["value"]), "}"), F.lit("}"))
+    objects = numbered.groupBy("file", "object").agg(text.alias("json"), F.max("ends").alias("ended"))
+    return objects.where("ended = 1").select(F.regexp_replace("json", r"(?s)^[^{]*", "").alias("json"))
 
 
 def rows_as_json(df: DataFrame, col: str = "json") -> DataFrame:

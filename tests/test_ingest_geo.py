@@ -227,3 +227,21 @@ def test_text_equality_ignores_case_and_accents(cat, spark):
                                  "reg_id long, ts timestamp, login string, email string")
     got = {r.reg_id: r.reason for r in ingest.validate_users(cat.users, regs).collect()}
     assert got == {1: "login taken", 2: None, 3: "duplicate in batch"}
+
+
+def chain(n):
+    """Each registration shares its login with the one before or its e-mail, in turn."""
+    return [(i, T0 + dt.timedelta(seconds=i), f"login{(i + 1) // 2}", f"mail{i // 2}@x.pl") for i in range(n)]
+
+
+@pytest.mark.parametrize("fold_rows", [ingest.FOLD_ROWS, 0])
+def test_registrations_of_a_long_chain(spark, cat, monkeypatch, fold_rows):
+    rows = chain(300 if fold_rows else 14)
+    monkeypatch.setattr(ingest, "FOLD_ROWS", fold_rows)
+    writes = []
+    monkeypatch.setattr(ingest, "materialize", lambda df, real=ingest.materialize: writes.append(1) or real(df))
+    regs = spark.createDataFrame(rows, "reg_id long, ts timestamp, login string, email string")
+    got = {r.reg_id: r.valid for r in ingest.validate_users(cat.users, regs).collect()}
+    assert got == greedy_registrations(["admin", "tester", "test", "seven"], [], rows)
+    if fold_rows:
+        assert len(writes) <= 5
