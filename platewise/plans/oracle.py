@@ -781,3 +781,12 @@ SQL["stream_hours"] = SQL["moderate_hours_by_id"]
 SQL["stream_upsert_comments"] = SQL["upsert_comments"]
 SQL["stream_diet_flags"] = SQL["moderate_menu_diet"]
 SQL["json_array_whole_file"] = SQL["json_array_roundtrip"]
+
+SQL["search_terms_batch"] = ROLES_SQL + """
+, words AS (SELECT n_name AS w FROM nation UNION ALL SELECT r_name FROM region)
+, terms AS (
+  SELECT DISTINCT term FROM (
+    SELECT unnest([w[1:1], w[2:3], w[1:3], w[3:6], w[2:6]]) AS term FROM words) WHERE length(term) > 0)
+SELECT t.term, d.id FROM terms t JOIN dishes d ON contains(lower(d.name), lower(t.term))
+"""
+SQL["search_by_radius_layout"] = SQL["search_by_radius"]

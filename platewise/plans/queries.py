@@ -12,8 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platewise.operators import calendar, generate, geo_join, ingest, moderation, reports, search, views
-from platewise.sources import files, roles
+from platewise.functions import geo
+from platewise.operators import calendar, generate, geo_join, gram_index, ingest, moderation, reports, search, views
+from platewise.sources import files, roles, spatial
 from platewise.streaming import commands as streams
 
 # Fixed parameters of the registered queries (mirrored in plans/oracle.py).
@@ -484,6 +485,28 @@ def q_derived_measure(spark, sf_dir):
     return generate.derived_weight(roles.bind(spark, sf_dir).dishes)
 
 
+# -- stored search layouts ----------------------------------------------------------------
+
+@register("search_terms_batch")
+def q_search_terms_batch(spark, sf_dir):
+    """Dishes whose name contains each of a table of terms (parts of nation and region names, one to five letters)."""
+    t, cat = roles.read_tables(spark, sf_dir), roles.bind(spark, sf_dir)
+    path = streams.run_dir(spark, "grams")
+    gram_index.write_index(cat.dishes, path)
+    return gram_index.search_terms(spark, path, roles.search_terms(t))
+
+
+@register("search_by_radius_layout")
+def q_search_by_radius_layout(spark, sf_dir):
+    """The radius search on coordinates stored along a space-filling curve."""
+    cat = roles.bind(spark, sf_dir)
+    path = streams.run_dir(spark, "points")
+    spatial.write_points(cat.coordinates, path, folder_rows=4096)
+    south, north, west, east = geo.bounding_box(PROBE_LAT, PROBE_LON, PROBE_RADIUS_KM)
+    near = spatial.read_box(spark, path, south, north, -180.0 if west is None else west, 180.0 if east is None else east)
+    return search.search_by_radius(cat.with_tables(coordinates=near), PROBE_LAT, PROBE_LON, PROBE_RADIUS_KM)
+
+
 # -- streams ------------------------------------------------------------------------------
 
 def _stream_commands(spark, sf_dir):

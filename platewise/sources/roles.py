@@ -257,6 +257,12 @@ def dish_requests(t: dict[str, DataFrame]) -> DataFrame:
             .select(F.floor(F.col("event_id") / 5).cast("long").alias("id")))
 
 
+def search_terms(t: dict[str, DataFrame]) -> DataFrame:
+    """Search terms of one to five letters, cut from nation and region names."""
+    names = t["nation"].select(F.col("n_name").alias("w")).union(t["region"].select("r_name"))
+    return names.select(F.explode(F.array(*(F.substring("w", a, n) for a, n in ((1, 1), (2, 2), (1, 3), (3, 4), (2, 5))))).alias("term"))
+
+
 def probe_points(t: dict[str, DataFrame]) -> DataFrame:
     """One search location per customer (for the many-probe radius join)."""
     c = F.col("c_custkey")
