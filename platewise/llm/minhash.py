@@ -5,13 +5,12 @@
 bits and keeps the smallest of every bin (one permutation); empty bins borrow
 from a non-empty bin chosen by a universal hash of (bin, attempt), the optimal
 densification; ``rows`` bins make a band.  ``near_duplicates`` collapses equal
-sets, links every member of a band bucket to two of its members only (stars: the
-first, and one by a hash), confirms the links on full sets, and takes
-connected components.
+sets, links every member of a band bucket to the bucket's first member only (a
+star), confirms the links on full sets, and takes connected components.
 
-Two sets in one bucket that are both unlike its centres are not lost: if
-buckets still hold several components, a round follows that is exact.  It
-compares what is left of different components, in small buckets pair by pair;
+Two sets in one bucket that are both unlike its first member are not lost:
+buckets that still hold several components have a round with another centre,
+and if that leaves any, the last round is exact.  It compares what is left of different components, in small buckets pair by pair;
 members of large buckets meet on the shingles of their prefixes (the rarest
 ``n - ceil(0.85 n) + 1`` of each set: linked sets share one), so a passage that
 thousands of documents hold brings none of them together.  Pairs that exact
@@ -233,22 +232,24 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     sets = scratch.write(usable.groupBy("set_low", "set_high").agg(
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "sets")
     each = sets.select("rep", "n", F.explode("bands").alias("bucket"))
-    first, other = F.min(F.struct("rep", "n")).alias("first"), F.min(F.struct(F.xxhash64("rep").alias("h"), "rep", "n")).alias("other")
-    shared = each.groupBy("bucket").agg(first, other, F.max("rep").alias("last")).where("first.rep <> last").drop("last")
+    shared = each.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("c"), F.max("rep").alias("last")).where("c.rep <> last").drop("last")
     members = scratch.write(each.join(shared, "bucket"), "members")
     nodes = members.select(F.col("rep").alias("doc_id")).distinct()
     full = scratch.write(shingle_sets(docs.select("doc_id", "text").join(nodes, "doc_id"), words), "full")
 
-    stars = members.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.explode(F.array(
-        F.struct("first.rep", "first.n"), F.struct("other.rep", "other.n"))).alias("c")).where("c.rep <> b")
-    ordered = F.col("c.rep") < F.col("b")
-    tested = _confirmed(stars.select(
-        F.least("c.rep", "b").alias("a"), F.greatest("c.rep", "b").alias("b"),
-        F.when(ordered, F.col("c.n")).otherwise(F.col("nb")).alias("na"), F.when(ordered, F.col("nb")).otherwise(F.col("c.n")).alias("nb")),
-        full, percent, scratch, "stars")
+    stars = members.where("c.rep <> rep").select("rep", "n", F.col("c.rep").alias("a"), F.col("c.n").alias("na"))
+    tested = _confirmed(_in_order(stars), full, percent, scratch, "stars")
     labels = components(tested.where("linked"), scratch, "labels")
-
     mixed = scratch.write(_mixed(_labelled(members, labels)), "mixed")
+    if not mixed.isEmpty():
+        centre = F.min(F.struct(F.xxhash64("rep"), "rep", "n", "label")).alias("c")
+        again = mixed.join(mixed.groupBy("bucket").agg(centre), "bucket").where("label <> c.label") \
+            .select("rep", "n", F.col("c.rep").alias("a"), F.col("c.n").alias("na"))
+        more = _confirmed(_in_order(again), full, percent, scratch, "again", tested)
+        tested = tested.union(more)
+        labels, grown = _joined(labels, more, scratch, "labels-again")
+        if grown:
+            mixed = scratch.write(_mixed(_labelled(mixed.drop("label"), labels)), "mixed-again")
     if not mixed.isEmpty():
         large = mixed.groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") > SMALL_BUCKET)
         small = mixed.join(large, "bucket", "left_anti").withColumn("place", F.lit(0)).withColumn("kept", F.lit(0))
@@ -263,10 +264,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
             F.count("*").alias("times"), F.max(early).alias("early"), F.max(F.greatest(F.col("n") - F.col("kept"), F.col("na") - F.col("ka"))).alias("rest"))
         enough = often.where(F.col("early") & (F.col("times") + F.col("rest") >= least))
         found = _confirmed(_in_order(_across(small)).union(_in_order(enough)), full, percent, scratch, "left", tested)
-        more = found.where("linked").select("a", "b")
-        if not more.isEmpty():
-            known = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).where("a <> b")
-            labels = components(known.union(more), scratch, "merged")
+        labels, _ = _joined(labels, found, scratch, "labels-last")
     scratch.drop("full")
 
     named = sets.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left") \
@@ -278,6 +276,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     return out.select("doc_id", "n_shingles", "component_id", (F.col("component_id").isNull() | (F.col("component_id") == F.col("doc_id"))).alias("kept"))
 
 
+def _joined(labels: DataFrame, found: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, bool]:
+    """The labels after the links among ``found``, and whether there are any."""
+    more = found.where("linked").select("a", "b")
+    if more.isEmpty():
+        return labels, False
+    known = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).where("a <> b")
+    return components(known.union(more), scratch, name), True
+
+
 def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     """bucket, rep, n and the component's label (a set without links: its own)."""
     return members.select("bucket", "rep", "n").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left") \
