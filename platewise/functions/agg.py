@@ -14,12 +14,3 @@ def concat_sorted_distinct(col: Column | str, sep: str = ",") -> Column:
 def concat_sorted(col: Column | str, sep: str = ",") -> Column:
     """``GROUP_CONCAT(x)`` keeping duplicates, ascending order."""
     return F.array_join(F.array_sort(F.collect_list(col)), sep)
-
-
-def sorted_distinct(col: Column | str) -> Column:
-    return F.array_sort(F.collect_set(col))
-
-
-def merge_sorted_distinct(arr_col: Column | str, sep: str = ",") -> Column:
-    """Merge per-partial arrays of distinct values into one sorted text."""
-    return F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(arr_col)))), sep)

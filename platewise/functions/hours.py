@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from platewise.catalog import WEEKDAYS
 
 # Fixed values that must equal the reference's rules.
-TIME_RANGE_PATTERN = r"^(\d{2}:\d{2})-(\d{2}:\d{2})$"
-DATE_KEY_PATTERN = r"^\d{2}\.\d{2}\.\d{4}$"
 CLOSED = "closed"
 NO_DATA = "No data"
 DATE_KEY_FORMAT = "dd.MM.yyyy"
@@ -98,11 +96,6 @@ def special_problem(special: Column) -> Column:
     return F.try_element_at(F.filter(msgs, lambda m: m.isNotNull()), F.lit(1))
 
 
-def seconds_of(ts: Column) -> Column:
-    """Seconds of day of a timestamp column (in the session time zone)."""
-    return F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
-
-
 def clock_of(as_of) -> Column:
     """Seconds of day of a Python ``datetime`` parameter as a literal: the
     wall-clock time the caller means, whatever the session time zone."""

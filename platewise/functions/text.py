@@ -12,8 +12,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values that must equal the reference's rules.
-ALNUM_PATTERN = r"^[A-Za-z0-9]+$"
-EMAIL_PATTERN = r"^[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{2,}$"
 LOGIN_MIN_LEN = 4
 LOGIN_MAX_LEN = 20
 

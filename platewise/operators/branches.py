@@ -18,16 +18,6 @@ from platewise.functions.agg import concat_sorted, concat_sorted_distinct
 from platewise.functions.text import contains_ci
 
 
-def cuisine_branch(cat: Catalog, distinct: bool = True) -> DataFrame:
-    """(id_restaurant, n_cuisine_rows, res_cuisines) over the m:n link, for all venues."""
-    c = cat.cuisines.select(F.col("id").alias("id_cuisine"), "type")
-    concat = concat_sorted_distinct if distinct else concat_sorted
-    return (cat.restaurant_cuisines.join(c, "id_cuisine")
-            .groupBy("id_restaurant")
-            .agg(F.count(F.lit(1)).alias("n_cuisine_rows"),
-                 concat("type").alias("res_cuisines")))
-
-
 def attach_cuisines(venues: DataFrame, cat: Catalog, distinct: bool = True) -> DataFrame:
     """Add n_cuisine_rows and res_cuisines to ``venues`` (one row per
     ``id_restaurant``), keeping only venues with a cuisine (inner join).

@@ -67,9 +67,10 @@ def product_sample(left: DataFrame, right: DataFrame, n: int, sep: str = " ") ->
     if total == 0:
         return spark.createDataFrame([], "name string")
     stride = product_stride(total)
-    k = (F.col("id") * F.lit(stride)) % F.lit(total)
+    whole = lambda c: c.cast("decimal(19,0)")  # noqa: E731 - a product beyond 2^63 stays exact
+    k = (whole(F.col("id")) * whole(F.lit(stride)) % whole(F.lit(total))).cast("long")
     picks = (spark.range(min(n, total)).select(k.alias("k"))
-             .select(((F.col("k") - F.col("k") % F.lit(nb)) / F.lit(nb)).cast("long").alias("ia"),  # exact
+             .select(F.expr(f"k div {nb}").alias("ia"),
                      (F.col("k") % F.lit(nb)).alias("ib")))
     return (picks.join(a, "ia").join(b, "ib")
             .select(F.concat_ws(sep, "a", "b").alias("name")))

@@ -105,13 +105,14 @@ def advanced_search(cat: Catalog, res_name: str | None = None, dish_name: str |
                     lon: float | None = None, radius_km: float | None = None,
                     now_open: bool = False, vegetarian: bool = False, vegan: bool = False,
                     as_of: _dt.datetime | None = None, overnight: bool = False,
-                    limit: int | None = None, fold_accents: bool = False) -> DataFrame:
+                    limit: int | None = None, fold_accents: bool = False, swap_axes: bool = False) -> DataFrame:
     """Conjunction of name / dish / ingredient / radius criteria with diet and
     open-now modifiers (the reference's advanced search).
 
     * empty or missing terms are ignored; a term that is not alphanumeric is
       rejected with ``ValueError``;
-    * the radius is used only when lat, lon and radius are all non-zero numbers;
+    * the radius is used only when lat, lon and radius are all non-zero numbers
+      (``swap_axes``: as in :func:`search_by_radius`);
     * modifiers apply only next to a criterion; no criterion raises ``ValueError``;
     * the venue and the menu row must be verified; the venue needs a location
       row, a cuisine and a dish with an ingredient (inner joins);
@@ -144,7 +145,7 @@ def advanced_search(cat: Catalog, res_name: str | None = None, dish_name: str |
         r = r.where(contains_ci(F.col("name"), terms["res_name"], fold_accents))
     r = r.select(F.col("id").alias("id_restaurant"), "name", "opinion")
     if use_radius:
-        loc = _distance_candidates(cat, float(lat), float(lon), float(radius_km))
+        loc = _distance_candidates(cat, float(lat), float(lon), float(radius_km), swap_axes)
     else:
         loc = cat.coordinates.select(F.col("id").alias("id_restaurant"), F.lit(None).cast("double").alias("distance"))
     prev = "prev_hours" if (now_open and overnight) else None

@@ -95,13 +95,6 @@ def positive_ids(requests: DataFrame, col: str = "id") -> DataFrame:
     return requests.select(F.col(col).alias("_rid")).where(F.col("_rid") > 0)
 
 
-def lookup(view: DataFrame, key: str, requests: DataFrame, req_col: str = "id") -> DataFrame:
-    """Rows of any ``view`` whose ``key`` was requested (a left-semi join, so
-    repeated requests never duplicate rows)."""
-    ids = positive_ids(requests, req_col)
-    return view.join(ids, view[key] == ids["_rid"], "left_semi")
-
-
 def venue_info(cat: Catalog, requests: DataFrame) -> DataFrame:
     """Batch form of the by-id lookups: the request ids restrict the link
     tables before any join or aggregate."""

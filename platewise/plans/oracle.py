@@ -790,3 +790,15 @@ SQL["search_terms_batch"] = ROLES_SQL + """
 SELECT t.term, d.id FROM terms t JOIN dishes d ON contains(lower(d.name), lower(t.term))
 """
 SQL["search_by_radius_layout"] = SQL["search_by_radius"]
+
+SQL["search_by_dish_top"] = f"""
+SELECT *, CAST(row_number() OVER (ORDER BY sort_score DESC, res_id) AS INTEGER) AS place
+FROM ({SQL["search_by_dish"]}) ORDER BY sort_score DESC, res_id LIMIT 10
+"""
+SQL["search_by_radius_top"] = f"""
+SELECT *, CAST(row_number() OVER (ORDER BY distance_km, res_id) AS INTEGER) AS place
+FROM ({SQL["search_by_radius"]}) ORDER BY distance_km, res_id LIMIT 7
+"""
+SQL["advanced_search_swapped"] = _advanced("co.lat > 0 AND co.lon > 0",
+                                           radius=dist(17.03, 51.1, "co.lon", "co.lat"), open_secs=12 * 3600)
+SQL["json_rows"] = ROLES_SQL + "SELECT CAST(json_object('id', id, 'name', name) AS VARCHAR) AS json FROM dishes\n"

@@ -9,7 +9,7 @@ from __future__ import annotations
 import datetime as _dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from platewise.functions import geo
@@ -69,6 +69,32 @@ def q_search_by_radius_swapped(spark, sf_dir):
                                    PROBE_RADIUS_KM, swap_axes=True)
 
 
+@register("search_by_dish_top")
+def q_search_by_dish_top(spark, sf_dir):
+    """The ten best venues, with their places in the ranking."""
+    top = search.search_by_dish(roles.bind(spark, sf_dir), DISH_TERM, limit=10)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("sort_score"), "res_id")))
+
+
+@register("search_by_radius_top")
+def q_search_by_radius_top(spark, sf_dir):
+    """The seven nearest venues, with their places."""
+    top = search.search_by_radius(roles.bind(spark, sf_dir), PROBE_LAT, PROBE_LON, PROBE_RADIUS_KM, limit=7)
+    return top.withColumn("place", F.row_number().over(Window.orderBy("distance_km", "res_id")))
+
+
+@register("advanced_search_swapped")
+def q_adv_swapped(spark, sf_dir):
+    return search.advanced_search(roles.bind(spark, sf_dir), lat=PROBE_LON, lon=PROBE_LAT, radius_km=6.0,
+                                  now_open=True, as_of=AS_OF, swap_axes=True)
+
+
+@register("json_rows")
+def q_json_rows(spark, sf_dir):
+    """Dishes as JSON objects."""
+    return files.rows_as_json(roles.bind(spark, sf_dir).dishes.select("id", "name"))
+
+
 @register("advanced_search_name_dish")
 def q_adv_name_dish(spark, sf_dir):
     return search.advanced_search(roles.bind(spark, sf_dir), res_name=NAME_TERM,

@@ -41,15 +41,23 @@ def read_addresses(spark: SparkSession, path: str) -> DataFrame:
 
 def write_json_arrays(df: DataFrame, path: str, rows_per_array: int = 1024) -> None:
     """Write rows as JSON arrays of at most ``rows_per_array`` objects, one array
-    per line.  Chunks come from each partition's own row positions, so no
-    group ever holds more than ``rows_per_array`` rows."""
-    if rows_per_array < 1 or rows_per_array & (rows_per_array - 1):
-        raise ValueError("rows_per_array must be a power of two")
-    shift = rows_per_array.bit_length() - 1
-    chunk = F.shiftright(F.monotonically_increasing_id(), shift)
-    (df.select(chunk.alias("_chunk"), F.struct(*df.columns).alias("_row"))
-       .groupBy("_chunk").agg(F.to_json(F.collect_list("_row")).alias("value"))
-       .select("value").write.mode("overwrite").text(path))
+    per line, in the partitions and the order the rows have (no shuffle)."""
+    if rows_per_array < 1:
+        raise ValueError("rows_per_array must be at least 1")
+
+    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[str] = []
+        for batch in batches:
+            waiting += batch.column(0).to_pylist()
+            full = len(waiting) // rows_per_array * rows_per_array
+            lines = ["[" + ",".join(waiting[i:i + rows_per_array]) + "]" for i in range(0, full, rows_per_array)]
+            waiting = waiting[full:]
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+        if waiting:
+            yield pa.RecordBatch.from_arrays([pa.array(["[" + ",".join(waiting) + "]"], pa.string())], names=["value"])
+
+    text = F.to_json(F.struct(*df.columns)).alias("value")
+    df.select(text).mapInArrow(arrays, "value string").write.mode("overwrite").text(path)
 
 
 def write_json_files(df: DataFrame, path: str) -> None:
@@ -132,15 +140,21 @@ _POINT_LEN = 25
 
 @F.pandas_udf(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
 def decode_point(blobs: pd.Series) -> pd.DataFrame:
-    """Vectorised decode of POINT blobs to (x, y); anything else -> NULLs."""
+    """Vectorised decode of POINT blobs (either byte order) to (x, y); anything else -> NULLs."""
     n = len(blobs)
     x = np.full(n, np.nan)
     y = np.full(n, np.nan)
     ok = blobs.map(lambda b: b is not None and len(b) == _POINT_LEN).to_numpy(dtype=bool)
     if ok.any():
         raw = np.frombuffer(b"".join(bytes(b) for b in blobs[ok]), dtype=np.uint8).reshape(-1, _POINT_LEN)
-        x[ok] = raw[:, 9:17].copy().view("<f8").ravel()
-        y[ok] = raw[:, 17:25].copy().view("<f8").ravel()
+        known = np.zeros(len(raw), dtype=bool)
+        for order, mark in (("<", 1), (">", 0)):
+            mine = (raw[:, 4] == mark) & (raw[:, 5:9].copy().view(f"{order}u4").ravel() == 1)    # a point
+            at = np.flatnonzero(ok)[mine]
+            x[at] = raw[mine, 9:17].copy().view(f"{order}f8").ravel()
+            y[at] = raw[mine, 17:25].copy().view(f"{order}f8").ravel()
+            known |= mine
+        ok[np.flatnonzero(ok)[~known]] = False
     out = pd.DataFrame({"x": x, "y": y})
     out[~ok] = None
     return out

@@ -48,3 +48,23 @@ def test_written_files_read_back(spark):
     assert sorted(map(tuple, files.read_json_arrays(spark, f"{path}/out", df.schema, whole_file=True).collect())) == sorted(rows)
     files.write_json_files(df.limit(0), f"{path}/none")
     assert files.read_json_arrays(spark, f"{path}/none", df.schema, whole_file=True).count() == 0
+
+
+def test_arrays_of_a_line_keep_order_and_size(spark):
+    path = tempfile.mkdtemp(prefix="platewise-test-json-")
+    df = spark.range(25).coalesce(1)
+    files.write_json_arrays(df, f"{path}/out", rows_per_array=10)
+    lines = [json.loads(r.value) for r in spark.read.text(f"{path}/out").collect()]
+    assert [[o["id"] for o in line] for line in lines] == [list(range(10)), list(range(10, 20)), list(range(20, 25))]
+
+
+def test_points_of_both_byte_orders(spark):
+    import struct
+
+    little = struct.pack("<IBIdd", 0, 1, 1, 1.5, -2.5)
+    big = struct.pack("<I", 0) + struct.pack(">BIdd", 0, 1, 1.5, -2.5)
+    line = struct.pack("<IBIdd", 0, 1, 2, 1.5, -2.5)
+    odd = struct.pack("<IBIdd", 0, 7, 1, 1.5, -2.5)
+    df = spark.createDataFrame([(i, b) for i, b in enumerate([little, big, line, odd, little[:9], None])], "id int, b binary")
+    got = [r.p and tuple(r.p) for r in df.select("id", files.decode_point("b").alias("p")).orderBy("id").collect()]
+    assert got[:2] == [(1.5, -2.5)] * 2 and all(p is None or p == (None, None) for p in got[2:])

@@ -88,3 +88,15 @@ def test_accent_folding_is_opt_in(spark, cat):
                          restaurant_cuisines=cat.restaurant_cuisines.unionByName(rc))
     assert rows(search.search_by_name(c2, "cafe"), "res_id") == []
     assert rows(search.search_by_name(c2, "cafe", fold_accents=True), "res_id") == [(7,)]
+
+
+def test_searches_come_in_order_and_limits_take_the_first(cat):
+    """Row order and limits, which a comparison of row sets cannot show."""
+    runs = [(lambda **k: search.search_by_dish(cat, "a", **k), lambda r: (-r.sort_score, r.res_id)),
+            (lambda **k: search.search_by_name(cat, "a", **k), lambda r: r.res_id),
+            (lambda **k: search.search_by_radius(cat, 51.1, 17.03, 500.0, **k), lambda r: (r.distance_km, r.res_id))]
+    for run, key in runs:
+        rows = run().collect()
+        assert len(rows) >= 2 and rows == sorted(rows, key=key)
+        for n in (0, 1, 2, 100):
+            assert run(limit=n).collect() == rows[:n]
