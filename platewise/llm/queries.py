@@ -115,8 +115,7 @@ def op3_token_counts(spark, sf_dir):
 def op9_license_scan(spark, sf_dir):
     """Every document's license, its place being source / language / doc_id."""
     place = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))
-    found = license_scan.scan(table(spark, sf_dir, "documents").select(place.alias("path"), "text"))
-    return found.withColumn("doc_id", F.expr("try_cast(substring_index(path, '/', -1) as bigint)"))
+    return license_scan.scan(table(spark, sf_dir, "documents").select(place.alias("path"), "text", "doc_id"), ["doc_id"])
 
 
 @register

@@ -340,14 +340,63 @@ def test_warc(spark):
     assert warc.read_archives(spark, f"{scratch.path}/nothing").count() == 0
 
 
+def plain_licence(text, texts, header=license_scan.HEADER_SIMILARITY, whole=license_scan.FILE_SIMILARITY):
+    """license, how and score of a text by plain cosines of term counts, weighed over ``texts``."""
+    total = len(texts)
+    known = {t for group in (license_scan.HEADERS, license_scan.full_texts()) for each in group.values() for x in each for t in license_scan.terms(x)}
+    often = collections.Counter(t for x in texts for t in set(license_scan.terms(x or "")) & known)
+
+    def weigh(group):
+        return lambda t: np.log((1 + total) / (1 + (often[t] if t in group else 0))) + 1
+
+    def cosine(x, y, idf):
+        x, y = collections.Counter(x), collections.Counter(y)
+        norm = lambda c: np.sqrt(sum((n * idf(t)) ** 2 for t, n in c.items()))
+        return round(float(sum(n * y[t] * idf(t) ** 2 for t, n in x.items()) / (norm(x) * norm(y))), 9) if x and y else 0.0
+
+    words = license_scan.terms(text or "")
+    full = [(name, license_scan.terms(x)) for name, each in license_scan.full_texts().items() for x in each]
+    idf = weigh({t for _, x in full for t in x})
+    best = max(((cosine(words, x, idf), -i, name) for i, (name, x) in enumerate(full)))
+    if best[0] >= whole:
+        return best[2], "file", best[0]
+    notices = [(name, license_scan.terms(x)) for name, each in license_scan.HEADERS.items() for x in each]
+    idf, found = weigh({t for _, x in notices for t in x}), []
+    for _, x in notices:
+        for at in {max(0, i - j) for i, t in enumerate(words) for j, u in enumerate(x) if t == u}:  # all that line up, not only needed terms
+            found += [(cosine(words[at:at + len(x)], y, idf), -k, name) for k, (name, y) in enumerate(notices)]
+    best = max(found, default=(0.0, 0, None))
+    return (best[2], "header", best[0]) if best[0] >= header else (None, None, None)
+
+
 def test_licenses(spark):
-    rows = [("s/a/1", " ".join(f"word{i}" for i in range(60)) + "\nReleased under the MIT License.\nmore words"), ("s/a/LICENSE", "Licensed under the Apache License, Version 2.0."),
-            ("s/a/b/2", "plain words"), ("s/c/3", None), ("s/c/4", ""), (None, "All rights reserved."), ("top", "plain")]
-    rows += [(f"t/{i}", "the plain words of this and that version") for i in range(30)]
-    got = {r.path: (r.license, r.how, r.licensed_by) for r in license_scan.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
-    assert got["s/a/1"] == ("MIT", "header", None) and got["s/a/LICENSE"] == ("Apache-2.0", "file", None)
-    assert got["s/a/b/2"] == ("Apache-2.0", "inherited", "s/a/LICENSE")
-    assert got["s/c/3"] == got["s/c/4"] == got["top"] == (None, None, None) and None not in got
+    full = {name: texts[0] for name, texts in license_scan.full_texts().items()}
+    filler = " ".join(f"word{i}" for i in range(60))
+    rows = [("s/mit/LICENSE", "MIT License\n\nCopyright (c) 2024 Somebody\n\n" + full["MIT"]), ("s/mit/a.c", "int main() { return 0; }"),
+            ("s/apache/LICENSE", full["Apache-2.0"]), ("s/apache/deep/er/b.py", "print(1)"),
+            ("s/apache/deep/c.c", "/* Copyright 2024 Example Inc. All rights reserved. */\nint x;"),
+            ("s/gpl/COPYING", full["GPL-3.0"]), ("s/gpl/d", None), ("s/gpl/e", ""), ("s/gpl/f/g", "plain"),
+            ("t/h.py", f"{filler}\n# Licensed under the\n# Apache License,\n# Version 2.0.\n{filler}"),
+            ("t/i.py", f"{filler} released under the MIT license. {filler}"), ("t/i.py", f"{filler} released under the MIT license. {filler}"),
+            ("t/j.txt", "a short note\nReleased under the MIT License.\n"), ("t/k", "plain words"), ("t/i.py", "the same path again"),
+            (None, "Released under the MIT License."), (None, None), ("top", "plain"), ("u/long", filler + " " + full["MIT"] + " " + filler * 30)]
+    texts = [t for _, t in rows]
+    want = {t: plain_licence(t, texts) for t in texts}
+    assert want[texts[0]][:2] == ("MIT", "file") and want[texts[2]][:2] == ("Apache-2.0", "file") and want[texts[9]][:2] == ("Apache-2.0", "header")
+    assert want[texts[4]][1] in (None, "header") and want[texts[12]][1] == "header"
+    data = [(p, t, i, "x") for i, (p, t) in enumerate(rows)]
+    got = {r.score_id: r for r in license_scan.scan(spark.createDataFrame(data, "path string, text string, score_id int, license string"), ["score_id"]).collect()}
+    assert len(got) == len(rows)
+    above = {"s/mit/a.c": ("MIT", "s/mit/LICENSE"), "s/apache/deep/er/b.py": ("Apache-2.0", "s/apache/LICENSE"), "s/gpl/d": ("GPL-3.0", "s/gpl/COPYING"),
+             "s/gpl/e": ("GPL-3.0", "s/gpl/COPYING"), "s/gpl/f/g": ("GPL-3.0", "s/gpl/COPYING")}
+    for i, (path, text) in enumerate(rows):
+        license_, how, score = want[text]
+        r = got[i]
+        if license_ is None and path in above:
+            assert (r.license, r.how, r.licensed_by) == (above[path][0], "inherited", above[path][1])
+        else:
+            assert (r.path, r.license, r.how, r.licensed_by) == (path, license_, how, None), (path, r)
+            assert score is None or r.score == pytest.approx(score, abs=1e-6)
     assert license_scan.scan(spark.createDataFrame([], "path string, text string")).count() == 0
 
 
