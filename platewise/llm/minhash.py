@@ -174,20 +174,23 @@ def sketches(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id and its distinct shingles' hashes, sorted (array of long)."""
+def shingle_sets(texts_: DataFrame, words: int = WORDS) -> DataFrame:
+    """rep and its distinct shingles' hashes, sorted (array of long), of (rep, set_low, text): the rows whose text has
+    the set that ``set_low`` names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, sets in _text_sets(batch, words):
+                wanted = part.column("set_low").to_numpy().view(np.uint64)
+                own = np.array([s.sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64) == wanted
+                sets = [s for s, mine in zip(sets, own, strict=True) if mine]
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
                 flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.view(np.int64)))],
-                    names=schema.names)
+                    [part.column("rep").filter(pa.array(own)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.view(np.int64)))],
+                    names=["rep", "shingles"])
 
-    schema = fields(docs, ["doc_id"], "shingles array<long>")
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return texts_.select("rep", "set_low", "text").mapInArrow(run, "rep long, shingles array<long>")
 
 
 def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -228,18 +231,24 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     scratch = Scratch(docs.sparkSession, "minhash")
     sketch = scratch.write(sketches(docs, words, bands, rows), "sketches")
     usable = sketch.where("n_shingles > 0 and doc_id is not null")
-    # equal sets are one node from here on, named by their smallest doc_id
+    # equal sets are one node from here on, named by a number
     sets = scratch.write(usable.groupBy("set_low", "set_high").agg(
-        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "sets")
+        F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+        .withColumn("rep", F.monotonically_increasing_id()), "sets")
     each = sets.select("rep", "n", F.explode("bands").alias("bucket"))
-    shared = each.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("c"), F.max("rep").alias("last")).where("c.rep <> last").drop("last")
+    shared = each.groupBy("bucket").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("bucket", "a")
     members = scratch.write(each.join(shared, "bucket"), "members")
-    nodes = members.select(F.col("rep").alias("doc_id")).distinct()
-    full = scratch.write(shingle_sets(docs.select("doc_id", "text").join(nodes, "doc_id"), words), "full")
-
-    stars = members.where("c.rep <> rep").select("rep", "n", F.col("c.rep").alias("a"), F.col("c.n").alias("na"))
+    chosen = sets.join(members.select("rep").distinct(), "rep").select("rep", "set_low", F.col("doc").alias("doc_id"))
+    full = scratch.write(shingle_sets(docs.select("doc_id", "text").join(chosen, "doc_id"), words), "full")
+    # sets of one doc_id belong together
+    named = usable.join(sets, ["set_low", "set_high"]).select("doc_id", "rep")
+    same = named.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("doc_id", "a")
+    same = named.join(same, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+
+    centre_size = members.where("rep = a").select("bucket", F.col("n").alias("na"))
+    stars = members.where("rep <> a").join(centre_size, "bucket")
     tested = _confirmed(_in_order(stars), full, percent, scratch, "stars")
-    labels = components(tested.where("linked"), scratch, "labels")
+    labels = components(tested.where("linked").select("a", "b").union(same), scratch, "labels")
     mixed = scratch.write(_mixed(_labelled(members, labels)), "mixed")
     if not mixed.isEmpty():
         centre = F.min(F.struct(F.xxhash64("rep"), "rep", "n", "label")).alias("c")
@@ -267,12 +276,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         labels, _ = _joined(labels, found, scratch, "labels-last")
     scratch.drop("full")
 
-    named = sets.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left") \
-        .select("set_low", "set_high", F.coalesce("label", "rep").alias("component"))
-    # a doc_id with several texts: the smallest component of any of them
-    rows_ = sketch.select("doc_id", "n_shingles", "set_low", "set_high")
-    out = rows_.join(named, ["set_low", "set_high"], "left") \
-        .withColumn("component_id", F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "doc_id")))
+    node = sets.select("set_low", "set_high", "rep", "doc").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left") \
+        .withColumn("label", F.coalesce("label", "rep"))
+    node = scratch.write(node, "nodes")
+    component = node.groupBy("label").agg(F.min("doc").alias("component_id"))
+    component = node.join(component, "label").select("set_low", "set_high", "component_id")
+    out = sketch.select("doc_id", "n_shingles", "set_low", "set_high").join(component, ["set_low", "set_high"], "left") \
+        .withColumn("component_id", F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", (F.col("component_id").isNull() | (F.col("component_id") == F.col("doc_id"))).alias("kept"))
 
 
@@ -321,7 +331,7 @@ def _prefixes(crowd: DataFrame, full: DataFrame, percent: int, scratch: Scratch)
     in the order by rarity.  Linked sets share one; more closely, two sets that have c in common
     share one among the first ``n - c + 1`` of either.  Shared shingles up to the earlier end of two
     prefixes lie in both."""
-    each = scratch.write(crowd.join(full.withColumnRenamed("doc_id", "rep"), "rep")
+    each = scratch.write(crowd.join(full, "rep")
                          .select("rep", "n", "label", F.explode("shingles").alias("bucket")), "crowd-shingles")
     often = each.groupBy("bucket").agg(F.count("*").alias("often")).where("often > 1")
     # a shingle of one set alone comes first in the order and meets no other
@@ -345,6 +355,6 @@ def _confirmed(pairs: DataFrame, full: DataFrame, percent: int, scratch: Scratch
         pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
     common = F.size(F.array_intersect("sa", "sb"))
     linked = 100 * common >= percent * (F.size("sa") + F.size("sb") - common)
-    both = pairs.join(full.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b") \
-        .join(full.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
+    both = pairs.join(full.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b") \
+        .join(full.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a")
     return scratch.write(both.select("a", "b", linked.alias("linked")), name)
