@@ -39,19 +39,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     judged, rows without doc_id come after those with one, and among equal ids
     digests decide.  Of equal rows one stays.
     """
-    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    scratch = Scratch(spark, "near-dedup")
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"),
-                   F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text"), F.xxhash64(F.col("text").isNull(), *others).alias("others"))
+                   F.xxhash64(*(x for c in docs.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`")))).alias("row"))
     keyed = docs.withColumn("__key", key)
-    scratch = Scratch(spark, "near-dedup")
-    found = scratch.write(minhash.near_duplicates(keyed.select(F.col("__key").alias("doc_id"), "text"), percent=PERCENT, bands=BANDS, rows=ROWS), "found")
-    removed = found.where(~F.col("kept")).select(F.col("doc_id").alias("__key")).distinct()
-    kept = keyed.join(removed, "__key", "left_anti")
-    equal = scratch.write(found.groupBy(F.col("doc_id").alias("__key")).count().where("count > 1").select("__key"), "equal")
-    if equal.isEmpty():
-        return kept.drop("__key")
-    once = kept.join(equal, "__key", "left_semi").dropDuplicates(["__key"])
-    return kept.join(equal, "__key", "left_anti").unionByName(once).drop("__key")
+    again = scratch.write(keyed.groupBy("__key").count().where("count > 1").select("__key"), "again")
+    if not again.isEmpty():
+        once = keyed.join(again, "__key", "left_semi").dropDuplicates(["__key"])
+        keyed = scratch.write(keyed.join(again, "__key", "left_anti").unionByName(once), "once")
+    found = minhash.near_duplicates(keyed.select(F.col("__key").alias("doc_id"), "text"), percent=PERCENT, bands=BANDS, rows=ROWS)
+    removed = scratch.write(found.where(~F.col("kept")).select(F.col("doc_id").alias("__key")), "removed")
+    return keyed.join(removed, "__key", "left_anti").drop("__key")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
