@@ -80,8 +80,8 @@ def op8_warc(spark, sf_dir):
     """Every page written to WARC archives and read back."""
     scratch = Scratch(spark, "warc")
     archives = f"{scratch.path}/archives"
-    scratch.write(warc.write_archives(warc.mark_revisits(table(spark, sf_dir, "pages")), archives), "written")
-    found = warc.read_archives(spark, archives)
+    written = scratch.write(warc.write_archives(warc.mark_revisits(table(spark, sf_dir, "pages")), archives), "written")
+    found = warc.read_archives(spark, archives, expected=written.count())
     return found.select(
         F.expr("cast(nullif(regexp_extract(record_id, '^<urn:page:(.*)>$', 1), 'None') as bigint)").alias("page_id"),
         F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type",

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -81,6 +82,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     A task writes under a name of its own attempt and then renames, so a
     repeated task replaces its file by an equal one.
     """
+    folder = qualified(pages.sparkSession, folder)
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task = TaskContext.get()
@@ -102,21 +104,38 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     return text.mapInPandas(write, "path string, records long")
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder's full URI: a path without scheme lies in the cluster's default file system, not on a task's own disk."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(path).toString()
+
+
 def _filesystem(uri: str):
-    return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
+    scheme, _, rest = uri.partition(":")
+    if scheme == "file":
+        return pafs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return pafs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
 
 
-def read_archives(spark: SparkSession, folder: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def read_archives(spark: SparkSession, folder: str, range_bytes: int = RANGE_BYTES, expected: int | None = None) -> DataFrame:
     """record_id, record_type, target_uri, payload_digest, payload_length, refers_to, payload, and the
     place of every record (path, place) in the archives (*.warc.gz) of ``folder``.
 
-    A revisit has no payload of its own (null); its digest and length are those
-    of the record it refers to.  A folder without archives gives no rows.
+    WARC/1.0 and 1.1, header fields in any order and spelled in any case, one
+    record a gzip member.  A revisit has no payload of its own (null); its
+    digest and length are those that its header gives.  A length or digest that
+    a response's header lacks is taken from its payload, one that is wrong is an
+    error, and so is an archive that ends within a record or has a damaged one.
+    A folder without archives gives no rows; with ``expected``, another number
+    of archives than that is an error.
     """
     import pyarrow as pa
 
+    folder = qualified(spark, folder)
     fs, root = _filesystem(folder)
     listed = [(f.path, f.size) for f in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)) if f.path.endswith(".warc.gz")]
+    if expected is not None and len(listed) != expected:
+        raise FileNotFoundError(f"{len(listed)} archives in {folder}, {expected} were written")
     files = spark.createDataFrame(listed, "path string, size long")
     ranges = files.where("size > 0").select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(range_bytes).cast("long"))).alias("start"))
     ranges = ranges.repartition(max(1, sum(-(-size // range_bytes) for _, size in listed)), "path", "start")
@@ -178,7 +197,7 @@ def _is_start(file, place: int) -> bool:
         text = zlib.decompressobj(31).decompress(head, 512)
     except zlib.error:
         return False
-    return text.startswith(_VERSION + b"\r\nWARC-Type: ")
+    return re.match(rb"WARC/1\.[01]\r\n(?i:WARC-|Content-)[a-z-]+:", text, re.IGNORECASE) is not None
 
 
 def _member(file, place: int) -> tuple[bytes, int]:
@@ -196,12 +215,20 @@ def _member(file, place: int) -> tuple[bytes, int]:
 
 def _parsed(body: bytes) -> dict:
     head, _, rest = body.partition(b"\r\n\r\n")
-    field = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    block = rest[:int(field["Content-Length"])]
-    payload = block.partition(b"\r\n\r\n")[2] if field["WARC-Type"] == "response" else None
-    digest = field["WARC-Payload-Digest"].removeprefix("sha1:")
-    if payload is not None and payload_digest(payload) != digest:
-        raise ValueError(f"payload of {field['WARC-Record-ID']} does not have its digest")
-    return {"record_id": field["WARC-Record-ID"], "record_type": field["WARC-Type"], "target_uri": field["WARC-Target-URI"],
-            "payload_digest": digest, "payload_length": int(field["X-Payload-Length"]),
-            "refers_to": field.get("WARC-Refers-To"), "payload": payload}
+    field = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in head.decode().split("\r\n")[1:])}
+    block = rest[:int(field["content-length"])]
+    kind = field["warc-type"]
+    payload = block
+    if "msgtype" in field.get("content-type", "") or field.get("content-type", "").startswith("application/http"):
+        payload = block.partition(b"\r\n\r\n")[2]  # after the HTTP header
+    digest = field.get("warc-payload-digest", "").removeprefix("sha1:") or None
+    length = int(field["x-payload-length"]) if "x-payload-length" in field else None
+    if kind == "revisit":
+        payload = None
+    else:
+        found = payload_digest(payload)
+        if digest not in (None, found) or length not in (None, len(payload)):
+            raise ValueError(f"payload of {field['warc-record-id']} does not have its digest or length")
+        digest, length = found, len(payload)
+    return {"record_id": field["warc-record-id"], "record_type": kind, "target_uri": field.get("warc-target-uri"),
+            "payload_digest": digest, "payload_length": length, "refers_to": field.get("warc-refers-to"), "payload": payload}

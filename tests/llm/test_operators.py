@@ -3,6 +3,7 @@ rows, clashing extra columns and empty tables."""
 
 import base64
 import collections
+import gzip
 import hashlib
 import os
 import random
@@ -340,6 +341,27 @@ def test_warc(spark):
     assert warc.read_archives(spark, f"{scratch.path}/nothing").count() == 0
 
 
+def test_archives_of_other_writers(spark, tmp_path):
+    """Other header orders and cases, WARC/1.0, no length of its own, other record types, bytes between members."""
+    def member(version, kind, fields, block):
+        lines = [version, *(f"{k}: {v}" for k, v in fields), f"content-length: {len(block)}", "", ""]
+        return gzip.compress("\r\n".join(lines).encode() + block + b"\r\n\r\n")
+
+    page = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n<p>hello</p>"
+    info = member("WARC/1.0", "warcinfo", [("WARC-Record-ID", "<urn:i>"), ("WARC-Type", "warcinfo"), ("Content-Type", "application/warc-fields")], b"software: x")
+    one = member("WARC/1.0", "response", [("warc-record-id", "<urn:a>"), ("Content-Type", "application/http; msgtype=response"), ("WARC-TARGET-URI", "http://x/"),
+                                         ("warc-type", "response")], page)
+    two = member("WARC/1.1", "revisit", [("WARC-Refers-To", "<urn:a>"), ("WARC-Type", "revisit"), ("WARC-Record-ID", "<urn:b>"),
+                                        ("Content-Type", "application/http; msgtype=response")], b"HTTP/1.1 200 OK\r\n\r\n")
+    (tmp_path / "x.warc.gz").write_bytes(info + one + gzip.compress(b"no record") + two)
+    rows = {r.record_id: r for r in warc.read_archives(spark, str(tmp_path), 50, expected=1).collect()}
+    assert {k: (r.record_type, r.target_uri, r.refers_to) for k, r in rows.items()} == {
+        "<urn:i>": ("warcinfo", None, None), "<urn:a>": ("response", "http://x/", None), "<urn:b>": ("revisit", None, "<urn:a>")}
+    assert bytes(rows["<urn:a>"].payload) == b"<p>hello</p>" and rows["<urn:a>"].payload_length == 12 and rows["<urn:b>"].payload is None
+    with pytest.raises(FileNotFoundError):
+        warc.read_archives(spark, str(tmp_path), expected=2)
+
+
 def plain_licence(text, texts, header=license_scan.HEADER_SIMILARITY, whole=license_scan.FILE_SIMILARITY):
     """license, how and score of a text by plain cosines of term counts, weighed over ``texts``."""
     total = len(texts)
