@@ -7,7 +7,8 @@ points within a shrunken radius).  A task takes a block of queries and a block
 of data, and visits pairs of nodes from the best bound down: a pair is pruned
 when no inner product between its balls can reach the worst k-th score of the
 node's queries.  Queries first meet a block of their own cell, which gives
-their k-th scores before they meet the others.
+their k-th scores; then the same bound, over the balls of whole blocks, drops
+pairs of blocks before any row is shipped to them.
 """
 
 from __future__ import annotations
@@ -17,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from platewise.llm.store import Scratch, small
+from platewise.llm.store import Scratch
 
-#: rows that the pivots are chosen from, and the most pivots
-SAMPLE, PIVOTS = 2048, 16
+#: rows that the pivots are chosen from, and the most pivots; there is about one for each block of data
+SAMPLE, PIVOTS = 8192, 2048
 QUERY_BLOCK, DATA_BLOCK = 2048, 8192
 LEAF = 128
 _SHRINK = (0.5, 0.7, 0.85)
@@ -62,6 +63,15 @@ class CoverTree:
         return [order[at:at + LEAF] for at in range(0, len(order), LEAF)]
 
 
+def bound(centre, radius, norm, other, other_radius, other_norm):
+    """No inner product between two balls (centre, radius, largest norm) is larger; ``other`` may be several balls."""
+    away = np.maximum(0.0, np.sqrt(((other - centre) ** 2).sum(-1)) - radius - other_radius)
+    largest = norm * other_norm
+    balls = other @ centre + np.sqrt(centre @ centre) * other_radius + np.sqrt((other * other).sum(-1)) * radius + radius * other_radius
+    apart = (norm ** 2 + other_norm ** 2 - away * away) / 2
+    return np.minimum(np.minimum(largest, balls), apart) + 1e-9 * largest + 1e-6
+
+
 class _Search:
     """Top k of each query among the data, given a score each has reached."""
 
@@ -77,12 +87,7 @@ class _Search:
 
     def _bound(self, a: int, b: int) -> float:
         q, d = self.q, self.d
-        away = max(0.0, np.sqrt(((q.centre[a] - d.centre[b]) ** 2).sum()) - q.radius[a] - d.radius[b])
-        largest = q.norm[a] * d.norm[b]
-        balls = q.centre[a] @ d.centre[b] + np.sqrt(q.centre[a] @ q.centre[a]) * d.radius[b] \
-            + np.sqrt(d.centre[b] @ d.centre[b]) * q.radius[a] + q.radius[a] * d.radius[b]
-        apart = (q.norm[a] ** 2 + d.norm[b] ** 2 - away * away) / 2
-        return min(largest, balls, apart) + 1e-9 * largest + 1e-6
+        return bound(q.centre[a], q.radius[a], q.norm[a], d.centre[b], d.radius[b], d.norm[b])
 
     def _visit(self, a: int, b: int) -> None:
         pairs = [(self._bound(a, b), a, b)]
@@ -134,10 +139,10 @@ def quantized(vectors: DataFrame, key: str, column: str, scale: int = 64) -> Dat
     return vectors.where(F.col(key).isNotNull() & F.coalesce(usable, F.lit(False))).select(F.col(key).cast("long").alias("id"), whole.alias("vector")).distinct()
 
 
-def _net(sample: np.ndarray) -> np.ndarray:
+def _net(sample: np.ndarray, most: int) -> np.ndarray:
     """Pivots: each is the row farthest from those before."""
     chosen, away = [0], ((sample - sample[0]) ** 2).sum(1)
-    while len(chosen) < PIVOTS and away.max() > 0:
+    while len(chosen) < most and away.max() > 0:
         chosen.append(int(away.argmax()))
         away = np.minimum(away, ((sample - sample[chosen[-1]]) ** 2).sum(1))
     return sample[chosen]
@@ -149,45 +154,46 @@ def top_k(vectors: DataFrame, is_query, k: int) -> DataFrame:
 
     ``vectors`` has id and vector (array of long), ``is_query`` is a condition
     on id.  Vectors of different lengths are compared as if ended by zeros.
-    An empty table, or no query, gives no rows.
+    Every row is a candidate: an id with several vectors may be listed for each
+    of them, and as a query it asks with all of them together.  Inner products
+    that could reach 2^63 are a ValueError.  An empty table, or no query, gives
+    no rows.
     """
     scratch = Scratch(vectors.sparkSession, "topk")
     rows = scratch.write(vectors, "rows")
-    width = rows.agg(F.max(F.size("vector"))).first()[0] or 0
+    nothing = "query_id long, rank int, vec_id long, score long"
+    total, width, largest = rows.agg(F.count("*"), F.max(F.size("vector")), F.max(F.greatest(
+        F.abs(F.array_max("vector").cast("double")), F.abs(F.array_min("vector").cast("double"))))).first()
+    if not total or not width:
+        return vectors.sparkSession.createDataFrame([], nothing)
+    if width * float(largest) ** 2 >= 2.0 ** 63:
+        raise ValueError(f"components up to {largest:g} in {width} places: inner products may pass 2^63")
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vector").toArrow()
-    if not sample.num_rows:
-        return rows.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.col("id").alias("score"))
-    pivots = _net(_matrix(sample, width))
+    pivots = _net(_matrix(sample, width), max(1, min(PIVOTS, -(-total // DATA_BLOCK))))
 
     def cell(batches):
         for batch in batches:
             points = _matrix(pa.Table.from_batches([batch]), width)
             away = np.array([((points - p) ** 2).sum(1) for p in pivots])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(away.argmin(0).astype(np.int32))], names=["id", "vector", "cell"])
-
-    placed = scratch.write(rows.mapInArrow(cell, "id long, vector array<long>, cell int"), "placed")
-
-    def blocks(of: DataFrame, size: int) -> list[tuple[int, int, int]]:
-        """(cell, blocks, first block) for at most PIVOTS cells."""
-        counts, first, out = sorted(map(tuple, of.groupBy("cell").count().collect())), 0, []
-        for c, n in counts:
-            out.append((c, -(-n // size), first))
-            first += out[-1][1]
-        return out
-
-    def in_block(of: DataFrame, table: list[tuple[int, int, int]], name: str) -> DataFrame:
-        parts, firsts = (F.create_map(*(F.lit(x) for row in table for x in (row[0], row[i]))) for i in (1, 2))
-        return of.withColumn(name, (firsts[F.col("cell")] + F.pmod(F.xxhash64("id"), parts[F.col("cell")])).cast("int"))
-
-    asks = placed.where(is_query)
-    of_data, of_asks = blocks(placed, DATA_BLOCK), blocks(asks, QUERY_BLOCK)
-    if not of_asks:
-        return rows.limit(0).select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.col("id").alias("score"))
-    home = {c: first for c, _, first in of_data}
-    homes = F.create_map(*(F.lit(x) for c, first in home.items() for x in (c, first)))
-    data, asks = in_block(placed, of_data, "block"), in_block(asks, of_asks, "ask_block").withColumn("home", homes[F.col("cell")])
-    n_data, n_asks = sum(r[1] for r in of_data), sum(r[1] for r in of_asks)
-    ask_blocks = {first + i: home[c] for c, n, first in of_asks for i in range(n)}
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(away.argmin(0).astype(np.int32)), pa.array(np.sqrt(away.min(0))), pa.array(np.sqrt((points ** 2).sum(1)))],
+                names=["id", "vector", "cell", "away", "norm"])
+
+    placed = scratch.write(rows.mapInArrow(cell, "id long, vector array<long>, cell int, away double, norm double"), "placed")
+
+    def in_blocks(of: DataFrame, size: int, name: str) -> DataFrame:
+        """Rows with the block of their cell: cells of more than ``size`` rows have several."""
+        parts = of.groupBy("cell").agg(F.ceil(F.count("*") / size).alias("parts"))  # at most PIVOTS rows
+        part = F.pmod(F.xxhash64("id"), F.col("parts"))
+        return of.join(F.broadcast(parts), "cell").withColumn(name, F.col("cell").cast("long") * (1 << 32) + part).drop("parts")
+
+    def balls(of: DataFrame, name: str) -> DataFrame:
+        return of.groupBy(name, "cell").agg(F.max("away").alias("radius"), F.max("norm").alias("norm"))
+
+    data = scratch.write(in_blocks(placed, DATA_BLOCK, "block"), "data")
+    asks = scratch.write(in_blocks(placed.where(is_query), QUERY_BLOCK, "ask_block"), "asks").withColumn("home", F.col("cell").cast("long") * (1 << 32))
+    if asks.isEmpty():
+        return vectors.sparkSession.createDataFrame([], nothing)
 
     def search(asked: pa.Table, held: pa.Table) -> pa.Table:
         schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
@@ -200,24 +206,36 @@ def top_k(vectors: DataFrame, is_query, k: int) -> DataFrame:
         hit = (found.scores >= reached[:, None]) & (found.scores > -np.inf)
         return pa.table([np.repeat(ids, hit.sum(1)), found.ids[hit], found.scores[hit].astype(np.int64)], schema=schema)
 
-    def run(pairs_of_asks: DataFrame, pairs_of_data: DataFrame) -> DataFrame:
-        other = pairs_of_asks.toDF(*(f"asked_{c}" for c in pairs_of_asks.columns))  # both come from one table
-        return other.groupBy("asked_ask_block", "asked_block").cogroup(pairs_of_data.groupBy("ask_block", "block")) \
+    def run(pairs: DataFrame, asking: DataFrame) -> DataFrame:
+        """Search the pairs of blocks (ask_block, block)."""
+        asked = asking.join(pairs, "ask_block").select("ask_block", "block", "id", "vector", "reached")
+        asked = asked.toDF(*(f"asked_{c}" for c in asked.columns))  # both come from one table
+        held = data.join(pairs, "block").select("ask_block", "block", "id", "vector")
+        return asked.groupBy("asked_ask_block", "asked_block").cogroup(held.groupBy("ask_block", "block")) \
             .applyInArrow(search, "query_id long, vec_id long, score long")
 
     # first the block at home, for a score that the k-th of each query reaches
-    by_home = {}
-    for ask, block in ask_blocks.items():
-        by_home.setdefault(block, []).append(ask)
-    asking = F.create_map(*(F.lit(x) for block, each in by_home.items() for x in (block, each)))
-    at_home = scratch.write(run(asks.select("ask_block", F.col("home").alias("block"), "id", "vector", F.lit(None).cast("double").alias("reached")),
-                                data.where(F.col("block").isin(list(by_home))).select(F.explode(asking[F.col("block")]).alias("ask_block"), "block", "id", "vector")), "home")
-    reached = at_home.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("reached")).where(F.col("n") == k)
-    asks = asks.join(small(reached.select(F.col("query_id").alias("id"), F.col("reached").cast("double"))), "id", "left")
-    elsewhere = run(asks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_data - 1)))).where("block <> home")
-                    .select("ask_block", "block", "id", "vector", "reached"),
-                    data.withColumn("ask_block", F.explode(F.sequence(F.lit(0), F.lit(n_asks - 1))))
-                    .where(F.col("block") != F.create_map(*(F.lit(x) for pair in ask_blocks.items() for x in pair))[F.col("ask_block")])
-                    .select("ask_block", "block", "id", "vector"))
+    home = asks.select("ask_block", F.col("home").alias("block")).distinct().join(data.select("block").distinct(), "block")
+    at_home = scratch.write(run(home, asks.withColumn("reached", F.lit(None).cast("double"))), "home")
+    reached = at_home.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("reached")).where(F.col("n") >= k)
+    asks = scratch.write(asks.join(reached.select(F.col("query_id").alias("id"), F.col("reached").cast("double")), "id", "left"), "reached")
+
+    # then the blocks whose balls may hold a better score: a row a block of data, in every task
+    of_data = balls(data, "block").toPandas()
+    centres, radii, norms = pivots[of_data["cell"].to_numpy()], of_data["radius"].to_numpy(), of_data["norm"].to_numpy()
+    numbers = of_data["block"].to_numpy()
+
+    def prune(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                least = -np.inf if row["open"] else row["least"]
+                near = bound(pivots[row["cell"]], row["radius"], row["norm"], centres, radii, norms) >= least
+                near &= numbers != row["home"]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(near.sum(), row["ask_block"])), pa.array(numbers[near])], names=["ask_block", "block"])
+
+    of_asks = asks.groupBy("ask_block", "cell", "home").agg(
+        F.max("away").alias("radius"), F.max("norm").alias("norm"), F.min("reached").alias("least"), F.max(F.col("reached").isNull()).alias("open"))
+    pairs = scratch.write(of_asks.mapInArrow(prune, "ask_block long, block long"), "pairs")
+    elsewhere = run(pairs, asks)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return at_home.union(elsewhere).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -309,6 +309,42 @@ def test_top_k(spark):
     assert topk.top_k(empty, F.col("id") % 20 == 0, 7).count() == 0
 
 
+def test_top_k_prunes_pairs_of_blocks(spark, monkeypatch):
+    """Clusters far apart: the answer of all pairs, from few pairs of blocks; ids with several vectors are listed for each."""
+    monkeypatch.setattr(topk, "DATA_BLOCK", 64)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 16)
+    rng = np.random.default_rng(2)
+    centres = 40 * rng.normal(size=(12, 6))
+    rows = [(i, [float(x) for x in centres[i % 12] + 0.1 * rng.normal(size=6)]) for i in range(1200)] + [(40, [1.0] * 6), (7, [2.0] * 6)]
+    pairs = []
+    write = Scratch.write
+
+    def watched(self, df, table):
+        out = write(self, df, table)
+        if table in ("pairs", "data", "asks"):
+            pairs.append((table, out))
+        return out
+
+    monkeypatch.setattr(Scratch, "write", watched)
+    got = topk.top_k(topk.quantized(spark.createDataFrame(rows, "vec_id long, e array<double>"), "vec_id", "e"), F.col("id") % 20 == 0, 5).collect()
+    x, ids = np.floor(64 * np.array([r[1] for r in rows])).astype(int), [r[0] for r in rows]
+    scores = x @ x.T
+    want = []
+    for q in sorted({i for i in ids if i % 20 == 0}):
+        all_ = sorted((-int(scores[a, b]), ids[b]) for a in range(len(ids)) if ids[a] == q for b in range(len(ids)) if ids[b] != q)
+        want += [(q, n + 1, j, -s) for n, (s, j) in enumerate(all_[:5])]
+    assert sorted(map(tuple, got)) == want
+    tables = dict(pairs)
+    blocks = tables["data"].select("block").distinct().count(), tables["asks"].select("ask_block").distinct().count()
+    assert blocks[0] >= 12 and tables["pairs"].count() < 0.5 * blocks[0] * blocks[1]
+
+
+def test_top_k_refuses_products_beyond_a_long(spark):
+    far = spark.createDataFrame([(0, [1e16, 1.0]), (20, [-1e16, 1.0])], "vec_id long, e array<double>")
+    with pytest.raises(ValueError):
+        topk.top_k(topk.quantized(far, "vec_id", "e"), F.col("id") % 20 == 0, 2)
+
+
 def test_urls(spark):
     rules = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
     urls = ["http://a.ORG/x?y", "https://EXAMPLE.org/es/1", "http://m.example.org/en/12", "http://org", "ftp://a.com/fr/#q", "a.com/de/", None,
