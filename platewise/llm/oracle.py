@@ -114,9 +114,43 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM counted
 """
 
+def _assigned(n: int) -> str:
+    """Every part's nearest entry of the n-th codebooks."""
+    return f"""
+dist{n} AS MATERIALIZED (
+    SELECT a.r, a.p, b.e, sum((a.x - b.x) * (a.x - b.x))::BIGINT AS d FROM parts a JOIN book{n} b ON a.p = b.p AND a.j = b.j GROUP BY ALL),
+pick{n} AS MATERIALIZED (SELECT r, p, e, d FROM dist{n} QUALIFY row_number() OVER (PARTITION BY r, p ORDER BY d, e) = 1)"""
+
+
+def _round(n: int) -> str:
+    """The codebooks after an assignment by the n-th: floors of the means, an unused entry stays."""
+    return f"""{_assigned(n)},
+sums{n} AS (SELECT e, p, j, sum(x)::BIGINT AS s, count(*) AS c FROM pick{n} JOIN parts USING (r, p) GROUP BY ALL),
+book{n + 1} AS MATERIALIZED (
+    SELECT b.e, b.p, b.j, CASE WHEN s IS NULL THEN b.x ELSE (s - ((s % c) + c) % c) // c END AS x FROM book{n} b LEFT JOIN sums{n} USING (e, p, j))"""
+
+
+OP12 = f"""
+WITH kept AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v
+    FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+flat AS (SELECT r, len(v) // 8 AS w, unnest(v) AS x, unnest(range(len(v))) AS i FROM kept),
+parts AS MATERIALIZED (SELECT r, i // w AS p, i % w AS j, x FROM flat),
+first AS (SELECT r, row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS e FROM kept QUALIFY e < 16),
+book0 AS MATERIALIZED (SELECT e, p, j, x FROM parts JOIN first USING (r)),
+{",".join(_round(n) for n in range(6))},
+{_assigned(6)},
+coded AS (
+    SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM pick6 GROUP BY r),
+digest AS (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY p, e, j)) AS codebooks_sha256 FROM book6)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (r), digest
+"""
+
 SQL: dict[str, str] = {
     "op5_exact_top_k": OP5,
     "op6_minhash_near_dedup": OP6,
     "op8_warc": OP8,
     "op10_quality_rules": OP10,
+    "op12_vector_codes": OP12,
 }
