@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from platewise.catalog import WEEKDAYS, Catalog
 from platewise.operators.branches import attach_cuisines
+from platewise.operators.salted import salted_join
 
 
 def _for_user(df: DataFrame, col: str, user) -> DataFrame:
@@ -57,8 +58,9 @@ def _nested_dishes(cat: Catalog, menu_rows: DataFrame, keep_unlisted: bool) -> D
     d = cat.dishes.select(F.col("id").alias("id_dish"), F.col("name").alias("dish_name"))
     entries = dish_allergen_entries(cat, keep_unlisted)
     empty = F.array().cast(entries.schema["ing"].dataType)
-    return (menu_rows.join(r, "id_restaurant").join(d, "id_dish")
-            .join(entries, "id_dish", "left")
+    # a dish on a third of the menus, or a venue with a third of the rows, is split
+    dishes = d.join(entries, "id_dish", "left")
+    return (salted_join(salted_join(menu_rows, dishes, "id_dish"), r, "id_restaurant")
             .select(F.col("id_restaurant").alias("res_id"), "res_name",
                     F.col("id_dish").alias("dish_id"), "dish_name",
                     F.col("verified").alias("dish_ver"),

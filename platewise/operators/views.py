@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from platewise.catalog import Catalog
 from platewise.operators.branches import attach_cuisines
+from platewise.operators.salted import salted_join
 
 
 def _repeat_sorted(names, times, sep: str):
@@ -49,7 +50,8 @@ def dishes_info(cat: Catalog, venue_ids: DataFrame | None = None) -> DataFrame:
                  "id_ingredient")
            .groupBy("id_dish").agg(F.collect_list("ing_name").alias("names")))
     d = cat.dishes.select(F.col("id").alias("id_dish"), "name", "calories", "price", "weight")
-    return (m.join(ing, "id_dish").join(d, "id_dish")
+    # a dish that many venues serve is split
+    return (salted_join(m, ing.join(d, "id_dish"), "id_dish", sketched=cat.menu)
             .select(F.col("id_dish").alias("id"), "name", "calories", "price", "weight",
                     _repeat_sorted(F.col("names"), F.col("n_menu_rows"), ",").alias("ingredient_names"),
                     F.col("id_restaurant").alias("res_id"))

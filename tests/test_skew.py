@@ -117,3 +117,71 @@ def test_a_venue_with_a_third_of_the_log_is_split(spark):
         logs.setdefault(event[2], []).append(event[3:])
     for key in (1, 2, 3, 77, 399):
         assert got[key] == fold_location(states[key], logs.get(key, []))
+
+
+def full_skewed_catalog(spark):
+    cat, menu = skewed_catalog(spark, 12000)
+    c = spark.createDataFrame
+    return cat.with_tables(
+        ingredients=c([(i, f"ing{i}", i % 2 == 0, i % 3 == 0) for i in range(1, 41)], "id long, name string, vegetarian boolean, vegan boolean"),
+        dish_ingredients=c([(1 + (d * 7 + j) % 40, d) for d in range(1, 301) for j in range(d % 4)], "id_ingredient long, id_dish long"),
+        allergens=c([(i, f"alg{i}") for i in range(1, 6)], "id long, name string"),
+        ingredient_allergens=c([(1 + i % 5, i) for i in range(1, 41) if i % 4], "id_allergen long, id_ingredient long"))
+
+
+def test_hot_keys_are_found_and_split(skew_session):
+    from pyspark.sql import functions as F
+
+    from platewise.operators import salted
+
+    spark = skew_session
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "false")
+    try:
+        cat, menu = skewed_catalog(spark)
+        rows = cat.menu.withColumn("n", F.monotonically_increasing_id()).union(spark.createDataFrame(
+            [(None, None, True, 0, 0, False, -1)], "id_restaurant long, id_dish long, verified boolean, updated_by long, verified_by long, deleted boolean, n long"))
+        assert salted.heavy_keys(rows, "id_dish") == [7] and salted.heavy_keys(rows, "id_restaurant") == [1]
+        assert salted.heavy_keys(rows.limit(0), "id_dish") == []
+        names = cat.dishes.select(F.col("id").alias("id_dish"), "name").where("id_dish <> 9")
+        for how in ("inner", "left"):
+            got, want = salted.salted_join(rows, names, "id_dish", how), rows.join(names, "id_dish", how)
+            assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+        shares = lambda df: sorted(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect())
+        plain, split = shares(rows.join(names, "id_dish")), shares(salted.salted_join(rows, names, "id_dish"))
+        assert max(split) < max(plain) and max(split) <= 2 * split[len(split) // 2]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.skewJoin.enabled")
+
+
+@pytest.mark.parametrize("name", ["dishes_info", "user_dishes_nested", "queue_dishes_nested"])
+def test_reports_with_a_hot_dish_and_a_hot_venue(skew_session, monkeypatch, name):
+    from platewise.operators import reports, views
+
+    cat = full_skewed_catalog(skew_session)
+    run = {"dishes_info": lambda: views.dishes_info(cat),
+           "user_dishes_nested": lambda: reports.nested_as_text(reports.user_dishes(cat)),
+           "queue_dishes_nested": lambda: reports.nested_as_text(reports.queue_dishes(cat))}[name]
+    got = sorted(map(str, run().collect()))
+    assert len(got) > 1000
+    plan = run()._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" in plan                                   # heavy keys were found
+    plain = lambda large, small, key, how="inner", **_: large.join(small, key, how)
+    monkeypatch.setattr(views, "salted_join", plain)
+    monkeypatch.setattr(reports, "salted_join", plain)
+    assert sorted(map(str, run().collect())) == got
+
+
+def test_advanced_search_splits_a_hot_dish(skew_session):
+    """Q5's join of menu rows and dishes: AQE splits the hot dish's partition, the ranking equals a plain count."""
+    from platewise.operators import branches
+
+    cat = full_skewed_catalog(skew_session)
+    df = branches.menu_branch(cat, dish_term="red", with_ingredients=True)
+    got = {r.id_restaurant: r.n_rows for r in df.collect()}
+    names, links = {r.id: r.name for r in cat.dishes.collect()}, Counter(r.id_dish for r in cat.dish_ingredients.collect())
+    want = Counter()
+    for r in cat.menu.collect():
+        if r.verified and "red" in names[r.id_dish]:
+            want[r.id_restaurant] += links[r.id_dish]
+    assert got == {v: n for v, n in want.items() if n}
+    assert "skew=true" in df._jdf.queryExecution().executedPlan().toString() or "skewed" in df._jdf.queryExecution().executedPlan().toString()
