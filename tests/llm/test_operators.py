@@ -357,6 +357,75 @@ def test_urls(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id int, url string"), rules).count() == 0
 
 
+def plain_url_scores(urls, rules):
+    """host, path, rule, verdict and score of every url with dictionaries of counts."""
+    parsed = []
+    for url in urls:
+        found = re.search("://([^/?#]*)([^?#]*)", url or "")
+        host, path = (re.sub("[A-Z]", lambda m: m[0].lower(), found[1]), found[2]) if found else ("", "")
+        fit = [(len(r), r, v) for v, r in rules for h, _, p in [r.partition("/")] if (host == h or host.endswith("." + h)) and path.startswith("/" + p)]
+        parsed.append((host, path, *(max(fit)[1:] if fit else (None, None))))
+    texts = collections.Counter((h, p, v) for h, p, _, v in parsed if h or p)
+    spare = {t: zlib.crc32((t[0] + t[1]).encode()) % 4 == 0 for t in texts}
+    n = {(c, k): collections.Counter() for c in ("allow", "block") for k in range(5)}
+
+    def grams(text):
+        marked = "^^^^" + text
+        return [marked[i:i + 5] for i in range(len(text))]
+
+    for (host, path, verdict), times in texts.items():
+        if verdict and not spare[host, path, verdict]:
+            for g in grams(host + path):
+                for k in range(5):
+                    n[verdict, k][g[4 - k:]] += times
+    letters = len(set(n["allow", 0]) | set(n["block", 0]))
+
+    def chance(c, g):
+        if len(g) == 1:
+            return (n[c, 0][g] + 1) / (sum(n[c, 0].values()) + letters + 1)
+        same = [m for x, m in n[c, len(g) - 1].items() if x[:-1] == g[:-1]]
+        return (n[c, len(g) - 1][g] + len(same) * chance(c, g[1:])) / (sum(same) + len(same)) if same else chance(c, g[1:])
+
+    def units(host, path):
+        each = [round(1e6 * (np.log(chance("allow", g)) - np.log(chance("block", g)))) for g in grams(host + path)]
+        return int(abs(sum(each)) // len(each)) * (1 if sum(each) >= 0 else -1)
+
+    ruled = [(units(h, p) // 10_000, v, m) for (h, p, v), m in texts.items() if v and spare[h, p, v]]
+    totals = {c: sum(m for _, v, m in ruled if v == c) for c in ("allow", "block")}
+    cut, best = 0, (0, 0, 0)
+    if all(totals.values()):
+        for bucket in sorted({b for b, *_ in ruled}):
+            right = sum(m for b, v, m in ruled if v == "allow" and b >= bucket) * totals["block"] + sum(m for b, v, m in ruled if v == "block" and b < bucket) * totals["allow"]
+            best = max(best, (right, -abs(bucket), bucket))
+        cut = best[2]
+    out = []
+    for host, path, rule, verdict in parsed:
+        scored = units(host, path) if not verdict and (host or path) else None
+        out.append((host, path, rule, verdict or ("allow" if scored is not None and scored // 10_000 >= cut else "block"), scored and scored / 1e6))
+    return out
+
+
+def test_url_scores_against_plain_counts(spark):
+    rng = random.Random(12)
+    words = {"org": ["wiki", "help", "book", "paper"], "com/fr": ["livre", "aide", "page"], "com/de": ["kauf", "billig", "casino"]}
+    urls = []
+    for _ in range(260):
+        kind = rng.choice(list(words))
+        host, _, top = kind.partition("/")
+        urls.append(f"http://{rng.choice('abc')}.{host}/" + (top + "/" if top else "") + "-".join(rng.choice(words[kind]) for _ in range(rng.randint(1, 3))))
+        if rng.random() < 0.4:
+            urls.append(f"https://x{rng.randint(0, 9)}.net/" + "-".join(rng.choice(words[rng.choice(list(words))]) for _ in range(rng.randint(0, 3))))
+    urls += [None, "no scheme", "http://", urls[1], urls[1], "http://é.net/中文?q", "http://l.net/" + "casino-" * 400]
+    rows = [(i, u, "clash") for i, u in enumerate(urls)] + [(None, urls[1], "clash")]
+    got = url_filter.judge(spark.createDataFrame(rows, "page_id int, url string, host string"), queries.URL_RULES).collect()
+    assert len(got) == len(rows)
+    by = {r.page_id: r for r in got}
+    for i, (host, path, rule, verdict, score) in enumerate(plain_url_scores(urls, queries.URL_RULES)):
+        assert (by[i].host, by[i].path, by[i].rule, by[i].verdict) == (host, path, rule, verdict), urls[i]
+        assert by[i].score == (None if score is None else pytest.approx(score, abs=3e-6))
+    assert {r.verdict for r in got if r.rule is None and r.score is not None} == {"allow", "block"}
+
+
 def test_warc(spark):
     noise = random.Random(2).randbytes(60_000).hex()
     html = ["<p>a</p>", None, "", "<p>a</p>", noise, "<p>a</p>\r\n\r\nWARC/1.1", "ü" * 10, noise]
