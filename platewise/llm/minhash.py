@@ -9,8 +9,8 @@ sets, links every member of a band bucket to the bucket's first member only (a
 star), confirms the links on full sets, and takes connected components.
 
 Two sets in one bucket that are both unlike its first member are not lost:
-buckets that still hold several components have a round with another centre,
-and if that leaves any, the last round is exact.  It compares what is left of different components, in small buckets pair by pair;
+buckets that still hold several components have rounds with other centres, as
+long as they find links, and if that leaves any, the last round is exact.  It compares what is left of different components, in small buckets pair by pair;
 members of large buckets meet on the shingles of their prefixes (the rarest
 ``n - ceil(0.85 n) + 1`` of each set: linked sets share one), so a passage that
 thousands of documents hold brings none of them together.  Pairs that exact
@@ -34,6 +34,8 @@ WORDS = 5
 PERCENT = 85
 #: a pair at 0.85 shares no band with probability (1 - 0.85^6)^32 = 3e-7
 BANDS, ROWS = 32, 6
+#: star rounds with other centres, as long as they find links, before the round that compares what is left
+STAR_ROUNDS = 1
 #: larger buckets are compared by the prefixes of their members in the last round
 SMALL_BUCKET = 64
 
@@ -250,15 +252,16 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     tested = _confirmed(_in_order(stars), full, percent, scratch, "stars")
     labels = components(tested.where("linked").select("a", "b").union(same), scratch, "labels")
     mixed = scratch.write(_mixed(_labelled(members, labels)), "mixed")
-    if not mixed.isEmpty():
-        centre = F.min(F.struct(F.xxhash64("rep"), "rep", "n", "label")).alias("c")
+    for turn in range(1, STAR_ROUNDS + 1):
+        centre = F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "n", "label")).alias("c")
         again = mixed.join(mixed.groupBy("bucket").agg(centre), "bucket").where("label <> c.label") \
             .select("rep", "n", F.col("c.rep").alias("a"), F.col("c.n").alias("na"))
-        more = _confirmed(_in_order(again), full, percent, scratch, "again", tested)
+        more = _confirmed(_in_order(again), full, percent, scratch, f"stars-{turn}", tested)
         tested = tested.union(more)
-        labels, grown = _joined(labels, more, scratch, "labels-again")
-        if grown:
-            mixed = scratch.write(_mixed(_labelled(mixed.drop("label"), labels)), "mixed-again")
+        labels, grown = _joined(labels, more, scratch, f"labels-{turn}")
+        if not grown:
+            break
+        mixed = scratch.write(_mixed(_labelled(mixed.drop("label"), labels)), f"mixed-{turn}")
     if not mixed.isEmpty():
         large = mixed.groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") > SMALL_BUCKET)
         small = mixed.join(large, "bucket", "left_anti").withColumn("place", F.lit(0)).withColumn("kept", F.lit(0))
