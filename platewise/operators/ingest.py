@@ -105,7 +105,7 @@ def parse_dish_requests(requests: DataFrame) -> DataFrame:
 
 def validate_dish_requests(req: DataFrame, restaurants: DataFrame) -> DataFrame:
     """Name alphanumeric ignoring spaces; price, calories, weight > 0; venue exists."""
-    exists = restaurants.select(F.col("id").alias("res_id"), F.lit(True).alias("_exists"))
+    exists = restaurants.select(F.col("id").alias("res_id")).distinct().withColumn("_exists", F.lit(True))
     j = req.join(exists, "res_id", "left")
     reason = (F.when(~is_alnum(strip_chars(F.col("name"), " ")), F.lit("bad_name"))
               .when(~F.coalesce(F.col("price") > 0, F.lit(False)), F.lit("bad_price"))
