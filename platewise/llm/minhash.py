@@ -10,12 +10,14 @@ star), confirms the links on full sets, and takes connected components.
 
 Two sets in one bucket that are both unlike its first member are not lost:
 buckets that still hold several components have rounds with other centres, as
-long as they find links, and if that leaves any, the last round is exact.  It compares what is left of different components, in small buckets pair by pair;
-members of large buckets meet on the shingles of their prefixes (the rarest
-``n - ceil(0.85 n) + 1`` of each set: linked sets share one), so a passage that
-thousands of documents hold brings none of them together.  Pairs that exact
-sizes rule out are not compared, nor those that share too few shingles of
-their prefixes to reach the least intersection with the rest of either set.
+long as they find links, and if that leaves any, the last round is exact.  It
+compares what is left of different components, in small buckets pair by pair;
+members of large buckets meet on the rarest of the shingles that set them apart
+from one member of the bucket (linked sets share one, or differ so little that
+one member is linked to both), so neither a passage that thousands of documents
+hold nor the shingles of a large group of near copies bring them together.
+Pairs that exact sizes rule out are not compared, nor those whose differences
+are too large for what they can share.
 """
 
 from __future__ import annotations
@@ -36,8 +38,8 @@ PERCENT = 85
 BANDS, ROWS = 32, 6
 #: star rounds with other centres, as long as they find links, before the round that compares what is left
 STAR_ROUNDS = 1
-#: larger buckets are compared by the prefixes of their members in the last round
-SMALL_BUCKET = 64
+#: larger buckets are compared by what sets their members apart from one of them in the last round
+SMALL_BUCKET = 16
 
 _MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 _BASE = 0x9E3779B97F4A7C15  # odd: invertible modulo 2^64
@@ -264,18 +266,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         mixed = scratch.write(_mixed(_labelled(mixed.drop("label"), labels)), f"mixed-{turn}")
     if not mixed.isEmpty():
         large = mixed.groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") > SMALL_BUCKET)
-        small = mixed.join(large, "bucket", "left_anti").withColumn("place", F.lit(0)).withColumn("kept", F.lit(0))
-        crowd = mixed.join(large, "bucket", "left_semi").select("rep", "n", "label").distinct()
-        met = scratch.write(_mixed(_prefixes(crowd, full, percent, scratch)), "met")
-        met_pairs = _across(met)
-        # the least intersection of linked sets; linked sets have met early enough, and often enough for
-        # the rest of that set whose prefix ends first to make it up
-        least = F.ceil((F.col("n") + F.col("na")) * percent / (100 + percent))
-        early = (F.col("place") <= F.col("n") - least + 1) & (F.col("pa") <= F.col("na") - least + 1)
-        often = met_pairs.groupBy("a", "rep", "n", "na").agg(
-            F.count("*").alias("times"), F.max(early).alias("early"), F.max(F.greatest(F.col("n") - F.col("kept"), F.col("na") - F.col("ka"))).alias("rest"))
-        enough = often.where(F.col("early") & (F.col("times") + F.col("rest") >= least))
-        found = _confirmed(_in_order(_across(small)).union(_in_order(enough)), full, percent, scratch, "left", tested)
+        small = mixed.join(large, "bucket", "left_anti")
+        crowd = mixed.join(large, "bucket", "left_semi")
+        found = _confirmed(_in_order(_across(small)).union(_in_order(_close(crowd, full, percent, scratch))),
+                           full, percent, scratch, "left", tested)
         labels, _ = _joined(labels, found, scratch, "labels-last")
     scratch.drop("full")
 
@@ -310,14 +304,14 @@ def _mixed(labelled: DataFrame) -> DataFrame:
     return labelled.join(several.select("bucket"), "bucket")
 
 
-def _across(mixed: DataFrame) -> DataFrame:
-    """a, na, pa, ka with rep, n, place, kept: the pairs of members of one bucket in different components, once a
-    bucket.  Each has a member outside the bucket's largest component."""
+def _across(mixed: DataFrame, *more: str) -> DataFrame:
+    """a, na with rep, n (and each column of ``more``, for a with ``_a``): the pairs of members of one bucket in
+    different components, once a bucket.  Each has a member outside the bucket's largest component."""
     size = mixed.groupBy("bucket", "label").agg(F.count("*").alias("size"))
-    main = size.groupBy("bucket").agg(F.max(F.struct("size", "label")).alias("m"))
-    placed = mixed.join(main, "bucket").withColumn("outside", F.col("label") != F.col("m.label")).drop("m")
+    main = size.groupBy("bucket").agg(F.max(F.struct("size", "label")).alias("main"))
+    placed = mixed.join(main, "bucket").withColumn("outside", F.col("label") != F.col("main.label")).drop("main")
     others = placed.where("outside").select("bucket", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"),
-                                            F.col("place").alias("pa"), F.col("kept").alias("ka"))
+                                            *(F.col(c).alias(f"{c}_a") for c in more))
     return placed.join(others, "bucket").where((F.col("label") != F.col("la")) & (~F.col("outside") | (F.col("a") < F.col("rep"))))
 
 
@@ -329,23 +323,43 @@ def _in_order(pairs: DataFrame) -> DataFrame:
         F.when(first, F.col("na")).otherwise(F.col("n")).alias("na"), F.when(first, F.col("n")).otherwise(F.col("na")).alias("nb"))
 
 
-def _prefixes(crowd: DataFrame, full: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """bucket (a shingle), rep, n, label, place, kept: the ``kept`` rarest shingles of each set and their places
-    in the order by rarity.  Linked sets share one; more closely, two sets that have c in common
-    share one among the first ``n - c + 1`` of either.  Shared shingles up to the earlier end of two
-    prefixes lie in both."""
-    each = scratch.write(crowd.join(full, "rep")
-                         .select("rep", "n", "label", F.explode("shingles").alias("bucket")), "crowd-shingles")
+def _close(crowd: DataFrame, full: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """a, na, rep, n: pairs of members of one bucket in different components, all linked ones (or a chain of
+    others that links them) among them.
+
+    Every bucket has a reference, a member of it.  What sets a member apart is the symmetric difference to its
+    reference, ``m`` shingles.  Two members whose differences share ``o`` have (n + na - m - ma) / 2 + o shingles in
+    common, so they are linked when 2 (100 + percent) o + q + qa >= 0 with q = (100 - percent) n - (100 + percent) m.
+    Those linked even if o = 0 are linked to the member with the largest q, too.  The others share one
+    of the rarest shingles of their differences: so many shared ones come first in neither that the rest still makes o.
+    """
+    first = F.min(F.struct(F.xxhash64("rep").alias("h"), "rep")).alias("first")
+    named = scratch.write(crowd.join(crowd.groupBy("bucket").agg(first), "bucket")
+                          .select(F.col("first.rep").alias("ref"), "rep", "n", "label").distinct(), "crowd")
+    own = full.select("rep", F.col("shingles").alias("s"))
+    its = named.select("ref").distinct().join(full.select(F.col("rep").alias("ref"), F.col("shingles").alias("sr")), "ref")
+    apart = scratch.write(named.join(own, "rep").join(its, "ref").select(
+        "ref", "rep", "n", "label", F.concat(F.array_except("s", "sr"), F.array_except("sr", "s")).alias("apart")), "apart")
+    scale = 100 + percent
+    sized = apart.withColumn("m", F.size("apart").cast("long")).withColumn("q", (100 - percent) * F.col("n") - scale * F.col("m"))
+    sized = sized.join(sized.groupBy("ref").agg(F.max(F.struct("q", "rep", "n", "label")).alias("top")), "ref")
+    nearest = sized.where((F.col("label") != F.col("top.label")) & (F.col("q") + F.col("top.q") >= 0)) \
+        .select(F.col("top.rep").alias("a"), F.col("top.n").alias("na"), "rep", "n")
+
+    each = scratch.write(sized.select("ref", "rep", "n", "label", "m", "q", F.col("top.q").alias("best"), F.explode("apart").alias("shingle"))
+                         .withColumn("bucket", F.xxhash64("ref", "shingle")).drop("shingle"), "crowd-shingles")
     often = each.groupBy("bucket").agg(F.count("*").alias("often")).where("often > 1")
-    # a shingle of one set alone comes first in the order and meets no other
-    alone = each.groupBy("rep").agg(F.count("*").alias("all")) \
-        .join(each.join(often, "bucket").groupBy("rep").agg(F.count("*").alias("shared")), "rep") \
-        .select("rep", (F.col("all") - F.col("shared")).alias("alone"))
-    rank = F.row_number().over(Window.partitionBy("rep").orderBy("often", "bucket"))
-    kept = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    return each.join(often, "bucket").withColumn("rank", rank).join(alone, "rep") \
-        .withColumn("place", F.col("rank") + F.col("alone")).withColumn("kept", kept).where("place <= kept") \
-        .select("bucket", "rep", "n", "label", "place", "kept")
+    # a shingle that sets one member apart comes first in the order and meets no other
+    shared = Window.partitionBy("ref", "rep")
+    rank = F.row_number().over(shared.orderBy("often", "bucket"))
+    placed = each.join(often, "bucket").withColumn("rank", rank).withColumn("place", F.col("rank") + F.col("m") - F.count("*").over(shared))
+    # the least o with any other member
+    least = F.greatest(F.lit(1), F.ceil(-(F.col("q") + F.col("best")) / (2 * scale)))
+    met = scratch.write(_mixed(placed.where(F.col("place") <= F.col("m") - least + 1).select("bucket", "rep", "n", "label", "m", "q", "place")), "met")
+    both = F.col("q") + F.col("q_a")
+    rest = 1 + F.least(F.col("m") - F.col("place"), F.col("m_a") - F.col("place_a"))
+    far = _across(met, "m", "q", "place").where((both < 0) & (2 * scale * rest + both >= 0))
+    return nearest.union(far.select("a", "na", "rep", "n"))
 
 
 def _confirmed(pairs: DataFrame, full: DataFrame, percent: int, scratch: Scratch, name: str, tested: DataFrame | None = None) -> DataFrame:
