@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from platewise.llm.store import Scratch, fields, text_slices, texts
+from platewise.llm.store import Scratch, fields, small, text_slices, texts
 
 WORDS = 5
 #: links: 100 * intersection >= PERCENT * union
@@ -40,6 +40,8 @@ BANDS, ROWS = 32, 6
 STAR_ROUNDS = 1
 #: larger buckets are compared by what sets their members apart from one of them in the last round
 SMALL_BUCKET = 16
+#: at most as many sets are broadcast to find their texts (tens of bytes each)
+FEW_SETS = 500_000
 
 _MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 _BASE = 0x9E3779B97F4A7C15  # odd: invertible modulo 2^64
@@ -242,8 +244,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     each = sets.select("rep", "n", F.explode("bands").alias("bucket"))
     shared = each.groupBy("bucket").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("bucket", "a")
     members = scratch.write(each.join(shared, "bucket"), "members")
-    chosen = sets.join(members.select("rep").distinct(), "rep").select("rep", "set_low", F.col("doc").alias("doc_id"))
-    full = scratch.write(shingle_sets(docs.select("doc_id", "text").join(chosen, "doc_id"), words), "full")
+    # written first: where few are chosen, no text is shuffled
+    chosen = scratch.write(sets.join(members.select("rep").distinct(), "rep").select("rep", "set_low", F.col("doc").alias("doc_id")), "chosen")
+    full = scratch.write(shingle_sets(docs.select("doc_id", "text").join(small(chosen, FEW_SETS), "doc_id"), words), "full")
+    scratch.drop("chosen")
     # sets of one doc_id belong together
     named = usable.join(sets, ["set_low", "set_high"]).select("doc_id", "rep")
     same = named.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("doc_id", "a")
@@ -266,9 +270,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         mixed = scratch.write(_mixed(_labelled(mixed.drop("label"), labels)), f"mixed-{turn}")
     if not mixed.isEmpty():
         large = mixed.groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") > SMALL_BUCKET)
-        small = mixed.join(large, "bucket", "left_anti")
+        few = mixed.join(large, "bucket", "left_anti")
         crowd = mixed.join(large, "bucket", "left_semi")
-        found = _confirmed(_in_order(_across(small)).union(_in_order(_close(crowd, full, percent, scratch))),
+        found = _confirmed(_in_order(_across(few)).union(_in_order(_close(crowd, full, percent, scratch))),
                            full, percent, scratch, "left", tested)
         labels, _ = _joined(labels, found, scratch, "labels-last")
     scratch.drop("full")
@@ -346,13 +350,15 @@ def _close(crowd: DataFrame, full: DataFrame, percent: int, scratch: Scratch) ->
     nearest = sized.where((F.col("label") != F.col("top.label")) & (F.col("q") + F.col("top.q") >= 0)) \
         .select(F.col("top.rep").alias("a"), F.col("top.n").alias("na"), "rep", "n")
 
-    each = scratch.write(sized.select("ref", "rep", "n", "label", "m", "q", F.col("top.q").alias("best"), F.explode("apart").alias("shingle"))
-                         .withColumn("bucket", F.xxhash64("ref", "shingle")).drop("shingle"), "crowd-shingles")
+    each = scratch.write(apart.select("ref", "rep", F.explode("apart").alias("shingle"))
+                         .select("ref", "rep", F.xxhash64("ref", "shingle").alias("bucket")), "crowd-shingles")
     often = each.groupBy("bucket").agg(F.count("*").alias("often")).where("often > 1")
     # a shingle that sets one member apart comes first in the order and meets no other
     shared = Window.partitionBy("ref", "rep")
     rank = F.row_number().over(shared.orderBy("often", "bucket"))
-    placed = each.join(often, "bucket").withColumn("rank", rank).withColumn("place", F.col("rank") + F.col("m") - F.count("*").over(shared))
+    placed = each.join(often, "bucket").withColumn("rank", rank).withColumn("shared", F.count("*").over(shared)) \
+        .join(sized.withColumn("best", F.col("top.q")).drop("apart", "top"), ["ref", "rep"]) \
+        .withColumn("place", F.col("rank") + F.col("m") - F.col("shared"))
     # the least o with any other member
     least = F.greatest(F.lit(1), F.ceil(-(F.col("q") + F.col("best")) / (2 * scale)))
     met = scratch.write(_mixed(placed.where(F.col("place") <= F.col("m") - least + 1).select("bucket", "rep", "n", "label", "m", "q", "place")), "met")
