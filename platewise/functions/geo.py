@@ -21,6 +21,11 @@ def great_circle_km(lat1, lon1, lat2, lon2) -> Column:
     cos_c = (F.cos(F.radians(lat1)) * F.cos(F.radians(lat2))
              * F.cos(F.radians(lon2) - F.radians(lon1))
              + F.sin(F.radians(lat1)) * F.sin(F.radians(lat2)))
+    return arc_km(cos_c)
+
+
+def arc_km(cos_c: Column) -> Column:
+    """The length of an arc by its angle's cosine, clamped."""
     return F.lit(EARTH_RADIUS_KM) * F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), cos_c)))
 
 

@@ -5,7 +5,8 @@ Instead both sides get a grid cell whose sides are at least the search radius
 in both axes; a probe is replicated into its 3 x 3 neighbourhood (a narrow,
 per-row explode) and joined to targets on the cell key, which Spark runs as a
 shuffle (or AQE broadcast) hash/sort-merge join.  The exact great-circle test
-runs after the join.  A crowded cell is a skewed join key that AQE's
+runs after the join, on sines and cosines taken once a point; a bound on the
+angle's cosine goes before the arc cosine.  A crowded cell is a skewed join key that AQE's
 skew-join splits.
 """
 
@@ -18,6 +19,12 @@ from pyspark.sql import functions as F
 
 from platewise.functions import geo
 
+#: pairs of one neighbourhood that a task tests, up to MOST_TASKS tasks
+TASK_PAIRS = 1 << 23
+MOST_TASKS = 20_000
+#: at most as many targets are broadcast (tens of bytes each)
+FEW_TARGETS = 500_000
+
 
 def _lon_cells(max_abs_lat: Column, d_rad: float) -> Column:
     """Number of longitude cells (each at least as wide as the radius at the
@@ -58,24 +65,43 @@ def radius_join(probes: DataFrame, targets: DataFrame, radius_km: float,
                          F.pmod(F.floor((F.col(lon) + F.lit(180.0)) / (F.lit(360.0) / F.col("_nlon"))).cast("long"),
                                 F.col("_nlon")).alias(cx))
 
-    t = targets.select(F.col(target_id).alias("_tid"), F.col("lat").alias("t_lat"),
-                       F.col("lon").alias("t_lon"))
-    t = with_cells(t, "t_lat", "t_lon", "cy", "cx").drop("_nlon")
+    def points(df, id_, side):
+        # what the distance needs of a point alone
+        df = with_cells(df.select(F.col(id_).alias(f"_{side}id"), "lat", "lon"), "lat", "lon", "cy", "cx")
+        return df.select(f"_{side}id", *(f(F.radians("lat")).alias(f"{side}_{name}") for name, f in (("cos", F.cos), ("sin", F.sin))),
+                         F.radians("lon").alias(f"{side}_lon"), "cy", "cx", "_nlon")
+
+    t = points(targets, target_id, "t").drop("_nlon")
 
     offs = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    p = probes.select(F.col(probe_id).alias("_pid"), F.col("lat").alias("p_lat"),
-                      F.col("lon").alias("p_lon"))
-    p = with_cells(p, "p_lat", "p_lon", "py", "px")
+    p = points(probes, probe_id, "p").withColumnsRenamed({"cy": "py", "cx": "px"})
     # 3 x 3 neighbourhood; array_distinct keeps one copy when there are < 3 lon cells
     neigh = F.array_distinct(F.flatten(F.transform(
         offs, lambda dy: F.transform(
             offs, lambda dx: F.struct((F.col("py") + dy).alias("cy"),
                                       F.pmod(F.col("px") + dx, F.col("_nlon")).alias("cx"))))))
-    p = p.select("_pid", "p_lat", "p_lon", F.explode(neigh).alias("c")).select(
-        "_pid", "p_lat", "p_lon", "c.cy", "c.cx")
-
-    dist = geo.great_circle_km(F.col("p_lat"), F.col("p_lon"), F.col("t_lat"), F.col("t_lon"))
-    return (p.join(t, ["cy", "cx"])
-            .select(F.col("_pid").alias(probe_id), F.col("_tid").alias(target_id), dist.alias("d"))
+    p = p.select("_pid", "p_cos", "p_sin", "p_lon", F.explode(neigh).alias("c")).select(
+        "_pid", "p_cos", "p_sin", "p_lon", "c.cy", "c.cx")
+
+    # the work grows with the pairs of a cell, not with the rows or bytes that Spark deals by
+    pairs = (p.groupBy("cy", "cx").agg(F.count(F.lit(1)).alias("np")).join(t.groupBy("cy", "cx").agg(F.count(F.lit(1)).alias("nt")), ["cy", "cx"])
+             .agg(F.sum(F.col("np") * F.col("nt")).alias("pairs")).first()["pairs"] or 0)
+    if pairs > TASK_PAIRS:
+        n = min(-(-pairs // TASK_PAIRS), MOST_TASKS)
+        if t.count() <= FEW_TARGETS:  # a crowded cell is then split by probe
+            p, t = p.repartition(n, "_pid", "cy", "cx"), F.broadcast(t)
+        else:
+            p, t = p.repartition(n, "cy", "cx"), t.repartition(n, "cy", "cx")
+
+    cos_c = F.col("p_cos") * F.col("t_cos") * F.cos(F.col("t_lon") - F.col("p_lon")) + F.col("p_sin") * F.col("t_sin")
+    near = cos_c >= math.cos(min(d_rad, math.pi)) - 1e-12  # 1e-12: far above the error of cos_c
+    return (p.join(t, ["cy", "cx"]).where(near)
+            .select(F.col("_pid").alias(probe_id), F.col("_tid").alias(target_id), geo.arc_km(cos_c).alias("d"))
             .where(F.col("d") <= F.lit(float(radius_km)))
-            .select(probe_id, target_id, F.round("d", 6).alias("distance_km")))
+            .select(probe_id, target_id, _six_places(F.col("d")).alias("distance_km")))
+
+
+def _six_places(d: Column) -> Column:
+    """``round(d, 6)`` of distances on a globe; decimals are used only next to a tie."""
+    x = d * 1e6
+    return F.when(F.abs(x - F.floor(x) - 0.5) > 1e-4, F.floor(x + 0.5) / F.lit(1e6)).otherwise(F.round(d, 6))
