@@ -32,11 +32,10 @@ def heavy_keys(df: DataFrame, key: str, share: float = 1 / SALTS) -> list:
 
 
 def salted_join(large: DataFrame, small: DataFrame, key: str, how: str = "inner", salts: int = SALTS,
-                sketched: tuple[int, list] | None = None, number: str | None = None) -> DataFrame:
+                sketched: tuple[int, list] | None = None) -> DataFrame:
     """``large.join(small, key, how)`` (inner or left) without a task that holds a whole heavy key of ``large``.
 
-    ``sketched`` (default: of ``large``) is what ``sketch`` says of the keys.  With ``number``, equal rows of
-    ``large`` become one before the join, and that column says how many they were.
+    ``sketched`` (default: of ``large``) is what ``sketch`` says of the keys.
     """
     total, heavy = sketched or sketch(large, key, 1 / salts)
     columns = large.columns
@@ -44,22 +43,22 @@ def salted_join(large: DataFrame, small: DataFrame, key: str, how: str = "inner"
     others = [c for c in columns if c != key]
     salt = F.pmod(F.xxhash64(*others), F.lit(salts)) if others else F.lit(0)
     left, on = (large.withColumn("_salt", F.when(is_heavy, salt).otherwise(0).cast("int")), [key, "_salt"]) if heavy else (large, [key])
-    if total > TASK_ROWS:
-        left = left.repartition(tasks(total), *on)
-    if number:
-        left = left.groupBy(*left.columns).agg(F.count(F.lit(1)).alias(number))
+    left = dealt(left, total, *on)
     if heavy:
         each = F.when(is_heavy, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
         small = small.withColumn("_salt", F.explode(each))
-    if total > TASK_ROWS:
-        small = small.repartition(tasks(total), *on)
-    return left.join(small, on, how).drop("_salt")
+    return left.join(dealt(small, total, *on), on, how).drop("_salt")
 
 
 def tasks(rows: int) -> int:
     return -(-rows // TASK_ROWS)
 
 
+def dealt(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """``df`` in as many tasks as ``rows`` need, by ``by``."""
+    return df if rows <= TASK_ROWS else df.repartition(tasks(rows), *by)
+
+
 def in_order(df: DataFrame, rows: int, *by: str) -> DataFrame:
     """``df.orderBy(*by)`` of at most ``rows`` rows, about TASK_ROWS a task."""
     return df.orderBy(*by) if rows <= TASK_ROWS else df.repartitionByRange(tasks(rows), *by).sortWithinPartitions(*by)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from platewise.catalog import Catalog
 from platewise.operators.branches import attach_cuisines
-from platewise.operators.salted import in_order, salted_join, sketch
+from platewise.operators.salted import dealt, in_order, salted_join, sketch
 
 
 def _repeat_sorted(names, times, sep: str):
@@ -43,15 +43,17 @@ def dishes_info(cat: Catalog, venue_ids: DataFrame | None = None) -> DataFrame:
     the per-dish list (a recipe, small) is repeated that many times, so the
     product is never shuffled.  Dishes without ingredients drop (inner join).
     """
-    m = _only(cat.menu, "id_restaurant", venue_ids).select("id_dish", "id_restaurant")
+    # tasks take so many menu rows, however many there are
+    sketched = sketch(cat.menu, "id_dish")
+    m = (dealt(_only(cat.menu, "id_restaurant", venue_ids).select("id_dish", "id_restaurant"), sketched[0], "id_dish", "id_restaurant")
+         .groupBy("id_dish", "id_restaurant").agg(F.count(F.lit(1)).alias("n_menu_rows")))
     ing = (cat.dish_ingredients
            .join(cat.ingredients.select(F.col("id").alias("id_ingredient"), F.col("name").alias("ing_name")),
                  "id_ingredient")
            .groupBy("id_dish").agg(F.collect_list("ing_name").alias("names")))
     d = cat.dishes.select(F.col("id").alias("id_dish"), "name", "calories", "price", "weight")
-    # a dish that many venues serve is split; tasks take so many menu rows, however many there are
-    sketched = sketch(cat.menu, "id_dish")
-    rows = (salted_join(m, ing.join(d, "id_dish"), "id_dish", sketched=sketched, number="n_menu_rows")
+    # a dish that many venues serve is split
+    rows = (salted_join(m, ing.join(d, "id_dish"), "id_dish", sketched=sketched)
             .select(F.col("id_dish").alias("id"), "name", "calories", "price", "weight",
                     _repeat_sorted(F.col("names"), F.col("n_menu_rows"), ",").alias("ingredient_names"),
                     F.col("id_restaurant").alias("res_id")))
