@@ -242,7 +242,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
         .withColumn("rep", F.monotonically_increasing_id()), "sets")
     each = sets.select("rep", "n", F.explode("bands").alias("bucket"))
-    shared = each.groupBy("bucket").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("bucket", "a")
+    shared = each.groupBy("bucket").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("bucket")
     members = scratch.write(each.join(shared, "bucket"), "members")
     # written first: where few are chosen, no text is shuffled
     chosen = scratch.write(sets.join(members.select("rep").distinct(), "rep").select("rep", "set_low", F.col("doc").alias("doc_id")), "chosen")
@@ -253,8 +253,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     same = named.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("doc_id", "a")
     same = named.join(same, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
 
-    centre_size = members.where("rep = a").select("bucket", F.col("n").alias("na"))
-    stars = members.where("rep <> a").join(centre_size, "bucket")
+    centre = _commonest(members).select("bucket", F.col("rep").alias("a"), F.col("n").alias("na"))
+    stars = members.join(centre, "bucket").where("rep <> a")
     tested = _confirmed(_in_order(stars), full, percent, scratch, "stars")
     labels = components(tested.where("linked").select("a", "b").union(same), scratch, "labels")
     mixed = scratch.write(_mixed(_labelled(members, labels)), "mixed")
@@ -287,6 +287,17 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     return out.select("doc_id", "n_shingles", "component_id", (F.col("component_id").isNull() | (F.col("component_id") == F.col("doc_id"))).alias("kept"))
 
 
+def _commonest(members: DataFrame) -> DataFrame:
+    """bucket, rep and n: every bucket's member that is in the most of the buckets.
+
+    Buckets of like sets so have few such members between them, and these lie
+    in the midst of their groups.
+    """
+    held = members.groupBy("rep").agg(F.count("*").alias("held"))
+    most = F.max(F.struct("held", F.xxhash64("rep").alias("h"), "rep", "n")).alias("most")
+    return members.join(held, "rep").groupBy("bucket").agg(most).select("bucket", "most.rep", "most.n")
+
+
 def _joined(labels: DataFrame, found: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, bool]:
     """The labels after the links among ``found``, and whether there are any."""
     more = found.where("linked").select("a", "b")
@@ -331,15 +342,14 @@ def _close(crowd: DataFrame, full: DataFrame, percent: int, scratch: Scratch) ->
     """a, na, rep, n: pairs of members of one bucket in different components, all linked ones (or a chain of
     others that links them) among them.
 
-    Every bucket has a reference, a member of it.  What sets a member apart is the symmetric difference to its
+    Every bucket has a reference, the member of it that is in most buckets.  What sets a member apart is the symmetric difference to its
     reference, ``m`` shingles.  Two members whose differences share ``o`` have (n + na - m - ma) / 2 + o shingles in
     common, so they are linked when 2 (100 + percent) o + q + qa >= 0 with q = (100 - percent) n - (100 + percent) m.
     Those linked even if o = 0 are linked to the member with the largest q, too.  The others share one
     of the rarest shingles of their differences: so many shared ones come first in neither that the rest still makes o.
     """
-    first = F.min(F.struct(F.xxhash64("rep").alias("h"), "rep")).alias("first")
-    named = scratch.write(crowd.join(crowd.groupBy("bucket").agg(first), "bucket")
-                          .select(F.col("first.rep").alias("ref"), "rep", "n", "label").distinct(), "crowd")
+    named = scratch.write(crowd.join(_commonest(crowd).select("bucket", F.col("rep").alias("ref")), "bucket")
+                          .select("ref", "rep", "n", "label").distinct(), "crowd")
     own = full.select("rep", F.col("shingles").alias("s"))
     its = named.select("ref").distinct().join(full.select(F.col("rep").alias("ref"), F.col("shingles").alias("sr")), "ref")
     apart = scratch.write(named.join(own, "rep").join(its, "ref").select(

@@ -208,6 +208,18 @@ def test_near_duplicates_of_a_dense_group(spark):
     assert {r.doc_id: r.component_id for r in got} == {i: top(i) for i in range(150)}
 
 
+def test_buckets_of_one_group_share_their_reference(spark):
+    """40 buckets of a group, one member in all of them: each of the others is set apart from that one alone."""
+    rng, n = random.Random(3), 120
+    sets = [set(range(140)) | {1000 * i + 200 + k for k in range(rng.randrange(30))} for i in range(n)]
+    full = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "rep long, shingles array<long>")
+    rows = [(b, i, len(sets[i]), i) for b in range(40) for i in {77, *rng.sample(range(n), 30)}]
+    scratch = Scratch(spark, "test")
+    minhash._close(spark.createDataFrame(rows, "bucket long, rep long, n long, label long"), full, 85, scratch)
+    crowd = spark.read.parquet(f"{scratch.path}/crowd").collect()
+    assert {r.ref for r in crowd} == {77} and sorted(r.rep for r in crowd) == sorted({r[1] for r in rows})
+
+
 def test_members_of_a_large_bucket_meet_seldom(spark):
     """Variants of one set, few of them linked: most pairs never meet, and every linked pair does or has a chain."""
     rng, n = random.Random(23), 300
