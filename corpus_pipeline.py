@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from platewise.llm import langid, minhash, packing, quality
-from platewise.llm.store import Scratch
+from platewise.llm.store import Scratch, without
 
 #: near_dedup links documents at this percentage (op6's contract has its own, 85)
 PERCENT = 80
@@ -49,7 +49,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         keyed = scratch.write(keyed.join(again, "__key", "left_anti").unionByName(once), "once")
     found = minhash.near_duplicates(keyed.select(F.col("__key").alias("doc_id"), "text"), percent=PERCENT, bands=BANDS, rows=ROWS)
     removed = scratch.write(found.where(~F.col("kept")).select(F.col("doc_id").alias("__key")), "removed")
-    return keyed.join(removed, "__key", "left_anti").drop("__key")
+    return without(keyed, removed, "__key", minhash.FEW_SETS).drop("__key")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from platewise.llm.store import Scratch, fields, small, text_slices, texts
+from platewise.llm.store import Scratch, fields, sieved, small, text_slices, texts
 
 WORDS = 5
 #: links: 100 * intersection >= PERCENT * union
@@ -244,9 +244,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     each = sets.select("rep", "n", F.explode("bands").alias("bucket"))
     shared = each.groupBy("bucket").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("bucket")
     members = scratch.write(each.join(shared, "bucket"), "members")
-    # written first: where few are chosen, no text is shuffled
+    # written first: where few are chosen, no text is shuffled, else those the sieve leaves
     chosen = scratch.write(sets.join(members.select("rep").distinct(), "rep").select("rep", "set_low", F.col("doc").alias("doc_id")), "chosen")
-    full = scratch.write(shingle_sets(docs.select("doc_id", "text").join(small(chosen, FEW_SETS), "doc_id"), words), "full")
+    wanted = docs.select("doc_id", "text")
+    if chosen.limit(FEW_SETS + 1).count() > FEW_SETS:
+        wanted, _ = sieved(wanted, chosen, "doc_id")
+    full = scratch.write(shingle_sets(wanted.join(small(chosen, FEW_SETS), "doc_id"), words), "full")
     scratch.drop("chosen")
     # sets of one doc_id belong together
     named = usable.join(sets, ["set_low", "set_high"]).select("doc_id", "rep")
@@ -280,6 +283,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     node = sets.select("set_low", "set_high", "rep", "doc").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left") \
         .withColumn("label", F.coalesce("label", "rep"))
     node = scratch.write(node, "nodes")
+    scratch.drop("sets")
     component = node.groupBy("label").agg(F.min("doc").alias("component_id"))
     component = node.join(component, "label").select("set_low", "set_high", "component_id")
     out = sketch.select("doc_id", "n_shingles", "set_low", "set_high").join(component, ["set_low", "set_high"], "left") \

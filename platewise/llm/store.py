@@ -24,6 +24,8 @@ from platewise.session import checkpoint_dir
 SLICE_BYTES = 4 << 20
 #: bytes of a Parquet row group: what a writing task holds
 ROW_GROUP = 16 << 20
+#: bits of a sieve, in words of 64: at most half a million rows are broadcast
+SIEVE_BITS = 1 << 25
 
 
 class Scratch:
@@ -74,3 +76,28 @@ def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``rows`` rows, else as it is
     (a shuffled join)."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def sieved(df: DataFrame, keys: DataFrame, on: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``df`` that may have a key in ``keys``, and those that have none.
+
+    A bit is set for each key's hash, ``SIEVE_BITS`` altogether, whose words are
+    broadcast however many keys there are.  A join with ``keys`` then shuffles
+    the first rows only; a few without a key are among them (one in 22 at
+    1,500,000 keys).
+    """
+    slot = F.pmod(F.xxhash64(on), F.lit(SIEVE_BITS))
+    word, bit = F.shiftright(slot, 6).alias("__word"), (slot % 64).cast("int").alias("__bit")
+    words = keys.select(word, bit).groupBy("__word").agg(F.bit_or(F.expr("shiftleft(1L, __bit)")).alias("__bits"))
+    marked = df.withColumns({"__word": word, "__bit": bit}).join(F.broadcast(words), "__word", "left") \
+        .withColumn("__hit", F.coalesce(F.getbit("__bits", F.col("__bit")) == 1, F.lit(False)))
+    return tuple(marked.where(F.col("__hit") == hit).select(*(F.col(f"`{c}`") for c in df.columns)) for hit in (True, False))
+
+
+def without(df: DataFrame, keys: DataFrame, on: str, few: int) -> DataFrame:
+    """The rows of ``df`` without a key in ``keys``: at most ``few`` keys are
+    broadcast, more meet the rows that the sieve leaves."""
+    if keys.limit(few + 1).count() <= few:
+        return df.join(F.broadcast(keys), on, "left_anti")
+    doubtful, sure = sieved(df, keys, on)
+    return sure.unionByName(doubtful.join(keys, on, "left_anti"))

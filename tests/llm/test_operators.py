@@ -18,7 +18,7 @@ import tokenizers
 from pyspark.sql import functions as F
 
 from platewise.llm import bpe_codec, langid, license_scan, minhash, packing, quality, queries, topk, url_filter, warc, wordpiece
-from platewise.llm.store import Scratch
+from platewise.llm.store import Scratch, sieved
 
 SF = os.environ.get("LLM_SF_DIR", "/root/testdata/sf0.01")
 SPACED = r"[^\x20\x09-\x0D]+"
@@ -596,6 +596,38 @@ def test_pipeline_links_below_the_contract_of_op6(spark):
     assert minhash.near_duplicates(pair).where("kept").count() == 2
 
 
+@pytest.mark.parametrize("few", [minhash.FEW_SETS, 0])
+def test_near_dedup_stage_shuffles_no_text_that_stays(spark, monkeypatch, few):
+    """Whatever Spark would broadcast by size: the removed keys are, or only rows that the sieve leaves reach their join."""
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(30))) for i in range(100)]
+    rows += [(1000 + i, text) for i, text in rows[:20]]
+    monkeypatch.setattr(minhash, "FEW_SETS", few)
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(map(tuple, got.collect())) == sorted(rows[:100])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    join = plan[plan.index("LeftAnti"):]
+    assert plan.count("LeftAnti") == 1
+    assert "rightHint=(strategy=broadcast)" in join if few else "Union" in plan[:plan.index("LeftAnti")] and "getbit" in join
+
+
+def test_sieve(spark):
+    """Every row with a key is found, hardly any other; all columns stay as they are."""
+    key = F.struct(F.col("id").alias("x"), F.lit(None).cast("string").alias("y"))
+    rows = spark.range(20000).select(key.alias("key"), F.col("id").alias("a.b")).union(spark.createDataFrame([(None, -1)], "key struct<x: long, y: string>, b long"))
+    keys = rows.where("key.x % 50 = 7").select("key")
+    found, others = sieved(rows, keys, "key")
+    assert found.columns == rows.columns == others.columns
+    own = {r.key.x for r in keys.collect()}
+    hit = [r[1] for r in found.collect()]
+    assert own <= set(hit) and len(hit) <= len(own) + 5
+    assert sorted(hit + [r[1] for r in others.collect()]) == list(range(-1, 20000))
+    found, others = sieved(rows, keys.limit(0), "key")
+    assert found.count() == 0 and others.count() == 20001
+
+
 def test_near_dedup_stage_judges_every_row(spark):
     """Unlike texts with one id both stay, copies without id go, equal rows are one."""
     import corpus_pipeline
